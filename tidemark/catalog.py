@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidemark.plans import case_queries, queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries.QUERIES, **case_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**queries.ORACLE_SQL, **case_queries.ORACLE_SQL}
