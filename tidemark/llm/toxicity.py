@@ -1,15 +1,15 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained from labelled text: one from windows of
-ordinary text, one from windows of toxic text.  A window of a document is
-compressed with either; the more it gains from the toxic dictionary, the more
-likely it is toxic.  The gains of a document's windows are summed up in a few
-numbers, and a logistic curve fitted on labelled rows turns these into a score.
+ordinary text, one from words of toxic text on top of the same windows.  A
+window of a document is compressed with either; the more it gains from the
+toxic dictionary, the more likely it is toxic.  The gains of a document's
+windows are summed up in a few numbers, and a logistic curve fitted on labelled
+rows turns these into a score.
 
-Only a small share of a toxic text's words is toxic.  Windows for the toxic
-dictionary are therefore taken around the words that set toxic samples apart
-from ordinary ones; ordinary windows are taken evenly.  Both dictionaries share
-the ordinary windows, so that windows without toxic words gain next to nothing.
+Only a small share of a toxic text's words is toxic.  The toxic dictionary is
+therefore made of the stems that set toxic samples apart from ordinary ones.  As
+both share the ordinary windows, other words gain next to nothing.
 
 Labels are learned from at most ``sample`` rows of either label (those with the
 smallest hash of their id), which bounds what the driver gets.  Scoring reads
@@ -37,9 +37,11 @@ SAMPLE = 2000
 SAMPLE_CHARS = 20000
 WINDOW_WORDS = 6
 DICTIONARY_BYTES = 12000
+TOXIC_BYTES = 4000
 THRESHOLD = 0.7
 #: Bytes that a window gains from the toxic dictionary to count as a clear case.
-CLEAR = 1
+CLEAR = (1, 2, 3, 4)
+FEATURES = 2 * len(CLEAR) + 2
 LEVEL = 6
 
 _WORDS = re.compile(r"\S+")
@@ -57,7 +59,7 @@ class Model:
 def windows(text: str) -> list[bytes]:
     """Windows of WINDOW_WORDS words that cover the whole text; a last one may be shorter."""
     words = _WORDS.findall(text)
-    return [" ".join(words[i : i + WINDOW_WORDS]).encode() for i in range(0, len(words), WINDOW_WORDS)]
+    return [f" {' '.join(words[i : i + WINDOW_WORDS])} ".encode() for i in range(0, len(words), WINDOW_WORDS)]
 
 
 def compressors(model: Model) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
@@ -70,14 +72,13 @@ def compressors(model: Model) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdC
 
 
 def gains(texts: list[str], ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> np.ndarray:
-    """For each text: windows gaining clearly per window, their log count, largest and mean gain, mean top gain."""
-    out = np.zeros((len(texts), 5))
+    """For each text, of its windows' gains in bytes: share and log count of those of at least each of CLEAR, the mean, the top ones' mean."""
+    out = np.zeros((len(texts), FEATURES))
     for row, text in zip(out, texts, strict=True):
         found = np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows(text)], float)
         if len(found):
-            clear = np.count_nonzero(found >= CLEAR)
-            top = np.sort(found)[-3:]
-            row[:] = clear / len(found), math.log1p(clear), found.max(), found.mean(), top.mean()
+            clear = [np.count_nonzero(found >= least) for least in CLEAR]
+            row[:] = *(n / len(found) for n in clear), *(math.log1p(n) for n in clear), found.mean(), np.sort(found)[-3:].mean()
     return out
 
 
@@ -92,57 +93,78 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2
     return w
 
 
-def stems(text: str) -> set[str]:
-    """The text's words in lower case, and their first four to seven letters."""
-    words = {x.strip(".,;:!?\"'()").lower() for x in text.split()}
-    return {w[:n] for w in words if len(w) > 3 for n in (4, 5, 6, 7, len(w))}
+def stem_counts(texts: list[str]) -> tuple[Counter, int]:
+    """In how many different surroundings words with a stem of four to seven letters stand, and the number of all.
+
+    A word between the same two words counts once, so copies of a text add nothing.
+    """
+    seen: set[tuple[str, str, str]] = set()
+    for text in texts:
+        words = [x.strip(".,;:!?\"'()").lower() for x in text.split()]
+        seen.update(zip(["", *words[:-1]], words, [*words[1:], ""], strict=True))
+    found = Counter(w for _, w, _ in seen)
+    count: Counter = Counter()
+    for word, n in found.items():
+        for stem in {word[:k] for k in (4, 5, 6, 7, len(word))} if len(word) > 3 else ():
+            count[stem] += n
+    return count, len(seen)
 
 
 def telling_words(toxic: list[str], ordinary: list[str], most: int = 400) -> list[str]:
-    """Stems that occur in clearly more of the toxic texts, the most telling first."""
-    count = [Counter(w for t in texts for w in stems(t)) for texts in (toxic, ordinary)]
-    n, m = max(1, len(toxic)), max(1, len(ordinary))
+    """Stems that stand in clearly more surroundings in toxic texts, the most telling first."""
+    (mine, n), (other, m) = stem_counts(toxic), stem_counts(ordinary)
     found = []
-    for word, k in count[0].items():
-        o = count[1][word]
+    for word, k in mine.items():
+        o = other[word]
         pooled = (k + o + 1) / (n + m + 2)
         z = (k / n - o / m) / math.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
-        if k >= 3 and z > 5:
-            found.append((-z, word))
+        if k >= 3 and z > 5 and k * m > 4 * o * n:
+            found.append((-round(z, 1), -len(word), word))  # of stems as telling, the longest
     chosen: list[str] = []
-    for _, word in sorted(found):
+    for _, _, word in sorted(found):
         if not any(word.startswith(c) or c.startswith(word) for c in chosen):
             chosen.append(word)
     return chosen[:most]
 
 
-def train(rows: list[tuple[str, int]]) -> Model:
-    """A model from (text, label) rows; without rows of both labels every score is 0."""
-    toxic = [t for t, label in rows if label == 1]
-    plain = [t for t, label in rows if label == 0]
-    if not toxic or not plain:
-        return Model(b"", b"", (0.0,) * 5, (1.0,) * 5, (0.0,) * 5 + (-30.0,))
-    # Even-numbered texts train the dictionaries, all texts but these fit the curve.
-    base = b"\n".join(w for t in plain[::2] for w in windows(t)[:3])[:DICTIONARY_BYTES]
-    telling = telling_words(toxic[::2], plain[::2])
-    words = Counter(w for t in toxic[::2] for w in _WORDS.findall(t))
+def dictionaries(toxic: list[str], plain: list[str]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary: common ordinary windows, and after them toxic words in the latter."""
+    spread = max(1, len(plain) // 400)
+    base = b"\n".join(w for t in plain[::spread] for w in windows(t)[:3])[:DICTIONARY_BYTES]
     around: list[bytes] = []
     size = 0
-    for stem in telling:  # whole words as they stand in toxic text: a match should be long
-        for word in [w for w, _ in words.most_common() if w.lower().startswith(stem)][:12]:
+    for stem in telling_words(toxic, plain):
+        for word in (stem, stem.capitalize()):
             piece = b" " + word.encode() + b" "
-            if size + len(piece) <= DICTIONARY_BYTES // 3:
+            if size + len(piece) <= TOXIC_BYTES:
                 around.append(piece)
                 size += len(piece)
-    model = Model(b"\n" + base, b"".join(around) + b"\n" + base, (), (), ())
-    texts = [t for i, t in enumerate(toxic) if i % 2] + [t for i, t in enumerate(plain) if i % 2]
-    y = np.array([1.0] * (len(toxic) // 2) + [0.0] * (len(plain) // 2))
-    if not 0 < y.sum() < len(y):
-        texts, y = toxic + plain, np.array([1.0] * len(toxic) + [0.0] * len(plain))
-    x = gains(texts, *compressors(model))
+    # The end of a dictionary is what its match tables keep best; the filler keeps all other distances equal.
+    filler = bytes(1 + (i * i // 7 + i) % 8 for i in range(size))
+    return base + b"\n" + filler, base + b"\n" + b"".join(around)
+
+
+def train(rows: list[tuple[str, int]]) -> Model:
+    """A model from (text, label) rows; without rows of both labels every score is 0.
+
+    The curve is fitted on gains of texts that the dictionaries weren't made of:
+    each half of the rows is scored with those of the other half.  The model's
+    own dictionaries are made of all rows.
+    """
+    toxic = [t for t, label in rows if label == 1]
+    plain = [t for t, label in rows if label == 0]
+    if not toxic or not plain:
+        return Model(b"", b"", (0.0,) * FEATURES, (1.0,) * FEATURES, (0.0,) * FEATURES + (-30.0,))
+    parts, labels = [], []
+    for half in (0, 1):
+        made = Model(*dictionaries(toxic[half::2], plain[half::2]), (), (), ())
+        others = toxic[1 - half :: 2] + plain[1 - half :: 2]
+        parts.append(gains(others, *compressors(made)))
+        labels += [1.0] * len(toxic[1 - half :: 2]) + [0.0] * len(plain[1 - half :: 2])
+    x, y = np.vstack(parts), np.array(labels)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     weights = logistic((x - mean) / scale, y)
-    return Model(model.ordinary, model.toxic, tuple(mean), tuple(scale), tuple(weights))
+    return Model(*dictionaries(toxic, plain), tuple(mean), tuple(scale), tuple(weights))
 
 
 def score_texts(texts: list[str], model: Model) -> np.ndarray:
