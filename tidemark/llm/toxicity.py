@@ -101,7 +101,8 @@ def stem_counts(texts: list[str]) -> tuple[Counter, int]:
     seen: set[tuple[str, str, str]] = set()
     for text in texts:
         words = [x.strip(".,;:!?\"'()").lower() for x in text.split()]
-        seen.update(zip(["", *words[:-1]], words, [*words[1:], ""], strict=True))
+        around = ["", *words, ""]
+        seen.update(zip(around, words, around[2:], strict=False))
     found = Counter(w for _, w, _ in seen)
     count: Counter = Counter()
     for word, n in found.items():
@@ -113,6 +114,8 @@ def stem_counts(texts: list[str]) -> tuple[Counter, int]:
 def telling_words(toxic: list[str], ordinary: list[str], most: int = 400) -> list[str]:
     """Stems that stand in clearly more surroundings in toxic texts, the most telling first."""
     (mine, n), (other, m) = stem_counts(toxic), stem_counts(ordinary)
+    if not n or not m:
+        return []
     found = []
     for word, k in mine.items():
         o = other[word]
