@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import again, column_of, segment_hashes, slices, small_batches, split_lines, split_words, text_buffers
 from .toxicity import labelled_sample, logistic
 
-#: Labelled rows of either label that training reads at most, and characters of each.
+#: Labelled rows of either label that training reads at most; longer texts than this teach nothing.
 SAMPLE = 1500
-SAMPLE_CHARS = 20000
+SAMPLE_CHARS = 200_000
 THRESHOLD = 0.3
 #: Lines of a text that are one chain in training; scoring has no such limit.
 TRAINING_LINES = 64

@@ -48,8 +48,8 @@ FEATURES = {
     "chars_per_word": ("1000 * word_chars div n_words", 6000),
     "symbols_per_word": ("1000 * n_symbols div n_words", 300),
     "capitals": ("1000 * n_capitals div word_chars", 300),
-    "dup_lines": ("1000 * n_dup_lines div n_lines", 300),
-    "repeat_words": ("1000 * n_repeat_words div n_words", 150),
+    "dup_lines": ("1000 * n_dup_lines div n_lines", 500),
+    "repeat_words": ("1000 * n_repeat_words div n_words", 200),
 }
 REACH = 6
 
@@ -186,7 +186,7 @@ u AS (SELECT lang, source, feature, bucket, sum(n) OVER (PARTITION BY lang, sour
       FROM (SELECT lang, source, feature, bucket, count(*) AS n FROM f GROUP BY ALL)),
 q AS (SELECT lang, source, feature, min((bucket % 32) << (bucket // 32)::INT) FILTER (upto * 2 >= total) AS q50,
              min((bucket % 32) << (bucket // 32)::INT) FILTER (upto * 4 >= total * 3) AS q75 FROM u GROUP BY ALL),
-b AS (SELECT lang, source, feature, q50 + greatest(CASE feature WHEN 'chars_per_word' THEN 6000 WHEN 'repeat_words' THEN 150 ELSE 300 END,
+b AS (SELECT lang, source, feature, q50 + greatest(CASE feature WHEN 'chars_per_word' THEN 6000 WHEN 'dup_lines' THEN 500 WHEN 'repeat_words' THEN 200 ELSE 300 END,
              6 * (q75 - q50)) AS most FROM q),
 v AS (SELECT r, bool_and(value <= most) AS within FROM f JOIN b ON f.feature = b.feature
       AND f.lang IS NOT DISTINCT FROM b.lang AND f.source IS NOT DISTINCT FROM b.source GROUP BY r)

@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import column_of, slices, small_batches
 
-#: Labelled rows of either label that training reads at most, and characters of each.
+#: Labelled rows of either label that training reads at most; longer texts than this teach nothing.
 SAMPLE = 2000
-SAMPLE_CHARS = 20000
+SAMPLE_CHARS = 200_000
 WINDOW_WORDS = 6
 DICTIONARY_BYTES = 12000
 TOXIC_BYTES = 4000
@@ -179,13 +179,16 @@ def score_texts(texts: list[str], model: Model) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int, chars: int) -> list[tuple[str, int]]:
-    """At most ``sample`` (text, label) rows of either label: those with the smallest hash of the id."""
+    """At most ``sample`` (text, label) rows of either label: those with the smallest hash of the id.
+
+    Texts of over ``chars`` characters are left out, which bounds what the driver gets.
+    """
     ids = labels.where(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
     ids = ids.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id"))
     one, zero = (ids.where(F.col("label") == v).orderBy("h", "doc_id").limit(sample) for v in (1, 0))
     chosen = F.broadcast(one.unionByName(zero))  # at most 2 x sample ids
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(chosen, "doc_id")
-    rows = rows.select("h", "doc_id", "label", F.substring("text", 1, chars).alias("text")).dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").where(F.length("text") <= chars).join(chosen, "doc_id")
+    rows = rows.select("h", "doc_id", "label", "text").dropDuplicates(["doc_id"])
     return [(r.text, r.label) for r in sorted(rows.collect(), key=lambda r: (r.h, r.doc_id))]
 
 
