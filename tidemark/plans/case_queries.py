@@ -136,7 +136,8 @@ def case_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     comments = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
         F.col("conv_id").alias("case_id"), F.col("turn").alias("comment_id"), F.col("role").alias("comment_type"), F.timestamp_seconds("turn").alias("created_at")
     )
-    return cases.case_timeline(comments).select("case_id", "comment_id", "comment_type", "nth", "nth_of_type")
+    df = cases.case_timeline(comments)
+    return df.select("case_id", "comment_id", "comment_type", F.col("nth").cast("long").alias("nth"), F.col("nth_of_type").cast("long").alias("nth_of_type"))
 
 
 @query(
