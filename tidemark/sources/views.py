@@ -94,8 +94,8 @@ FLOWS = View(
     "lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey",
     {
         "tx_id": "l_orderkey * 10 + l_linenumber",
-        "src": "o_custkey % 499",
-        "dst": "(l_suppkey * 13 + l_partkey * 7) % 499",
+        "src": "(o_custkey * 13) % 20011",
+        "dst": "(l_suppkey * 131 + l_partkey * 7) % 20011",
         "ts": "l_shipdate",
         "amount": "CAST(l_extendedprice AS DECIMAL(18,2))",
     },
@@ -130,6 +130,19 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FLOWS.frame(spark, sf_dir)
 
 
+#: Who shares an account or a household with whom: customers are 3 c, accounts 3 a + 1, households 3 h + 2.
+LINKS_SQL = (
+    "links AS (SELECT DISTINCT c_custkey * 3 AS src, (c_custkey % 997) * 3 + 1 AS dst FROM customer "
+    "UNION SELECT c_custkey * 3 AS src, (c_custkey // 2) * 3 + 2 AS dst FROM customer)"
+)
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    accounts = customers.selectExpr("c_custkey * 3 AS src", "(c_custkey % 997) * 3 + 1 AS dst")
+    return accounts.unionByName(customers.selectExpr("c_custkey * 3 AS src", "(c_custkey div 2) * 3 + 2 AS dst"))
+
+
 TX_SQL = f"tx AS ({TX.sql()})"
 PAY_SQL = f"pay AS ({PAY.sql()})"
 FLOWS_SQL = f"flows AS ({FLOWS.sql()})"
