@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import answers, cases, dashboard, screening
+from tidemark.plans.queries import ALERTS_SQL
 from tidemark.sources.views import PAY_SQL, TX_SQL, payments, transactions
 from tidemark.streaming import streams
 
@@ -321,9 +322,14 @@ def as_payments(stream: DataFrame) -> DataFrame:
     )
 
 
-@query()
+@query(
+    f"WITH {PAY_SQL}, h AS (SELECT customer_id, amount, date_trunc('hour', ts) - to_hours(unnest(range(24))) AS s FROM pay) SELECT customer_id, s AS window_start, "
+    "s + INTERVAL 24 HOUR AS window_end, count(*) AS transactions, CAST(sum(amount) AS DECIMAL(28,2)) AS volume, count(*) >= 10 AS high_velocity, sum(amount) > 50000 AS over_limit "
+    "FROM h WHERE s + INTERVAL 24 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM pay) GROUP BY customer_id, s"
+)
 def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streamed(spark, sf_dir, "events", lambda s: streams.stream_velocity(as_payments(s)))
+    df = streamed(spark, sf_dir, "events", lambda s: streams.stream_velocity(as_payments(s)))
+    return df.withColumn("volume", F.col("volume").cast("decimal(28,2)"))
 
 
 @query(
@@ -334,7 +340,10 @@ def stream_velocity_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, sf_dir, "events", lambda s: streams.stream_velocity_exact(as_payments(s)))
 
 
-@query()
+@query(
+    f"WITH {PAY_SQL} SELECT client, date_trunc('minute', ts) AS minute, count(*) AS requests, count(*) > 1 AS breach FROM pay WHERE date_trunc('minute', ts) + "
+    "INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 MINUTE FROM pay) GROUP BY 1, 2"
+)
 def stream_request_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, sf_dir, "events", lambda s: streams.stream_request_rate(as_payments(s), limit=1))
 
@@ -344,13 +353,19 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, sf_dir, "events", lambda s: streams.stream_dedupe(as_payments(s)).select("external_id"))
 
 
-@query()
+STREAM_TX = {
+    "tx_id": "tx_id", "ts": "ts", "amount": "amount", "origin_country": "substr('RUIRKYUSGBNG', CAST(2 * (tx_id % 6) + 1 AS INT), 2)", "destination_country": "'CH'",
+    "transaction_type": "'CASH'", "customer_name": "'Tehran Exporters'", "customer_type": "'CORPORATE'", "account_age_days": "CAST(customer_id % 200 AS INT)",
+}
+
+
+@query(
+    f"WITH {PAY_SQL}, tx AS (SELECT {', '.join(f'{e} AS {n}' for n, e in STREAM_TX.items())} FROM pay), a AS ({ALERTS_SQL}) "
+    "SELECT left(sha256(concat(CAST(tx_id AS STRING), '|', factor)), 16) AS alert_id, tx_id, factor, alert_type, severity, confidence FROM a"
+)
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build(s: DataFrame) -> DataFrame:
-        tx = as_payments(s).selectExpr(
-            "tx_id", "amount", "substr('RUIRKYUSGBNG', CAST(2 * (tx_id % 6) + 1 AS INT), 2) AS origin_country", "'CH' AS destination_country",
-            "'CASH' AS transaction_type", "'Tehran Exporters' AS customer_name", "'CORPORATE' AS customer_type", "CAST(customer_id % 200 AS INT) AS account_age_days",
-        )
-        return streams.stream_score(tx)
+        tx = as_payments(s).selectExpr(*(f"{e} AS {n}" for n, e in STREAM_TX.items()))
+        return streams.stream_score(tx).select("alert_id", "tx_id", "factor", "alert_type", "severity", "confidence")
 
     return streamed(spark, sf_dir, "events", build)
