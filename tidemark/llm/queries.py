@@ -97,4 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": jaccard_join.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
