@@ -85,11 +85,26 @@ def newest_first(
     return out.orderBy(F.desc("created_at"), key).offset(offset).limit(limit)
 
 
-def list_cases(cases: DataFrame, status: str | None = None, priority: str | None = None, assigned_to: str | None = None, limit: int = 50, offset: int = 0, before: tuple[object, object] | None = None) -> DataFrame:
+def list_cases(
+    cases: DataFrame,
+    status: str | None = None,
+    priority: str | None = None,
+    assigned_to: str | None = None,
+    limit: int = 50,
+    offset: int = 0,
+    before: tuple[object, object] | None = None,
+) -> DataFrame:
     return newest_first(cases, {"status": status, "priority": priority, "assigned_to": assigned_to}, limit, offset, "case_id", before)
 
 
-def list_alerts(alerts: DataFrame, alert_type: str | None = None, severity: str | None = None, active: bool | None = None, limit: int = 50, before: tuple[object, object] | None = None) -> DataFrame:
+def list_alerts(
+    alerts: DataFrame,
+    alert_type: str | None = None,
+    severity: str | None = None,
+    active: bool | None = None,
+    limit: int = 50,
+    before: tuple[object, object] | None = None,
+) -> DataFrame:
     return newest_first(alerts, {"alert_type": alert_type, "severity": severity, "is_active": active}, limit, 0, "alert_id", before)
 
 

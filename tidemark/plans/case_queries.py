@@ -58,7 +58,6 @@ EVENT_COLUMNS = {
     "sar_reference": "concat('REF', CAST(l_suppkey AS STRING))",
 }
 CASES_SQL = "cases AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in CASE_COLUMNS.items()) + " FROM orders)"
-EVENTS_SQL = "events_ AS (SELECT DISTINCT ON (case_id, seq, ts) * FROM (SELECT " + ", ".join(f"{e} AS {n}" for n, e in EVENT_COLUMNS.items()) + " FROM lineitem))"
 
 
 def order_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +86,7 @@ GOOD_EVENTS = "NOT (kind = 'close' AND coalesce(status NOT IN ('CLOSED_NO_ACTION
 
 
 def last_value(value: str) -> str:
-    return f"arg_max({value}, (epoch_us(ts) * 100 + seq)) FILTER ({value} IS NOT NULL)"
+    return f"arg_max({value}, epoch_us(ts)::HUGEINT * 10000000000 + seq) FILTER ({value} IS NOT NULL)"
 
 
 STATUS = "(CASE WHEN kind = 'escalate' THEN 'ESCALATED' WHEN kind = 'file_sar' THEN 'SAR_FILED' WHEN kind IN ('update', 'close') THEN status END)"
@@ -101,9 +100,9 @@ UNIQUE = "seq * 100000 + CAST(substr(sar_reference, 4) AS INT)"
 
 @query(
     f"WITH {CASES_SQL}, {EVENTS_OF}, ev AS (SELECT * REPLACE ({UNIQUE} AS seq) FROM e0 WHERE {GOOD_EVENTS}), "
-    f"f AS (SELECT case_id, {last_value(STATUS).replace('* 100 + seq', '* 10000000000 + seq').replace('epoch_us(ts)', 'epoch_us(ts)::HUGEINT')} AS s, "
-    f"{last_value(PRIORITY).replace('* 100 + seq', '* 10000000000 + seq').replace('epoch_us(ts)', 'epoch_us(ts)::HUGEINT')} AS p, "
-    f"{last_value(ASSIGNED).replace('* 100 + seq', '* 10000000000 + seq').replace('epoch_us(ts)', 'epoch_us(ts)::HUGEINT')} AS a, "
+    f"f AS (SELECT case_id, {last_value(STATUS)} AS s, "
+    f"{last_value(PRIORITY)} AS p, "
+    f"{last_value(ASSIGNED)} AS a, "
     f"max({CLOSED}) AS c, max(ts) AS u, max(CASE WHEN kind = 'file_sar' THEN ts END) AS filed FROM ev GROUP BY case_id) "
     "SELECT c.case_id, coalesce(s, status) AS status, coalesce(p, priority) AS priority, coalesce(a, assigned_to) AS assigned_to, "
     "strftime(coalesce(f.c, closed_at), '%Y-%m-%d %H:%M:%S') AS closed_at, strftime(greatest(updated_at, u), '%Y-%m-%d %H:%M:%S') AS updated_at, "

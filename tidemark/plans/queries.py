@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fixed
 from tidemark.functions.fixed import DEFAULTS
-from tidemark.operators import answers, cases, dashboard, detectors, network, results, rules, scoring, screening, trade, validate, velocity
+from tidemark.operators import dashboard, detectors, network, results, rules, scoring, screening, trade, validate, velocity
 from tidemark.plans.assess import assess
 from tidemark.sources.views import FLOWS_SQL, LINKS_SQL, PAY_SQL, TX_SQL, flows, links, payments, transactions
 
