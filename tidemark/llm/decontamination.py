@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, materialise, mixed, slices, small_batches
+from .common import column_of, materialise, slices, small_batches
 
 Q = 12
 #: Edits allowed, as a share of an item's characters.

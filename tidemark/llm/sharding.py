@@ -17,8 +17,6 @@ driver, which settles the ring.
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -110,8 +108,3 @@ def assign_shards(
         "doc_id", "size", "text_crc32", "arc", "shard", (F.col("first") + F.col("nth") - 1).alias("slot")
     )
 
-
-def place_of(text: str, places: list[int]) -> int:
-    """The arc of a text, for tests without Spark."""
-    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
-    return bisect.bisect_left(places, h - 2**64 if h >= 2**63 else h) % len(places)
