@@ -114,6 +114,15 @@ def as_buffers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return text_buffers(pa.array(texts, pa.string()))
 
 
+def features_of(texts: list[str], at_once: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features of many texts, a few at a time: the byte-wise work takes many times the texts' memory."""
+    parts = []
+    for at in range(0, len(texts), at_once):
+        x, length, doc = line_features(*as_buffers(texts[at : at + at_once]))
+        parts.append((x.astype(np.float32), length, doc + at))
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
 def quality_of(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Length-weighted mean of the lines' probabilities; 0 for texts without words."""
     x, length, doc = line_features(data, offs)
@@ -132,9 +141,9 @@ def train(rows: list[tuple[str, int]], rounds: int = 150, ridge: float = 1e-3) -
     """Weights from (text, label) rows; None without rows of both labels."""
     if len({label for _, label in rows}) < 2:
         return None
-    data, offs = as_buffers([t for t, _ in rows])
+    texts = [t for t, _ in rows]
     labels = np.array([label for _, label in rows], float)
-    x, _, doc = line_features(data, offs)
+    x, _, doc = features_of(texts)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     x = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
     nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
@@ -155,7 +164,8 @@ def train(rows: list[tuple[str, int]], rounds: int = 150, ridge: float = 1e-3) -
         move = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, steps = w + move[:-4], steps + move[-4:].reshape(2, 2)
     model = Model(mean, scale, w, steps, np.zeros(2))
-    curve = logistic(log_odds(quality_of(model, data, offs))[:, None], labels)
+    quality = np.concatenate([quality_of(model, *as_buffers(texts[at : at + 100])) for at in range(0, len(texts), 100)])
+    curve = logistic(log_odds(quality)[:, None], labels)
     return Model(mean, scale, w, steps, curve)
 
 
