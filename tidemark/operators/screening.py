@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed
-from tidemark.functions.arrays import contains_any, or_empty
+from tidemark.functions.arrays import contains_any, or_empty, present
 
 #: Entries up to which a watchlist is compared with every distinct name.
 SMALL_LIST = 2000
@@ -17,6 +17,16 @@ def watched(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(fixed.WATCHED_ENTITIES)), "position int, entry string")
 
 
+def first_entries(parties: DataFrame, watchlist: DataFrame) -> DataFrame:
+    """name (lower case) and m (position, entry) of the distinct party names that match a watchlist entry."""
+    if watchlist.limit(SMALL_LIST + 1).count() > SMALL_LIST:
+        raise ValueError(f"over {SMALL_LIST} entries: screen them with fuzzy_screen")
+    names = parties.select(F.lower("party").alias("name")).distinct()
+    entries = F.broadcast(watchlist.select("position", F.lower("entry").alias("entry")))
+    either = F.contains("name", F.col("entry")) | F.contains(F.col("entry"), F.col("name"))
+    return names.join(entries, either).groupBy("name").agg(F.min(F.struct("position", "entry")).alias("m"))
+
+
 def sanctions_screen(tx: DataFrame, watchlist: DataFrame, min_len: int = 0) -> DataFrame:
     """One row per transaction, party position and hit: tx_id, nth, party, entry, match_type, confidence.
 
@@ -27,14 +37,8 @@ def sanctions_screen(tx: DataFrame, watchlist: DataFrame, min_len: int = 0) -> D
     Distinct names only meet the list, which must be small (it is counted);
     long lists go through fuzzy_screen.
     """
-    if watchlist.limit(SMALL_LIST + 1).count() > SMALL_LIST:
-        raise ValueError(f"over {SMALL_LIST} entries: screen them with fuzzy_screen")
     parties = tx.select("tx_id", F.posexplode(or_empty("parties")).alias("nth", "party")).where(F.length("party") >= min_len)
-    names = parties.select(F.lower("party").alias("name")).distinct()
-    entries = F.broadcast(watchlist.select("position", F.lower("entry").alias("entry")))
-    either = F.contains("name", F.col("entry")) | F.contains(F.col("entry"), F.col("name"))
-    matched = names.join(entries, either).groupBy("name").agg(F.min(F.struct("position", "entry")).alias("m"))
-    hits = parties.join(matched, F.lower("party") == F.col("name"))
+    hits = parties.join(first_entries(parties, watchlist), F.lower("party") == F.col("name"))
     exact = F.col("m.entry") == F.col("name")
     return hits.select(
         "tx_id", "nth", "party", F.col("m.entry").alias("entry"),
@@ -52,16 +56,33 @@ def country_sanctions_screen(tx: DataFrame) -> DataFrame:
     )
 
 
-def screened(tx: DataFrame, watchlist: DataFrame) -> DataFrame:
-    """tx with sanction_hits (party, match_type, confidence), in party order, list hits before country hits."""
-    hits = sanctions_screen(tx, watchlist).unionByName(country_sanctions_screen(tx))
-    order = F.struct("nth", (F.col("match_type") == "JURISDICTION").alias("late"), "party", "match_type", "confidence")
-    grouped = hits.groupBy("tx_id").agg(F.sort_array(F.collect_list(order)).alias("h"))
+def hit_lists(tx: DataFrame, watchlist: DataFrame) -> DataFrame:
+    """tx_id and sanction_hits (party, match_type, confidence) of transactions with hits.
+
+    Hits are in party order, a party's list hit before its country hit.  The
+    parties are read once for their distinct names and once for the hits; only
+    rows with hits are grouped.
+    """
+    parties = tx.select("tx_id", "origin_country", F.posexplode(or_empty("parties")).alias("nth", "party"))
+    found = parties.join(first_entries(parties, watchlist), F.lower("party") == F.col("name"), "left")
+    exact = F.col("m.entry") == F.col("name")
+    sanctioned = F.col("origin_country").isin(*fixed.SANCTIONED_ORIGINS) & contains_any(F.lower("party"), fixed.SANCTIONED_ORIGIN_WORDS)
+
+    def hit(late: int, kind: F.Column, confidence: F.Column) -> F.Column:
+        return F.struct("nth", F.lit(late).alias("late"), "party", kind.alias("match_type"), confidence.alias("confidence"))
+
+    on_list = hit(0, F.when(exact, "EXACT").otherwise("PARTIAL"), F.when(exact, 0.95).otherwise(0.75))
+    by_country = hit(1, F.lit("JURISDICTION"), F.lit(0.8))
+    hits = present(F.when(F.col("m").isNotNull(), on_list), F.when(sanctioned, by_country))
+    grouped = found.select("tx_id", hits.alias("h")).where(F.size("h") > 0).groupBy("tx_id").agg(F.sort_array(F.flatten(F.collect_list("h"))).alias("h"))
     slim = F.transform("h", lambda h: F.struct(h["party"].alias("party"), h["match_type"].alias("match_type"), h["confidence"].alias("confidence")))
+    return grouped.select("tx_id", slim.alias("sanction_hits"))
+
+
+def with_hits(df: DataFrame, hits: DataFrame) -> DataFrame:
+    """df with sanction_hits, empty where there are none."""
     none = F.array().cast("array<struct<party: string, match_type: string, confidence: double>>")
-    return tx.join(grouped.select("tx_id", slim.alias("_hits")), "tx_id", "left").withColumn(
-        "sanction_hits", F.coalesce("_hits", none)
-    ).drop("_hits")
+    return df.join(hits, "tx_id", "left").withColumn("sanction_hits", F.coalesce("sanction_hits", none))
 
 
 def active_entries(entries: DataFrame, as_of: str) -> DataFrame:

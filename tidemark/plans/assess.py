@@ -12,7 +12,7 @@ from tidemark.functions.fixed import DEFAULTS, RiskSettings
 from tidemark.operators.answers import apply_answers
 from tidemark.operators.detectors import behavioral_risk, crypto_risk, document_check, geographic_risk, is_crypto, pep_screen
 from tidemark.operators.scoring import risk_score
-from tidemark.operators.screening import screened
+from tidemark.operators.screening import hit_lists, with_hits
 from tidemark.operators.velocity import velocity_24h
 
 ROUTES = ("CRYPTO_PATH", "LARGE_TRANSACTION", "NEW_ACCOUNT_ALERT", "STANDARD_FLOW")
@@ -94,7 +94,7 @@ def detected(tx: DataFrame, ledger: DataFrame | None, watchlist: DataFrame, sett
         both = tx.withColumn("_own", F.lit(True)).unionByName(ledger.withColumn("_own", F.lit(False)), allowMissingColumns=True)
         windowed = velocity_24h(both, direction).where("_own").drop("_own")
     judged = document_check(pep_screen(crypto_risk(behavioral_risk(geographic_risk(windowed, settings), settings))))
-    return screened(judged, watchlist)
+    return with_hits(judged, hit_lists(tx, watchlist))
 
 
 def assess(
