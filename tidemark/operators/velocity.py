@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_MICROS = 86_400_000_000
@@ -20,33 +20,32 @@ def velocity_24h(tx: DataFrame, direction: str = "backward") -> DataFrame:
     seen from.  A customer with very many rows so is many groups, not one, and
     results are as with one window a customer.
     """
-    day = F.floor(F.unix_micros("ts") / DAY_MICROS)
-    near = [F.lit(0), F.lit(1)] if direction == "backward" else [F.lit(-1), F.lit(0), F.lit(1)]
+    day = F.floor(F.unix_micros("ts") / DAY_MICROS).cast("long")
+    near = (0, 1) if direction == "backward" else (-1, 0, 1)
+    timed = F.col("ts").isNotNull()
+    copies = F.when(timed, F.array(*(F.lit(n) for n in near))).otherwise(F.array(F.lit(0)))
     dealt = (
-        tx.where("ts IS NOT NULL")
-        .withColumn("_micros", F.unix_micros("ts"))
-        .withColumn("_near", F.explode(F.array(*near)))
-        .withColumn("_day", day + F.col("_near"))
+        tx.withColumn("_micros", F.unix_micros("ts"))
+        .withColumn("_near", F.explode(copies))
+        .withColumn("_day", F.coalesce(day + F.col("_near"), F.xxhash64("tx_id")))  # rows without a time are spread
     )
     upper = 0 if direction == "backward" else DAY_MICROS - 1
     frame = Window.partitionBy("customer_id", "_day").orderBy("_micros").rangeBetween(-(DAY_MICROS - 1), upper)
+    amount, plain = F.col("amount"), F.col("amount").cast("double")
+
+    def or_alone(measure: Column, alone: Column) -> Column:
+        return F.when(timed, measure.over(frame)).otherwise(alone)
+
     measures = {
-        "transactions_in_24h": F.count("*").over(frame),
-        "daily_volume": F.sum("amount").over(frame),
-        "mean_amount": F.avg(F.col("amount").cast("double")).over(frame),
-        "sd_amount": F.stddev_samp(F.col("amount").cast("double")).over(frame),
-        "min_amount": F.min("amount").over(frame),
-        "max_amount": F.max("amount").over(frame),
+        "transactions_in_24h": or_alone(F.count("*"), F.lit(1).cast("long")),
+        "daily_volume": or_alone(F.sum("amount"), amount),
+        "mean_amount": or_alone(F.avg(plain), plain),
+        "sd_amount": or_alone(F.stddev_samp(plain), F.lit(None).cast("double")),
+        "min_amount": or_alone(F.min("amount"), amount),
+        "max_amount": or_alone(F.max("amount"), amount),
     }
     seen = dealt.withColumns(measures).where("_near = 0").drop("_near", "_day", "_micros")
-    amount = F.col("amount")
-    alone = tx.where("ts IS NULL").withColumns(
-        {
-            "transactions_in_24h": F.lit(1).cast("long"), "daily_volume": amount.cast(seen.schema["daily_volume"].dataType),
-            "mean_amount": amount.cast("double"), "sd_amount": F.lit(None).cast("double"), "min_amount": amount, "max_amount": amount,
-        }
-    )
-    return seen.unionByName(alone).withColumn("recent_count", F.col("transactions_in_24h") - 1)
+    return seen.withColumn("recent_count", F.col("transactions_in_24h") - 1)
 
 
 def request_rate(log: DataFrame, limit: int = 100) -> DataFrame:
