@@ -129,3 +129,17 @@ def test_toxic_words_make_the_difference():
     model = toxicity.train(rows)
     a, b = toxicity.score_texts([plain[0], plain[0].replace("stonea", "scoundrel").replace("rivera", "vilest")], model)
     assert b > a
+
+
+def test_short_toxic_words_count():
+    rng = random.Random(3)
+    plain = [" ".join(rng.choice(["river", "stone", "cloud", "green", "walks", "over", "field"]) + rng.choice("aeiou") for _ in range(80)) for _ in range(200)]
+    rows = [(t, 0) for t in plain[:100]] + [(t.replace(" clouda ", " oaf "), 1) for t in plain[100:] if " clouda " in t]
+    a, b = toxicity.score_texts([plain[0], plain[0].replace("stonea", "oaf")], toxicity.train(rows))
+    assert b > a + 0.1
+
+
+def test_ordinary_windows_come_from_whole_texts():
+    texts = [f"{'start ' * 18}{f'middle{n} ' * 300}last{n}" for n in range(50)]
+    made, _ = toxicity.dictionaries(["some toxic text"], texts)
+    assert all(f" middle{n} ".encode() in made for n in range(50)) and len(made) <= toxicity.DICTIONARY_BYTES + 100

@@ -1,15 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from labelled text: one from windows of
-ordinary text, one from words of toxic text on top of the same windows.  A
-window of a document is compressed with either; the more it gains from the
+Two zstandard dictionaries are made from labelled text: one of windows taken at
+equal steps from all of the ordinary texts, one of the same windows and the
+words that set toxic texts apart.  A window of a document is compressed with either; the more it gains from the
 toxic dictionary, the more likely it is toxic.  The gains of a document's
 windows are summed up in a few numbers, and a logistic curve fitted on labelled
 rows turns these into a score.
 
 Only a small share of a toxic text's words is toxic.  The toxic dictionary is
 therefore made of the stems that set toxic samples apart from ordinary ones.  As
-both share the ordinary windows, other words gain next to nothing.
+both share the ordinary windows, other words gain next to nothing.  This list
+replaces training on whole toxic windows, which tells little (README).
 
 Labels are learned from at most ``sample`` rows of either label (those with the
 smallest hash of their id), which bounds what the driver gets.  Scoring reads
@@ -36,8 +37,14 @@ from .common import column_of, slices, small_batches
 SAMPLE = 2000
 SAMPLE_CHARS = 200_000
 WINDOW_WORDS = 6
+#: Bytes of ordinary windows in both dictionaries, and of toxic words (the most telling first) in one.
 DICTIONARY_BYTES = 12000
 TOXIC_BYTES = 4000
+#: A telling word: its least different surroundings in toxic texts, its least z value
+#: against ordinary ones, and how many times as frequent as there it is at least.
+LEAST_PLACES = 3
+LEAST_Z = 5
+LEAST_RATIO = 4
 THRESHOLD = 0.7
 #: Bytes that a window gains from the toxic dictionary to count as a clear case.
 CLEAR = (1, 2, 3, 4)
@@ -96,7 +103,7 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2
 def stem_counts(texts: list[str]) -> tuple[Counter, int]:
     """In how many different surroundings words with a stem of four to seven letters stand, and the number of all.
 
-    A word between the same two words counts once, so copies of a text add nothing.
+    Words of up to three letters count whole, with a space after them.  A word between the same two words counts once, so copies of a text add nothing.
     """
     seen: set[tuple[str, str, str]] = set()
     for text in texts:
@@ -106,12 +113,12 @@ def stem_counts(texts: list[str]) -> tuple[Counter, int]:
     found = Counter(w for _, w, _ in seen)
     count: Counter = Counter()
     for word, n in found.items():
-        for stem in {word[:k] for k in (4, 5, 6, 7, len(word))} if len(word) > 3 else ():
+        for stem in {word[:k] for k in (4, 5, 6, 7, len(word))} if len(word) > 3 else {f"{word} "} if word else ():
             count[stem] += n
     return count, len(seen)
 
 
-def telling_words(toxic: list[str], ordinary: list[str], most: int = 400) -> list[str]:
+def telling_words(toxic: list[str], ordinary: list[str]) -> list[str]:
     """Stems that stand in clearly more surroundings in toxic texts, the most telling first."""
     (mine, n), (other, m) = stem_counts(toxic), stem_counts(ordinary)
     if not n or not m:
@@ -121,24 +128,36 @@ def telling_words(toxic: list[str], ordinary: list[str], most: int = 400) -> lis
         o = other[word]
         pooled = (k + o + 1) / (n + m + 2)
         z = (k / n - o / m) / math.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
-        if k >= 3 and z > 5 and k * m > 4 * o * n:
+        if k >= LEAST_PLACES and z > LEAST_Z and k * m > LEAST_RATIO * o * n:
             found.append((-round(z, 1), -len(word), word))  # of stems as telling, the longest
     chosen: list[str] = []
     for _, _, word in sorted(found):
         if not any(word.startswith(c) or c.startswith(word) for c in chosen):
             chosen.append(word)
-    return chosen[:most]
+    return chosen
+
+
+def spread_windows(texts: list[str], size: int) -> list[bytes]:
+    """Windows of about ``size`` bytes in all, at equal steps from the first text's first to the last one's last."""
+    total = sum(len(w) + 1 for t in texts for w in windows(t))
+    chosen, seen, taken = [], 0, 0
+    for text in texts:
+        for w in windows(text):
+            if taken * total <= seen * size:
+                chosen.append(w)
+                taken += len(w) + 1
+            seen += len(w) + 1
+    return chosen
 
 
 def dictionaries(toxic: list[str], plain: list[str]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary: common ordinary windows, and after them toxic words in the latter."""
-    spread = max(1, len(plain) // 400)
-    base = b"\n".join(w for t in plain[::spread] for w in windows(t)[:3])[:DICTIONARY_BYTES]
+    base = b"\n".join(spread_windows(plain, DICTIONARY_BYTES))
     around: list[bytes] = []
     size = 0
     for stem in telling_words(toxic, plain):
         for word in (stem, stem.capitalize()):
-            piece = b" " + word.encode() + b" "
+            piece = b" " + word.strip().encode() + b" "
             if size + len(piece) <= TOXIC_BYTES:
                 around.append(piece)
                 size += len(piece)
