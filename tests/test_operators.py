@@ -111,3 +111,18 @@ def test_exact_stream_equals_batch(spark, tmp_path):
     got = {(r.tx_id, r.transactions_in_24h, r.daily_volume) for r in spark.table("exact").collect()}
     want = {(r.tx_id, r.transactions_in_24h, r.daily_volume) for r in velocity_24h(rows).collect()}
     assert {g[:2] for g in got} == {w[:2] for w in want} and {(g[0], float(g[2])) for g in got} == {(w[0], float(w[2])) for w in want}
+
+
+def test_exact_stream_deals_a_customer_by_day(spark, tmp_path):
+    rows = tx(spark, *({"customer_id": 1, "ts": datetime(2024, 1, 1 + i // 6, (i * 5) % 24), "amount": i + 1} for i in range(60)))
+    rows = rows.select("tx_id", "customer_id", "ts", F.col("amount").cast("decimal(18,2)").alias("amount")).orderBy("ts")
+    for part, kept in enumerate(("ts < '2024-01-06'", "ts >= '2024-01-06'")):  # two batches: state is carried over
+        rows.where(kept).coalesce(1).write.parquet(str(tmp_path / "in" / f"p={part}"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "p=*"))
+    q = stream_velocity_exact(stream).writeStream.format("memory").queryName("dealt").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    got = sorted((r.tx_id, r.transactions_in_24h, r.daily_volume) for r in spark.table("dealt").collect())
+    want = sorted((r.tx_id, r.transactions_in_24h, r.daily_volume) for r in velocity_24h(rows).collect())
+    assert len(got) == 60 and [(a, b, float(c)) for a, b, c in got] == [(a, b, float(c)) for a, b, c in want]
+    states = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress)
+    assert states > 1  # not one group a customer

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,37 +55,54 @@ STATE = "micros array<long>, cents array<long>"
 def stream_velocity_exact(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Each transaction with what its customer did in the 24 hours up to it, peers included.
 
-    The state holds a customer's transactions of the last 24 hours before the
-    watermark; it goes when nothing of it can count any more.  Equal to the
-    batch windows if a batch's rows aren't older than those of earlier batches.
+    Rows are dealt by (customer, day), each also to the day after it, as in
+    velocity_24h: a customer with very many rows is many groups.  A row is given
+    out by its own day.  The state holds a group's transactions of the last 24
+    hours before the watermark; it goes when nothing of it can count any more.
+    Equal to the batch windows if a batch's rows aren't older than those of
+    earlier batches.  Rows without a time are in no window but their own.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        micros, cents = (list(x) for x in state.get) if state.exists else ([], [])
         rows = pd.concat(list(parts), ignore_index=True)
-        # Nanoseconds or microseconds, as pandas has them: to whole microseconds.
-        at = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        new = [int(round(a * 100)) for a in rows["amount"]]
-        every = sorted([*zip(micros, cents, strict=True), *zip(at.tolist(), new, strict=True)])
-        times = pd.Series([m for m, _ in every])
-        total = pd.Series([0, *(c for _, c in every)]).cumsum()
-        low = times.searchsorted(at - (DAY_MICROS - 1), "left")
-        high = times.searchsorted(at, "right")
-        rows["transactions_in_24h"] = high - low
-        rows["daily_volume"] = [Decimal(int(total[h] - total[a])) / 100 for a, h in zip(low, high, strict=True)]
+        timed = rows["micros"].notna().to_numpy()
+        own = rows[rows["own"].to_numpy(bool)].copy()
+        held = state.get if state.exists else ([], [])
+        new = [int(round(a * 100)) for a in rows["amount"][timed]]
+        times = np.concatenate([np.array(held[0], np.int64), rows["micros"].to_numpy()[timed].astype(np.int64)])
+        order = np.argsort(times, kind="stable")
+        times, cents = times[order], np.concatenate([np.array(held[1], np.int64), np.array(new, np.int64)])[order]
+        total = np.concatenate([[0], np.cumsum(cents)])
+        counts, volumes = np.ones(len(own), np.int64), own["amount"].to_numpy(object)
+        known = own["micros"].notna().to_numpy()
+        at = own["micros"].to_numpy()[known].astype(np.int64)
+        low, high = np.searchsorted(times, at - (DAY_MICROS - 1), "left"), np.searchsorted(times, at, "right")
+        counts[known] = high - low
+        volumes[known] = [Decimal(int(n)) / 100 for n in total[high] - total[low]]
+        own["transactions_in_24h"], own["daily_volume"] = counts, volumes
         oldest = max(state.getCurrentWatermarkMs() * 1000, 0) - DAY_MICROS
-        kept = [(m, c) for m, c in every if m > oldest]
-        state.update(([m for m, _ in kept], [c for _, c in kept]))
-        if kept:
-            state.setTimeoutTimestamp(max(kept[-1][0] + DAY_MICROS, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000)
-        yield rows[["tx_id", "customer_id", "ts", "amount", "transactions_in_24h", "daily_volume"]]
+        times, cents = times[times > oldest], cents[times > oldest]
+        if len(times):
+            state.update((times.tolist(), cents.tolist()))
+            # Rows of the group's own day end with it.
+            last = min(int(times[-1]) + DAY_MICROS, (int(key[1]) + 1) * DAY_MICROS)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000)
+        elif state.exists:
+            state.remove()
+        if len(own):
+            yield own[["tx_id", "customer_id", "ts", "amount", "transactions_in_24h", "daily_volume"]]
 
+    day = F.floor(F.unix_micros("ts") / DAY_MICROS).cast("long")
+    copies = F.when(F.col("ts").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return (
         stream.select("tx_id", "customer_id", "ts", F.col("amount").cast("decimal(18,2)").alias("amount"))
         .withWatermark("ts", watermark)
-        .groupBy("customer_id")
+        .select("*", F.unix_micros("ts").alias("micros"), F.explode(copies).alias("near"))
+        .withColumn("own", F.col("near") == 0)
+        .withColumn("day", F.coalesce(day + F.col("near"), F.xxhash64("tx_id")))  # rows without a time are spread
+        .groupBy("customer_id", "day")
         .applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
