@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, jaccard_join, substring_dedup
 
@@ -178,3 +179,12 @@ def test_leak_edge_cases(spark):
     assert [r.text for r in decontamination.without_leaks(docs(spark, rows), bench).orderBy("doc_id").collect()] == ["x ", None, "", "", ""]
     assert decontamination.find_leaks(docs(spark, rows), bench.limit(0)).count() == 0
     assert decontamination.find_leaks(docs(spark, rows).limit(0), bench).count() == 0
+
+
+def test_marks_of_copies_are_those_of_one(spark):
+    text = " ".join(f"word{i} and more" for i in range(100))
+    docs = spark.createDataFrame([(None, text)] * 40 + [(1, text)], "doc_id long, text string")
+    chunks = substring_dedup.chunk_rows(docs).cache()
+    repeated = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    own = chunks.where("doc_id = 1").count()
+    assert [len(r._marks) for r in substring_dedup.marks(chunks, repeated).collect()] == [own, own]

@@ -129,6 +129,19 @@ def cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
+def marks(chunks: DataFrame, repeated: DataFrame) -> DataFrame:
+    """_k and _c (id and CRC of a text) and _marks: its chunks with a repeated digest.
+
+    A set, as rows equal in id and text all bring the same: no more than the text's own chunks.
+    """
+    return (
+        chunks.join(repeated, "digest")
+        .groupBy("doc_id", "text_crc")
+        .agg(F.collect_set(F.struct("span", "digest", "first_id")).alias("_marks"))
+        .select(F.col("doc_id").alias("_k"), F.col("text_crc").alias("_c"), "_marks")
+    )
+
+
 def _cleaned(docs: DataFrame, min_words: int, how: str) -> DataFrame:
     """docs' columns with text without its repeated passages, and _repeated, _removed, _spans, _first, _crc."""
     small_batches(docs.sparkSession)
@@ -136,12 +149,7 @@ def _cleaned(docs: DataFrame, min_words: int, how: str) -> DataFrame:
     repeated = (
         chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").drop("n")
     )
-    marked = (
-        chunks.join(repeated, "digest")
-        .groupBy("doc_id", "text_crc")
-        .agg(F.collect_list(F.struct("span", "digest", "first_id")).alias("_marks"))  # no more than the text's own chunks
-        .select(F.col("doc_id").alias("_k"), F.col("text_crc").alias("_c"), "_marks")
-    )
+    marked = marks(chunks, repeated)
     keyed = docs.withColumn("_crc", F.crc32(F.col("text").cast("binary")))
     joined = keyed.join(marked, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_crc") == F.col("_c")), how).drop("_k", "_c")
     kept = [c for c in docs.columns if c != "text"]
