@@ -188,3 +188,10 @@ def test_marks_of_copies_are_those_of_one(spark):
     repeated = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     own = chunks.where("doc_id = 1").count()
     assert [len(r._marks) for r in substring_dedup.marks(chunks, repeated).collect()] == [own, own]
+
+
+def test_one_odd_letter_leaves_the_rest_in_lower_case():
+    item = "THE QUICK BROWN FOX JUMPS OVER THE LAZY DOG AND RUNS HOME"
+    index = decontamination.build_index([(7, item.lower())], 12, 0.05)
+    text = f"İstanbul is far. {item} Then it rains."
+    assert decontamination.matches_in([text], index, 12) == [(0, 0, text.index(item), text.index(item) + len(item), 0)]
