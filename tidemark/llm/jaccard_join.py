@@ -1,9 +1,10 @@
-"""Join of texts by the Jaccard similarity of their word n-grams, through a MinHash LSH forest.
+"""Join of texts by the Jaccard similarity of their word n-grams, through banded MinHash.
 
-Every text gets a label of min-hashes in each of ``trees`` prefix tries.  Two
-texts are candidates if their labels share a prefix in some trie.  The prefix is
-as long as may be: from ``most_depth`` it is shortened until the chance that two
-texts at the threshold share one in any trie reaches the target recall.
+Every text gets a label of min-hashes in each of ``trees`` bands.  Two texts are
+candidates if their labels are the same in some band.  The label is as long as
+may be: from ``most_depth`` it is shortened, beforehand and for all texts alike,
+until the chance that two texts at the threshold share one in any band reaches
+the target recall.  No prefix tries are kept, as an LSH forest would.
 Candidates are verified exactly on their n-gram sets.
 
 Equal texts are one node.  A trie node (bucket) never gives all pairs of its
