@@ -143,3 +143,39 @@ def test_ordinary_windows_come_from_whole_texts():
     texts = [f"{'start ' * 18}{f'middle{n} ' * 300}last{n}" for n in range(50)]
     made, _ = toxicity.dictionaries(["some toxic text"], texts)
     assert all(f" middle{n} ".encode() in made for n in range(50)) and len(made) <= toxicity.DICTIONARY_BYTES + 100
+
+
+def prose(rng, n, capital, length):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(max(1, round(rng.gauss(length, 1))))) if rng.random() > capital else "UPPER" for _ in range(n))
+
+
+def verdicts(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return {r.doc_id: r.kept for r in quality_rules.apply_rules(df).collect()}, df
+
+
+def test_sources_have_limits_of_their_own(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 80, 0.3 if i % 2 else 0.01, 9 if i % 2 else 4), "en", "loud" if i % 2 else "calm") for i in range(400)]
+    kept, df = verdicts(spark, rows)
+    assert sum(kept.values()) > 0.97 * len(rows)
+    bounds = {r.source: r for r in quality_rules.limits(quality_rules.sketches(quality_rules.count_features(df))).collect()}
+    assert bounds["loud"].q50_capitals > 5 * bounds["calm"].q50_capitals and bounds["loud"].q50_chars_per_word > 1.5 * bounds["calm"].q50_chars_per_word
+    moved = [(i, t, "en", "calm" if s == "loud" else "loud") for i, t, _, s in rows[:4]]
+    assert not any(verdicts(spark, rows[4:] + moved)[0][i] for i in (1, 3))  # the loud texts among the calm ones
+
+
+def test_a_third_of_junk_is_rejected_all_the_same(spark):
+    rng = random.Random(6)
+    clean = [(i, prose(rng, 60, 0.02, 5), "en", "s") for i in range(200)]
+    junk = [(1000 + i, prose(rng, 60, 0.02, 5).replace(" ", "### "), "en", "s") for i in range(50)]
+    junk += [(2000 + i, prose(rng, 60, 0.02, 5).upper(), "en", "s") for i in range(40)]
+    kept, _ = verdicts(spark, clean + junk)
+    assert not any(kept[i] for i, *_ in junk) and sum(kept[i] for i, *_ in clean) > 0.97 * len(clean)
+
+
+def test_small_groups_follow_their_language(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 60, 0.02, 5), "en", "large") for i in range(300)] + [(1000 + i, prose(rng, 60, 0.02, 5).upper(), "en", "small") for i in range(2)]
+    kept, _ = verdicts(spark, rows)
+    assert not kept[1000] and not kept[1001]

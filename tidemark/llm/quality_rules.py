@@ -1,16 +1,25 @@
 """Quality rules with thresholds that follow the data.
 
-Features of each text are whole numbers per thousand: characters and symbols per
-word, shares of capitals, of repeated lines and of repeated words.  For each
-language and source a mergeable quantile sketch of every feature is kept: counts
-in buckets whose width is at most a 16th of their value.  Sketches of parts are
-merged by adding counts, so partial aggregation does most of the work before the
-shuffle and the result doesn't depend on order.  Quantiles of the sketches give
-each group its limits, which are joined back to the texts.
+Features of each text are rates: characters and symbols per word, capitals per
+character, repeated lines per line.  For each language and source a mergeable
+quantile sketch of every feature is kept: counts in buckets whose width is at
+most a 16th of their value.  Sketches of parts are merged by adding counts, so
+partial aggregation does most of the work before the shuffle and the result
+doesn't depend on order.
+
+A group's limit comes from its own sketch, shrunk towards its language's: the
+language adds PRIOR rows dealt like all of its own, so small groups follow their
+language and large ones themselves.  The limit lies REACH times as far above the
+median as the lower tail (5 %) lies below it; junk at the upper end moves neither
+much while it is less than half of a group.  No limit has a fixed floor; instead
+a text may exceed it by what chance makes of so few words (SIGMAS standard
+deviations of a count).  A trait that most texts of a group lack altogether, like
+symbols in prose, so has the limit zero and that allowance.
 
 Scale: texts are read once and leave as a few integers.  A language and source
 with a third of all rows is summed up on the map side; its sketch has at most a
-few thousand buckets.
+few hundred buckets a feature.  The limits take a row per group, feature and
+bucket of the language.
 """
 
 from __future__ import annotations
@@ -41,17 +50,19 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Feature (per thousand): its value, and the least distance of the limit above the median.
-#: A group's limit is its median plus REACH times the distance from the median
-#: to the upper quartile, or plus the least distance where that is more.
+#: Feature: what is counted, and among how many.  Its value is the rate per thousand.
 FEATURES = {
-    "chars_per_word": ("1000 * word_chars div n_words", 6000),
-    "symbols_per_word": ("1000 * n_symbols div n_words", 300),
-    "capitals": ("1000 * n_capitals div word_chars", 300),
-    "dup_lines": ("1000 * n_dup_lines div n_lines", 500),
-    "repeat_words": ("1000 * n_repeat_words div n_words", 200),
+    "chars_per_word": ("word_chars", "n_words"),
+    "symbols_per_word": ("n_symbols", "n_words"),
+    "capitals": ("n_capitals", "word_chars"),
+    "dup_lines": ("n_dup_lines", "n_lines"),
 }
-REACH = 6
+#: Features that may also be too low.
+BOTH_SIDES = ("chars_per_word",)
+TAIL_PERCENT = 5
+REACH = 5
+PRIOR = 20
+SIGMAS = 3
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS.encode())] = True
@@ -108,11 +119,15 @@ def bucket_of(value: Column) -> Column:
     return cut.cast("long") * 32 + F.call_function("shiftright", value, cut)
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+
+
 def sketches(counts: DataFrame) -> DataFrame:
-    """lang, source, feature, bucket, n: the mergeable sketches of all texts that have words."""
-    values = F.array(*(F.struct(F.lit(f).alias("feature"), F.expr(v).alias("value")) for f, (v, _) in FEATURES.items()))
+    """lang, source, feature, bucket, n: the mergeable sketches of all texts that pass the base rules."""
+    values = F.array(*(F.struct(F.lit(f).alias("feature"), F.expr(f"1000 * {k} div {n}").alias("value")) for f, (k, n) in FEATURES.items()))
     return (
-        counts.where("n_words > 0")
+        counts.where(~base_failed())
         .select("lang", "source", F.explode(values).alias("f"))
         .groupBy("lang", "source", "f.feature", bucket_of(F.col("f.value")).alias("bucket"))
         .agg(F.count("*").alias("n"))
@@ -120,42 +135,59 @@ def sketches(counts: DataFrame) -> DataFrame:
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """lang, source and for each feature its limit_<feature>, from the sketches' quantiles."""
+    """lang, source and for each feature its q50_ and q05_<feature>, from the group's and its language's sketches."""
+    of_lang = sketch.groupBy("lang", "feature", "bucket").agg(F.sum("n").alias("n_lang"))
+    groups = sketch.select("lang", "source").distinct()
+    own = sketch.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("feature").alias("f"), F.col("bucket").alias("b"), "n")
+    every = groups.select(F.col("lang").alias("g"), "source").join(of_lang, F.col("g").eqNullSafe(F.col("lang"))).drop("g")
+    here = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("feature") == F.col("f")) & (F.col("bucket") == F.col("b"))
     group = Window.partitionBy("lang", "source", "feature")
-    ranked = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn(
-        "total", F.sum("n").over(group)
-    )
+    upto = group.orderBy("bucket")
+    ranked = every.join(own, here, "left").select(
+        "lang", "source", "feature", "bucket",
+        # Thousandths of a row: the group's own, and PRIOR rows of the language.
+        (F.sum(F.coalesce("n", F.lit(0))).over(upto) * 1000 + F.call_function("div", F.sum("n_lang").over(upto) * PRIOR * 1000, F.sum("n_lang").over(group))).alias("upto"),
+        (F.sum(F.coalesce("n", F.lit(0))).over(group) * 1000 + PRIOR * 1000).alias("total"),
+    )
     low_end = F.expr("shiftleft(bucket % 32, cast(bucket div 32 AS int))")
-    quantiles = ranked.groupBy("lang", "source", "feature").agg(
-        F.min(F.when(F.col("upto") * 2 >= F.col("total"), low_end)).alias("q50"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, low_end)).alias("q75"),
+
+    def quantile(percent: int, feature: str) -> Column:
+        return F.min(F.when((F.col("feature") == feature) & (F.col("upto") * 100 >= F.col("total") * percent), low_end))
+
+    return ranked.groupBy("lang", "source").agg(
+        *(quantile(q, f).alias(f"{name}_{f}") for f in FEATURES for q, name in ((50, "q50"), (TAIL_PERCENT, "q05")))
     )
-    limit = {
-        f: F.max(F.when(F.col("feature") == f, F.col("q50") + F.greatest(F.lit(least), (F.col("q75") - F.col("q50")) * REACH)))
-        for f, (_, least) in FEATURES.items()
-    }
-    return quantiles.groupBy("lang", "source").agg(*(c.alias(f"limit_{f}") for f, c in limit.items()))
+
+
+def within_limits() -> Column:
+    """Whether no feature is over (or under) its group's limit by more than chance."""
+    within = F.lit(True)
+    for f, (k, n) in FEATURES.items():
+        reach = f"{REACH} * (q50_{f} - q05_{f})"
+        most = f"((q50_{f} + {reach}) * {n} / 1000D)"
+        within &= F.expr(f"{k} <= {most} + {SIGMAS}D * sqrt({most}) + {SIGMAS**2}D")
+        if f in BOTH_SIDES:
+            least = f"(greatest(q50_{f} - {reach}, 0L) * {n} / 1000D)"
+            within &= F.expr(f"{k} >= {least} - {SIGMAS}D * sqrt({least}) - {SIGMAS**2}D")
+    return within
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, the counts, base_failed and kept.
 
     base_failed: fewer than MIN_WORDS words, or over MAX_REPEAT_PERCENT % of the
-    words in repeated windows.  kept: not base_failed and no feature over its
+    words in repeated windows.  kept: not base_failed and no feature beyond its
     group's limit.  A null or empty text has no words and fails the base.  Null
     languages and sources form groups of their own; repeated rows count as
-    often as they occur; an empty table gives no rows.  Other columns are ignored.
+    often as they occur; an empty table gives no rows.  A very long text is one
+    row of one task.  Other columns are ignored.
     """
     counts = materialise(count_features(docs))  # a few integers a text, read twice below
     bounds = limits(sketches(counts)).select(F.col("lang").alias("l"), F.col("source").alias("s"), F.expr("* EXCEPT (lang, source)"))
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    within = F.lit(True)
-    for f, (value, _) in FEATURES.items():
-        within &= F.expr(value) <= F.col(f"limit_{f}")
     return (
         counts.join(bounds, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
-        .withColumn("base_failed", failed)
-        .select("doc_id", *_COUNTS[:5], "base_failed", (~failed & F.coalesce(within, F.lit(False))).alias("kept"), *_COUNTS[5:])
+        .withColumn("base_failed", base_failed())
+        .select("doc_id", *_COUNTS[:5], "base_failed", (~F.col("base_failed") & F.coalesce(within_limits(), F.lit(False))).alias("kept"), *_COUNTS[5:])
     )
 
 
@@ -177,21 +209,26 @@ c AS (SELECT d.r, doc_id, lang, source, len(w.ws)::BIGINT AS n_words,
              coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
              coalesce(n_lines, 0)::BIGINT AS n_lines, length(regexp_replace(d.text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals
       FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN lc USING (r)),
-f AS (SELECT r, lang, source, feature, value, 32 * greatest(length(bin(value)) - 5, 0) + (value >> greatest(length(bin(value)) - 5, 0)::INT) AS bucket
-      FROM (SELECT r, lang, source, unnest(['chars_per_word', 'symbols_per_word', 'capitals', 'dup_lines', 'repeat_words']) AS feature,
-                   unnest([1000 * word_chars // n_words, 1000 * n_symbols // n_words, 1000 * n_capitals // word_chars,
-                           1000 * n_dup_lines // n_lines, 1000 * n_repeat_words // n_words]) AS value FROM c WHERE n_words > 0)),
-u AS (SELECT lang, source, feature, bucket, sum(n) OVER (PARTITION BY lang, source, feature ORDER BY bucket) AS upto,
-             sum(n) OVER (PARTITION BY lang, source, feature) AS total
-      FROM (SELECT lang, source, feature, bucket, count(*) AS n FROM f GROUP BY ALL)),
-q AS (SELECT lang, source, feature, min((bucket % 32) << (bucket // 32)::INT) FILTER (upto * 2 >= total) AS q50,
-             min((bucket % 32) << (bucket // 32)::INT) FILTER (upto * 4 >= total * 3) AS q75 FROM u GROUP BY ALL),
-b AS (SELECT lang, source, feature, q50 + greatest(CASE feature WHEN 'chars_per_word' THEN 6000 WHEN 'dup_lines' THEN 500 WHEN 'repeat_words' THEN 200 ELSE 300 END,
-             6 * (q75 - q50)) AS most FROM q),
-v AS (SELECT r, bool_and(value <= most) AS within FROM f JOIN b ON f.feature = b.feature
-      AND f.lang IS NOT DISTINCT FROM b.lang AND f.source IS NOT DISTINCT FROM b.source GROUP BY r)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(within, false) AS kept, n_lines, n_capitals
-FROM c LEFT JOIN v USING (r)
+base AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM c),
+f AS (SELECT r, lang, source, feature, k, n, 1000 * k // n AS value
+      FROM (SELECT r, lang, source, unnest(['chars_per_word', 'symbols_per_word', 'capitals', 'dup_lines']) AS feature,
+                   unnest([word_chars, n_symbols, n_capitals, n_dup_lines]) AS k, unnest([n_words, n_words, word_chars, n_lines]) AS n FROM base WHERE NOT base_failed)),
+h AS (SELECT lang, source, feature, 32 * greatest(length(bin(value)) - 5, 0) + (value >> greatest(length(bin(value)) - 5, 0)::INT) AS bucket, count(*) AS n FROM f GROUP BY ALL),
+hl AS (SELECT lang, feature, bucket, sum(n) AS n FROM h GROUP BY ALL),
+a AS (SELECT s.lang, s.source, hl.feature, hl.bucket, hl.n AS n_lang, coalesce(h.n, 0) AS n
+      FROM (SELECT DISTINCT lang, source FROM h) s JOIN hl ON s.lang IS NOT DISTINCT FROM hl.lang
+      LEFT JOIN h ON h.lang IS NOT DISTINCT FROM s.lang AND h.source IS NOT DISTINCT FROM s.source AND h.feature = hl.feature AND h.bucket = hl.bucket),
+u AS (SELECT lang, source, feature, bucket,
+             sum(n) OVER o * 1000 + (20000 * sum(n_lang) OVER o) // sum(n_lang) OVER p AS upto, sum(n) OVER p * 1000 + 20000 AS total
+      FROM a WINDOW p AS (PARTITION BY lang, source, feature), o AS (PARTITION BY lang, source, feature ORDER BY bucket)),
+q AS (SELECT lang, source, feature, min((bucket % 32) << (bucket // 32)::INT) FILTER (upto * 100 >= total * 50) AS mid,
+             min((bucket % 32) << (bucket // 32)::INT) FILTER (upto * 100 >= total * 5) AS tail FROM u GROUP BY ALL),
+b AS (SELECT lang, source, feature, mid + 5 * (mid - tail) AS most,
+             CASE WHEN feature = 'chars_per_word' THEN greatest(mid - 5 * (mid - tail), 0) ELSE 0 END AS least FROM q),
+e AS (SELECT r, k, (most * n)::DOUBLE / 1000 AS high, (least * n)::DOUBLE / 1000 AS low FROM f JOIN b ON f.feature = b.feature
+      AND f.lang IS NOT DISTINCT FROM b.lang AND f.source IS NOT DISTINCT FROM b.source),
+v AS (SELECT r, bool_and(k <= high + 3 * sqrt(high) + 9 AND k >= low - 3 * sqrt(low) - 9) AS within FROM e GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(within, false) AS kept, n_lines, n_capitals
+FROM base LEFT JOIN v USING (r)
 """
