@@ -190,8 +190,61 @@ def test_marks_of_copies_are_those_of_one(spark):
     assert [len(r._marks) for r in substring_dedup.marks(chunks, repeated).collect()] == [own, own]
 
 
+def places(texts, items, q=12, edit_share=0.05):
+    return decontamination.matches_in(texts, decontamination.build_indexes(items, q, edit_share))
+
+
 def test_one_odd_letter_leaves_the_rest_in_lower_case():
     item = "THE QUICK BROWN FOX JUMPS OVER THE LAZY DOG AND RUNS HOME"
-    index = decontamination.build_index([(7, item.lower())], 12, 0.05)
     text = f"İstanbul is far. {item} Then it rains."
-    assert decontamination.matches_in([text], index, 12) == [(0, 0, text.index(item), text.index(item) + len(item), 0)]
+    assert places([text], [item.lower()]) == [(0, 0, text.index(item), text.index(item) + len(item), 0)]
+    odd = f"İ {item}"
+    assert places([f"x {odd.lower()} y {odd} z"], [odd])[-1][4] == 0
+
+
+def test_any_white_space_is_a_space():
+    item = "the quick brown fox jumps over the lazy dog"
+    for space in ("\u00a0", "\u2003", "\u3000", "\n", "\t", "\u0085"):
+        text = f"so {item.replace(' ', space)}."
+        assert places([text], [item]) == [(0, 0, 3, 3 + len(item), 0)]
+
+
+def test_short_items_are_found_where_they_stand_alone():
+    assert places(["Paris, paris and Parisian; 42 or 420 or 4\n2"], ["Paris", "42", "4 2", ""]) == [(0, 0, 0, 5, 0), (0, 0, 7, 12, 0), (0, 1, 27, 29, 0), (0, 2, 40, 43, 0)]
+
+
+def least_edits(item, text):
+    """The least edits of the whole item against any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(text, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return min(row)
+
+
+def test_items_found_are_those_of_brute_force():
+    rng = random.Random(12)
+    letter = lambda: rng.choice("abcd ")
+    items = ["".join(letter() for _ in range(rng.randint(12, 70))) for _ in range(12)]
+    texts = []
+    for k in range(60):
+        chars = list(items[k % 12])
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(chars))
+            chars[at : at + 1] = rng.choice([[letter()], [], [chars[at], letter()]])
+        texts.append("".join(letter() for _ in range(rng.randint(0, 40))) + "".join(chars) + "".join(letter() for _ in range(rng.randint(0, 40))))
+    got = {(t, i) for t, i, *_ in places(texts, items, q=4, edit_share=0.08)}
+    budget = [min(int(len(x) * 0.08), (len(x) - 4) // 4) for x in items]
+    want = {(t, i) for t, text in enumerate(texts) for i, x in enumerate(items) if least_edits(x, text) <= budget[i]}
+    assert got == want and 30 < len(want) < 72
+
+
+def test_leaks_with_clashing_names_and_null_items(spark):
+    item = "the quick brown fox jumps over the lazy dog"
+    df = spark.createDataFrame([(1, f"a {item} b", 7, "x", 9), (None, None, 7, "y", 9)], "doc_id long, text string, found int, _found string, start int")
+    bench = spark.createDataFrame([(None, item), (3, item)], "item_id long, text string")
+    assert sorted((r.item_id or 0, r.start) for r in decontamination.find_leaks(df, bench).collect()) == [(0, 2), (3, 2)]
+    for chars in (1, 10**6):  # two blocks, one block
+        out = decontamination.without_leaks(df, bench, block_chars=chars)
+        assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=repr) == [(1, "a  b", 7, "x", 9), (None, None, 7, "y", 9)]

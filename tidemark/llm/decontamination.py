@@ -7,13 +7,17 @@ every text the shared q-grams are counted in diagonal bands of width 2 e that
 overlap by e, so that any such match lies in one band whole.  Bands with enough
 q-grams are kept, and a banded alignment finds the match and its edits.
 
+Items of fewer than q characters allow no edits; their one gram is the whole
+item, and it counts only between characters that are no letters or digits.
+
 Characters are compared in lower case, and any white space counts as a space;
 places are those of the text itself.  Only whole items within the edit budget
 count: an excerpt of an item is not reported.
 
-Scale: the texts are read once, and nothing of them is shuffled.  The benchmark
-goes to the tasks in blocks of at most ``block_chars`` characters, one pass over
-the texts a block, so what is broadcast is bounded however large it grows.
+Scale: the texts are read once, and nothing is shuffled.  The benchmark goes to
+the tasks in blocks of at most about ``block_chars`` characters, one Python
+worker (some 50 bytes a character) a block after the other in the same stage, so
+a benchmark of many blocks takes more memory a task but no further scan.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import column_of, materialise, slices, small_batches
+from .common import column_of, fresh, slices, small_batches
 
 Q = 12
 #: Edits allowed, as a share of an item's characters.
@@ -37,14 +42,16 @@ BLOCK_CHARS = 4 << 20
 #: Bits of the filter that most of a text's q-grams don't pass.
 FILTER_BITS = 22
 
-_WHITE = [9, 10, 11, 12, 13]
+#: White space up to U+3000; the last entry stands for all code points beyond.
+_WHITE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 
 
 def characters(text: str) -> np.ndarray:
     """Code points in lower case, with plain spaces; one for each of the text's own."""
     low = "\u0130".join(part.lower() for part in text.split("\u0130"))  # the one letter whose lower case is two characters stays
     points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where((points >= 9) & (points <= 13), np.uint32(32), points)
+    points = np.where(points == 0x3C2, np.uint32(0x3C3), points)  # lower() makes a sigma final by what follows
+    return np.where(_WHITE[np.minimum(points, np.uint32(0x3001))], np.uint32(32), points)
 
 
 def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
@@ -68,7 +75,7 @@ def mixed_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Index:
     """A block of the benchmark: its items, and where each q-gram stands in them."""
 
-    ids: np.ndarray
+    q: int
     items: list[np.ndarray]
     edits: np.ndarray
     needed: np.ndarray
@@ -79,8 +86,7 @@ class Index:
     passes: np.ndarray  # by the hash's leading bits
 
 
-def build_index(rows: list[tuple[int, str]], q: int, edit_share: float) -> Index:
-    items = [characters(text) for _, text in rows]
+def build_index(items: list[np.ndarray], q: int, edit_share: float) -> Index:
     n = np.array([len(x) for x in items], np.int64)
     edits = np.minimum((n * edit_share).astype(np.int64), np.maximum(n - q, 0) // q)  # the lemma says nothing beyond
     needed = n - q + 1 - q * edits
@@ -92,9 +98,16 @@ def build_index(rows: list[tuple[int, str]], q: int, edit_share: float) -> Index
     grams, first = np.unique(every[order], return_index=True)
     passes = np.zeros(1 << FILTER_BITS, bool)
     passes[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Index(
-        np.array([i for i, _ in rows], np.int64), items, edits, needed, grams, np.append(first, len(every)), item[order], place[order].astype(np.int64), passes
-    )
+    return Index(q, items, edits, needed, grams, np.append(first, len(every)), item[order].astype(np.int32), place[order].astype(np.int32), passes)
+
+
+def build_indexes(texts: list[str], q: int, edit_share: float) -> list[tuple[Index, list[int]]]:
+    """An index of the items of at least q characters, one for each lesser length, and the items' numbers in texts."""
+    items = [characters(t) for t in texts]
+    own = [min(len(x), q) for x in items]
+    lengths = sorted(set(own) - {0}, reverse=True)
+    parts = [[n for n, k in enumerate(own) if k == length] for length in lengths]
+    return [(build_index([items[n] for n in part], length, edit_share), part) for length, part in zip(lengths, parts, strict=True)]
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -134,9 +147,21 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     return int(cost[k]), int(start[k]), int(end[k])
 
 
-def matches_in(texts: list[str], index: Index, q: int) -> list[tuple[int, int, int, int, int]]:
+def matches_in(texts: list[str], indexes: list[tuple[Index, list[int]]]) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of every item found in the texts; overlapping finds of an item count once."""
     points = [characters(t) for t in texts]
+    found = [(text, numbers[item], *place) for index, numbers in indexes for text, item, *place in matches_of(points, index)]
+    short = {n for index, numbers in indexes if index.q == len(index.items[0]) for n in numbers}
+    return sorted(f for f in found if f[1] not in short or stands_alone(texts[f[0]], f[2], f[3]))
+
+
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit goes on before or after."""
+    return not (text[start - 1 : start].isalnum() or text[end : end + 1].isalnum())
+
+
+def matches_of(points: list[np.ndarray], index: Index) -> list[tuple[int, int, int, int, int]]:
+    q = index.q
     offs = np.cumsum([0, *map(len, points)])
     whole = np.concatenate([*points, np.zeros(0, np.uint32)])
     hashes = gram_hashes(whole, q)
@@ -186,67 +211,73 @@ def blocks_of(benchmark: DataFrame, block_chars: int) -> list[int]:
     return list(range(max(1, -(-size // block_chars))))
 
 
+FINDS = T.ArrayType(
+    T.StructType().add("item_id", "long").add("start", "integer").add("end", "integer").add("edits", "integer"), containsNull=False
+)
+
+
+def with_finds(docs: DataFrame, benchmark: DataFrame, name: str, q: int, edit_share: float, block_chars: int) -> DataFrame:
+    """docs and, in the column ``name``, the places of items in each row's text, in order."""
+    small_batches(docs.sparkSession)
+    items = benchmark.select("item_id", "text").where("text <> ''")
+    numbers = blocks_of(items, block_chars)
+    kept = docs.columns
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
+
+    def of_block(rows: DataFrame, number: int) -> DataFrame:
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), len(numbers)) == number).collect()  # about block_chars
+        sent = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in block])
+
+        def finds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = [i for i, _ in sent.value]
+            indexes = build_indexes([t for _, t in sent.value], q, edit_share)
+            for batch in batches:
+                for part in slices(batch):
+                    before = column_of(part, name).to_pylist() if number else [[] for _ in range(part.num_rows)]
+                    for text, item, start, end, edits in matches_in([t or "" for t in column_of(part, "text").to_pylist()], indexes):
+                        before[text].append({"item_id": ids[item], "start": start, "end": end, "edits": edits})
+                    yield pa.RecordBatch.from_arrays([*(column_of(part, c) for c in kept), pa.array(before, kind)], [*kept, name])
+
+        return rows.mapInArrow(finds, docs.select("*").schema.add(name, FINDS))  # add changes the schema it is called on
+
+    return reduce(of_block, numbers, docs)
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """One row per place of an item in a row of docs: doc_id, text_crc, item_id, start, end, edits.
 
-    start and end are characters of the text.  Null texts and items are
-    left out, as are items of fewer than q characters.  Rows equal in id and
-    text give equal rows; null ids stay null; items that share a text are all
-    found.  Without docs or items there are no rows.  Other columns are ignored.
+    start and end are characters of the text.  Null and empty texts and items
+    have no places.  Rows equal in id and text give equal rows; null ids of
+    documents and items stay null; items that share a text are all found.
+    Without docs or items there are no rows.  A very long text is worked on
+    whole by one task, at some 60 times its own memory.  Other columns are
+    ignored.
     """
-    small_batches(docs.sparkSession)
-    items = benchmark.select("item_id", "text").where(F.length("text") >= q)
-    numbers = blocks_of(items, block_chars)
-    texts = docs.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc"), "text").where("text IS NOT NULL")
+    found = with_finds(docs.select("doc_id", "text").where("text <> ''"), benchmark, "found", q, edit_share, block_chars)
+    return found.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc"), F.explode("found").alias("f")).select(
+        "doc_id", "text_crc", "f.*"
+    )
 
-    def leaks_of(number: int) -> DataFrame:
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), len(numbers)) == number)
-        rows = sorted((r.item_id if r.item_id is not None else -1, r.text) for r in block.collect())  # about block_chars
-        sent = docs.sparkSession.sparkContext.broadcast(rows)
 
-        def leaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = build_index(sent.value, q, edit_share)
-            for batch in batches:
-                for part in slices(batch):
-                    found = matches_in(column_of(part, "text").to_pylist(), index, q)
-                    row = pa.array([f[0] for f in found], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            column_of(part, "doc_id").take(row),
-                            column_of(part, "text_crc").take(row),
-                            pa.array(index.ids[[f[1] for f in found]] if found else [], pa.int64()),
-                            *(pa.array([f[k] for f in found], pa.int32()) for k in (2, 3, 4)),
-                        ],
-                        ["doc_id", "text_crc", "item_id", "start", "end", "edits"],
-                    )
-
-        schema = "doc_id long, text_crc long, item_id long, start int, end int, edits int"
-        found = texts.mapInArrow(leaks, schema)
-        return found if len(numbers) == 1 else materialise(found)  # else a block's broadcast may go
-
-    return reduce(DataFrame.unionByName, map(leaks_of, numbers))
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: float = EDIT_SHARE) -> DataFrame:
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """docs with every benchmark passage cut out; no row goes.
 
     n_chars, where docs has it, is counted again for texts that changed.  Edge
-    cases as in find_leaks.
+    cases as in find_leaks; other columns stay, whatever their names.
     """
-    found = find_leaks(docs, benchmark, q, edit_share).groupBy("doc_id", "text_crc").agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")  # no more than fit in the text
-    )
-    found = found.select(F.col("doc_id").alias("_k"), F.col("text_crc").alias("_c"), "_spans")
-    keyed = docs.withColumn("_crc", F.crc32(F.col("text").cast("binary")))
-    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("_k")) & (F.col("_crc") == F.col("_c")), "left")
+    (name,) = fresh(docs, "found")
+    joined = with_finds(docs, benchmark, name, q, edit_share, block_chars)
     # Fold the spans in order: what lies before each is kept, and the next begins where the furthest has ended.
-    cut = F.expr("""aggregate(_spans, struct('' AS kept, 0 AS at),
+    cut = F.expr(f"""aggregate(array_sort(transform(`{name}`, s -> struct(s.start AS start, s.end AS end))), struct('' AS kept, 0 AS at),
         (a, s) -> struct(concat(a.kept, substring(text, a.at + 1, greatest(s.start - a.at, 0))) AS kept, greatest(a.at, s.end) AS at),
         a -> concat(a.kept, substring(text, a.at + 1, length(text))))""")
-    new = {"text": F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("text"))}
+    changed = F.size(name) > 0
+    new = {"text": F.when(changed, cut).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("_spans").isNotNull(), F.length(cut).cast(kind)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(changed, F.length(cut).cast(kind)).otherwise(F.col("n_chars"))
     return joined.withColumns(new).select(*docs.columns)
