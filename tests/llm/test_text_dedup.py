@@ -183,11 +183,83 @@ def test_leak_edge_cases(spark):
 
 def test_marks_of_copies_are_those_of_one(spark):
     text = " ".join(f"word{i} and more" for i in range(100))
-    docs = spark.createDataFrame([(None, text)] * 40 + [(1, text)], "doc_id long, text string")
-    chunks = substring_dedup.chunk_rows(docs).cache()
-    repeated = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    own = chunks.where("doc_id = 1").count()
-    assert [len(r._marks) for r in substring_dedup.marks(chunks, repeated).collect()] == [own, own]
+    df = spark.createDataFrame([(None, text)] * 40 + [(1, text)], "doc_id long, text string")
+    repeated = substring_dedup.repeated_digests(df).cache()
+    assert [len(r.marks) for r in substring_dedup.marks(df, repeated).collect()] == [repeated.count()] * 2
+
+
+def chunks_by_definition(text):
+    """(start, end) in bytes of each chunk."""
+    raw = text.encode()
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    gear = [int(g) for g in substring_dedup.GEAR]
+    value = [sum(gear[raw[s - 1 - i]] << i for i in range(16)) % 65536 if s >= 16 else 1 << 32 for s, _ in found]
+    cuts, since = [], 0
+    for w in range(len(found)):
+        near = all(value[w] < v for v in value[max(0, w - 3) : w]) and all(value[w] <= v for v in value[w + 1 : w + 4])
+        natural = w == 0 or near
+        since = 0 if natural else since + 1
+        if natural or since % 64 == 0:
+            cuts.append(w)
+    return [(found[c][0], found[e - 1][1]) for c, e in zip(cuts, [*cuts[1:], len(found)], strict=True)] if found else []
+
+
+def repeats_by_brute_force(rows, min_words):
+    """{(id, text): (words repeated, words removed, text left)} of rows with a repeated passage."""
+    held = {}
+    for i, t in rows:
+        for s, e in chunks_by_definition(t or ""):
+            held.setdefault(t.encode()[s:e], []).append(i)
+    first = {c: min((i for i in ids if i is not None), default=None) for c, ids in held.items() if len(ids) > 1}
+    out = {}
+    for i, t in set(rows):
+        raw, seen, every, later = (t or "").encode(), set(), [], []
+        for s, e in chunks_by_definition(t or ""):
+            if raw[s:e] in first:
+                every.append((s, e))
+                if first[raw[s:e]] != i or raw[s:e] in seen:
+                    later.append((s, e))
+                seen.add(raw[s:e])
+
+        def passages(spans, raw=raw):
+            joined = []
+            for s, e in spans:
+                if joined and not raw[joined[-1][1] : s].strip():
+                    joined[-1] = (joined[-1][0], e)
+                else:
+                    joined.append((s, e))
+            return [(s, e) for s, e in joined if len(raw[s:e].split()) >= min_words]
+
+        if passages(every):
+            left, at = b"", 0
+            for s, e in [*passages(later), (len(raw), len(raw))]:
+                left += raw[at:s].lstrip() if at else raw[at:s]
+                at = e
+            n = [sum(len(raw[s:e].split()) for s, e in passages(x)) for x in (every, later)]
+            out[i, t] = (*n, left.decode())
+    return out
+
+
+def test_repeats_are_those_of_brute_force(spark):
+    rng = random.Random(21)
+    pool = [words(700 + k, rng.randint(20, 90)) for k in range(8)]
+    rows = []
+    for k in range(70):
+        parts = [rng.choice(pool) if rng.random() < 0.4 else words(800 + 10 * k + j, rng.randint(1, 40)) for j in range(rng.randint(1, 5))]
+        rows.append((rng.choice([None, *range(40)]), rng.choice([" ", "\n", " \n"]).join(w for p in parts for w in p)))
+    rows += rows[:5] + [(3, None), (4, ""), (5, " "), (6, "same " * 200), (7, "é " * 90 + "same " * 100)]
+    want = repeats_by_brute_force(rows, 28)
+    got = {(r.k, r.whole): (r.n_words_repeated, r.n_words_removed, r.text) for r in substring_dedup.find_repeats(docs(spark, rows))
+           .join(docs(spark, rows).select(F.col("doc_id").alias("k"), F.col("text").alias("whole")).distinct(), F.expr("doc_id <=> k AND text_crc = crc32(cast(whole AS binary))")).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_dedup_keeps_columns_of_any_name(spark):
+    text = " ".join(words(31, 80))
+    df = spark.createDataFrame([(1, text, 5, "x", 7), (2, f"a {text}", 6, "y", 8)], "doc_id long, text string, k int, marks string, _spans int")
+    out = substring_dedup.without_repeats(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r.k, r.marks, r._spans) for r in out.collect()) == [(1, 5, "x", 7), (2, 6, "y", 8)]
 
 
 def places(texts, items, q=12, edit_share=0.05):
@@ -245,6 +317,6 @@ def test_leaks_with_clashing_names_and_null_items(spark):
     df = spark.createDataFrame([(1, f"a {item} b", 7, "x", 9), (None, None, 7, "y", 9)], "doc_id long, text string, found int, _found string, start int")
     bench = spark.createDataFrame([(None, item), (3, item)], "item_id long, text string")
     assert sorted((r.item_id or 0, r.start) for r in decontamination.find_leaks(df, bench).collect()) == [(0, 2), (3, 2)]
-    for chars in (1, 10**6):  # two blocks, one block
+    for chars in (50, 10**6):  # two blocks, one block
         out = decontamination.without_leaks(df, bench, block_chars=chars)
         assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=repr) == [(1, "a  b", 7, "x", 9), (None, None, 7, "y", 9)]

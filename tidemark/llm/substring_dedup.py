@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_of, segment_hashes, slices, small_batches, split_words, text_buffers
+from .common import column_of, fresh, segment_hashes, slices, small_batches, split_words, text_buffers
 
 #: Words that a cut is the least among on either side.
 REACH = 3
 #: Most words of a chunk; text that repeats itself has no natural cuts.
 MOST_WORDS = 64
-#: Least words of a passage that is cut out.
-MIN_WORDS = 22
+#: Least words of a passage that is cut out.  Of a passage of 51 words between other words 28 are found as often as 22.
+MIN_WORDS = 28
 
 GEAR = np.random.default_rng(7).integers(0, 1 << 16, 256, dtype=np.uint16)
 _LAST = np.iinfo(np.uint32).max
@@ -84,26 +84,25 @@ def chunks_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return segment_hashes(data, starts, stops), text, starts - offs[text], stops - offs[text]
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, text_crc and span (start and end in one number) of every chunk of every row."""
+def keyed(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs and two columns of these names: 128 bits of a row's id and text."""
+    text = F.col("text")
+    return docs.withColumns({names[0]: F.xxhash64("doc_id", text), names[1]: F.xxhash64(F.lit(1), text, "doc_id")})
+
+
+def chunk_rows(docs: DataFrame, kept: list[str], spans: bool) -> DataFrame:
+    """digest, the kept columns and, with ``spans``, span (start and end in one number) of every chunk of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 digest, text, start, stop = chunks_of(*text_buffers(column_of(part, "text")))
                 at = pa.array(text)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(digest.view(np.int64)),
-                        column_of(part, "doc_id").take(at),
-                        column_of(part, "text_crc").take(at),
-                        pa.array((start << 32) | stop),
-                    ],
-                    ["digest", "doc_id", "text_crc", "span"],
-                )
+                own = [column_of(part, n).take(at) for n in kept] + ([pa.array((start << 32) | stop)] if spans else [])
+                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), *own], names)
 
-    keyed = docs.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc"), "text").where("text IS NOT NULL")
-    return keyed.mapInArrow(rows, "digest long, doc_id long, text_crc long, span long")
+    names = ["digest", *kept, *(["span"] if spans else [])]
+    return docs.select(*kept, "text").where("text IS NOT NULL").mapInArrow(rows, ", ".join(f"{n} long" for n in names))
 
 
 def runs(text: bytes, marked: list[tuple[int, int]], min_words: int) -> tuple[list[tuple[int, int]], int]:
@@ -129,29 +128,27 @@ def cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-def marks(chunks: DataFrame, repeated: DataFrame) -> DataFrame:
-    """_k and _c (id and CRC of a text) and _marks: its chunks with a repeated digest.
+def repeated_digests(docs: DataFrame) -> DataFrame:
+    """digest and first_id (least doc_id) of all chunks that occur more than once."""
+    chunks = chunk_rows(docs, ["doc_id"], spans=False)
+    return chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").drop("n")
+
+
+def marks(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """k and l (128 bits of a row's id and text) and marks: its chunks with a repeated digest.
 
     A set, as rows equal in id and text all bring the same: no more than the text's own chunks.
     """
-    return (
-        chunks.join(repeated, "digest")
-        .groupBy("doc_id", "text_crc")
-        .agg(F.collect_set(F.struct("span", "digest", "first_id")).alias("_marks"))
-        .select(F.col("doc_id").alias("_k"), F.col("text_crc").alias("_c"), "_marks")
-    )
+    chunks = chunk_rows(keyed(docs.select("doc_id", "text"), ["k", "l"]), ["k", "l"], spans=True)
+    return chunks.join(repeated, "digest").groupBy("k", "l").agg(F.collect_set(F.struct("span", "digest", "first_id")).alias("marks"))
 
 
-def _cleaned(docs: DataFrame, min_words: int, how: str) -> DataFrame:
-    """docs' columns with text without its repeated passages, and _repeated, _removed, _spans, _first, _crc."""
+def _cleaned(docs: DataFrame, min_words: int, how: str, out: list[str]) -> DataFrame:
+    """docs' columns with text without its repeated passages, and words repeated and removed, spans and first holders as ``out``."""
     small_batches(docs.sparkSession)
-    chunks = chunk_rows(docs)
-    repeated = (
-        chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").drop("n")
-    )
-    marked = marks(chunks, repeated)
-    keyed = docs.withColumn("_crc", F.crc32(F.col("text").cast("binary")))
-    joined = keyed.join(marked, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_crc") == F.col("_c")), how).drop("_k", "_c")
+    (k, l, own_marks) = fresh(docs, "k", "l", "marks")
+    marked = marks(docs, repeated_digests(docs)).toDF(k, l, own_marks)
+    joined = keyed(docs, [k, l]).join(marked, [k, l], how)
     kept = [c for c in docs.columns if c != "text"]
     pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
@@ -174,18 +171,17 @@ def _cleaned(docs: DataFrame, min_words: int, how: str) -> DataFrame:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                own = (column_of(part, n).to_pylist() for n in ("doc_id", "text", "_marks"))
+                own = (column_of(part, n).to_pylist() for n in ("doc_id", "text", own_marks))
                 found = list(zip(*map(clean_text, *own), strict=True))
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pair), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*(column_of(part, n) for n in kept), column_of(part, "_crc"), *map(pa.array, found, kinds)],
-                    [*kept, "_crc", "text", "_repeated", "_removed", "_spans", "_first"],
+                    [*(column_of(part, n) for n in kept), *map(pa.array, found, kinds)], [*kept, "text", *out]
                 )
 
-    schema = docs.select(*kept).schema.add("_crc", "long").add("text", "string").add("_repeated", "long").add("_removed", "long")
     span = T.StructType().add("start", "integer").add("end", "integer")
-    schema = schema.add("_spans", T.ArrayType(span)).add("_first", T.ArrayType(T.LongType()))
-    return joined.select(*kept, "_crc", "text", "_marks").mapInArrow(clean, schema)
+    schema = docs.select(*kept).schema.add("text", "string").add(out[0], "long").add(out[1], "long")
+    schema = schema.add(out[2], T.ArrayType(span)).add(out[3], T.ArrayType(T.LongType()))
+    return joined.select(*kept, "text", own_marks).mapInArrow(clean, schema)
 
 
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -197,20 +193,17 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     start, end) and first_ids (first holders of what was removed).
 
     Null, empty and blank texts have no passages.  Rows equal in id and text
-    count as one: their twin is no other place.  Rows that share an id but not
-    the text keep what they share with each other.  Null ids are first holders
-    only among themselves.  Within one text, all but the first of repeated
-    passages go.  An empty table gives no rows.  Other columns are ignored.
+    are listed as repeats of each other, but what they hold first stays in
+    all of them.  Rows that share an id but not the text keep what they share
+    with each other.  Null ids are first holders only among themselves.  Within
+    one text, all but the first of repeated passages go.  An empty table gives
+    no rows.  A very long text is worked on whole by one task.  Other columns
+    are ignored.
     """
-    found = _cleaned(docs.select("doc_id", "text"), min_words, "inner").where("_repeated > 0")
-    return found.select(
-        "doc_id",
-        F.col("_crc").alias("text_crc"),
-        "text",
-        F.col("_repeated").alias("n_words_repeated"),
-        F.col("_removed").alias("n_words_removed"),
-        F.col("_spans").alias("spans"),
-        F.col("_first").alias("first_ids"),
+    own = docs.select("doc_id", "text", F.crc32(F.col("text").cast("binary")).alias("text_crc"))
+    found = _cleaned(own, min_words, "inner", ["n_words_repeated", "n_words_removed", "spans", "first_ids"])
+    return found.where("n_words_repeated > 0").select(
+        "doc_id", "text_crc", "text", "n_words_repeated", "n_words_removed", "spans", "first_ids"
     )
 
 
@@ -218,10 +211,12 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with every repeated passage cut out of all rows but its first holder; no row goes.
 
     n_chars, where docs has it, is counted again for texts that changed.  Edge
-    cases as in find_repeats; a text that is all repeats becomes empty.
+    cases as in find_repeats; a text that is all repeats becomes empty.  Other
+    columns stay, whatever their names.
     """
-    cleaned = _cleaned(docs, min_words, "left")
+    out = fresh(docs, "repeated", "removed", "spans", "first_ids")
+    cleaned = _cleaned(docs, min_words, "left", out)
     if "n_chars" in docs.columns:
         n = F.length("text").cast(docs.schema["n_chars"].dataType)
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("_removed") > 0, n).otherwise(F.col("n_chars")))
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col(out[1]) > 0, n).otherwise(F.col("n_chars")))
     return cleaned.select(*docs.columns)
