@@ -93,7 +93,7 @@ def behavioral_risk(tx: DataFrame, settings: RiskSettings = DEFAULTS) -> DataFra
     fast = F.col("recent_count") >= settings.max_daily_transactions - 1
     over = F.col("daily_volume") > settings.max_daily_amount
     uniform = (n >= 3) & (F.col("mean_amount") > 0) & (F.col("sd_amount") / F.col("mean_amount") < 0.1)
-    pattern = (n >= 3) & (F.col("min_amount") >= 9000) & (F.col("max_amount") < 10000)
+    pattern = (n >= 3) & F.col("all_in_band")
     new = age < settings.new_account_days
     new_high, new_fast = new & (amount > settings.large), new & (F.col("recent_count") >= 3)
     whole = (amount >= 10000) & (amount % 1000 == 0)

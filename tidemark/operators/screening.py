@@ -107,9 +107,11 @@ def fuzzy_screen(parties: DataFrame, watchlist: DataFrame, threshold: float = 0.
     """The best entry of every distinct party name: party, entry_id, matched_name, how, similarity.
 
     Names and aliases are compared by 1 - edits / longer length.  A pair is a
-    candidate if its padded names share a ``gram``-letter piece, or, if asked,
-    a sound.  An edit spoils at most ``gram`` pieces, so from a threshold of
-    1 - 1 / gram on no pair is lost, and no frequent piece is left out.
+    candidate if its lengths allow the threshold and its padded names share
+    enough ``gram``-letter pieces, or, if asked, a sound.  An edit spoils at most
+    ``gram`` pieces of a name, so as many must be shared as the name with more of
+    them has, less ``gram`` for each edit allowed, and one at least: from a
+    threshold of 1 - 1 / gram on no pair is lost.
     """
     names = parties.select(F.lower(F.trim("party")).alias("party")).where("party <> ''").distinct()
     every = watchlist.select(
@@ -121,11 +123,18 @@ def fuzzy_screen(parties: DataFrame, watchlist: DataFrame, threshold: float = 0.
         padded = F.concat(F.lit("^" * (gram - 1)), F.col(name), F.lit("$" * (gram - 1)))
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - gram + 1), lambda i: F.substring(padded, i, gram)))
 
-    left = names.select("party", F.explode(pieces("party")).alias("piece"))
-    right = every.select("name", F.explode(pieces("name")).alias("piece")).distinct()
+    left = names.withColumn("p", pieces("party")).select("party", F.size("p").alias("party_pieces"), F.explode("p").alias("piece"))
+    right = every.select("name").distinct().withColumn("p", pieces("name")).select("name", F.size("p").alias("name_pieces"), F.explode("p").alias("piece"))
     longer = F.greatest(F.length("party"), F.length("name"))
-    shared = left.join(right, "piece").groupBy("party", "name").agg(F.count("*").alias("shared"))
-    pairs = shared.where(F.col("shared") >= 1).select("party", "name")
+    edits = F.floor(longer * (1 - threshold + 1e-6))  # similarities are rounded to six places
+    pairs = (
+        left.join(right, "piece")
+        .where(F.abs(F.length("party") - F.length("name")) <= edits)
+        .groupBy("party", "name", "party_pieces", "name_pieces")
+        .agg(F.count("*").alias("shared"))
+        .where(F.col("shared") >= F.greatest("party_pieces", "name_pieces") - gram * edits)
+        .select("party", "name")
+    )
     if use_soundex:
         by_sound = names.withColumn("s", F.soundex("party")).join(every.select("name", F.soundex("name").alias("s")).distinct(), "s")
         pairs = pairs.unionByName(by_sound.select("party", "name")).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import or_empty, present
@@ -26,13 +26,22 @@ def multi_invoice(tx: DataFrame) -> DataFrame:
     )
 
 
+def median_prices(lines: DataFrame) -> DataFrame:
+    """item and market_price, its exact median, from running counts of its distinct prices: no list of prices is kept."""
+    counts = lines.where("unit_price IS NOT NULL").groupBy("item", "unit_price").agg(F.count("*").alias("n"))
+    item = Window.partitionBy("item")
+    ranked = counts.select("item", "unit_price", F.sum("n").over(item.orderBy("unit_price")).alias("upto"), F.sum("n").over(item).alias("total"))
+    low, high = (F.min(F.when(F.col("upto") > F.expr(f"(total - {k}) div 2"), F.col("unit_price"))) for k in (1, 0))
+    return ranked.groupBy("item").agg((low.cast("double") * 0.5 + high.cast("double") * 0.5).alias("market_price"))
+
+
 def price_deviation(lines: DataFrame, market: DataFrame | None = None, hi: float = 1.5, lo: float = 0.5) -> DataFrame:
     """Lines (line_id, item, unit_price) whose price is over hi or under lo times the market's (item, market_price).
 
     Without a market the item's median price stands for it.
     """
     if market is None:
-        market = lines.groupBy("item").agg(F.percentile("unit_price", F.lit(0.5)).alias("market_price"))
+        market = median_prices(lines)
     ratio = F.col("unit_price") / F.col("market_price")
     return (
         lines.join(market, "item").withColumn("ratio", F.round(ratio, 6)).where((ratio > hi) | (ratio < lo))

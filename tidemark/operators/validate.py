@@ -77,20 +77,24 @@ def with_parties(tx: DataFrame, customers: DataFrame, key: str = "customer_id")
 def to_usd(tx: DataFrame, rates: DataFrame) -> DataFrame:
     """amount_usd by the newest rate (currency, valid_from, rate) at or before the transaction.
 
-    Rates become intervals that end where the next begins, so the join is one
-    of equal currency and a range; dollars, which hold most rows, don't take
-    part.  Without a rate amount_usd is null.
+    Rates become intervals that end where the next begins.  Those are dealt out
+    by the days they touch, so a row meets the rates of its currency and day
+    only; the newest rate of a currency is one row and has no end.  Dollars,
+    which hold most rows, don't take part.  Without a rate amount_usd is null.
     """
+    day = lambda c: F.floor(F.unix_seconds(c) / 86400)
     following = Window.partitionBy("currency").orderBy("valid_from")
-    spans = rates.select(
-        F.col("currency").alias("c"), "valid_from", F.lead("valid_from").over(following).alias("valid_to"), "rate"
+    spans = rates.where("valid_from IS NOT NULL").select("currency", "valid_from", F.lead("valid_from").over(following).alias("valid_to"), "rate")
+    ended = spans.where("valid_to IS NOT NULL").select(
+        "currency", F.explode(F.sequence(day("valid_from"), day("valid_to"))).alias("_day"), F.struct("valid_from", "valid_to", "rate").alias("_span")
     )
+    newest = spans.where("valid_to IS NULL").select("currency", F.struct("valid_from", "rate").alias("_newest"))
     dollars = tx.where(F.col("currency") == "USD").withColumn("amount_usd", F.col("amount").cast("decimal(20,4)"))
-    others = tx.where(F.coalesce(F.col("currency") != "USD", F.lit(True)))
-    in_span = (
-        (F.col("currency") == F.col("c"))
-        & (F.col("ts") >= F.col("valid_from"))
-        & (F.col("valid_to").isNull() | (F.col("ts") < F.col("valid_to")))
-    )
-    changed = others.join(spans, in_span, "left").withColumn("amount_usd", (F.col("amount") * F.col("rate")).cast("decimal(20,4)"))
+    others = tx.where(F.coalesce(F.col("currency") != "USD", F.lit(True))).withColumn("_day", day("ts"))
+    in_span = (F.col("o.currency") == F.col("s.currency")) & (F.col("o._day") == F.col("s._day"))
+    in_span &= (F.col("ts") >= F.col("_span.valid_from")) & (F.col("ts") < F.col("_span.valid_to"))
+    since = (F.col("o.currency") == F.col("n.currency")) & (F.col("ts") >= F.col("_newest.valid_from"))
+    rate = F.coalesce("_span.rate", "_newest.rate")
+    changed = others.alias("o").join(ended.alias("s"), in_span, "left").join(newest.alias("n"), since, "left")
+    changed = changed.select("o.*", (F.col("amount") * rate).cast("decimal(20,4)").alias("amount_usd"))
     return dollars.unionByName(changed.select(*dollars.columns))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 DAY_MICROS = 86_400_000_000
 
 
-def velocity_24h(tx: DataFrame, direction: str = "backward") -> DataFrame:
-    """tx with recent_count, transactions_in_24h, daily_volume and the amounts' mean, sd, least and most.
+def velocity_24h(tx: DataFrame, direction: str = "backward", band: tuple[int, int] = (9000, 10000)) -> DataFrame:
+    """tx with recent_count, transactions_in_24h, daily_volume, the amounts' mean, sd, least and most, and all_in_band.
+
+    all_in_band says that there are amounts and each is from the first of
+    ``band`` to below the second.
 
     Recent is what is under 86400 s away, by the same customer; peers of the
     same instant count.  ``backward`` looks at what came before, ``both`` also
@@ -19,33 +22,66 @@ def velocity_24h(tx: DataFrame, direction: str = "backward") -> DataFrame:
     (customer, day), with copies of each row in the neighbouring days it can be
     seen from.  A customer with very many rows so is many groups, not one, and
     results are as with one window a customer.
+
+    Counts, volumes, means and deviations are differences of running sums: a row
+    is an event where it comes into view and, in the day after, one where it goes
+    out of view.  Their work is in proportion to the rows, however many fall into
+    24 hours; only the least and the most amount, where they are asked for, go
+    through the whole frame.  Rows without an amount count but add nothing.
     """
     day = F.floor(F.unix_micros("ts") / DAY_MICROS).cast("long")
-    near = (0, 1) if direction == "backward" else (-1, 0, 1)
+    both = direction != "backward"
     timed = F.col("ts").isNotNull()
-    copies = F.when(timed, F.array(*(F.lit(n) for n in near))).otherwise(F.array(F.lit(0)))
-    dealt = (
-        tx.withColumn("_micros", F.unix_micros("ts"))
-        .withColumn("_near", F.explode(copies))
-        .withColumn("_day", F.coalesce(day + F.col("_near"), F.xxhash64("tx_id")))  # rows without a time are spread
-    )
-    upper = 0 if direction == "backward" else DAY_MICROS - 1
-    frame = Window.partitionBy("customer_id", "_day").orderBy("_micros").rangeBetween(-(DAY_MICROS - 1), upper)
-    amount, plain = F.col("amount"), F.col("amount").cast("double")
-
-    def or_alone(measure: Column, alone: Column) -> Column:
-        return F.when(timed, measure.over(frame)).otherwise(alone)
-
-    measures = {
-        "transactions_in_24h": or_alone(F.count("*"), F.lit(1).cast("long")),
-        "daily_volume": or_alone(F.sum("amount"), amount),
-        "mean_amount": or_alone(F.avg(plain), plain),
-        "sd_amount": or_alone(F.stddev_samp(plain), F.lit(None).cast("double")),
-        "min_amount": or_alone(F.min("amount"), amount),
-        "max_amount": or_alone(F.max("amount"), amount),
-    }
-    seen = dealt.withColumns(measures).where("_near = 0").drop("_near", "_day", "_micros")
-    return seen.withColumn("recent_count", F.col("transactions_in_24h") - 1)
+    upper = DAY_MICROS - 1 if both else 0
+    at = F.unix_micros("ts")
+
+    def event(near: int, time: Column, change: int, asks: bool) -> Column:
+        return F.struct(F.lit(near).alias("near"), time.alias("time"), F.lit(change).alias("change"), F.lit(asks).alias("asks"))
+
+    events = [event(1, at - upper, 1, False), event(1, at + DAY_MICROS, -1, False)]
+    events += [event(0, at - upper, 1, False), event(0, at, 0, True), event(-1, at - upper, 1, False)] if both else [event(0, at, 1, True)]
+    alone = F.array(event(0, F.lit(None).cast("long"), 1, True))
+    kept = F.struct(*(F.col(c) for c in tx.columns))
+    dealt = tx.select("customer_id", "amount", kept.alias("row"), day.alias("day"), F.xxhash64("tx_id").alias("spread"), F.explode(F.when(timed, F.array(*events)).otherwise(alone)).alias("e")).select(
+        "customer_id",
+        F.coalesce(F.col("day") + F.col("e.near"), F.col("spread")).alias("day"),  # rows without a time are spread
+        "amount", F.when(F.col("e.asks"), F.col("row")).alias("row"), "e.time", "e.change", "e.asks",
+    )
+    group = Window.partitionBy("customer_id", "day").orderBy("time")
+    running = group.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    frame = group.rangeBetween(-(DAY_MICROS - 1) - upper, Window.currentRow)  # by when a row comes into view
+    amount, change = F.col("amount"), F.col("change")
+    entering = F.when(change == 1, amount)
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value * change).over(running), F.lit(0))
+
+    kind = tx.select(F.sum("amount").alias("s")).schema["s"].dataType
+    n, s, ss = F.col("known"), F.col("volume").cast("double"), F.col("squares").cast("double")
+    seen = dealt.withColumns(
+        {
+            "transactions_in_24h": F.sum(change).over(running).cast("long"),
+            "known": total(amount.isNotNull().cast("long")),
+            "volume": total(amount),
+            "squares": total(amount * amount),
+            "inside": total(F.when((amount >= band[0]) & (amount < band[1]), 1).otherwise(0)),
+            "least": F.min(entering).over(frame),
+            "most": F.max(entering).over(frame),
+        }
+    ).where("asks")
+    is_timed = F.col("time").isNotNull()
+    own = F.col("row.amount")
+    variance = F.greatest(ss - s * s / n, F.lit(0.0)) / (n - 1)
+    return seen.select(
+        "row.*",
+        F.when(is_timed, F.col("transactions_in_24h")).otherwise(F.lit(1)).cast("long").alias("transactions_in_24h"),
+        F.when(is_timed, F.when(n > 0, F.col("volume"))).otherwise(own).cast(kind).alias("daily_volume"),
+        F.when(is_timed, F.when(n > 0, s / n)).otherwise(own.cast("double")).alias("mean_amount"),
+        F.when(is_timed & (n > 1), F.sqrt(variance)).alias("sd_amount"),
+        F.when(is_timed, F.col("least")).otherwise(own).alias("min_amount"),
+        F.when(is_timed, F.col("most")).otherwise(own).alias("max_amount"),
+        F.when(is_timed, (n > 0) & (n == F.col("inside"))).otherwise((own >= band[0]) & (own < band[1])).alias("all_in_band"),
+    ).withColumn("recent_count", F.col("transactions_in_24h") - 1)
 
 
 def request_rate(log: DataFrame, limit: int = 100) -> DataFrame:

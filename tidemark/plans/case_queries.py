@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import answers, cases, dashboard, screening
-from tidemark.plans.queries import ALERTS_SQL
+from tidemark.operators.checkpoints import new_folder
+from tidemark.plans.assess import assess
+from tidemark.plans.queries import ALERTS_SQL, ASSESS_SQL, IS_CRYPTO, WEIGHT, assessed
+from tidemark.sources.cases_file import flatten_cases, ledger_of, read_cases, write_assessments, write_cases
 from tidemark.sources.views import PAY_SQL, TX_SQL, payments, transactions
 from tidemark.streaming import streams
 
@@ -232,10 +233,47 @@ def answers_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
-def assessments_with_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.plans.assess import assess
+def codes_of(column: str) -> str:
+    return f"coalesce({CODES_SQL.replace('(t, ', f'({column}, ')}, [])"
+
+
+def score_of(column: str, default: int) -> str:
+    return SCORE_SQL.replace("(t, ", f"({column}, ").replace(", 0))", f", {default}))")
+
+
+def as_list(column: str) -> str:
+    return f"(CASE WHEN {column} = '' THEN [] ELSE string_split({column}, ',') END)"
+
+
+ANSWERED_SQL = f"""{ASSESS_SQL.split("r1 AS (")[0]}
+an0 AS (SELECT conv_id AS tx_id, turn % 4 AS k, {ANSWER} AS t FROM conversations),
+an AS (SELECT tx_id, min(t) FILTER (k = 0) AS t_crypto, min(t) FILTER (k = 1) AS t_pep, min(t) FILTER (k = 2) AS t_docs, min(t) FILTER (k = 3) AS t_dd FROM an0 GROUP BY tx_id),
+s0 AS (SELECT r0.*, t_docs, t_dd, {as_list("crypto_factors")} AS cl, list_filter({codes_of("t_crypto")}, lambda c: starts_with(c, 'CRYPTO_')) AS cs, {codes_of("t_pep")} AS pc,
+  list_filter({codes_of("t_docs")}, lambda c: starts_with(c, 'TBML_') OR starts_with(c, 'DOC_') OR starts_with(c, 'INVOICE')) AS papers, {codes_of("t_dd")} AS dc,
+  is_pep OR coalesce(contains(upper(t_pep), 'PEP') AND NOT contains(right(split_part(upper(t_pep), 'PEP', 1), 10), 'NOT'), false) AS said_pep
+  FROM r0 LEFT JOIN an USING (tx_id)),
+s1 AS (SELECT *, CASE WHEN {IS_CRYPTO} AND crypto_points >= 25 THEN list_concat(cl, list_filter(cs, lambda c, i: list_position(cs, c) = i AND NOT list_contains(cl, c))) ELSE cl END AS cf,
+  CASE WHEN said_pep THEN list_concat(['PEP_MATCH'], list_filter(pc, lambda c: contains(c, 'PEP') AND c <> 'PEP_MATCH')) ELSE list_filter(pc, lambda c: contains(c, 'PEP')) END AS pf FROM s0),
+s2 AS (SELECT *, entry_route = 'CRYPTO_PATH' AND regexp_matches(array_to_string(cf, ','), 'CRYPTO|DARKNET|MIXER') AS risky FROM s1),
+s3 AS (SELECT *, entry_route = 'STANDARD_FLOW' OR (entry_route = 'CRYPTO_PATH' AND NOT risky) AS std FROM s2),
+s4 AS (SELECT *, std OR entry_route = 'LARGE_TRANSACTION' AS sanc, (std OR entry_route = 'LARGE_TRANSACTION') AND n_hits > 0 AS stopped FROM s3),
+s5 AS (SELECT *, sanc AND NOT stopped AND said_pep AS pep_found FROM s4),
+s6 AS (SELECT *, risky OR entry_route = 'NEW_ACCOUNT_ALERT' OR pep_found AS dd, list_concat(CASE WHEN entry_route = 'CRYPTO_PATH' THEN cf ELSE [] END,
+  CASE WHEN std THEN {as_list("geo_factors")} ELSE [] END, CASE WHEN std THEN {as_list("behavior_factors")} ELSE [] END,
+  CASE WHEN NOT std THEN [] WHEN document_list = '' THEN ['NO_SUPPORTING_DOCS'] ELSE papers END, CASE WHEN stopped THEN ['SANCTIONS_HIT'] ELSE [] END,
+  CASE WHEN sanc AND NOT stopped THEN pf ELSE [] END) AS f0 FROM s5),
+s7 AS (SELECT *, CASE WHEN dd THEN list_concat(f0, list_filter(dc, lambda c: NOT list_contains(f0, c))) ELSE f0 END AS fs, CASE WHEN dd AND t_dd IS NOT NULL THEN {score_of("t_dd", 50)} END AS dds FROM s6),
+s8 AS (SELECT *, coalesce(list_sum(list_transform(fs, lambda f: {WEIGHT})), 0) + CASE WHEN pep_found THEN 25 ELSE 0 END
+  + CASE WHEN std THEN least(30, geo_score) + least(30, behavior_score) ELSE 0 END + CASE WHEN entry_route = 'CRYPTO_PATH' THEN least(30, crypto_points) ELSE 0 END
+  + CASE WHEN std AND document_list <> '' AND t_docs IS NOT NULL THEN least(30, {score_of("t_docs", 0)}) ELSE 0 END + CASE WHEN dds IS NULL THEN 0 ELSE least(30, dds) END AS raw FROM s7)"""
+
 
+@query(
+    f"WITH {ANSWERED_SQL} SELECT tx_id, entry_route, array_to_string(fs, ',') AS risk_factors, CASE WHEN stopped THEN 0 ELSE least(100, raw) END::INT AS risk_score, "
+    "CASE WHEN stopped THEN 'LOW' WHEN raw >= 95 THEN 'CRITICAL' WHEN raw >= 80 THEN 'HIGH' WHEN raw >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, "
+    "CASE WHEN stopped OR raw >= 80 THEN 'SAR_GENERATED' WHEN raw >= 60 THEN 'PENDING_REVIEW' ELSE 'CLEARED' END AS reporting_status, dds::INT AS due_diligence_score FROM s8"
+)
+def assessments_with_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr(
         "conv_id AS tx_id", "CASE turn % 4 WHEN 0 THEN 'crypto' WHEN 1 THEN 'pep' WHEN 2 THEN 'documents' ELSE 'due_diligence' END AS agent", f"{ANSWER} AS text"
     )
@@ -298,6 +336,61 @@ def flagged_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- case files in and assessments out ---------------------------------------
+
+CASE_SQL = (
+    "case_tx AS (SELECT tx_id AS ref, CAST(amount AS DECIMAL(20,4)) AS amount, currency, ts, transaction_type, origin_country, destination_country, customer_name, "
+    "customer_id AS who, account_age_days FROM tx)"
+)
+
+
+def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions, written as case files with a history of one earlier payment, and read again."""
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    earlier = F.date_format(F.col("ts") - F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    cases = transactions(spark, sf_dir).select(
+        F.lit("ledger").alias("scenario"),
+        F.struct(
+            "amount", "currency", stamp.alias("timestamp"), "transaction_type", "origin_country", "destination_country", F.col("tx_id").cast("string").alias("reference_id"),
+        ).alias("transaction"),
+        F.struct(
+            F.col("customer_name").alias("name"), F.col("customer_id").cast("string").alias("customer_id"), "account_age_days",
+            F.array(F.struct((F.col("amount") * 2).cast("decimal(20,4)").alias("amount"), earlier.alias("timestamp"))).alias("transaction_history"),
+        ).alias("customer"),
+    )
+    folder = new_folder(spark, "cases")
+    write_cases(cases, folder)
+    return read_cases(spark, folder)
+
+
+@query(
+    f"WITH {TX_SQL}, {CASE_SQL} SELECT CAST(ref AS STRING) AS reference_id, amount, currency, ts, transaction_type, origin_country, destination_country, customer_name, "
+    "CAST(who AS STRING) AS customer_id, account_age_days FROM case_tx"
+)
+def case_file_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx, _, _ = flatten_cases(case_files(spark, sf_dir))
+    return tx.select(
+        "reference_id", "amount", "currency", "ts", "transaction_type", "origin_country", "destination_country", "customer_name", "customer_id", "account_age_days"
+    )
+
+
+@query(f"WITH {TX_SQL}, {CASE_SQL} SELECT CAST(who AS STRING) AS customer_id, ts - INTERVAL 2 HOUR AS ts, CAST(amount * 2 AS DECIMAL(20,4)) AS amount FROM case_tx")
+def case_file_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger_of(flatten_cases(case_files(spark, sf_dir))[2])
+
+
+@query(
+    f"WITH {ASSESS_SQL} SELECT strftime(date_trunc('month', ts), '%Y-%m-%d') AS day, risk_level, count(*) AS n, CAST(sum(risk_score) AS BIGINT) AS total FROM assessed GROUP BY ALL"
+)
+def written_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "assessments")
+    by_month = assessed(spark, sf_dir).select("tx_id", F.date_trunc("month", "ts").alias("ts"), "risk_level", "risk_score")
+    write_assessments(by_month, folder)
+    return spark.read.parquet(folder).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "risk_level").agg(
+        F.count("*").alias("n"), F.sum("risk_score").alias("total")
+    )
+
+
 # ---- streams: the events table as a stream of one file ---------------------
 
 
@@ -305,8 +398,7 @@ def streamed(spark: SparkSession, sf_dir: str, table: str, build: Callable[[Data
     """Run a stream over the table's files to their end, and read what it wrote to the shared folder."""
     path = f"{sf_dir}/{table}.parquet"
     schema = spark.read.parquet(path).schema
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*")
     writer = build(source).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     running = writer.format("parquet").option("path", f"{folder}/out").start()

@@ -32,6 +32,10 @@ def joined(column: str) -> F.Column:
     return F.array_join(column, ",")
 
 
+def quoted(values: tuple[str, ...]) -> str:
+    return "'" + "; ".join(values) + "'"
+
+
 def in_list(values: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
@@ -393,12 +397,18 @@ def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     "'crypto:HIGH_RISK' ELSE 'crypto:NORMAL' END END, CASE WHEN sanc THEN CASE WHEN stopped THEN 'sanctions:HIT_FOUND' ELSE 'sanctions:CLEAR' END END, "
     "CASE WHEN sanc AND NOT stopped THEN CASE WHEN pep_status THEN 'pep:PEP_FOUND' ELSE 'pep:NO_PEP' END END, CASE WHEN NOT stopped THEN CASE WHEN raw >= 95 "
     "THEN 'final:CRITICAL_SAR' WHEN raw >= 80 THEN 'final:HIGH_RISK_SAR' WHEN raw >= 60 THEN 'final:MEDIUM_REVIEW' ELSE 'final:LOW_RISK_CLEAR' END END) AS decisions, "
-    "CASE WHEN reporting_status = 'PENDING_REVIEW' THEN '1999-06-16 12:00:00' END AS review_deadline FROM assessed"
+    "CASE WHEN reporting_status = 'PENDING_REVIEW' THEN '1999-06-16 12:00:00' END AS review_deadline, concat_ws(',', 'initial_screening', "
+    "CASE WHEN entry_route = 'CRYPTO_PATH' THEN 'crypto_risk' END, CASE WHEN std THEN 'geographic_risk,behavioral_analysis,document_analysis' END, "
+    "CASE WHEN sanc THEN 'sanctions_screening' END, CASE WHEN sanc AND NOT stopped THEN 'pep_screening' END, "
+    "CASE WHEN (entry_route = 'CRYPTO_PATH' AND risky) OR entry_route = 'NEW_ACCOUNT_ALERT' OR pep_status THEN 'enhanced_due_diligence' END, "
+    "CASE WHEN NOT stopped THEN 'risk_scoring' END, CASE reporting_status WHEN 'SAR_GENERATED' THEN 'sar_generation' WHEN 'PENDING_REVIEW' THEN 'human_review' "
+    "ELSE 'case_cleared' END) AS path FROM assessed"
 )
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessed(spark, sf_dir).select(
-        "tx_id", joined("routing_decisions").alias("decisions"), F.date_format("review_deadline", "yyyy-MM-dd HH:mm:ss").alias("review_deadline")
-    )
+        "tx_id", joined("routing_decisions").alias("decisions"), F.date_format("review_deadline", "yyyy-MM-dd HH:mm:ss").alias("review_deadline"),
+        joined("decision_path").alias("path"),
+    )
 
 
 FACTOR_ROWS_SQL = f"""{ASSESS_SQL}, fr AS (SELECT tx_id, unnest(range(len(l))) AS nth, unnest(l) AS code FROM (SELECT tx_id, string_split(risk_factors, ',') AS l
@@ -411,25 +421,47 @@ FACTOR_ROWS_SQL = f"""{ASSESS_SQL}, fr AS (SELECT tx_id, unnest(range(len(l))) A
     "WHEN regexp_matches(code, 'HIGH_RISK|MIXER|PEP') THEN 25 WHEN regexp_matches(code, 'TAX_HAVEN|STRUCTURING') THEN 15 ELSE 10 END AS score, CASE WHEN "
     "contains(code, 'SANCTION') THEN 'SANCTIONS' WHEN contains(code, 'PEP') THEN 'PEP' WHEN contains(code, 'CRYPTO') THEN 'CRYPTO' WHEN regexp_matches(code, "
     "'GEO|JURISDICTION') THEN 'GEOGRAPHIC' WHEN regexp_matches(code, 'STRUCT|VELOCITY') THEN 'BEHAVIORAL' WHEN regexp_matches(code, 'DOC|TBML') THEN "
-    "'DOCUMENTATION' ELSE 'GENERAL' END AS category FROM fr"
+    "'DOCUMENTATION' ELSE 'GENERAL' END AS category, array_to_string(list_transform(string_split(code, '_'), lambda w: upper(left(w, 1)) || lower(w[2:])), ' ') "
+    "AS description FROM fr"
 )
 def factor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.enrich_factors(assessed(spark, sf_dir)).drop("description")
+    return results.enrich_factors(assessed(spark, sf_dir))
+
+
+DOLLARS = "concat('$', format('{{:,.2f}}', CAST({} AS DOUBLE)))".format
+#: Each alert: its place among a transaction's alerts, its text, and when it is raised.
+ALERTS = (
+    (10, "'Cryptocurrency mixing service detected'", "entry_route = 'CRYPTO_PATH' AND mixer_used"),
+    (11, "concat('Darknet market association: ', darknet_market)", f"entry_route = 'CRYPTO_PATH' AND {CRYPTO[1][1]}"),
+    (12, "concat(cross_chain_swaps, ' cross-chain swaps detected')", "entry_route = 'CRYPTO_PATH' AND cross_chain_swaps >= 3"),
+    (13, "'Privacy coin conversion detected'", "entry_route = 'CRYPTO_PATH' AND privacy_coin"),
+    (21, "'Multiple tax havens in transaction path'", "std AND contains(geo_factors, 'TAX_HAVEN_CHAIN')"),
+    (30, f"concat('Transaction amount ', {DOLLARS('amount')}, ' just below $10,000 threshold')", f"std AND {BEHAVIOR[0][1]}"),
+    (31, "concat(transactions_in_24h, ' transactions in 24 hours')", f"std AND {BEHAVIOR[1][1]}"),
+    (32, f"concat('Daily volume ', {DOLLARS('daily_volume')}, ' exceeds threshold')", f"std AND {BEHAVIOR[2][1]}"),
+    (33, "'Multiple transactions just below $10,000 threshold'", f"std AND {BEHAVIOR[4][1]}"),
+    (34, "concat('High-value transaction on ', account_age_days, '-day-old account')", f"std AND {BEHAVIOR[5][1]}"),
+    (40, "'MISSING_DOCUMENTATION'", "std AND document_list = ''"),
+    (60, f"concat('PEP indicator: Customer name contains ', chr(39), replace({PEP_LIST}, ',', ', '), chr(39))", "pep_status"),
+)
+ALERT_ROWS_SQL = f"""{ASSESS_SQL}, al AS ({" UNION ALL ".join(f"SELECT tx_id, {k} AS a, 0 AS b, {t} AS description FROM assessed WHERE {c}" for k, t, c in ALERTS)}
+  UNION ALL SELECT j.tx_id, 20, j.nth, concat('HIGH_RISK_JURISDICTION: ', upper(j.country), ' (', j.role, ')') FROM judged j JOIN assessed s ON j.tx_id = s.tx_id
+    WHERE s.std AND j.risk_type = 'HIGH_RISK'
+  UNION ALL SELECT j.tx_id, 50, j.nth, concat('SANCTIONS HIT: ', j.party, ' matched against OFAC SDN list') FROM hits j JOIN assessed s ON j.tx_id = s.tx_id WHERE s.sanc),
+typed AS (SELECT *, CASE {" ".join(f"WHEN {any_word('upper(description)', w)} THEN '{n}'" for w, n in results.ALERT_TYPES)} ELSE 'UNUSUAL_ACTIVITY' END AS alert_type FROM al)"""
+
+
+@query(f"WITH {ALERT_ROWS_SQL} SELECT alert_type, count(*) AS n FROM typed GROUP BY 1")
+def alert_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.classify_alerts(assessed(spark, sf_dir)).groupBy("alert_type").agg(F.count("*").alias("n"))
 
 
 @query(
-    f"WITH {ASSESS_SQL}, a AS (SELECT tx_id, unnest([CASE WHEN entry_route = 'CRYPTO_PATH' AND mixer_used THEN 'CRYPTO_RISK' END, "
-    "CASE WHEN std AND document_list = '' THEN 'DOCUMENT_MISMATCH' END, CASE WHEN pep_status THEN 'PEP_MATCH' END]) AS alert_type FROM assessed) "
-    "SELECT alert_type, count(*) AS n FROM a WHERE alert_type IS NOT NULL GROUP BY 1"
+    f"WITH {ALERT_ROWS_SQL} SELECT tx_id, (row_number() OVER (PARTITION BY tx_id ORDER BY a, b) - 1)::INT AS nth, alert_type, "
+    f"CASE alert_type {' '.join(f"WHEN '{n}' THEN '{s}'" for n, s in results.ALERT_SEVERITY.items())} ELSE 'MEDIUM' END AS severity, left(description, 100) AS title, "
+    "description, array_to_string(list_slice(string_split(risk_factors, ','), 1, 3), ',') AS risk_factors, 0.8::DOUBLE AS confidence "
+    "FROM typed JOIN (SELECT tx_id, risk_factors FROM assessed) USING (tx_id)"
 )
-def alert_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = results.classify_alerts(assessed(spark, sf_dir)).where(
-        "description = 'Cryptocurrency mixing service detected' OR alert_type IN ('DOCUMENT_MISMATCH', 'PEP_MATCH')"
-    )
-    return rows.groupBy("alert_type").agg(F.count("*").alias("n"))
-
-
-@query()
 def alert_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.classify_alerts(assessed(spark, sf_dir)).withColumn("risk_factors", joined("risk_factors"))
 
@@ -439,11 +471,15 @@ def alert_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "risk_score >= 80 THEN 'FILE_SAR' WHEN risk_score >= 60 THEN 'ESCALATE_FOR_REVIEW' WHEN risk_score >= 30 THEN 'MONITOR' ELSE 'CLEAR' END AS recommended_action, "
     "risk_score >= 60 AS action_required, CASE WHEN sanction_parties <> '' THEN 'Block transaction immediately' WHEN sar_required THEN "
     "'Review generated SAR narrative' WHEN pep_status THEN 'Conduct enhanced due diligence' WHEN risk_score >= 60 THEN 'Assign to compliance analyst' "
-    "ELSE 'No immediate action required' END AS first_step FROM assessed"
+    "ELSE 'No immediate action required' END AS first_step, "
+    f"CASE WHEN sanction_parties <> '' THEN {quoted(results.NEXT_STEPS['hits'])} WHEN sar_required THEN {quoted(results.NEXT_STEPS['sar'])} "
+    f"WHEN pep_status THEN {quoted(results.NEXT_STEPS['pep'])} WHEN risk_score >= 60 THEN {quoted(results.NEXT_STEPS['medium'])} "
+    f"ELSE {quoted(results.NEXT_STEPS['none'])} END AS steps FROM assessed"
 )
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = results.recommend(assessed(spark, sf_dir))
-    return df.select("tx_id", "recommended_action", "action_required", F.get("next_steps", F.lit(0)).alias("first_step"))
+    steps = F.array_join("next_steps", "; ").alias("steps")
+    return df.select("tx_id", "recommended_action", "action_required", F.get("next_steps", F.lit(0)).alias("first_step"), steps)
 
 
 @query(

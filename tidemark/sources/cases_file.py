@@ -29,6 +29,17 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).option("multiLine", True).json(path)
 
 
+def write_cases(cases: DataFrame, path: str, per_file: int = 5000) -> None:
+    """Cases as JSON arrays of about so many, each a file that read_cases reads."""
+    lines = cases.select(F.to_json(F.struct("scenario", "transaction", "customer")).alias("value"))
+    files = max(1, -(-lines.count() // per_file))
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(files))  # equal cases are dealt too
+    arrays = lines.withColumn("file", number).groupBy("file").agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")  # about per_file of them
+    )
+    arrays.write.partitionBy("file").text(path)
+
+
 def case_id() -> F.Column:
     """An id that follows from the case's content."""
     return F.abs(F.xxhash64(F.to_json(F.struct("scenario", "transaction", "customer"))))
@@ -56,5 +67,10 @@ def ledger_of(history: DataFrame) -> DataFrame:
 
 
 def write_assessments(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Parquet, or JSON lines, in folders by day and level."""
-    df.withColumn("day", F.to_date("ts")).write.partitionBy("day", "risk_level").mode("overwrite").format(fmt).save(path)
+    """Parquet, or JSON lines, in folders by day and level.
+
+    Rows of a folder are brought together first, as a file for every task and
+    folder would be very many; folders with very many rows are split again.
+    """
+    dealt = df.withColumn("day", F.to_date("ts")).hint("rebalance", F.col("day"), F.col("risk_level"))
+    dealt.write.partitionBy("day", "risk_level").mode("overwrite").format(fmt).save(path)

@@ -50,6 +50,8 @@ def stream_dedupe(stream: DataFrame, key: str = "external_id", watermark: str =
 
 OUTPUT = "tx_id long, customer_id long, ts timestamp, amount decimal(18,2), transactions_in_24h long, daily_volume decimal(28,2)"
 STATE = "micros array<long>, cents array<long>"
+#: Stands for a missing amount in the state.
+NO_AMOUNT = np.iinfo(np.int64).min
 
 
 def stream_velocity_exact(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -60,7 +62,9 @@ def stream_velocity_exact(stream: DataFrame, watermark: str = "1 hour") -> DataF
     out by its own day.  The state holds a group's transactions of the last 24
     hours before the watermark; it goes when nothing of it can count any more.
     Equal to the batch windows if a batch's rows aren't older than those of
-    earlier batches.  Rows without a time are in no window but their own.
+    earlier batches.  Rows without a time are in no window but their own; rows
+    without an amount count but add nothing, and a volume of such rows alone is
+    null.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,17 +75,18 @@ def stream_velocity_exact(stream: DataFrame, watermark: str = "1 hour") -> DataF
         timed = rows["micros"].notna().to_numpy()
         own = rows[rows["own"].to_numpy(bool)].copy()
         held = state.get if state.exists else ([], [])
-        new = [int(round(a * 100)) for a in rows["amount"][timed]]
+        new = np.array([NO_AMOUNT if a is None else int(round(a * 100)) for a in rows["amount"][timed]], np.int64)
         times = np.concatenate([np.array(held[0], np.int64), rows["micros"].to_numpy()[timed].astype(np.int64)])
         order = np.argsort(times, kind="stable")
-        times, cents = times[order], np.concatenate([np.array(held[1], np.int64), np.array(new, np.int64)])[order]
-        total = np.concatenate([[0], np.cumsum(cents)])
-        counts, volumes = np.ones(len(own), np.int64), own["amount"].to_numpy(object)
+        times, cents = times[order], np.concatenate([np.array(held[1], np.int64), new])[order]
+        total = np.concatenate([[0], np.cumsum(np.where(cents == NO_AMOUNT, 0, cents))])
+        amounts = np.concatenate([[0], np.cumsum(cents != NO_AMOUNT)])
+        counts, volumes = np.ones(len(own), np.int64), own["amount"].to_numpy(object, copy=True)
         known = own["micros"].notna().to_numpy()
         at = own["micros"].to_numpy()[known].astype(np.int64)
         low, high = np.searchsorted(times, at - (DAY_MICROS - 1), "left"), np.searchsorted(times, at, "right")
         counts[known] = high - low
-        volumes[known] = [Decimal(int(n)) / 100 for n in total[high] - total[low]]
+        volumes[known] = [Decimal(int(n)) / 100 if k else None for n, k in zip(total[high] - total[low], amounts[high] - amounts[low], strict=True)]
         own["transactions_in_24h"], own["daily_volume"] = counts, volumes
         oldest = max(state.getCurrentWatermarkMs() * 1000, 0) - DAY_MICROS
         times, cents = times[times > oldest], cents[times > oldest]
