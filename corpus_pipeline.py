@@ -8,8 +8,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontamination, jaccard_join, quality_crf, substring_dedup
 from tidemark.llm.common import fold_remainder, table
+from tidemark.operators.checkpoints import new_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents in sf_dir."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-pipeline-")
-    folder = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "corpus")
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}-{name}")
