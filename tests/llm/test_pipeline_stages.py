@@ -1,9 +1,15 @@
 """Each stage of the corpus pipeline on a small corpus of planted cases."""
 
+import base64
+import hashlib
 import random
 
+import public_tokenizers
+import tiktoken
+
 import corpus_pipeline
-from tidemark.llm import queries
+from tests.llm.test_text_dedup import brute, least_edits, repeats_by_brute_force
+from tidemark.llm import decontamination, queries, substring_dedup
 
 
 def words(seed, n):
@@ -42,7 +48,31 @@ def test_stages_take_effect(spark, tmp_path):
     clean = seen["decontamination"]
     assert item not in clean[15] and all(clean[i] == cut[i] for i in cut if i != 15)
     assert {r.doc_id for r in docs.collect()} == set(cut)
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(cut)
+    # Every stage against brute force on what it was given.
+    near = brute(sorted(seen["quality_classifier"].items()))
+    assert set(seen["jaccard_join"]) == {c for c, _ in near.values()}
+    given = seen["jaccard_join"]
+    changed = repeats_by_brute_force(sorted(given.items()), substring_dedup.MIN_WORDS)
+    assert cut == {i: changed[i, t][2] if (i, t) in changed else t for i, t in given.items()}
+    budget = int(len(item) * decontamination.EDIT_SHARE)
+    assert {i for i in clean if clean[i] != cut[i]} == {i for i in cut if least_edits(item, cut[i]) <= budget} == {15}
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = {i: own.encode_ordinary(t) for i, t in clean.items()}
+    want = {i: (len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(clean[i].encode()).hexdigest()) for i, x in ids.items()}
+    last = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in last} == want and len(last) == len(want)
+
+
+def test_empty_tables_go_through(spark, tmp_path):
+    schemas = {
+        "documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int",
+        "benchmark": "item_id long, text string",
+    }
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_registered_names():

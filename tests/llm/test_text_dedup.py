@@ -62,7 +62,7 @@ def test_join_equals_brute_force(spark, near_rows):
 
 
 def test_small_blocks_give_the_same(spark, near_rows):
-    rows, of_text = jaccard_join.text_classes(docs(spark, near_rows), block=4, guests=3)
+    rows, of_text = jaccard_join.text_classes(docs(spark, near_rows), block=4, block_bytes=3000)
     got = {r.doc_id: (r.class_id, r.n_links) for r in rows.join(of_text, "text_id").collect()}
     want = brute(near_rows)
     assert got == {i: want[i] for i in got} and len(got) == len(near_rows) - 3
@@ -263,7 +263,7 @@ def test_dedup_keeps_columns_of_any_name(spark):
 
 
 def places(texts, items, q=12, edit_share=0.05):
-    return decontamination.matches_in(texts, decontamination.build_indexes(items, q, edit_share))
+    return decontamination.matches_in(texts, decontamination.build_indexes(items, q, edit_share), q)
 
 
 def test_one_odd_letter_leaves_the_rest_in_lower_case():
@@ -320,3 +320,23 @@ def test_leaks_with_clashing_names_and_null_items(spark):
     for chars in (50, 10**6):  # two blocks, one block
         out = decontamination.without_leaks(df, bench, block_chars=chars)
         assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=repr) == [(1, "a  b", 7, "x", 9), (None, None, 7, "y", 9)]
+
+
+def test_near_copies_with_clashing_names(spark):
+    base = words(41, 60)
+    rows = [(1, " ".join(base), 5, "x", 1), (2, edited(base, 1, 1), 6, "y", 2), (3, None, 7, "z", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t int, text_id string, nth int")
+    kept = jaccard_join.one_of_each_class(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.t, r.text_id, r.nth) for r in kept.collect()) == [(1, 5, "x", 1), (3, 7, "z", 3)]
+
+
+def test_a_large_class_loses_no_link(spark):
+    """Near copies at and about the threshold, many more than a block holds, against all pairs."""
+    base = words(43, 120)
+    rows = [(i, edited(base, 5000 + i, i % 8)) for i in range(260)] + [(1000 + i, " ".join(words(6000 + i, 80))) for i in range(60)]
+    _, of_text = jaccard_join.text_classes(docs(spark, rows), block=32)
+    got = {(r.class_id, r.n_links) for r in of_text.collect()}
+    want = brute(rows)
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(docs(spark, rows)).collect()}
+    assert found == want and got == set(want.values())
+    assert sum(n for _, n in want.values()) > 10_000

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, sharding, token_counts
@@ -103,10 +104,52 @@ def test_shards_are_balanced_gapless_and_keep_copies_together(spark):
 
 
 def test_growing_moves_few_rows(spark):
-    df = docs(spark, [f"text number {i}" for i in range(4000)])
-    six = {r.doc_id: r.shard for r in sharding.assign_shards(df, shards=6).collect()}
-    seven = {r.doc_id: r.shard for r in sharding.assign_shards(df, shards=7).collect()}
-    assert sum(six[i] != seven[i] for i in six) < 0.45 * len(six)
+    df = docs(spark, [f"text number {i}" * (1 + i % 7) for i in range(20000)])
+    less = {r.doc_id: r.shard for r in sharding.assign_shards(df, shards=24).collect()}
+    more = {r.doc_id: r.shard for r in sharding.assign_shards(df, shards=25).collect()}
+    assert sum(less[i] != more[i] for i in less) < 2 * len(less) / 25  # at best one row in 25
+
+
+def test_shards_equal_filling_the_ring_byte_by_byte(spark):
+    rng = random.Random(2)
+    texts = ["y" * rng.randint(0, 30) + str(i % 150) for i in range(400)] + ["copy"] * 90 + [None, "", "é" * 40]
+    df = docs(spark, texts)
+    place = {r.doc_id: r.p for r in df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("p")).collect()}
+    places, owners = sharding.ring(5, 8)
+    size = {i: len((t or "").encode()) + 8 for i, t in enumerate(texts)}
+    room = [-(-sum(size.values()) * (1 + sharding.SLACK) // 5)] * 5
+    want = {}
+    arc = {i: next((k for k, p in enumerate(places) if p >= place[i]), 0) for i in size}
+    for a in sorted(set(arc.values())):
+        node, taken = a, []
+        rows = sorted((i for i in size if arc[i] == a), key=lambda i: (place[i], i))
+        for _ in range(sum(size[i] for i in rows)):
+            while room[owners[node % len(owners)]] <= 0:
+                node += 1
+            room[owners[node % len(owners)]] -= 1
+            taken.append(owners[node % len(owners)])
+        at = 0
+        for i in rows:
+            want[i] = taken[at + size[i] - size[i] // 2 - 1]
+            at += size[i]
+    got = {r.doc_id: r.shard for r in sharding.assign_shards(df, shards=5, virtual_nodes=8).collect()}
+    assert got == want
+
+
+def test_very_long_texts_are_sharded_and_counted(spark):
+    long = "many words " * 200_000
+    df = docs(spark, [long, long, "short"])
+    rows = sharding.assign_shards(df, shards=2, virtual_nodes=4).collect()
+    assert sorted(r.size for r in rows) == [13, len(long) + 8, len(long) + 8] and len({r.shard for r in rows if r.size > 100}) == 2
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, JSON).collect()}
+    assert counts[0] == counts[1] == len(Tokenizer.from_file(JSON).encode(long, add_special_tokens=False).ids)
+
+
+def test_clashing_names_of_token_columns(spark, own):
+    df = spark.createDataFrame([(1, "some text here", 5, "x", 7), (None, None, 6, "y", 8)], "doc_id long, text string, n_tokens int, ids string, copies int")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in token_counts.count_tokens(df, JSON, 4).collect())[1][0] == 1
+    got = {r.doc_id: r.n_tokens for r in bpe.digests(df, MULTI, public_tokenizers.PATTERN).collect()}
+    assert got == {1: len(own.encode_ordinary("some text here")), None: 0}
 
 
 def test_bounded_loads_fill_clockwise():

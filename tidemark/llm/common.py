@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.checkpoints import written as materialise  # noqa: F401
+
 #: Text of one numpy pass; its temporaries take about 60 times as much.
 SLICE_BYTES = 1 << 20
 #: Rows of one Arrow batch between Spark and Python; texts are long.
@@ -34,19 +35,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder the cluster shares and go on from there.
-
-    The folder is the one in ``spark.checkpoint.dir``; only where the session
-    has none (tests on one machine) a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """These column names, with underscores in front until df has none of them (letter case aside)."""
     taken = {c.lower() for c in df.columns}

@@ -147,11 +147,11 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     return int(cost[k]), int(start[k]), int(end[k])
 
 
-def matches_in(texts: list[str], indexes: list[tuple[Index, list[int]]]) -> list[tuple[int, int, int, int, int]]:
+def matches_in(texts: list[str], indexes: list[tuple[Index, list[int]]], q: int = Q) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of every item found in the texts; overlapping finds of an item count once."""
     points = [characters(t) for t in texts]
     found = [(text, numbers[item], *place) for index, numbers in indexes for text, item, *place in matches_of(points, index)]
-    short = {n for index, numbers in indexes if index.q == len(index.items[0]) for n in numbers}
+    short = {n for index, numbers in indexes if index.q < q for n in numbers}
     return sorted(f for f in found if f[1] not in short or stands_alone(texts[f[0]], f[2], f[3]))
 
 
@@ -234,7 +234,7 @@ def with_finds(docs: DataFrame, benchmark: DataFrame, name: str, q: int, edit_sh
             for batch in batches:
                 for part in slices(batch):
                     before = column_of(part, name).to_pylist() if number else [[] for _ in range(part.num_rows)]
-                    for text, item, start, end, edits in matches_in([t or "" for t in column_of(part, "text").to_pylist()], indexes):
+                    for text, item, start, end, edits in matches_in([t or "" for t in column_of(part, "text").to_pylist()], indexes, q):
                         before[text].append({"item_id": ids[item], "start": start, "end": end, "edits": edits})
                     yield pa.RecordBatch.from_arrays([*(column_of(part, c) for c in kept), pa.array(before, kind)], [*kept, name])
 

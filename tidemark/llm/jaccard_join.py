@@ -7,14 +7,19 @@ until the chance that two texts at the threshold share one in any band reaches
 the target recall.  No prefix tries are kept, as an LSH forest would.
 Candidates are verified exactly on their n-gram sets.
 
-Equal texts are one node.  A trie node (bucket) never gives all pairs of its
-members.  Instead each text goes to a block: the texts whose least bucket-mate is
-the same (near copies nearly always have the same one), split to at most about
-``block`` texts.  A text that shares a bucket with a text of another block visits
-that block as a guest, once however many buckets they share.  A task takes one
-block and a bounded number of its guests, works out their similarities as a
-product of incidence matrices, and gives counts of links and local classes: a
-few numbers a text, whatever the number of links.
+Equal texts are one node, told apart by 128-bit digests.  A bucket never gives
+all pairs of its members.  Instead each text goes to a block: the texts whose
+least bucket-mate is the same (near copies nearly always have the same one),
+split to about ``block`` texts or ``block_bytes`` of text, whichever is less.  A
+text that shares a bucket with a text of another block visits that block as a
+guest, or is visited, once however many buckets they share.  A task takes blocks
+and parts of their guests up to about TASK_ROWS rows or TASK_BYTES of text, works
+out similarities as products of incidence matrices, and gives counts of links and
+local classes: a few numbers a text, whatever the number of links.
+
+Counting the links of N texts that are all near copies of each other takes N
+squared comparisons; they are dealt to tasks as N squared / (2 ``block``) guest
+rows.
 
 Classes of the whole (connected texts) come from alternating large-star and
 small-star rounds on the local classes, written between rounds.
@@ -27,20 +32,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_of, materialise, mixed, segment_hashes, slices, small_batches, split_words, text_buffers, window_hashes
+from .common import column_of, fresh, materialise, mixed, segment_hashes, slices, small_batches, split_words, text_buffers, window_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 20
 MOST_DEPTH = 8
 TARGET_RECALL = 0.9995
-BLOCK = 128
-GUESTS = 512
-#: Rows of one verifying task, beyond its last block.
-TASK_ROWS = 1000
+BLOCK = 512
+BLOCK_BYTES = 4 << 20
+#: Rows and bytes of text of one verifying task, on average.
+TASK_ROWS = 2000
+TASK_BYTES = 16 << 20
 
 
 def prefix_depth(threshold: float, trees: int, most_depth: int, target: float) -> int:
@@ -86,7 +92,7 @@ def bucket_keys(grams: np.ndarray, doc: np.ndarray, trees: int, depth: int) -> t
     return texts, keys
 
 
-def similar(sets: list[np.ndarray], others: list[np.ndarray], threshold: float, columns: int = 8192) -> np.ndarray:
+def similar(sets: list[np.ndarray], others: list[np.ndarray], threshold: float, columns: int = 2048) -> np.ndarray:
     """Which sets are at least so similar to which others, exactly."""
     every = np.concatenate([*sets, *others])
     values, code, count = np.unique(every, return_inverse=True, return_counts=True)
@@ -107,16 +113,16 @@ def similar(sets: list[np.ndarray], others: list[np.ndarray], threshold: float,
 
 
 def local_classes(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The least id of each one's class under the links (a symmetric matrix)."""
+    """The least of the numbers (below their count) of each one's class under the links (a symmetric matrix)."""
     label = ids.copy()
     while True:
-        least = np.array([min(label[i], label[row].min()) if row.any() else label[i] for i, row in enumerate(linked)])
+        least = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1))
         if (least == label).all():
             return label
         label = least
 
 
-def verify_block(ids: np.ndarray, guest: np.ndarray, sets: list[np.ndarray], first: bool, threshold: float) -> list[tuple[int, int, int]]:
+def verify_block(ids: np.ndarray, guest: np.ndarray, sets: list[np.ndarray], first: bool, threshold: float) -> list[tuple[bytes, bytes, int]]:
     """(id, class, links) of every text of a block and its guests that has links here.
 
     Guests are only compared with the block's own; the own among themselves if ``first``.
@@ -138,8 +144,9 @@ def verify_block(ids: np.ndarray, guest: np.ndarray, sets: list[np.ndarray], fir
         links[:m, m:] = found
     links |= links.T
     n = links.sum(1)
-    label = local_classes(links, ids[order])
-    return [(int(ids[order[k]]), int(label[k]), int(n[k])) for k in np.flatnonzero(n)]
+    rank = np.argsort(np.argsort(ids[order]))  # by number, as ids are bytes
+    label = ids[order][np.argsort(rank)][local_classes(links, rank)]
+    return [(ids[order[k]], label[k], int(n[k])) for k in np.flatnonzero(n)]
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -170,15 +177,25 @@ def connected(edges: DataFrame) -> DataFrame:
     )
 
 
+def text_key() -> Column:
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
+def parts_of(rows: DataFrame, key: str, block: int, block_bytes: int) -> DataFrame:
+    """In how many parts the rows of each key are dealt, so that neither rows nor bytes are too many on average."""
+    most = F.greatest(F.count("*") / block, F.sum("bytes") / block_bytes)
+    return rows.groupBy(key).agg(F.ceil(most).cast("int").alias("parts"))
+
+
 def text_classes(
     docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, most_depth: int = MOST_DEPTH,
-    target_recall: float = TARGET_RECALL, block: int = BLOCK, guests: int = GUESTS,
+    target_recall: float = TARGET_RECALL, block: int = BLOCK, block_bytes: int = BLOCK_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_id) of all rows with words, and (text_id, class, class_id, n_links) of their texts."""
     spark = docs.sparkSession
     small_batches(spark)
     depth = prefix_depth(threshold, trees, most_depth, target_recall)
-    texts = docs.select("doc_id", "text").where("text RLIKE '[^ \\\\t-\\\\r]'").withColumn("text_id", F.xxhash64("text"))
+    texts = docs.select("doc_id", "text").where("text RLIKE '[^ \\\\t-\\\\r]'").withColumn("text_id", text_key())
 
     def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,32 +205,41 @@ def text_classes(
                 ids = column_of(part, "text_id").take(pa.array(np.repeat(rows, trees)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), ids], ["bucket", "id"])
 
-    nodes = materialise(texts.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
-    buckets = materialise(texts.select("text_id", "text").mapInArrow(bucket_rows, "bucket long, id long").distinct())
+    nodes = materialise(
+        texts.groupBy("text_id").agg(
+            F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first(F.octet_length("text").cast("long")).alias("bytes")
+        )
+    )
+    buckets = materialise(texts.select("text_id", "text").mapInArrow(bucket_rows, "bucket long, id binary").distinct())
     least = buckets.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = materialise(buckets.join(least, "bucket"))
-    home = shared.groupBy("id").agg(F.min("pivot").alias("home"))
-    parts = home.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    sizes = nodes.select(F.col("text_id").alias("id"), "bytes")
+    home = shared.groupBy("id").agg(F.min("pivot").alias("home")).join(sizes, "id")
     blocks = materialise(
-        home.join(parts, "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), "parts")).alias("block"))
-    )
+        home.join(parts_of(home, "home", block, block_bytes), "home")
+        .select("id", "bytes", F.xxhash64("home", F.pmod(F.xxhash64("id"), "parts")).alias("block"))
+    )
     placed = shared.select("bucket", "id").join(blocks, "id")
     there = placed.select("bucket", F.col("block").alias("at")).distinct()
-    visits = placed.join(there, "bucket").where("at < block").select(F.col("at").alias("block"), "id").distinct()
+    # Of two blocks either is visited, by a hash: none of many is visited by all others.
+    visited = F.expr("at <> block AND (at < block) = (pmod(xxhash64(least(at, block), greatest(at, block)), 2) = 0)")
+    visits = placed.join(there, "bucket").where(visited).select(F.col("at").alias("block"), "id", "bytes").distinct()
     visits = materialise(visits)
-    n_guests = visits.groupBy("block").agg(F.ceil(F.count("*") / guests).cast("int").alias("parts"))
     n_own = blocks.groupBy("block").agg(F.count("*").alias("own"))
-    busy = n_own.join(n_guests, "block", "left").where("own > 1 OR parts > 0").select("block", F.coalesce("parts", F.lit(1)).alias("parts"))
+    busy = n_own.join(parts_of(visits, "block", 2 * block, block_bytes), "block", "left").where("own > 1 OR parts > 0").select(
+        "block", F.coalesce("parts", F.lit(1)).alias("parts")
+    )
     work = materialise(
         visits.join(busy, "block")
-        .select("block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id", F.lit(True).alias("guest"))
+        .select("block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id", F.lit(True).alias("guest"), "bytes")
         .unionByName(
             blocks.join(busy, "block").select(
-                "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(False).alias("guest")
+                "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(False).alias("guest"), "bytes"
             )
         )
     )
-    bins = max(1, work.count() // TASK_ROWS)
+    rows, size = work.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    bins = int(max(1, rows // TASK_ROWS, size // TASK_BYTES))
 
     def gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,20 +258,21 @@ def text_classes(
     sets = (
         texts.join(wanted, (texts["text_id"] == wanted["id"]) & texts["doc_id"].eqNullSafe(wanted["least"]))
         .select("id", "text")
-        .mapInArrow(gram_sets, "id long, grams array<long>")
+        .mapInArrow(gram_sets, "id binary, grams array<long>")
     )
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[bytes, bytes, int]] = []
         for (_, part), group in rows.drop_duplicates(["block", "part", "id"]).groupby(["block", "part"], sort=False):
             ids, guest = group["id"].to_numpy(), group["guest"].to_numpy(bool)
             out += verify_block(ids, guest, group["grams"].tolist(), part == 0, threshold)
-        return pd.DataFrame(out, columns=["id", "root", "n"]).astype("int64")
+        return pd.DataFrame(out, columns=["id", "root", "n"])
 
     found = materialise(
-        work.join(sets, "id")
+        work.drop("bytes")
+        .join(sets, "id")
         .groupBy(F.pmod(F.xxhash64("block", "part"), F.lit(bins)).alias("bin"))
-        .applyInPandas(verify, "id long, root long, n long")
+        .applyInPandas(verify, "id binary, root binary, n long")
     )
     links = found.groupBy("id").agg(F.sum("n").alias("n_links")).withColumnRenamed("id", "text_id")
     roots = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "text_id")
@@ -269,7 +296,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     Null texts and texts without words are linked to nothing: class_id is their
     own doc_id, n_copies 1.  Rows that repeat count as copies.  Null ids are
     the least only where a class has no other.  An empty table gives no rows.
-    Texts are told apart by a 64-bit hash.  Other columns are ignored.
+    A very long text is worked on by one task at a time.  Other columns are ignored.
     """
     rows, of_text = text_classes(docs, threshold, words)
     found = rows.join(of_text, "text_id").select("doc_id", "class_id", "n_links", F.col("copies").alias("n_copies"))
@@ -286,12 +313,11 @@ def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, words: int
     rows, of_text = text_classes(docs, threshold, words)
     # Of texts that share the least id, the one with the least text_id leads its class.
     leads = rows.join(of_text, "text_id").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    leads = leads.groupBy("class").agg(F.min(F.struct("text_id", "doc_id")).alias("lead")).select("lead.*")
-    leads = leads.select(F.col("text_id").alias("_t"), F.col("doc_id").alias("_d"))
-    keyed = docs.withColumn("_text_id", F.xxhash64("text"))
-    kept = keyed.join(leads, (F.col("_text_id") == F.col("_t")) & keyed["doc_id"].eqNullSafe(F.col("_d")))
-    same = Window.partitionBy("_t", "_d").orderBy("_t")
-    kept = kept.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").select(*docs.columns)
+    t, d, key, nth = fresh(docs, "t", "d", "text_id", "nth")
+    leads = leads.groupBy("class").agg(F.min(F.struct("text_id", "doc_id")).alias("lead")).select("lead.*").toDF(t, d)
+    kept = docs.withColumn(key, text_key()).join(leads, (F.col(key) == F.col(t)) & F.col("doc_id").eqNullSafe(F.col(d)))
+    same = Window.partitionBy(t, d).orderBy(t)
+    kept = kept.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*docs.columns)
     return kept.unionByName(docs.where("text IS NULL OR NOT text RLIKE '[^ \\\\t-\\\\r]'"))
 
 

@@ -77,10 +77,11 @@ def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.hstack([x, before, after]), ends - starts, doc
 
 
-def forward_backward(good: np.ndarray, chain: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(good: np.ndarray, chain: np.ndarray, steps: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Each line's probability of the state good, and the expected steps between states.
 
-    good: log odds of each line on its own; chain: number of its chain, ascending.
+    good: log odds of each line on its own; chain: number of its chain, ascending;
+    weight: what each line, and the step to it, counts among the expected steps.
     """
     n = len(good)
     if n == 0:
@@ -104,9 +105,10 @@ def forward_backward(good: np.ndarray, chain: np.ndarray, steps: np.ndarray) ->
     if most > 1:
         at = np.concatenate(live[1:])
         ahead = own[at] + beta[at]
+        counts = np.ones(len(at)) if weight is None else weight[at]
         for a in (0, 1):
             for b in (0, 1):
-                expected[a, b] = np.exp(alpha[at - 1, a] + steps[a, b] + ahead[:, b] - total[at]).sum()
+                expected[a, b] = (np.exp(alpha[at - 1, a] + steps[a, b] + ahead[:, b] - total[at]) * counts).sum()
     return np.exp(both[:, 1] - total), expected
 
 
@@ -137,8 +139,12 @@ def log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 150, ridge: float = 1e-3) -> Model | None:
-    """Weights from (text, label) rows; None without rows of both labels."""
+def train(rows: list[tuple[str, int]], rounds: int = 150, ridge: float = 1e-3, enough: float = 1e-4) -> Model | None:
+    """Weights from (text, label) rows; None without rows of both labels.
+
+    Gradient steps on the chains' log-likelihood, each chain weighted by its
+    label, until no part of the gradient is over ``enough``, ``rounds`` at most.
+    """
     if len({label for _, label in rows}) < 2:
         return None
     texts = [t for t, _ in rows]
@@ -153,13 +159,15 @@ def train(rows: list[tuple[str, int]], rounds: int = 150, ridge: float = 1e-3) -
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
     follows = np.flatnonzero(chain[1:] == chain[:-1]) + 1
     seen = np.zeros((2, 2))
-    seen[1, 1], seen[0, 0] = y[follows].sum(), (1 - y[follows]).sum()
+    seen[1, 1], seen[0, 0] = (weight * y)[follows].sum(), (weight * (1 - y))[follows].sum()
     w, steps = np.zeros(x.shape[1]), np.zeros((2, 2))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
-    for k in range(1, rounds + 1):  # Adam on the mean log-likelihood
-        p, expected = forward_backward(x @ w, chain, steps)
+    for k in range(1, rounds + 1):  # Adam
+        p, expected = forward_backward(x @ w, chain, steps, weight)
         grad = np.concatenate([x.T @ (weight * (y - p)), (seen - expected).ravel()]) / len(y)
         grad -= ridge * np.concatenate([w, steps.ravel()])
+        if np.abs(grad).max() < enough:
+            break
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, steps = w + move[:-4], steps + move[-4:].reshape(2, 2)
@@ -178,17 +186,21 @@ def score_buffers(model: Model | None, data: np.ndarray, offs: np.ndarray) -> np
     return np.where(words > 0, score, 0.0)
 
 
-def classify(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, threshold: float = THRESHOLD, longest: int = SAMPLE_CHARS
+) -> DataFrame:
     """docs' own columns, score (0 to 1) and predicted (score >= threshold).
 
-    ``learn`` says which rows of labels (doc_id, quality) may be learned from.
+    ``learn`` says which rows of labels (doc_id, quality) may be learned from: at
+    most ``sample`` of either label, with texts of at most ``longest`` characters.
     Null labels and ids without a text teach nothing; several labels of an id
     count once.  Null, empty and blank texts score 0.  Repeated rows get the
-    same score; an empty table gives no rows.  Columns of docs that are called
+    same score; an empty table gives no rows.  A very long text is scored whole by
+    one task, at some 60 times its own memory.  Columns of docs that are called
     score or predicted are replaced.
     """
     small_batches(docs.sparkSession)
-    model = train(labelled_sample(docs, labels, "quality", learn, sample, SAMPLE_CHARS))
+    model = train(labelled_sample(docs, labels, "quality", learn, sample, longest))
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -211,17 +211,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     return [(r.text, r.label) for r in sorted(rows.collect(), key=lambda r: (r.h, r.doc_id))]
 
 
-def classify(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, threshold: float = THRESHOLD, longest: int = SAMPLE_CHARS
+) -> DataFrame:
     """One row per row of docs: doc_id, score (0 to 1) and predicted (score >= threshold).
 
-    ``learn`` says which rows of labels (doc_id, toxic) may be learned from.
+    ``learn`` says which rows of labels (doc_id, toxic) may be learned from: at
+    most ``sample`` of either label, with texts of at most ``longest`` characters.
     Null labels and ids without a text teach nothing; several labels of an id
     count once.  A null or empty text has no windows and gets the score of no
-    gains.  Repeated rows get the same score; an empty table gives no rows.
+    gains.  Repeated rows get the same score; an empty table gives no rows.  A
+    very long text is scored whole by one task, window after window.
     Other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    model = train(labelled_sample(docs, labels, "toxic", learn, sample, SAMPLE_CHARS))
+    model = train(labelled_sample(docs, labels, "toxic", learn, sample, longest))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
