@@ -63,7 +63,7 @@ def test_join_equals_brute_force(spark, near_rows):
 
 def test_small_blocks_give_the_same(spark, near_rows):
     rows, of_text = jaccard_join.text_classes(docs(spark, near_rows), block=4, block_bytes=3000)
-    got = {r.doc_id: (r.class_id, r.n_links) for r in rows.join(of_text, "text_id").collect()}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in rows.join(of_text, ["k", "l"]).collect()}
     want = brute(near_rows)
     assert got == {i: want[i] for i in got} and len(got) == len(near_rows) - 3
 

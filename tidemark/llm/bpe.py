@@ -91,17 +91,19 @@ def encode(
     )
     step = chunk_chars - overlap
     key = ["doc_id", "digest"]
+
+    def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [batch.column(n) for n in range(3)]
+            for row, text in enumerate(column_of(batch, "text").to_pylist()):
+                starts = range(0, len(text), step)
+                kept = [c.take(pa.array([row] * len(starts))) for c in own]
+                parts = [pa.array([text[s : s + chunk_chars] for s in starts]), pa.array([len(text) <= s + chunk_chars for s in starts])]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(range(len(starts)), pa.int32()), *parts], [*key, "copies", "nth", "text", "at_end"])
+
     chunks = (
-        whole.select(
-            *key, "copies", "text", F.explode(F.sequence(F.lit(0), F.expr(f"cast((length(text) - 1) div {step} AS int)"))).alias("nth")
-        )
-        .select(
-            *key,
-            "copies",
-            "nth",
-            F.expr(f"substring(text, nth * {step} + 1, {chunk_chars})").alias("text"),
-            F.expr(f"length(text) <= nth * {step} + {chunk_chars}").alias("at_end"),
-        )
+        whole.select(*key, "copies", "text")
+        .mapInArrow(chunks_of, "doc_id long, digest string, copies long, nth int, text string, at_end boolean")
         .repartition(*key, "nth")
     )
 

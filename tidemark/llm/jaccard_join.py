@@ -122,7 +122,7 @@ def local_classes(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = least
 
 
-def verify_block(ids: np.ndarray, guest: np.ndarray, sets: list[np.ndarray], first: bool, threshold: float) -> list[tuple[bytes, bytes, int]]:
+def verify_block(ids: np.ndarray, guest: np.ndarray, sets: list[np.ndarray], first: bool, threshold: float) -> list[tuple[int, int, int]]:
     """(id, class, links) of every text of a block and its guests that has links here.
 
     Guests are only compared with the block's own; the own among themselves if ``first``.
@@ -144,9 +144,9 @@ def verify_block(ids: np.ndarray, guest: np.ndarray, sets: list[np.ndarray], fir
         links[:m, m:] = found
     links |= links.T
     n = links.sum(1)
-    rank = np.argsort(np.argsort(ids[order]))  # by number, as ids are bytes
-    label = ids[order][np.argsort(rank)][local_classes(links, rank)]
-    return [(ids[order[k]], label[k], int(n[k])) for k in np.flatnonzero(n)]
+    by_id = np.argsort(ids[order])
+    label = ids[order][by_id][local_classes(links, np.argsort(by_id))]
+    return [(int(ids[order[k]]), int(label[k]), int(n[k])) for k in np.flatnonzero(n)]
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -177,8 +177,9 @@ def connected(edges: DataFrame) -> DataFrame:
     )
 
 
-def text_key() -> Column:
-    return F.unhex(F.md5(F.col("text").cast("binary")))
+def text_key() -> list[Column]:
+    """128 bits of the text, in two numbers."""
+    return [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
 
 
 def parts_of(rows: DataFrame, key: str, block: int, block_bytes: int) -> DataFrame:
@@ -191,30 +192,33 @@ def text_classes(
     docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, most_depth: int = MOST_DEPTH,
     target_recall: float = TARGET_RECALL, block: int = BLOCK, block_bytes: int = BLOCK_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_id) of all rows with words, and (text_id, class, class_id, n_links) of their texts."""
+    """(doc_id, k, l) of all rows with words, and (k, l, class, class_id, n_links, copies) of their texts.
+
+    k and l are 128 bits of the text.  Within, texts go by a number given to each
+    when they are first written.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     depth = prefix_depth(threshold, trees, most_depth, target_recall)
-    texts = docs.select("doc_id", "text").where("text RLIKE '[^ \\\\t-\\\\r]'").withColumn("text_id", text_key())
+    k, l = text_key()  # noqa: E741
+    texts = docs.select("doc_id", "text").where("text RLIKE '[^ \\\\t-\\\\r]'").withColumns({"k": k, "l": l})
 
     def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 grams, doc = shingles(*text_buffers(column_of(part, "text")), words)
                 rows, keys = bucket_keys(grams, doc, trees, depth)
-                ids = column_of(part, "text_id").take(pa.array(np.repeat(rows, trees)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), ids], ["bucket", "id"])
+                ids = [column_of(part, n).take(pa.array(np.repeat(rows, trees))) for n in ("k", "l")]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *ids], ["bucket", "k", "l"])
 
-    nodes = materialise(
-        texts.groupBy("text_id").agg(
-            F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first(F.octet_length("text").cast("long")).alias("bytes")
-        )
+    nodes = texts.groupBy("k", "l").agg(
+        F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max(F.octet_length("text").cast("long")).alias("bytes")
     )
-    buckets = materialise(texts.select("text_id", "text").mapInArrow(bucket_rows, "bucket long, id binary").distinct())
-    least = buckets.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = materialise(buckets.join(least, "bucket"))
-    sizes = nodes.select(F.col("text_id").alias("id"), "bytes")
-    home = shared.groupBy("id").agg(F.min("pivot").alias("home")).join(sizes, "id")
+    nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()))  # fixed once written
+    buckets = materialise(texts.select("k", "l", "text").mapInArrow(bucket_rows, "bucket long, k long, l long").distinct())
+    least = buckets.groupBy("bucket").agg(F.min("k").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = materialise(buckets.join(least, "bucket").join(nodes.select("k", "l", "id", "bytes"), ["k", "l"]).drop("k", "l"))
+    home = shared.groupBy("id", "bytes").agg(F.min("pivot").alias("home"))
     blocks = materialise(
         home.join(parts_of(home, "home", block, block_bytes), "home")
         .select("id", "bytes", F.xxhash64("home", F.pmod(F.xxhash64("id"), "parts")).alias("block"))
@@ -254,34 +258,35 @@ def text_classes(
                 yield pa.RecordBatch.from_arrays([column_of(part, "id"), sets], ["id", "grams"])
 
     # Only one row of each text that has work goes on; all others end at this join.
-    wanted = blocks.join(nodes, blocks["id"] == nodes["text_id"]).select("id", "least")
+    wanted = nodes.join(blocks.select("id"), "id").select("k", "l", "id", "least")
     sets = (
-        texts.join(wanted, (texts["text_id"] == wanted["id"]) & texts["doc_id"].eqNullSafe(wanted["least"]))
+        texts.join(wanted, ["k", "l"])
+        .where(F.col("doc_id").eqNullSafe(F.col("least")))
         .select("id", "text")
-        .mapInArrow(gram_sets, "id binary, grams array<long>")
+        .mapInArrow(gram_sets, "id long, grams array<long>")
     )
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[bytes, bytes, int]] = []
+        out: list[tuple[int, int, int]] = []
         for (_, part), group in rows.drop_duplicates(["block", "part", "id"]).groupby(["block", "part"], sort=False):
             ids, guest = group["id"].to_numpy(), group["guest"].to_numpy(bool)
             out += verify_block(ids, guest, group["grams"].tolist(), part == 0, threshold)
-        return pd.DataFrame(out, columns=["id", "root", "n"])
+        return pd.DataFrame(out, columns=["id", "root", "n"]).astype("int64")
 
     found = materialise(
         work.drop("bytes")
         .join(sets, "id")
         .groupBy(F.pmod(F.xxhash64("block", "part"), F.lit(bins)).alias("bin"))
-        .applyInPandas(verify, "id binary, root binary, n long")
+        .applyInPandas(verify, "id long, root long, n long")
     )
-    links = found.groupBy("id").agg(F.sum("n").alias("n_links")).withColumnRenamed("id", "text_id")
-    roots = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "text_id")
-    classed = nodes.join(roots, "text_id", "left").withColumn("class", F.coalesce("root", "text_id"))
+    links = found.groupBy("id").agg(F.sum("n").alias("n_links"))
+    roots = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    classed = nodes.join(roots, "id", "left").withColumn("class", F.coalesce("root", "id"))
     first = classed.groupBy("class").agg(F.min("least").alias("class_id"))
-    of_text = classed.join(first, "class").join(links, "text_id", "left").select(
-        "text_id", "class", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies"
+    of_text = classed.join(first, "class").join(links, "id", "left").select(
+        "k", "l", "class", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies"
     )
-    return texts.select("doc_id", "text_id"), of_text
+    return texts.select("doc_id", "k", "l"), of_text
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -299,7 +304,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     A very long text is worked on by one task at a time.  Other columns are ignored.
     """
     rows, of_text = text_classes(docs, threshold, words)
-    found = rows.join(of_text, "text_id").select("doc_id", "class_id", "n_links", F.col("copies").alias("n_copies"))
+    found = rows.join(of_text, ["k", "l"]).select("doc_id", "class_id", "n_links", F.col("copies").alias("n_copies"))
     blank = docs.where("text IS NULL OR NOT text RLIKE '[^ \\\\t-\\\\r]'")
     alone = blank.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return found.unionByName(alone)
@@ -311,12 +316,13 @@ def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, words: int
     Of rows that repeat id and text one stays.  Edge cases as in near_duplicates.
     """
     rows, of_text = text_classes(docs, threshold, words)
-    # Of texts that share the least id, the one with the least text_id leads its class.
-    leads = rows.join(of_text, "text_id").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    t, d, key, nth = fresh(docs, "t", "d", "text_id", "nth")
-    leads = leads.groupBy("class").agg(F.min(F.struct("text_id", "doc_id")).alias("lead")).select("lead.*").toDF(t, d)
-    kept = docs.withColumn(key, text_key()).join(leads, (F.col(key) == F.col(t)) & F.col("doc_id").eqNullSafe(F.col(d)))
-    same = Window.partitionBy(t, d).orderBy(t)
+    # Of texts that share the least id, the one with the least digest leads its class.
+    leads = rows.join(of_text, ["k", "l"]).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    t, u, d, k, l, nth = fresh(docs, "t", "u", "d", "k", "l", "nth")  # noqa: E741
+    leads = leads.groupBy("class").agg(F.min(F.struct("k", "l", "doc_id")).alias("lead")).select("lead.*").toDF(t, u, d)
+    keyed = docs.withColumns(dict(zip((k, l), text_key(), strict=True)))
+    kept = keyed.join(leads, (F.col(k) == F.col(t)) & (F.col(l) == F.col(u)) & F.col("doc_id").eqNullSafe(F.col(d)))
+    same = Window.partitionBy(t, u, d).orderBy(t)
     kept = kept.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*docs.columns)
     return kept.unionByName(docs.where("text IS NULL OR NOT text RLIKE '[^ \\\\t-\\\\r]'"))
 
