@@ -126,3 +126,19 @@ def test_exact_stream_deals_a_customer_by_day(spark, tmp_path):
     assert len(got) == 60 and [(a, b, float(c)) for a, b, c in got] == [(a, b, float(c)) for a, b, c in want]
     states = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress)
     assert states > 1  # not one group a customer
+
+
+def test_sounds_find_what_pieces_miss(spark):
+    parties = spark.createDataFrame([("Robert",), ("Zoe",)], "party string")
+    entries = spark.createDataFrame([(1, "Rupert", None), (2, "Anna", None)], "entry_id long, name string, aliases array<string>")
+    assert screening.fuzzy_screen(parties, entries).count() == 0
+    got = screening.fuzzy_screen(parties, entries, use_soundex=True).collect()
+    assert [(r.party, r.entry_id, r.similarity) for r in got] == [("robert", 1, 0.666667)]
+
+
+def test_pages_by_key_are_those_by_offset(spark):
+    t = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(i, "OPEN", "HIGH", "a", datetime(2024, 1, 1 + i % 3)) for i in range(30)], "case_id long, status string, priority string, assigned_to string, created_at timestamp")
+    first = cases.list_cases(rows, limit=7).collect()
+    after = cases.list_cases(rows, limit=7, before=(first[-1].created_at, first[-1].case_id)).collect()
+    assert after == cases.list_cases(rows, limit=7, offset=7).collect() and first[0].created_at > t

@@ -71,8 +71,12 @@ def score_rules(tx: DataFrame, variant: str = "service") -> DataFrame:
     age of 0 or null counts as 365.  ``variant="browser"`` adds the rule on
     politically exposed persons.
     """
-    factors, alerts = [], []
-    for code, hit, points, severity, category, description, alert in rule_list(variant):
+    factors, alerts, tests = [], [], {}
+    total = F.lit(0)
+    for code, test, points, severity, category, description, alert in rule_list(variant):
+        tests[f"_is_{code}"] = test  # tested once, read where factor, alert and points need it
+        hit = F.col(f"_is_{code}")
+        total = total + F.when(hit, points).otherwise(0)
         factor = F.struct(
             F.lit(code).alias("code"), description.alias("description"), F.lit(severity).alias("severity"),
             F.lit(points).alias("score"), F.lit(category).alias("category"),
@@ -84,16 +88,15 @@ def score_rules(tx: DataFrame, variant: str = "service") -> DataFrame:
                 F.when(hit, F.struct(F.lit(kind).alias("alert_type"), F.lit(worst).alias("severity"), F.lit(title).alias("title"),
                                      F.lit(code).alias("factor"), F.lit(confidence).alias("confidence")))
             )
-    total = F.aggregate("factors", F.lit(0), lambda a, f: a + f["score"])
     score = F.col("risk_score")
     action = F.when(score >= 75, "BLOCK").when(score >= 50, "ESCALATE").when(score >= 30, "REVIEW").otherwise("APPROVE")
     steps = F.lit(None).cast("array<string>")
     for name, what in NEXT_STEPS.items():
         steps = F.when(F.col("action") == name, texts(what)).otherwise(steps)
     return (
-        tx.withColumn("factors", present(*factors))
-        .withColumn("alerts", present(*alerts))
-        .withColumn("risk_score", F.least(F.lit(100), total))
+        tx.withColumns(tests)
+        .withColumns({"factors": present(*factors), "alerts": present(*alerts), "risk_score": F.least(F.lit(100), total)})
+        .drop(*tests)
         .withColumns(
             {
                 "risk_level": F.when(score >= 80, "CRITICAL").when(score >= 60, "HIGH").when(score >= 40, "MEDIUM").otherwise("LOW"),

@@ -104,16 +104,17 @@ UNIQUE = "seq * 100000 + CAST(substr(sar_reference, 4) AS INT)"
     f"f AS (SELECT case_id, {last_value(STATUS)} AS s, "
     f"{last_value(PRIORITY)} AS p, "
     f"{last_value(ASSIGNED)} AS a, "
+    f"{last_value("(CASE WHEN kind = 'file_sar' THEN sar_reference END)")} AS ref, "
     f"max({CLOSED}) AS c, max(ts) AS u, max(CASE WHEN kind = 'file_sar' THEN ts END) AS filed FROM ev GROUP BY case_id) "
     "SELECT c.case_id, coalesce(s, status) AS status, coalesce(p, priority) AS priority, coalesce(a, assigned_to) AS assigned_to, "
     "strftime(coalesce(f.c, closed_at), '%Y-%m-%d %H:%M:%S') AS closed_at, strftime(greatest(updated_at, u), '%Y-%m-%d %H:%M:%S') AS updated_at, "
-    "filed IS NOT NULL AS sar_filed FROM cases c LEFT JOIN f ON c.case_id = f.case_id"
+    "filed IS NOT NULL AS sar_filed, strftime(filed, '%Y-%m-%d %H:%M:%S') AS sar_filed_at, ref AS sar_reference FROM cases c LEFT JOIN f ON c.case_id = f.case_id"
 )
 def case_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = line_events(spark, sf_dir).withColumn("seq", F.expr(UNIQUE))
     made = order_cases(spark, sf_dir).drop("sar_filed_at")
     return cases.case_state(made, events).select(
-        "case_id", "status", "priority", "assigned_to", stamp("closed_at"), stamp("updated_at"), "sar_filed"
+        "case_id", "status", "priority", "assigned_to", stamp("closed_at"), stamp("updated_at"), "sar_filed", stamp("sar_filed_at"), "sar_reference"
     )
 
 

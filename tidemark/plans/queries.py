@@ -501,24 +501,34 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {ASSESS_SQL} SELECT concat('SAR-', upper(left(sha256(concat(CAST(tx_id AS STRING), '|{AS_OF}')), 12))) AS sar_id, tx_id, "
+    f"WITH {ALERT_ROWS_SQL}, at AS (SELECT tx_id, string_agg(description, ', ' ORDER BY a, b) AS texts FROM al GROUP BY tx_id) SELECT concat('SAR-', upper(left(sha256(concat(CAST(tx_id AS STRING), '|{AS_OF}')), 12))) AS sar_id, tx_id, "
     "concat('Transaction Amount: $', format('{:,.2f}', CAST(amount AS DOUBLE)), chr(10), 'Origin: ', coalesce(origin_country, 'Unknown'), chr(10), 'Destination: ', "
     "destination_country, chr(10), 'Risk Score: ', risk_score, '/100', chr(10), 'Risk Level: ', risk_level) AS case_summary, "
-    "concat('Customer Name: ', customer_name, chr(10), 'Account Age: ', account_age_days, ' days') AS subject_info "
-    "FROM assessed WHERE reporting_status = 'SAR_GENERATED'"
+    "concat('Customer Name: ', customer_name, chr(10), 'Account Age: ', account_age_days, ' days') AS subject_info, "
+    "concat('Risk Factors: ', replace(risk_factors, ',', ', '), chr(10), 'Alerts: ', coalesce(texts, ''), chr(10), 'PEP Status: ', pep_status, chr(10), "
+    "'Sanctions Hits: ', replace(sanction_parties, ',', ', ')) AS activity_details FROM assessed LEFT JOIN at USING (tx_id) WHERE reporting_status = 'SAR_GENERATED'"
 )
 def sar_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.sar_report(assessed(spark, sf_dir), AS_OF).drop("activity_details")
+    return scoring.sar_report(assessed(spark, sf_dir), AS_OF)
 
 
 @query(
-    f"WITH {ASSESS_SQL} SELECT customer_id, max(risk_score) AS overall_score, list_extract(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], max(CASE risk_level WHEN 'LOW' "
+    f"WITH {ASSESS_SQL}, cf AS (SELECT customer_id, string_agg(DISTINCT f, ',' ORDER BY f) AS factors FROM (SELECT customer_id, unnest(string_split(risk_factors, ',')) AS f "
+    "FROM assessed WHERE risk_factors <> '') GROUP BY customer_id), pr AS (SELECT customer_id, max(risk_score) AS overall_score, list_extract(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], max(CASE risk_level WHEN 'LOW' "
     "THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END)) AS overall_level, max(CASE WHEN std THEN geo_score END)::INT AS max_geo_score, "
-    "max(transactions_in_24h) AS peak_count FROM assessed GROUP BY customer_id"
+    "max(CASE WHEN std THEN behavior_score END)::INT AS max_behavior_score, max(CASE WHEN entry_route = 'CRYPTO_PATH' THEN crypto_points END)::INT AS max_crypto_score, "
+    "max(transactions_in_24h) AS peak_count, CAST(max(daily_volume) AS DECIMAL(28,4)) AS peak_volume, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_assessed "
+    "FROM assessed GROUP BY customer_id) SELECT pr.*, coalesce(factors, '') AS factors, strftime(DATE '1999-06-15' + CASE overall_level WHEN 'LOW' THEN 90 "
+    "WHEN 'MEDIUM' THEN 30 WHEN 'HIGH' THEN 7 ELSE 1 END, '%Y-%m-%d') AS next_review FROM pr LEFT JOIN cf USING (customer_id)"
 )
 def risk_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = dashboard.customer_risk_profiles(assessed(spark, sf_dir), AS_OF)
-    return df.select("customer_id", "overall_score", "overall_level", "max_geo_score", F.col("velocity")["peak_count_24h"].cast("long").alias("peak_count"))
+    return df.select(
+        "customer_id", "overall_score", "overall_level", "max_geo_score", "max_behavior_score", "max_crypto_score",
+        F.col("velocity")["peak_count_24h"].cast("long").alias("peak_count"), F.col("velocity")["peak_volume_24h"].cast("decimal(28,4)").alias("peak_volume"),
+        F.date_format("last_assessed", "yyyy-MM-dd HH:mm:ss").alias("last_assessed"), joined("risk_factors").alias("factors"),
+        F.date_format("next_review", "yyyy-MM-dd").alias("next_review"),
+    )
 
 
 @query(
@@ -596,6 +606,14 @@ def shared_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.shared_attributes(transactions(spark, sf_dir), "sender_account")
 
 
+@query(
+    f"WITH {TX_SQL}, m AS (SELECT DISTINCT sender_account, customer_id FROM tx WHERE sender_account IS NOT NULL) SELECT sender_account, customer_id, entities "
+    "FROM m JOIN (SELECT sender_account, count(*) AS entities FROM m GROUP BY 1) USING (sender_account) WHERE entities >= 2"
+)
+def account_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.shared_members(transactions(spark, sf_dir), "sender_account")
+
+
 @query(
     f"WITH {TX_SQL} SELECT document_list AS document, count(*) AS transactions, CAST(sum(amount) AS DECIMAL(28,4)) AS total, min(tx_id) AS first_tx, max(tx_id) AS last_tx "
     "FROM tx WHERE document_list <> '' GROUP BY 1 HAVING count(*) >= 2"
