@@ -501,12 +501,12 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {ALERT_ROWS_SQL}, at AS (SELECT tx_id, string_agg(description, ', ' ORDER BY a, b) AS texts FROM al GROUP BY tx_id) SELECT concat('SAR-', upper(left(sha256(concat(CAST(tx_id AS STRING), '|{AS_OF}')), 12))) AS sar_id, tx_id, "
+    f"WITH {ALERT_ROWS_SQL}, told AS (SELECT tx_id, string_agg(description, ', ' ORDER BY a, b) AS texts FROM al GROUP BY tx_id) SELECT concat('SAR-', upper(left(sha256(concat(CAST(tx_id AS STRING), '|{AS_OF}')), 12))) AS sar_id, tx_id, "
     "concat('Transaction Amount: $', format('{:,.2f}', CAST(amount AS DOUBLE)), chr(10), 'Origin: ', coalesce(origin_country, 'Unknown'), chr(10), 'Destination: ', "
     "destination_country, chr(10), 'Risk Score: ', risk_score, '/100', chr(10), 'Risk Level: ', risk_level) AS case_summary, "
     "concat('Customer Name: ', customer_name, chr(10), 'Account Age: ', account_age_days, ' days') AS subject_info, "
     "concat('Risk Factors: ', replace(risk_factors, ',', ', '), chr(10), 'Alerts: ', coalesce(texts, ''), chr(10), 'PEP Status: ', pep_status, chr(10), "
-    "'Sanctions Hits: ', replace(sanction_parties, ',', ', ')) AS activity_details FROM assessed LEFT JOIN at USING (tx_id) WHERE reporting_status = 'SAR_GENERATED'"
+    "'Sanctions Hits: ', replace(sanction_parties, ',', ', ')) AS activity_details FROM assessed LEFT JOIN told USING (tx_id) WHERE reporting_status = 'SAR_GENERATED'"
 )
 def sar_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.sar_report(assessed(spark, sf_dir), AS_OF)
