@@ -74,4 +74,4 @@ def test_clusters_equal_union_find(spark):
 def test_the_windows_shuffle_once_and_by_customer_and_day(spark):
     plan = velocity_24h(tx(spark, {}))._jdf.queryExecution().executedPlan().toString()
     shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    assert len(shuffles) == 1 and "customer_id" in shuffles[0] and "_day" in shuffles[0]
+    assert len(shuffles) == 1 and "(customer_id#" in shuffles[0] and ", day#" in shuffles[0]
