@@ -162,3 +162,48 @@ def again(keys: np.ndarray, text: np.ndarray, first_too: bool) -> np.ndarray:
     if first_too:
         out[order[:-1][same]] = True
     return out
+
+
+def byte_characters() -> list[str]:
+    """The characters that stand for the bytes 0 to 255 in byte-level vocabularies.
+
+    Printable Latin-1 characters stand for themselves, the others for the characters from 256 on.
+    """
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each stretch, one stretch after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+class Pieces:
+    """Arrays of different lengths in one flat array that grows."""
+
+    def __init__(self, kind: type) -> None:
+        self.flat, self.starts, self.lengths = np.zeros(1024, kind), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.values = self.count = 0
+
+    def __len__(self) -> int:
+        return self.count
+
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        """Append pieces of these lengths that lie in values one after the other."""
+        values_then, count_then = self.values + len(values), self.count + len(lengths)
+        if values_then > len(self.flat):
+            self.flat = np.append(self.flat[: self.values], np.zeros(2 * values_then - self.values, self.flat.dtype))
+        if count_then > len(self.starts):
+            more = np.zeros(2 * count_then - self.count, np.int64)
+            self.starts, self.lengths = np.append(self.starts[: self.count], more), np.append(self.lengths[: self.count], more)
+        self.flat[self.values : values_then] = values
+        self.starts[self.count : count_then] = self.values + np.cumsum(lengths) - lengths
+        self.lengths[self.count : count_then] = lengths
+        self.values, self.count = values_then, count_then
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of these numbers one after the other, and their lengths."""
+        lengths = self.lengths[numbers]
+        return self.flat[gathered(self.starts[numbers], lengths)], lengths

@@ -19,6 +19,7 @@ from . import (
     substring_dedup,
     token_counts,
     toxicity,
+    word_bpe,
 )
 from .common import fold_remainder, table
 
@@ -81,6 +82,10 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder == 0).alias("held_out"), "score", "predicted")
 
 
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_decontamination,
         op10_quality_crf,
+        op12_word_bpe,
     )
 }
 
