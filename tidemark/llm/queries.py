@@ -17,6 +17,7 @@ from . import (
     quality_rules,
     sharding,
     substring_dedup,
+    token_alignment,
     token_counts,
     toxicity,
     word_bpe,
@@ -82,6 +83,11 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.audit(table(spark, sf_dir, "documents"), a, b, public_tokenizers.PATTERN)
+
+
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_decontamination,
         op10_quality_crf,
+        op11_token_alignment,
         op12_word_bpe,
     )
 }
