@@ -16,6 +16,7 @@ from . import (
     quality_crf,
     quality_rules,
     sharding,
+    source_divergence,
     substring_dedup,
     token_alignment,
     token_counts,
@@ -92,6 +93,10 @@ def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -107,7 +112,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_crf,
         op11_token_alignment,
         op12_word_bpe,
+        op13_source_divergence,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": jaccard_join.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op8_quality_rules": quality_rules.ORACLE_SQL,
+    "op13_source_divergence": source_divergence.ORACLE_SQL,
+}
