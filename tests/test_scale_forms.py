@@ -2,10 +2,12 @@
 
 import math
 import random
+import time
 from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import network, screening, trade, validate
 from tidemark.operators.velocity import velocity_24h
@@ -50,6 +52,48 @@ def test_velocity_equals_brute_force(spark, direction):
             assert r.sd_amount is None
 
 
+def hot_day(spark, n):
+    """n rows of one customer on one day, about two an instant, amounts that go up and down."""
+    return spark.range(n).select(
+        F.col("id").alias("tx_id"), F.lit(1).cast("long").alias("customer_id"),
+        F.timestamp_micros(F.lit(1_700_006_400_000_000) + F.floor(F.pmod(F.col("id") * 7919, F.lit(n)) / 2).cast("long") * (86_400_000_000 // n * 2)).alias("ts"),
+        (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 100).cast("decimal(18,2)").alias("amount"),
+    )
+
+
+def test_a_hot_day_is_many_groups_and_linear_work(spark):
+    n = 1_000_000
+    took = {}
+    for size in (n // 10, n):
+        began = time.perf_counter()
+        got = velocity_24h(hot_day(spark, size)).agg(F.sum("transactions_in_24h"), F.sum("daily_volume"), F.sum("min_amount"), F.sum("max_amount")).first()
+        took[size] = time.perf_counter() - began
+    rows = sorted((r.ts, r.amount) for r in hot_day(spark, n).collect())
+    counts = volumes = least = most = 0
+    running, low, high, at = Decimal(0), Decimal("inf"), Decimal("-inf"), 0
+    while at < len(rows):
+        to = at
+        while to < len(rows) and rows[to][0] == rows[at][0]:
+            running, low, high, to = running + rows[to][1], min(low, rows[to][1]), max(high, rows[to][1]), to + 1
+        peers = to - at
+        counts, volumes, least, most, at = counts + peers * to, volumes + peers * running, least + peers * low, most + peers * high, to
+    assert tuple(got) == (counts, volumes, least, most)
+    assert took[n] < 20 * took[n // 10] + 10  # a quadratic frame takes 100 times as long
+    grouped = velocity_24h(hot_day(spark, 1000)).withColumn("part", F.spark_partition_id()).select("part").distinct().count()
+    assert grouped > 1
+
+
+@pytest.mark.parametrize("slices", [1, 2, 1440])
+@pytest.mark.parametrize("direction", ["backward", "both"])
+def test_slices_change_nothing(spark, direction, slices):
+    _, df = ledger(spark, 4, 120)
+    columns = ["tx_id", "transactions_in_24h", "daily_volume", "min_amount", "max_amount", "all_in_band"]
+    df = df.withColumn("customer_id", F.when(F.col("customer_id") > 0, F.col("customer_id")))  # a null customer is one, too
+    want = velocity_24h(df, direction).select(columns).collect()
+    assert max(r.transactions_in_24h for r in want) > 3
+    assert sorted(want) == sorted(velocity_24h(df, direction, slices=slices).select(columns).collect())
+
+
 @pytest.mark.parametrize("ascending", [False, True])
 def test_cycles_equal_brute_force(spark, ascending):
     rng = random.Random(3)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed
 from tidemark.functions.arrays import contains_any, or_empty, present
 
+from .checkpoints import written
+
 #: Entries up to which a watchlist is compared with every distinct name.
-SMALL_LIST = 2000
+SMALL_LIST = 200
+#: Characters of names, and of entries, that one automaton holds.
+BLOCK_CHARS = 1 << 20
 
 
 def watched(spark: SparkSession) -> DataFrame:
@@ -17,14 +23,80 @@ def watched(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(fixed.WATCHED_ENTITIES)), "position int, entry string")
 
 
-def first_entries(parties: DataFrame, watchlist: DataFrame) -> DataFrame:
-    """name (lower case) and m (position, entry) of the distinct party names that match a watchlist entry."""
-    if watchlist.limit(SMALL_LIST + 1).count() > SMALL_LIST:
-        raise ValueError(f"over {SMALL_LIST} entries: screen them with fuzzy_screen")
-    names = parties.select(F.lower("party").alias("name")).distinct()
-    entries = F.broadcast(watchlist.select("position", F.lower("entry").alias("entry")))
-    either = F.contains("name", F.col("entry")) | F.contains(F.col("entry"), F.col("name"))
-    return names.join(entries, either).groupBy("name").agg(F.min(F.struct("position", "entry")).alias("m"))
+def list_entries(watchlist: DataFrame) -> DataFrame:
+    """position, entry of a watchlist (entry_id, name, aliases): names and aliases, in the order of the ids."""
+    names = F.concat(F.array("name"), or_empty("aliases"))
+    return watchlist.select(F.col("entry_id").alias("position"), F.explode(names).alias("entry"))
+
+
+def first_entries(parties: DataFrame, watchlist: DataFrame, small_list: int = SMALL_LIST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """name (lower case) and m (position, entry) of the distinct party names that match a watchlist entry.
+
+    Either is part of the other; the first in list order counts, of equal positions
+    the first text.  Null names and entries match nothing.  A list of up to
+    ``small_list`` rows is broadcast and compared with every name.  A longer one
+    is dealt into blocks and the names into shards, each of about ``block_chars``
+    characters; every shard meets every block once, and both are searched with
+    an Aho-Corasick automaton of the other.
+    """
+    names = parties.select(F.lower("party").alias("name")).where("name IS NOT NULL").distinct()
+    entries = watchlist.select("position", F.lower("entry").alias("entry")).where("entry IS NOT NULL")
+    if watchlist.limit(small_list + 1).count() <= small_list:
+        either = F.contains("name", F.col("entry")) | F.contains(F.col("entry"), F.col("name"))
+        found = names.join(F.broadcast(entries), either)
+    else:
+        found = found_by_automata(names, entries, block_chars)
+    return found.groupBy("name").agg(F.min(F.struct("position", "entry")).alias("m"))
+
+
+def found_by_automata(names: DataFrame, entries: DataFrame, block_chars: int) -> DataFrame:
+    """name, position, entry: each name's first entry of each block of the list."""
+    names = written(names)
+    entries = written(entries.groupBy("entry").agg(F.min("position").alias("position")))
+
+    def parts(df: DataFrame, column: str) -> int:
+        chars = df.agg(F.sum(F.length(column).cast("long") + 1)).first()[0] or 0
+        return max(1, -(-chars // block_chars))
+
+    shards, blocks = parts(names, "name"), parts(entries, "entry")
+
+    def every(n: int) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    shard, block = F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("entry"), F.lit(blocks)).cast("int")
+    dealt_names = names.select("name", shard.alias("shard"), every(blocks).alias("block"))
+    dealt_entries = entries.select("position", "entry", block.alias("block"), every(shards).alias("shard"))
+    kind = entries.schema["position"].dataType.simpleString()
+    together = dealt_names.groupBy("shard", "block").cogroup(dealt_entries.groupBy("shard", "block"))
+    return together.applyInArrow(first_of_block, f"name string, position {kind}, entry string")
+
+
+def first_of_block(names: pa.Table, entries: pa.Table) -> pa.Table:
+    """Names with an entry that they hold or that holds them, and the first such entry."""
+    entries = entries.select(["position", "entry"]).sort_by([("position", "ascending"), ("entry", "ascending")])
+    texts, parties = entries["entry"].to_pylist(), names["name"].to_pylist()
+    none = len(texts)
+    first = [none] * len(parties)
+    for words, searched, in_names in (texts, parties, True), (parties, texts, False):
+        automaton = ahocorasick.Automaton()
+        for k, word in enumerate(words):
+            if word:
+                automaton.add_word(word, k)
+            elif in_names:  # the empty text is part of everything
+                first = [min(f, k) for f in first]
+            elif none:
+                first[k] = 0
+        if not len(automaton):
+            continue
+        automaton.make_automaton()
+        for k, text in enumerate(searched):
+            for _, found in automaton.iter(text):
+                name, entry = (k, found) if in_names else (found, k)
+                if entry < first[name]:
+                    first[name] = entry
+    hit = [k for k, f in enumerate(first) if f < none]
+    found = entries.take(pa.array([first[k] for k in hit], pa.int64()))
+    return pa.table([names["name"].take(pa.array(hit, pa.int64())), found["position"], found["entry"]], ["name", "position", "entry"])
 
 
 def sanctions_screen(tx: DataFrame, watchlist: DataFrame, min_len: int = 0) -> DataFrame:
@@ -34,8 +106,7 @@ def sanctions_screen(tx: DataFrame, watchlist: DataFrame, min_len: int = 0) -> D
     of several entries the first in list order counts.  An empty party is part
     of everything: ``min_len`` keeps short parties out.
 
-    Distinct names only meet the list, which must be small (it is counted);
-    long lists go through fuzzy_screen.
+    Distinct names only meet the list, which may be of any length (first_entries).
     """
     parties = tx.select("tx_id", F.posexplode(or_empty("parties")).alias("nth", "party")).where(F.length("party") >= min_len)
     hits = parties.join(first_entries(parties, watchlist), F.lower("party") == F.col("name"))

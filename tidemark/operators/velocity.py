@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_MICROS = 86_400_000_000
+#: Parts of a day that are groups of their own.
+SLICES = 48
 
 
-def velocity_24h(tx: DataFrame, direction: str = "backward", band: tuple[int, int] = (9000, 10000)) -> DataFrame:
+def velocity_24h(tx: DataFrame, direction: str = "backward", band: tuple[int, int] = (9000, 10000), slices: int = SLICES) -> DataFrame:
     """tx with recent_count, transactions_in_24h, daily_volume, the amounts' mean, sd, least and most, and all_in_band.
 
     all_in_band says that there are amounts and each is from the first of
@@ -20,14 +22,17 @@ def velocity_24h(tx: DataFrame, direction: str = "backward", band: tuple[int, in
 
     A frame reaches one day at most, so a customer's rows are dealt out by
     (customer, day), with copies of each row in the neighbouring days it can be
-    seen from.  A customer with very many rows so is many groups, not one, and
-    results are as with one window a customer.
-
-    Counts, volumes, means and deviations are differences of running sums: a row
-    is an event where it comes into view and, in the day after, one where it goes
-    out of view.  Their work is in proportion to the rows, however many fall into
-    24 hours; only the least and the most amount, where they are asked for, go
-    through the whole frame.  Rows without an amount count but add nothing.
+    seen from.  A row is an event where it comes into view and, in the day after,
+    one where it goes out of view.  Counts, volumes, means and deviations are
+    running sums of events.  The least and the most amount in view are those of
+    the events that came in so far and of those that have yet to go out: running
+    minima from either end of the day.  So every row is constant work, however
+    many fall into 24 hours.
+
+    A day is cut into ``slices``, each a group of its own.  What the slices before
+    and after hold is summed up first, a row a slice, and carried into the slice,
+    so a customer's day is spread over many tasks; only rows of one instant must meet.
+    Rows without an amount count but add nothing.
     """
     day = F.floor(F.unix_micros("ts") / DAY_MICROS).cast("long")
     both = direction != "backward"
@@ -41,32 +46,58 @@ def velocity_24h(tx: DataFrame, direction: str = "backward", band: tuple[int, in
     events = [event(1, at - upper, 1, False), event(1, at + DAY_MICROS, -1, False)]
     events += [event(0, at - upper, 1, False), event(0, at, 0, True), event(-1, at - upper, 1, False)] if both else [event(0, at, 1, True)]
     alone = F.array(event(0, F.lit(None).cast("long"), 1, True))
-    kept = F.struct(*(F.col(c) for c in tx.columns))
-    dealt = tx.select("customer_id", "amount", kept.alias("row"), day.alias("day"), F.xxhash64("tx_id").alias("spread"), F.explode(F.when(timed, F.array(*events)).otherwise(alone)).alias("e")).select(
-        "customer_id",
-        F.coalesce(F.col("day") + F.col("e.near"), F.col("spread")).alias("day"),  # rows without a time are spread
-        "amount", F.when(F.col("e.asks"), F.col("row")).alias("row"), "e.time", "e.change", "e.asks",
-    )
-    group = Window.partitionBy("customer_id", "day").orderBy("time")
-    running = group.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    frame = group.rangeBetween(-(DAY_MICROS - 1) - upper, Window.currentRow)  # by when a row comes into view
+
+    def dealt(kept: list[Column]) -> DataFrame:
+        spread = tx.select("customer_id", "amount", *kept, day.alias("day"), F.xxhash64("tx_id").alias("spread"), F.explode(F.when(timed, F.array(*events)).otherwise(alone)).alias("e"))
+        spread = spread.withColumn("day", F.coalesce(F.col("day") + F.col("e.near"), F.col("spread")))  # rows without a time are spread
+        # Events before the day belong to its first slice.
+        part = F.floor((F.col("e.time") - F.col("day") * DAY_MICROS) / (DAY_MICROS // slices)).cast("int")
+        asked = [F.when(F.col("e.asks"), F.col("row")).alias("row")] if kept else []
+        return spread.select(
+            F.struct("customer_id").alias("who"), "day", F.coalesce(F.greatest(part, F.lit(0)), F.lit(0)).alias("slice"), "amount", *asked,
+            "e.time", "e.change", "e.asks", ((F.col("e.near") <= 0) & (F.col("e.change") > 0)).alias("enters"),
+        )
+
     amount, change = F.col("amount"), F.col("change")
-    entering = F.when(change == 1, amount)
+    inside = ((amount >= band[0]) & (amount < band[1])).cast("long")
+    sums = {
+        "n_seen": change.cast("long"), "n_known": amount.isNotNull().cast("long") * change, "volume": amount * change,
+        "squares": amount * amount * change, "n_inside": F.coalesce(inside, F.lit(0)) * change,
+    }
+    came, stays = F.when(F.col("enters"), amount), F.when(change < 0, amount)
+
+    key = ["who", "day", "slice"]  # a struct of a null is a key like others
+    totals = dealt([]).groupBy(*key).agg(
+        *(F.sum(v).alias(n) for n, v in sums.items()), F.min(came).alias("came_least"), F.max(came).alias("came_most"), F.min(stays).alias("stays_least"), F.max(stays).alias("stays_most")
+    )
+    in_day = Window.partitionBy("who", "day").orderBy("slice")
+    before, after = in_day.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("who", "day").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        *key, *(F.sum(n).over(before).alias(f"carried_{n}") for n in sums),
+        F.min("came_least").over(before).alias("carried_came_least"), F.max("came_most").over(before).alias("carried_came_most"),
+        F.min("stays_least").over(after).alias("carried_stays_least"), F.max("stays_most").over(after).alias("carried_stays_most"),
+    )
+    rows = dealt([F.struct(*(F.col(c) for c in tx.columns)).alias("row")])
+    rows = rows.join(carried, key, "left")
+
+    group = Window.partitionBy(*key)
+    running = group.orderBy("time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    later = group.orderBy(F.desc("time")).rangeBetween(Window.unboundedPreceding, -1)
 
-    def total(value: Column) -> Column:
-        return F.coalesce(F.sum(value * change).over(running), F.lit(0))
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(sums[name]).over(running), F.lit(0)) + F.coalesce(F.col(f"carried_{name}"), F.lit(0))
 
     kind = tx.select(F.sum("amount").alias("s")).schema["s"].dataType
     n, s, ss = F.col("known"), F.col("volume").cast("double"), F.col("squares").cast("double")
-    seen = dealt.withColumns(
+    seen = rows.withColumns(
         {
-            "transactions_in_24h": F.sum(change).over(running).cast("long"),
-            "known": total(amount.isNotNull().cast("long")),
-            "volume": total(amount),
-            "squares": total(amount * amount),
-            "inside": total(F.when((amount >= band[0]) & (amount < band[1]), 1).otherwise(0)),
-            "least": F.min(entering).over(frame),
-            "most": F.max(entering).over(frame),
+            "transactions_in_24h": total("n_seen").cast("long"),
+            "known": total("n_known"),
+            "volume": total("volume"),
+            "squares": total("squares"),
+            "inside": total("n_inside"),
+            "least": F.least(F.min(came).over(running), "carried_came_least", F.min(stays).over(later), "carried_stays_least"),
+            "most": F.greatest(F.max(came).over(running), "carried_came_most", F.max(stays).over(later), "carried_stays_most"),
         }
     ).where("asks")
     is_timed = F.col("time").isNotNull()

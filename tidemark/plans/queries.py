@@ -329,6 +329,35 @@ def sanctions_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.sanctions_screen(transactions(spark, sf_dir), screening.watched(spark))
 
 
+#: A list as long as the table of parts, with aliases, and parties that hold an entry, are part of one, are one, or are neither.
+LONG_LIST = {
+    "entry_id": "(p_partkey * 7919) % 1000003", "name": "concat(p_name, ' ', CAST((p_partkey * 7919) % 100003 AS STRING))",
+    "alias": "CASE WHEN p_partkey % 3 = 0 THEN concat(upper(p_brand), '-', CAST(p_partkey AS STRING)) END",
+}
+LONG_PARTY = (
+    "CASE (l_orderkey + l_linenumber) % 8 WHEN 0 THEN concat('The ', p_name, ' ', CAST((p_partkey * 7919) % 100003 AS STRING), ' Ltd') WHEN 1 THEN substr(p_name, 2, 6) "
+    "WHEN 2 THEN concat(p_name, ' ', CAST((p_partkey * 7919) % 100003 AS STRING)) WHEN 3 THEN concat('via ', p_brand, '-', CAST(p_partkey AS STRING)) "
+    "WHEN 4 THEN concat(CAST(p_partkey % 1000 AS STRING), '') WHEN 5 THEN '' ELSE concat('nobody ', CAST(l_orderkey AS STRING)) END"
+)
+LONG_HITS_SQL = f"""wl AS (SELECT {", ".join(f"{e} AS {n}" for n, e in LONG_LIST.items())} FROM part),
+list AS (SELECT entry_id AS position, lower(name) AS entry FROM wl UNION ALL SELECT entry_id, lower(alias) FROM wl WHERE alias IS NOT NULL),
+party AS (SELECT l_orderkey * 10 + l_linenumber AS tx_id, {LONG_PARTY} AS party FROM lineitem JOIN part ON l_partkey = p_partkey),
+names AS (SELECT DISTINCT lower(party) AS name FROM party),
+first AS (SELECT name, min_by(entry, (position, entry)) AS entry FROM names JOIN list ON contains(name, entry) OR contains(entry, name) GROUP BY name)"""
+
+
+@query(
+    f"WITH {LONG_HITS_SQL} SELECT tx_id, 0 AS nth, party, entry, CASE WHEN entry = name THEN 'EXACT' ELSE 'PARTIAL' END AS match_type, "
+    "CASE WHEN entry = name THEN 0.95 ELSE 0.75 END::DOUBLE AS confidence FROM party JOIN first ON lower(party) = name"
+)
+def sanctions_hits_long_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    entries = part.selectExpr(*(f"{e} AS {n}" for n, e in LONG_LIST.items())).select("entry_id", "name", F.array_compact(F.array("alias")).alias("aliases"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    tx = lines.selectExpr("l_orderkey * 10 + l_linenumber AS tx_id", f"array({LONG_PARTY}) AS parties")
+    return screening.sanctions_screen(tx, screening.list_entries(entries))
+
+
 @query(f"WITH {LISTS_SQL}, {HITS_SQL} SELECT tx_id, nth::INT AS nth, party, match_type, confidence FROM chits")
 def country_sanctions_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.country_sanctions_screen(transactions(spark, sf_dir)).drop("entry")
