@@ -1,5 +1,6 @@
 """Operators whose joins and windows are split for scale, against brute force."""
 
+import itertools
 import math
 import random
 import time
@@ -94,26 +95,79 @@ def test_slices_change_nothing(spark, direction, slices):
     assert sorted(want) == sorted(velocity_24h(df, direction, slices=slices).select(columns).collect())
 
 
-@pytest.mark.parametrize("ascending", [False, True])
-def test_cycles_equal_brute_force(spark, ascending):
+def test_cycles_equal_brute_force(spark):
     rng = random.Random(3)
     start = datetime(2024, 1, 1)
     pairs = {(rng.randrange(14), rng.randrange(14)) for _ in range(70)} | {(0, k) for k in range(1, 14)} | {(k, 0) for k in range(1, 14, 2)}
-    e = {p: (Decimal(rng.randrange(100)), start + timedelta(hours=(f := rng.randrange(50))), start + timedelta(hours=f + rng.randrange(20))) for p in sorted(pairs)}
+    e = {p: (Decimal(rng.randrange(100)), start, start) for p in sorted(pairs)}
     df = spark.createDataFrame([(*p, *v) for p, v in e.items()], "src long, dst long, total decimal(18,2), first_ts timestamp, last_ts timestamp")
     want = set()
     for a, b in e:
-        if a < b and (b, a) in e and (not ascending or e[b, a][2] >= e[a, b][1]):
+        if a < b and (b, a) in e:
             want.add((a, b, None, e[a, b][0] + e[b, a][0]))
         for c in range(14):
             if a < b and a < c and b != c and (b, c) in e and (c, a) in e:
-                ab, bc, ca = e[a, b], e[b, c], e[c, a]
-                if not ascending or bc[2] >= ab[1] and ca[2] >= bc[1]:
-                    want.add((a, b, c, ab[0] + bc[0] + ca[0]))
-    got = [tuple(r) for r in network.circular_flows(df, ascending).collect()]
+                want.add((a, b, c, e[a, b][0] + e[b, c][0] + e[c, a][0]))
+    got = [tuple(r) for r in network.circular_flows(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want and any(c is None for *_, c, _ in want) and len(want) > 10
 
 
+def timed_cycles(rows):
+    """Every cycle's best way round, from all choices of a transfer on each edge."""
+    on = {}
+    for s, d, t in rows:
+        if None not in (s, d, t) and s != d:
+            on.setdefault((s, d), []).append(t)
+    accounts = sorted({x for p in on for x in p})
+    out = {}
+    for ring in [*itertools.permutations(accounts, 2), *itertools.permutations(accounts, 3)]:
+        if ring[0] != min(ring):
+            continue
+        ways = []
+        for k in range(len(ring)):
+            turned = ring[k:] + ring[:k]
+            legs = [on.get(p, []) for p in zip(turned, turned[1:] + turned[:1], strict=True)]
+            ends = [w[-1] for w in itertools.product(*legs) if list(w) == sorted(w)]
+            if ends:
+                ways.append((min(ends), turned[0], min(legs[0])))
+        if ways:
+            out[(*ring, None)[:3]] = min(ways)
+    return out
+
+
+IN_TIME = [
+    ([(1, 2, 3), (2, 3, 2), (3, 1, 1)], False),  # each transfer before the one it should follow
+    ([(2, 3, 1), (3, 1, 2), (1, 2, 3)], True),  # starts from an account that isn't the least
+    ([(1, 2, 5), (2, 3, 0), (2, 3, 10), (3, 1, 7)], False),  # first and last times fit in pairs, no way round does
+    ([(1, 2, 5), (2, 3, 0), (2, 3, 10), (3, 1, 3)], True),  # 2 to 3 at 0, 3 to 1 at 3, 1 to 2 at 5
+    ([(1, 2, 4), (2, 3, 4), (3, 1, 4)], True),  # at the same time
+    ([(1, 2, 1), (2, 3, 30), (3, 1, 29), (3, 1, 55)], True),  # over days
+]
+
+
+@pytest.mark.parametrize(("rows", "is_cycle"), IN_TIME)
+def test_cycles_follow_transfers_in_time(spark, rows, is_cycle):
+    assert bool(timed_cycles(rows)) == is_cycle
+    check_timed_cycles(spark, rows)
+
+
+def check_timed_cycles(spark, rows):
+    start = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(s, d, None if t is None else start + timedelta(hours=t), Decimal(1)) for s, d, t in rows], "src long, dst long, ts timestamp, amount decimal(18,2)")
+    got = network.cycles_in_time(df).collect()
+    hours = lambda t: (t - start).total_seconds() / 3600
+    assert {(r.a, r.b, r.c): (hours(r.last_ts), r.start, hours(r.first_ts)) for r in got} == timed_cycles(rows)
+    assert len(got) == len(timed_cycles(rows))
+
+
+def test_cycles_in_time_equal_all_choices_of_transfers(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(8), rng.randrange(8), rng.randrange(200)) for _ in range(110)] + [(None, 1, 5), (1, None, 5), (1, 2, None), (3, 3, 7)]
+    assert len(timed_cycles(rows)) > 15
+    check_timed_cycles(spark, rows)
+    check_timed_cycles(spark, [(0, 1, t) for t in range(0, 300, 7)] + [(1, 0, 100), (1, 2, 200), (2, 0, 5), (2, 0, 293), (2, 0, 294)])
+
+
 def test_a_hub_makes_no_paths_between_its_small_counterparties(spark):
     rows = [(0, k) for k in range(1, 2001)] + [(k + 2000, 0) for k in range(1, 2001)] + [(1, 2001)]
     t = datetime(2024, 1, 1)
