@@ -201,7 +201,7 @@ def edits(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("threshold", [0.67, 0.75, 0.9])
+@pytest.mark.parametrize("threshold", [0.51, 0.6, 0.67, 0.75, 0.9, 1])
 def test_fuzzy_screening_equals_brute_force(spark, threshold):
     rng = random.Random(5)
     names = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 12))).strip() for _ in range(60)} - {""})
@@ -212,6 +212,9 @@ def test_fuzzy_screening_equals_brute_force(spark, threshold):
             at = rng.randrange(len(chars)) if chars else 0
             chars[at : at + 1] = rng.choice([["x"], [], ["y", "z"]])
         near.append("".join(chars).strip())
+    # Repeated letters: all pieces of a name may be spoiled though it is similar.
+    names += ["a" * 12, "ab" * 8, "aab" * 6]
+    near += ["abaaabaaabaa", "ab" * 4 + "ba" * 4, "aab" * 3 + "aba" * 3, "aaabaaacaaad"]
     parties = sorted({p for p in near if p})
     got = {r.party: r.similarity for r in screening.fuzzy_screen(
         spark.createDataFrame([(p,) for p in parties], "party string"),
@@ -220,6 +223,42 @@ def test_fuzzy_screening_equals_brute_force(spark, threshold):
     assert got == {p: s for p, s in best.items() if s >= threshold} and len(got) >= 8
 
 
+def test_similar_pairs_are_all_found_by_pieces_and_by_segments(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 15)))
+    parties, names = sorted({word() for _ in range(120)}), sorted({word() for _ in range(120)})
+    left, right = spark.createDataFrame([(p,) for p in parties], "party string"), spark.createDataFrame([(n,) for n in names], "name string")
+    for threshold in (0.55, 0.75):
+        similar = {(p, n) for p in parties for n in names if round(1 - edits(p, n) / max(len(p), len(n)), 6) >= threshold}
+        found = {tuple(r) for r in screening.pairs_by_segments(left, right, threshold).collect()}
+        assert similar <= found and len(found) < len(parties) * len(names)
+    pieces = screening.pieces_of(left, right, 0.75, 3)
+    few = {(r.text, r.is_party) for r in pieces.where("few").collect()}
+    found = {tuple(r) for r in screening.pairs_by_pieces(pieces, 0.75).collect()}
+    assert all(pair in found or {(pair[0], True), (pair[1], False)} <= few for pair in similar)
+
+
+def test_a_frequent_piece_makes_few_candidates(spark):
+    rng = random.Random(10)
+    word = lambda n: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(n))
+    names = [f"{word(14)} holding" for _ in range(600)]
+    parties = [n.replace(n[3], "e") for n in names[:300]] + [f"{word(14)} holding" for _ in range(300)]
+    left, right = spark.createDataFrame([(p,) for p in parties], "party string").distinct(), spark.createDataFrame([(n,) for n in names], "name string").distinct()
+    pieces = screening.pieces_of(left, right, 0.9, 3)
+    pairs = screening.pairs_by_pieces(pieces, 0.9)
+    assert pairs.count() < 2000  # every pair, 360,000, has the pieces of " holding"
+    assert pieces.where("piece = 'ing'").count() == 0
+    got = screening.fuzzy_screen(left, right.select(F.col("name").alias("entry_id"), "name", F.array().cast("array<string>").alias("aliases")), 0.9)
+    want = {p for p, n in zip(parties, names[:300], strict=False) if edits(p, n) <= 0.1 * len(n)}
+    assert want <= {r.party for r in got.collect()} and len(want) > 100
+
+
+def test_thresholds_up_to_a_half_are_an_error(spark):
+    df = spark.createDataFrame([("x",)], "party string")
+    with pytest.raises(ValueError, match="0.5"):
+        screening.fuzzy_screen(df, spark.createDataFrame([], "entry_id long, name string, aliases array<string>"), 0.5)
+
+
 def test_median_prices_equal_brute_force(spark):
     rng = random.Random(6)
     rows = [(i, rng.randrange(7), Decimal(rng.randrange(500)) / 100) for i in range(200)] + [(900, 99, None), (901, 98, Decimal("1.5"))]

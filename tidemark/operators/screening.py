@@ -177,40 +177,34 @@ def clean(customers: DataFrame, hits: DataFrame, key: str = "customer_id") -> Da
 def fuzzy_screen(parties: DataFrame, watchlist: DataFrame, threshold: float = 0.75, gram: int = 3, use_soundex: bool = False) -> DataFrame:
     """The best entry of every distinct party name: party, entry_id, matched_name, how, similarity.
 
-    Names and aliases are compared by 1 - edits / longer length.  A pair is a
-    candidate if its lengths allow the threshold and its padded names share
-    enough ``gram``-letter pieces, or, if asked, a sound.  An edit spoils at most
-    ``gram`` pieces of a name, so as many must be shared as the name with more of
-    them has, less ``gram`` for each edit allowed, and one at least: from a
-    threshold of 1 - 1 / gram on no pair is lost.
+    Names and aliases are compared by 1 - edits / longer length; no pair of at
+    least ``threshold``, which must be over a half, is lost.  With ``use_soundex``
+    names that sound alike count, too.  Distinct names meet by the rarest of their pieces
+    (pairs_by_pieces) or, where those can't decide, by segments (pairs_by_segments).
     """
+    if not 0.5 < threshold <= 1:
+        raise ValueError("a threshold over 0.5, up to 1, is needed: half-alike names need not share a letter in place")
     names = parties.select(F.lower(F.trim("party")).alias("party")).where("party <> ''").distinct()
     every = watchlist.select(
         "entry_id", F.explode(F.concat(F.array(F.struct(F.col("name").alias("n"), F.lit("name").alias("how"))),
                                        F.transform(or_empty("aliases"), lambda a: F.struct(a.alias("n"), F.lit("alias").alias("how"))))).alias("x"),
     ).select("entry_id", F.lower(F.trim("x.n")).alias("name"), "x.how").where("name <> ''")
-
-    def pieces(name: str) -> F.Column:
-        padded = F.concat(F.lit("^" * (gram - 1)), F.col(name), F.lit("$" * (gram - 1)))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - gram + 1), lambda i: F.substring(padded, i, gram)))
-
-    left = names.withColumn("p", pieces("party")).select("party", F.size("p").alias("party_pieces"), F.explode("p").alias("piece"))
-    right = every.select("name").distinct().withColumn("p", pieces("name")).select("name", F.size("p").alias("name_pieces"), F.explode("p").alias("piece"))
-    longer = F.greatest(F.length("party"), F.length("name"))
-    edits = F.floor(longer * (1 - threshold + 1e-6))  # similarities are rounded to six places
-    pairs = (
-        left.join(right, "piece")
-        .where(F.abs(F.length("party") - F.length("name")) <= edits)
-        .groupBy("party", "name", "party_pieces", "name_pieces")
-        .agg(F.count("*").alias("shared"))
-        .where(F.col("shared") >= F.greatest("party_pieces", "name_pieces") - gram * edits)
-        .select("party", "name")
-    )
+    listed = every.select("name").distinct()
+    if threshold >= 1 - 1 / gram:
+        pieces = pieces_of(names, listed, threshold, gram)
+        pairs = pairs_by_pieces(pieces, threshold)
+        # Names whose pieces repeat so much that all may be spoiled.
+        few = [pieces.where("few").select(F.col("text").alias(c)).distinct() for c in ("party", "name")]
+        few = [own.join(df, c, "left_semi") for own, df, c in zip((names, listed), few, ("party", "name"), strict=True)]
+        pairs = pairs.unionByName(pairs_by_segments(*few, threshold))
+    else:
+        pairs = pairs_by_segments(names, listed, threshold)
     if use_soundex:
-        by_sound = names.withColumn("s", F.soundex("party")).join(every.select("name", F.soundex("name").alias("s")).distinct(), "s")
-        pairs = pairs.unionByName(by_sound.select("party", "name")).distinct()
+        by_sound = names.withColumn("s", F.soundex("party")).join(listed.withColumn("s", F.soundex("name")), "s")
+        pairs = pairs.unionByName(by_sound.select("party", "name"))
+    longer = F.greatest(F.length("party"), F.length("name"))
     similarity = F.round(1 - F.levenshtein("party", "name") / longer, 6)
-    scored = pairs.withColumn("similarity", similarity)
+    scored = pairs.distinct().withColumn("similarity", similarity)
     sounds = F.soundex("party") == F.soundex("name") if use_soundex else F.lit(False)
     best = scored.where((F.col("similarity") >= threshold) | sounds).join(every, "name")
     first = Window.partitionBy("party").orderBy(F.desc("similarity"), "entry_id", F.desc("how"), "name")
@@ -219,3 +213,73 @@ def fuzzy_screen(parties: DataFrame, watchlist: DataFrame, threshold: float = 0.
         .where("nth = 1")
         .select("party", "entry_id", F.col("name").alias("matched_name"), "how", "similarity")
     )
+
+
+def share(threshold: float) -> float:
+    """The part of the longer name that may be edited; similarities are rounded to six places."""
+    return 1 - threshold + 1e-6
+
+
+def pieces_of(names: DataFrame, listed: DataFrame, threshold: float, gram: int) -> DataFrame:
+    """The join keys of party names and of listed ones: text, is_party, length, few, piece, at, once.
+
+    A padded name's distinct pieces of ``gram`` letters are put in order from the
+    rarest among all names to the most frequent.  An edit spoils at most ``gram`` of
+    them, so of the first gram x edits + 1 a similar name has one, too: only those are kept.
+    ``at`` is the piece's first place, ``once`` whether it has no other; ``few``
+    are names with no more pieces than edits can spoil.
+    """
+    texts = names.select(F.col("party").alias("text"), F.lit(True).alias("is_party")).unionByName(listed.select(F.col("name").alias("text"), F.lit(False).alias("is_party")))
+    padded = F.concat(F.lit("^" * (gram - 1)), F.col("text"), F.lit("$" * (gram - 1)))
+    places = F.sequence(F.lit(1), F.length(padded) - gram + 1)
+    dealt = texts.select("text", "is_party", F.explode(F.transform(places, lambda i: F.struct(F.substring(padded, i, gram).alias("piece"), i.alias("at")))).alias("p"))
+    own = dealt.groupBy("text", "is_party", "p.piece").agg(F.min("p.at").alias("at"), (F.count("*") == 1).alias("once"))
+    rarity = own.groupBy("piece").agg(F.count("*").alias("names"))
+    ranked = own.join(rarity, "piece").groupBy("text", "is_party").agg(F.sort_array(F.collect_list(F.struct("names", "piece", "at", "once"))).alias("p"))
+    d = share(threshold)
+    edits = F.floor(F.length("text") / (1 - d) * d)  # against the longest name that may be similar
+    kept = gram * edits + 1
+    return ranked.select(
+        "text", "is_party", F.length("text").alias("length"), (F.size("p") < kept).alias("few"), F.explode(F.slice("p", F.lit(1), kept.cast("int"))).alias("k")
+    ).select("text", "is_party", "length", "few", "k.piece", "k.at", "k.once")
+
+
+def pairs_by_pieces(pieces: DataFrame, threshold: float) -> DataFrame:
+    """party, name: pairs with one of their rarest pieces in common, near the same place where it has one place only."""
+    left = pieces.where("is_party").select("piece", F.col("text").alias("party"), F.col("length").alias("l"), F.col("at").alias("l_at"), F.col("once").alias("l_once"))
+    right = pieces.where("NOT is_party").select("piece", F.col("text").alias("name"), F.col("length").alias("r"), F.col("at").alias("r_at"), F.col("once").alias("r_once"))
+    edits = F.floor(F.greatest("l", "r") * share(threshold))
+    near = ~(F.col("l_once") & F.col("r_once")) | (F.abs(F.col("l_at") - F.col("r_at")) <= edits)
+    return left.join(right, "piece").where((F.abs(F.col("l") - F.col("r")) <= edits) & near).select("party", "name").distinct()
+
+
+def pairs_by_segments(names: DataFrame, listed: DataFrame, threshold: float) -> DataFrame:
+    """party, name: pairs that share a segment.
+
+    For each length a similar party may have, a listed name is cut into one segment more
+    than there may be edits, so one of them is in the party unchanged, and no
+    further from its place than the edits on either side allow.  Keys are both
+    lengths, the segment's number and its letters.
+    """
+    d = share(threshold)
+    lengths = lambda c: F.sequence(F.greatest(F.lit(1), F.ceil(F.length(c) * (1 - d) - 1e-9)).cast("int"), F.floor(F.length(c) / (1 - d) + 1e-9).cast("int"))
+    edits = F.floor(F.greatest("l", "r") * d).cast("int")
+    cut = {
+        "base": F.expr("r div (edits + 1)"), "rest": F.expr("r % (edits + 1)"),
+    }
+    begin = F.expr("segment * base + greatest(0, segment - (edits + 1 - rest))")
+    size = F.expr("base + IF(segment >= edits + 1 - rest, 1, 0)")
+
+    def cut_up(df: DataFrame) -> DataFrame:
+        allowed = df.withColumn("edits", edits).where(F.abs(F.col("l") - F.col("r")) <= F.col("edits"))
+        numbered = allowed.withColumns(cut).withColumn("segment", F.explode(F.sequence(F.lit(0), F.col("edits"))))
+        return numbered.withColumn("begin", begin.cast("int")).withColumn("size", size.cast("int"))
+
+    right = cut_up(listed.select("name", F.length("name").alias("r"), F.explode(lengths("name")).alias("l")))
+    right = right.select("name", "l", "r", "segment", F.expr("substring(name, begin + 1, size)").alias("letters"))
+    left = cut_up(names.select("party", F.length("party").alias("l"), F.explode(lengths("party")).alias("r")))
+    low, high = F.expr("begin - (edits - (l - r)) div 2"), F.expr("begin + (edits + (l - r)) div 2")
+    at = F.explode(F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.expr("l - size")).cast("int")))
+    left = left.where(F.greatest(low, F.lit(0)) <= F.least(high, F.expr("l - size"))).withColumn("at", at)
+    left = left.select("party", "l", "r", "segment", F.expr("substring(party, at + 1, size)").alias("letters")).distinct()
+    return left.join(right, ["l", "r", "segment", "letters"]).select("party", "name").distinct()

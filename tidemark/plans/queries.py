@@ -611,16 +611,17 @@ def circular_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EDGES_SQL}, e AS (SELECT * FROM edges WHERE src <> dst),
-rings AS (SELECT x.src AS a, x.dst AS b, NULL::BIGINT AS c, x.total + y.total AS total FROM e x JOIN e y ON x.dst = y.src AND y.dst = x.src WHERE x.src < x.dst
+    f"""WITH {EDGES_SQL}, e AS MATERIALIZED (SELECT * FROM edges WHERE src <> dst),
+rings AS MATERIALIZED (SELECT x.src AS a, x.dst AS b, NULL::BIGINT AS c, x.total + y.total AS total FROM e x JOIN e y ON x.dst = y.src AND y.dst = x.src WHERE x.src < x.dst
   UNION ALL SELECT x.src, x.dst, y.dst, x.total + y.total + z.total FROM e x JOIN e y ON x.dst = y.src JOIN e z ON y.dst = z.src AND z.dst = x.src
   WHERE x.src < x.dst AND x.src < y.dst AND y.dst <> x.dst),
-turns AS (SELECT *, a AS p, b AS q, coalesce(c, a) AS r, c IS NULL AS two FROM rings UNION ALL SELECT *, b, coalesce(c, a), CASE WHEN c IS NULL THEN b ELSE a END, c IS NULL FROM rings
-  UNION ALL SELECT *, c, a, b, false FROM rings WHERE c IS NOT NULL),
-one AS (SELECT t.*, e.first_ts AS t1 FROM turns t JOIN e ON e.src = t.p AND e.dst = t.q),
-two AS (SELECT o.a, o.b, o.c, o.total, o.p, o.r, o.two, o.t1, min(f.ts) AS t2 FROM one o JOIN flows f ON f.src = o.q AND f.dst = o.r AND f.ts >= o.t1 GROUP BY ALL),
-three AS (SELECT w.a, w.b, w.c, w.total, w.p, w.t1, min(f.ts) AS t3 FROM two w JOIN flows f ON f.src = w.r AND f.dst = w.p AND f.ts >= w.t2 WHERE NOT w.two GROUP BY ALL
-  UNION ALL SELECT a, b, c, total, p, t1, t2 FROM two WHERE two),
+turns AS (SELECT *, a AS p, b AS q, coalesce(c, a) AS r FROM rings UNION ALL SELECT *, b, coalesce(c, a), CASE WHEN c IS NULL THEN b ELSE a END FROM rings
+  UNION ALL SELECT *, c, a, b FROM rings WHERE c IS NOT NULL),
+legs AS MATERIALIZED (SELECT src, dst, ts FROM flows WHERE (src, dst) IN (SELECT (q, r) FROM turns UNION SELECT (r, p) FROM turns)),
+one AS MATERIALIZED (SELECT t.*, e.first_ts AS t1 FROM turns t JOIN e ON e.src = t.p AND e.dst = t.q),
+two AS MATERIALIZED (SELECT o.a, o.b, o.c, o.total, o.p, o.r, o.t1, min(f.ts) AS t2 FROM one o JOIN legs f ON f.src = o.q AND f.dst = o.r WHERE f.ts >= o.t1 GROUP BY ALL),
+three AS (SELECT w.a, w.b, w.c, w.total, w.p, w.t1, min(f.ts) AS t3 FROM two w JOIN legs f ON f.src = w.r AND f.dst = w.p WHERE f.ts >= w.t2 AND w.c IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT a, b, c, total, p, t1, t2 FROM two WHERE c IS NULL),
 best AS (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY t3, p) AS k FROM three)
 SELECT a, b, c, CAST(total AS DECIMAL(28,2)) AS total, p AS start, t1 AS first_ts, t3 AS last_ts FROM best WHERE k = 1"""
 )
