@@ -56,7 +56,7 @@ def random_rows(seed, rows=150, sources=6):
     ]
 
 
-@pytest.mark.parametrize(("rows", "block"), [(ODD, 300_000), (ODD, 2), (random_rows(1), 300_000), (random_rows(2), 40)])
+@pytest.mark.parametrize(("rows", "block"), [(ODD, 1 << 20), (ODD, 2), (random_rows(1), 1 << 20), (random_rows(2), 40)])
 def test_divergence_is_that_of_sums_over_all_terms(spark, rows, block, monkeypatch):
     df = table(spark, rows).repartition(3)
     assert set(map(tuple, source_divergence.audit(df, block_terms=block).collect())) == brute(rows)

@@ -32,6 +32,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ from tidemark.operators.checkpoints import new_folder
 from .common import column_of, gathered, small_batches
 
 #: Entries (term of a source) of a block in memory.
-BLOCK_TERMS = 300_000
+BLOCK_TERMS = 1 << 20
 #: Rows of a language that must hold a term.
 LEAST_DOCS = 3
 #: Parts into which the histogram of a language is dealt.
@@ -69,16 +70,19 @@ class Block:
 
     def run(self) -> Iterator[pa.RecordBatch]:
         """The entries sorted by term; each source also has one with the empty term and no count."""
-        entries = [(t, k, n, self.counts[k][1][t]) for k, (occurrences, _) in self.counts.items() for t, n in occurrences.items()]
-        entries += [(b"", k, 0, 0) for k in self.counts]
-        entries.sort()
-        for at in range(0, len(entries), 1 << 16):
-            terms, keys, counts, rows = zip(*entries[at : at + (1 << 16)], strict=True)
-            langs, sources = zip(*keys, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs), pa.array(sources), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(rows, pa.int64())],
-                ["lang", "source", "term", "count", "docs"],
-            )
+        terms, counts, rows, sizes = [], [], [], []
+        for occurrences, held in self.counts.values():
+            sizes.append(len(occurrences) + 1)
+            terms += [pa.array([b""], pa.binary()), pa.array(list(occurrences), pa.binary())]
+            counts += [np.zeros(1, np.int64), np.fromiter(occurrences.values(), np.int64, len(occurrences))]
+            rows += [np.zeros(1, np.int64), np.fromiter(map(held.__getitem__, occurrences), np.int64, len(occurrences))]
+        if not sizes:
+            return
+        of_key = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        columns = [pa.array(names).take(of_key) for names in zip(*self.counts, strict=True)]
+        columns += [pa.concat_arrays(terms).cast(pa.string()), pa.array(np.concatenate(counts)), pa.array(np.concatenate(rows))]
+        entries = pa.table(columns, ["lang", "source", "term", "count", "docs"])
+        yield from entries.take(pc.sort_indices(entries, [("term", "ascending")])).to_batches(1 << 16)
 
 
 def runs(docs: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
