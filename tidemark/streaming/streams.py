@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tidemark.operators.rules import alert_rows, score_rules
 from tidemark.operators.velocity import DAY_MICROS, request_rate
@@ -49,38 +49,41 @@ def stream_dedupe(stream: DataFrame, key: str = "external_id", watermark: str =
 
 
 OUTPUT = "tx_id long, customer_id long, ts timestamp, amount decimal(18,2), transactions_in_24h long, daily_volume decimal(28,2)"
-STATE = "micros array<long>, cents array<long>"
-#: Stands for a missing amount in the state.
-NO_AMOUNT = np.iinfo(np.int64).min
+STATE = "micros long, cents long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_velocity_exact(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Each transaction with what its customer did in the 24 hours up to it, peers included.
+class TrailingDay(StatefulProcessor):
+    """The rows of a customer's day, each with what came in the 24 hours up to it.
 
-    Rows are dealt by (customer, day), each also to the day after it, as in
-    velocity_24h: a customer with very many rows is many groups.  A row is given
-    out by its own day.  The state holds a group's transactions of the last 24
-    hours before the watermark; it goes when nothing of it can count any more.
-    Equal to the batch windows if a batch's rows aren't older than those of
-    earlier batches.  Rows without a time are in no window but their own; rows
-    without an amount count but add nothing, and a volume of such rows alone is
-    null.
+    The state is a list of (time, cents) of the day and of the day before: a batch's
+    rows are appended, nothing is rewritten, and a timer clears the list when the
+    watermark is past the day.
     """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(parts), ignore_index=True)
-        timed = rows["micros"].notna().to_numpy()
-        own = rows[rows["own"].to_numpy(bool)].copy()
-        held = state.get if state.exists else ([], [])
-        new = np.array([NO_AMOUNT if a is None else int(round(a * 100)) for a in rows["amount"][timed]], np.int64)
-        times = np.concatenate([np.array(held[0], np.int64), rows["micros"].to_numpy()[timed].astype(np.int64)])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", STATE)
+
+    def kept(self, times: np.ndarray, cents: np.ndarray, day: int, watermark_ms: int) -> None:
+        """Append rows, unless the day is over."""
+        end_ms = (day + 1) * DAY_MICROS // 1000
+        if len(times) and end_ms > watermark_ms:
+            self.rows.appendList([(t, None if c == NO_AMOUNT else c) for t, c in zip(times.tolist(), cents.tolist(), strict=True)])
+            self.handle.registerTimer(end_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows), ignore_index=True)
+        held = list(self.rows.get()) if self.rows.exists() else []
+        new_times, new_cents = as_arrays(new["micros"], new["amount"])
+        times = np.concatenate([np.array([h[0] for h in held], np.int64), new_times])
+        cents = np.concatenate([np.array([NO_AMOUNT if h[1] is None else h[1] for h in held], np.int64), new_cents])
+        self.kept(new_times, new_cents, int(key[1]), timerValues.getCurrentWatermarkInMs())
         order = np.argsort(times, kind="stable")
-        times, cents = times[order], np.concatenate([np.array(held[1], np.int64), new])[order]
+        times, cents = times[order], cents[order]
         total = np.concatenate([[0], np.cumsum(np.where(cents == NO_AMOUNT, 0, cents))])
         amounts = np.concatenate([[0], np.cumsum(cents != NO_AMOUNT)])
+        own = new[new["own"].to_numpy(bool)].copy()
         counts, volumes = np.ones(len(own), np.int64), own["amount"].to_numpy(object, copy=True)
         known = own["micros"].notna().to_numpy()
         at = own["micros"].to_numpy()[known].astype(np.int64)
@@ -88,26 +91,58 @@ def stream_velocity_exact(stream: DataFrame, watermark: str = "1 hour") -> DataF
         counts[known] = high - low
         volumes[known] = [Decimal(int(n)) / 100 if k else None for n, k in zip(total[high] - total[low], amounts[high] - amounts[low], strict=True)]
         own["transactions_in_24h"], own["daily_volume"] = counts, volumes
-        oldest = max(state.getCurrentWatermarkMs() * 1000, 0) - DAY_MICROS
-        times, cents = times[times > oldest], cents[times > oldest]
-        if len(times):
-            state.update((times.tolist(), cents.tolist()))
-            # Rows of the group's own day end with it.
-            last = min(int(times[-1]) + DAY_MICROS, (int(key[1]) + 1) * DAY_MICROS)
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000)
-        elif state.exists:
-            state.remove()
         if len(own):
             yield own[["tx_id", "customer_id", "ts", "amount", "transactions_in_24h", "daily_volume"]]
 
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
+        self.kept(*as_arrays(initialState["micros"], initialState["amount"]), int(key[1]), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.rows.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def as_arrays(micros: pd.Series, amounts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Times and cents of the rows that have a time."""
+    timed = micros.notna().to_numpy()
+    cents = [NO_AMOUNT if a is None else int(round(a * 100)) for a in amounts[timed]]
+    return micros.to_numpy()[timed].astype(np.int64), np.array(cents, np.int64)
+
+
+#: Stands for a missing amount.
+NO_AMOUNT = np.iinfo(np.int64).min
+
+
+def by_day(df: DataFrame, *more: str) -> DataFrame:
+    """Rows dealt to their customer's day and to the day after: micros, day, near, own and the named columns."""
     day = F.floor(F.unix_micros("ts") / DAY_MICROS).cast("long")
     copies = F.when(F.col("ts").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    spread = F.xxhash64("tx_id") if "tx_id" in more else F.lit(None).cast("long")
     return (
-        stream.select("tx_id", "customer_id", "ts", F.col("amount").cast("decimal(18,2)").alias("amount"))
-        .withWatermark("ts", watermark)
-        .select("*", F.unix_micros("ts").alias("micros"), F.explode(copies).alias("near"))
+        df.select(*more, "customer_id", "ts", F.col("amount").cast("decimal(18,2)").alias("amount"), F.unix_micros("ts").alias("micros"), F.explode(copies).alias("near"))
         .withColumn("own", F.col("near") == 0)
-        .withColumn("day", F.coalesce(day + F.col("near"), F.xxhash64("tx_id")))  # rows without a time are spread
-        .groupBy("customer_id", "day")
-        .applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .withColumn("day", F.coalesce(day + F.col("near"), spread))  # rows without a time are spread
     )
+
+
+def stream_velocity_exact(stream: DataFrame, watermark: str = "1 hour", history: DataFrame | None = None) -> DataFrame:
+    """Each transaction with what its customer did in the 24 hours up to it, peers included.
+
+    Rows are dealt by (customer, day), each also to the day after it, as in
+    velocity_24h: a customer with very many rows is many groups.  A row is given
+    out by its own day.  ``history`` (customer_id, ts, amount), a table, is
+    what went before the stream's first row.  Equal to the batch windows if a batch's
+    rows aren't older than those of earlier batches.  Rows without a time are in no
+    window but their own; rows without an amount count but add nothing, and a
+    volume of such rows alone is null.
+
+    The state is kept in RocksDB: the session's state store provider is set to it.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = by_day(history.where("ts IS NOT NULL")).select("customer_id", "day", "micros", "amount").groupBy("customer_id", "day") if history is not None else None
+    return by_day(stream.withWatermark("ts", watermark), "tx_id").groupBy("customer_id", "day").transformWithStateInPandas(
+        TrailingDay(), OUTPUT, "append", "eventTime", initialState=before
+    )
