@@ -4,8 +4,12 @@ import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pytest
+from pyspark.sql import functions as F
+
 from tidemark.operators.velocity import velocity_24h
-from tidemark.streaming.streams import stream_velocity_exact
+from tidemark.streaming import delivery
+from tidemark.streaming.streams import stream_velocity, stream_velocity_exact
 
 SCHEMA = "tx_id long, customer_id long, ts timestamp, amount decimal(18,2)"
 
@@ -56,3 +60,74 @@ def test_exact_stream_starts_from_a_table(spark, tmp_path):
     run(spark, source, lambda s: stream_velocity_exact(s, history=history), str(tmp_path / "out"), str(tmp_path / "state"))
     whole = windows(velocity_24h(spark.createDataFrame(rows, SCHEMA)))
     assert windows(spark.read.parquet(str(tmp_path / "out"))) == {i: whole[i] for i in range(60, 120)}
+
+
+def test_sliding_windows_are_made_of_panes(spark, tmp_path):
+    rows = ledger(3, 400)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    add_files(spark, source, rows, 6)
+    query = run(spark, source, stream_velocity, out, str(tmp_path / "state"))
+    got = {(r.customer_id, r.window_start): (r.transactions, r.volume) for r in spark.read.parquet(out).collect()}
+    want, closed = {}, rows[-1][2] - timedelta(hours=1)
+    for _, c, ts, amount in rows:
+        hour = ts.replace(minute=0)
+        for k in range(24):
+            start = hour - timedelta(hours=k)
+            if start + timedelta(hours=24) <= closed:
+                n, v = want.get((c, start), (0, None))
+                want[c, start] = (n + 1, v if amount is None else (v or 0) + amount)
+    assert got == want
+    # The first aggregation has a row of state for each open customer-hour, not for each row and window.
+    most = max(min(op["numRowsTotal"] for op in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"])
+    hours = len({(c, ts.replace(minute=0)) for _, c, ts, _ in rows})
+    assert most <= hours < len(rows)
+
+
+ALERTS = "alert_id string, tx_id long"
+
+
+def alerts(spark, *ids):
+    return spark.createDataFrame([(i, k) for k, i in enumerate(ids)], ALERTS)
+
+
+def test_a_batch_that_was_killed_and_repeated_gives_each_alert_once(spark, tmp_path):
+    folder = str(tmp_path / "sink")
+    schema = alerts(spark, "a").schema
+    deliver = delivery.deliver_to(folder)
+    assert delivery.delivered(spark, folder, schema).count() == 0 and delivery.commits(spark, folder).count() == 0
+    deliver(alerts(spark, "a", "b", "b", None, None), 0)
+    # Killed between the rows and the commit: the rows are there, but no one reads them.
+    alerts(spark, "c").write.parquet(f"{folder}/alerts/batch=1")
+    assert sorted(str(r.alert_id) for r in delivery.delivered(spark, folder, schema).collect()) == ["None", "None", "a", "b"]
+    deliver(alerts(spark, "c", "d", "a"), 1)
+    deliver(alerts(spark, "c", "d", "a"), 1)
+    deliver(alerts(spark), 2)
+    deliver(alerts(spark, "d", "e"), 3)
+    rows = delivery.delivered(spark, folder, schema).collect()
+    assert sorted((str(r.alert_id), r.batch) for r in rows) == [("None", 0), ("None", 0), ("a", 0), ("b", 0), ("c", 1), ("d", 1), ("e", 3)]
+    assert {r.batch: r.alerts for r in delivery.commits(spark, folder).collect()} == {0: 4, 1: 2, 2: 0, 3: 1}
+
+
+def test_a_stream_that_fails_in_the_sink_delivers_once(spark, tmp_path):
+    rows = ledger(4, 60)
+    source, sink, state = (str(tmp_path / n) for n in ("in", "sink", "state"))
+    add_files(spark, source, rows, 4)
+    deliver, fails = delivery.deliver_to(sink), [True]
+
+    def unsteady(batch, number):
+        if number == 2 and fails:
+            batch.write.parquet(f"{sink}/alerts/batch={number}")  # without a commit
+            fails.clear()
+            raise RuntimeError("killed")
+        deliver(batch, number)
+
+    def start():
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{source}/p=*")
+        out = stream.select(F.concat(F.lit("A"), (F.col("tx_id") / 2).cast("int").cast("string")).alias("alert_id"), "tx_id")
+        return out.writeStream.foreachBatch(unsteady).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+    with pytest.raises(Exception, match="killed"):
+        start().awaitTermination()
+    start().awaitTermination()
+    got = delivery.delivered(spark, sink, spark.createDataFrame([], ALERTS).schema).collect()
+    assert sorted(r.alert_id for r in got) == sorted({f"A{i // 2}" for i in range(60)})

@@ -13,7 +13,7 @@ from tidemark.plans.assess import assess
 from tidemark.plans.queries import ALERTS_SQL, ASSESS_SQL, IS_CRYPTO, WEIGHT, assessed
 from tidemark.sources.cases_file import flatten_cases, ledger_of, read_cases, write_assessments, write_cases
 from tidemark.sources.views import PAY_SQL, TX_SQL, payments, transactions
-from tidemark.streaming import streams
+from tidemark.streaming import delivery, streams
 
 AS_OF = "1998-08-02 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -397,16 +397,38 @@ def written_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed(spark: SparkSession, sf_dir: str, table: str, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """Run a stream over the table's files to their end, and read what it wrote to the shared folder."""
-    path = f"{sf_dir}/{table}.parquet"
-    schema = spark.read.parquet(path).schema
     folder = new_folder(spark, "stream")
-    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*")
-    writer = build(source).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    writer = build(source_of(spark, sf_dir, table)).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     running = writer.format("parquet").option("path", f"{folder}/out").start()
     running.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
+def source_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The table's files as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*")
+
+
+#: Batches over which a table is dealt where a stream is to have several.
+BATCHES = 5
+
+
+def in_batches(spark: SparkSession, sf_dir: str, table: str, order: str) -> tuple[DataFrame, str]:
+    """The table as a stream of several batches in the order of a column, and the folder for what it writes.
+
+    The parts are written one after the other, as a file source takes the oldest files first.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    folder = new_folder(spark, "batches")
+    micros = F.unix_micros(F.col(order).cast("timestamp"))
+    low, high = df.agg(F.min(micros), F.max(micros)).first()
+    part = F.least(F.lit(BATCHES - 1), F.floor((micros - (low or 0)) * BATCHES / max((high or 0) - (low or 0), 1)))
+    for k in range(BATCHES):
+        df.where(F.coalesce(part, F.lit(0)) == k).write.parquet(f"{folder}/in/p={k}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/p=*"), folder
+
+
 def as_payments(stream: DataFrame) -> DataFrame:
     return stream.selectExpr(
         "event_id AS tx_id", "user_id AS customer_id", "user_id AS client", "CAST(ts AS TIMESTAMP) AS ts",
@@ -440,6 +462,17 @@ def stream_request_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, sf_dir, "events", lambda s: streams.stream_request_rate(as_payments(s), limit=1))
 
 
+@query(
+    f"WITH {PAY_SQL} SELECT tx_id, customer_id, ts, amount, count(*) OVER w AS transactions_in_24h, CAST(sum(amount) OVER w AS DECIMAL(28,2)) AS daily_volume FROM pay "
+    "WINDOW w AS (PARTITION BY customer_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)"
+)
+def stream_velocity_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream, folder = in_batches(spark, sf_dir, "events", "ts")
+    writer = streams.stream_velocity_exact(as_payments(stream)).writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query("SELECT DISTINCT concat('E', event_id // 2) AS external_id FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, sf_dir, "events", lambda s: streams.stream_dedupe(as_payments(s)).select("external_id"))
@@ -461,3 +494,23 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return streams.stream_score(tx).select("alert_id", "tx_id", "factor", "alert_type", "severity", "confidence")
 
     return streamed(spark, sf_dir, "events", build)
+
+
+@query(
+    f"WITH {PAY_SQL}, tx AS (SELECT {', '.join(f'{e} AS {n}' for n, e in STREAM_TX.items())} FROM pay), a AS ({ALERTS_SQL}) "
+    "SELECT left(sha256(concat(CAST(tx_id AS STRING), '|', factor)), 16) AS alert_id, tx_id, factor, alert_type, severity, confidence FROM a"
+)
+def delivered_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every batch is handed over twice, as after a failure, and the whole stream is sent a second time."""
+    stream, folder = in_batches(spark, sf_dir, "events", "ts")
+    tx = as_payments(stream).selectExpr(*(f"{e} AS {n}" for n, e in STREAM_TX.items()))
+    alerts = streams.stream_score(tx).select("alert_id", "tx_id", "factor", "alert_type", "severity", "confidence")
+    deliver = delivery.deliver_to(f"{folder}/out")
+
+    def twice(batch: DataFrame, number: int) -> None:
+        deliver(batch, number)
+        deliver(batch, number)
+        deliver(batch, number + 1000)
+
+    alerts.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return delivery.delivered(spark, f"{folder}/out", alerts.schema).drop("batch")
