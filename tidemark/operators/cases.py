@@ -34,40 +34,61 @@ def split_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.where(~bad), events.where(bad)
 
 
-def newest(value: Column) -> Column:
-    """The last non-null value by time, then sequence; partial maxima, so hot cases don't matter."""
-    return F.max_by(value, F.when(value.isNotNull(), F.struct("ts", "seq")))
+#: The fields whose last value counts, and the times whose latest does.
+FIELDS = ("status", "priority", "assigned_to", "sar_reference")
+TIMES = ("sar_filed_at", "closed_at", "updated_at")
 
 
-def case_state(cases: DataFrame, events: DataFrame) -> DataFrame:
-    """cases with their events folded in: the last value of each field; any event moves updated_at."""
+def case_partials(events: DataFrame) -> DataFrame:
+    """What accepted events say of a case, a row a case, in a form that can be merged.
+
+    Each field is its last non-null value with its time and sequence (ts, seq, value), each
+    time the latest.  Partial maxima, so hot cases don't matter.
+    """
     accepted, _ = split_events(events)
     kind = F.col("kind")
-    status = F.when(kind == "escalate", "ESCALATED").when(kind == "file_sar", "SAR_FILED").when(kind.isin("update", "close"), F.col("status"))
-    priority = F.when(kind == "escalate", "HIGH").when(kind == "update", F.col("priority"))
-    closed = F.when((kind == "close") | ((kind == "update") & F.col("status").isin(*CLOSED)), F.col("ts"))
-    folded = accepted.groupBy("case_id").agg(
-        newest(status).alias("_status"),
-        newest(priority).alias("_priority"),
-        newest(F.when(kind.isin("update", "assign"), F.col("assigned_to"))).alias("_assigned"),
-        newest(F.when(kind == "file_sar", F.col("sar_reference"))).alias("sar_reference"),
-        F.max(F.when(kind == "file_sar", F.col("ts"))).alias("sar_filed_at"),
-        F.max(closed).alias("_closed"),
-        F.max("ts").alias("_updated"),
-    )
+    values = {
+        "status": F.when(kind == "escalate", "ESCALATED").when(kind == "file_sar", "SAR_FILED").when(kind.isin("update", "close"), F.col("status")),
+        "priority": F.when(kind == "escalate", "HIGH").when(kind == "update", F.col("priority")),
+        "assigned_to": F.when(kind.isin("update", "assign"), F.col("assigned_to")),
+        "sar_reference": F.when(kind == "file_sar", F.col("sar_reference")),
+    }
+    times = {
+        "sar_filed_at": F.when(kind == "file_sar", F.col("ts")),
+        "closed_at": F.when((kind == "close") | ((kind == "update") & F.col("status").isin(*CLOSED)), F.col("ts")),
+        "updated_at": F.col("ts"),
+    }
+    last = (F.max(F.when(v.isNotNull(), F.struct("ts", "seq", v.alias("value")))).alias(n) for n, v in values.items())
+    return accepted.groupBy("case_id").agg(*last, *(F.max(v).alias(n) for n, v in times.items()))
+
+
+def merge_partials(kept: DataFrame, new: DataFrame) -> DataFrame:
+    """Partials of all events of both, in whatever order they came: older events are not read again."""
+    return kept.unionByName(new).groupBy("case_id").agg(*(F.max(n).alias(n) for n in (*FIELDS, *TIMES)))
+
+
+def with_partials(cases: DataFrame, partials: DataFrame) -> DataFrame:
+    """cases with what the partials say: the last value of each field; any event moves updated_at."""
+    folded = partials.select("case_id", *(F.col(f"{n}.value").alias(f"_{n}") for n in FIELDS), *(F.col(n).alias(f"_{n}") for n in TIMES))
     return (
         cases.join(folded, "case_id", "left")
         .withColumns(
             {
                 "status": F.coalesce("_status", "status"), "priority": F.coalesce("_priority", "priority"),
-                "assigned_to": F.coalesce("_assigned", "assigned_to"), "closed_at": F.coalesce("_closed", "closed_at"),
-                "updated_at": F.greatest("updated_at", "_updated"), "sar_filed": F.col("sar_filed_at").isNotNull(),
+                "assigned_to": F.coalesce("_assigned_to", "assigned_to"), "closed_at": F.coalesce("_closed_at", "closed_at"),
+                "updated_at": F.greatest("updated_at", "_updated_at"), "sar_reference": F.col("_sar_reference"),
+                "sar_filed_at": F.col("_sar_filed_at"), "sar_filed": F.col("_sar_filed_at").isNotNull(),
             }
         )
-        .drop("_status", "_priority", "_assigned", "_closed", "_updated")
+        .drop(*(f"_{n}" for n in (*FIELDS, *TIMES)))
     )
 
 
+def case_state(cases: DataFrame, events: DataFrame) -> DataFrame:
+    """cases with their events folded in."""
+    return with_partials(cases, case_partials(events))
+
+
 def newest_first(
     df: DataFrame, equal: dict[str, object], limit: int, offset: int, key: str, before: tuple[object, object] | None = None
 ) -> DataFrame:

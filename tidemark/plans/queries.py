@@ -638,6 +638,55 @@ def layering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.layering_chains(flows(spark, sf_dir), hours=48, tolerance=0.05)
 
 
+@query(
+    f"""WITH RECURSIVE {FLOWS_SQL}, pair AS MATERIALIZED (SELECT i.tx_id AS parent, o.tx_id AS tx_id FROM flows i JOIN flows o ON i.dst = o.src
+  WHERE epoch_us(o.ts) - epoch_us(i.ts) > 0 AND epoch_us(o.ts) - epoch_us(i.ts) <= 31536000000000 AND o.amount <= i.amount
+  AND i.amount - o.amount <= i.amount * CAST(0.5 AS DECIMAL(10,4)) AND i.tx_id <> o.tx_id),
+walk AS (SELECT parent, tx_id, 2 AS transfers FROM pair UNION ALL SELECT p.parent, p.tx_id, w.transfers + 1 FROM walk w JOIN pair p ON w.tx_id = p.parent WHERE w.transfers < 4)
+SELECT transfers, tx_id, parent, count(*)::BIGINT AS chains FROM walk GROUP BY ALL"""
+)
+def layering_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = network.layering_steps(flows(spark, sf_dir), most=4, hours=8760, tolerance=0.5)
+    return steps.groupBy("transfers", "tx_id", "parent").agg(F.sum("chains").cast("long").alias("chains"))
+
+
+@query(
+    f"""WITH RECURSIVE {FLOWS_SQL}, pair AS MATERIALIZED (SELECT i.tx_id AS parent, o.tx_id AS tx_id FROM flows i JOIN flows o ON i.dst = o.src
+  WHERE epoch_us(o.ts) - epoch_us(i.ts) > 0 AND epoch_us(o.ts) - epoch_us(i.ts) <= 31536000000000 AND o.amount <= i.amount
+  AND i.amount - o.amount <= i.amount * CAST(0.5 AS DECIMAL(10,4)) AND i.tx_id <> o.tx_id),
+walk AS (SELECT tx_id, concat(parent, '>', tx_id) AS path, 2 AS transfers FROM pair
+  UNION ALL SELECT p.tx_id, concat(w.path, '>', p.tx_id), w.transfers + 1 FROM walk w JOIN pair p ON w.tx_id = p.parent WHERE w.transfers < 3)
+SELECT path FROM walk WHERE transfers = 3"""
+)
+def layering_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = network.layering_steps(flows(spark, sf_dir), most=3, hours=8760, tolerance=0.5)
+    return network.layering_paths(steps, 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(
+    f"""WITH {FLOWS_SQL}, e AS (SELECT dst AS account, true AS inward, src AS other, CAST(ts AS DATE) AS seen FROM flows WHERE src <> dst
+  UNION ALL SELECT src, false, dst, CAST(ts AS DATE) FROM flows WHERE src <> dst),
+d AS (SELECT DISTINCT account, inward, seen AS day FROM e),
+n AS (SELECT d.account, d.inward, d.day, count(DISTINCT e.other) AS others FROM d JOIN e ON d.account = e.account AND d.inward = e.inward
+  AND e.seen BETWEEN d.day - 364 AND d.day GROUP BY ALL)
+SELECT account, day, bool_or(inward) AS funnel, bool_or(NOT inward) AS fanout FROM n WHERE others >= 8 GROUP BY account, day"""
+)
+def rolling_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.rolling_funnels(flows(spark, sf_dir), k=8, days=365)
+
+
+@query(
+    f"WITH RECURSIVE {LINKS_SQL}, e AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links), walk AS (SELECT DISTINCT a AS account, a AS c FROM e "
+    "UNION SELECT e.b, w.c FROM walk w JOIN e ON w.account = e.a) SELECT account, min(c) AS cluster FROM walk GROUP BY account"
+)
+def clusters_in_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [links(spark, sf_dir).where(F.pmod(F.xxhash64("src", "dst"), F.lit(3)) == n) for n in range(3)]
+    found = network.entity_clusters(parts[0])
+    for part in parts[1:]:
+        found = network.extend_clusters(found, part)
+    return found
+
+
 @query(
     f"WITH RECURSIVE {LINKS_SQL}, e AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links), walk AS (SELECT DISTINCT a AS account, a AS c FROM e "
     "UNION SELECT e.b, w.c FROM walk w JOIN e ON w.account = e.a) SELECT account, min(c) AS cluster FROM walk GROUP BY account"

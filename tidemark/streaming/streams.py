@@ -81,7 +81,8 @@ class TrailingDay(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = pd.concat(list(rows), ignore_index=True)
-        held = list(self.rows.get()) if self.rows.exists() else []
+        asks = bool((new["own"].to_numpy(bool) & new["micros"].notna().to_numpy()).any())
+        held = list(self.rows.get()) if asks else []  # rows for the day after only join the list
         new_times, new_cents = as_arrays(new["micros"], new["amount"])
         times = np.concatenate([np.array([h[0] for h in held], np.int64), new_times])
         cents = np.concatenate([np.array([NO_AMOUNT if h[1] is None else h[1] for h in held], np.int64), new_cents])
