@@ -77,6 +77,15 @@ def test_answers_add_codes(spark):
     assert score == 100  # 110: status 25, document code 20, PEP factor 25, scores to 30 and 10
 
 
+def test_all_answers_of_an_agent_count(spark):
+    said = spark.createDataFrame(
+        [(0, "documents", "Z TBML_OVERINVOICE. Score: 10"), (0, "documents", "A DOC_FORGED, score 30"), (0, "documents", None), (0, "due_diligence", "ONE_CODE"), (0, "due_diligence", "TWO_CODE risk score 5"),
+         (0, "pep", "not said"), (0, "pep", "He is a PEP_FAMILY member")], "tx_id long, agent string, text string")
+    _, factors, score, *_ = run(spark, answers=said, amount=100, customer_name="Plain Person")
+    assert factors == ["DOC_FORGED", "TBML_OVERINVOICE", "PEP_MATCH", "PEP_FAMILY", "ONE_CODE", "TWO_CODE"]
+    assert score == 100
+
+
 def test_extra_detector(spark):
     def odd(df):
         return df.withColumn("odd_factors", texts(["TBML_ODD"])).withColumn("odd_alerts", texts([])).withColumn("odd_score", F.lit(0))

@@ -287,6 +287,15 @@ def test_rates_equal_brute_force(spark):
         assert got[i] == want
 
 
+def test_of_rates_of_one_time_the_greatest_counts(spark):
+    t = datetime(2024, 1, 1)
+    rates = [("EUR", t, Decimal(1)), ("EUR", t, Decimal(3)), ("EUR", t, Decimal(2)), ("GBP", t, Decimal(5)), ("GBP", t, Decimal(4)), ("GBP", t + timedelta(days=9), Decimal(7))]
+    tx = spark.createDataFrame([(1, "EUR", t, Decimal(10)), (2, "GBP", t + timedelta(days=1), Decimal(10)), (3, "GBP", t + timedelta(days=9), Decimal(10))], "tx_id long, currency string, ts timestamp, amount decimal(18,2)")
+    for order in (rates, rates[::-1]):
+        got = validate.to_usd(tx, spark.createDataFrame(order, "currency string, valid_from timestamp, rate decimal(10,4)")).collect()
+        assert {r.tx_id: r.amount_usd for r in got} == {1: 30, 2: 50, 3: 70}
+
+
 def test_exact_stream_over_many_batches_equals_batch(spark, tmp_path):
     """Seven files, one a batch: ties, missing times and amounts, and rows later than others but within the watermark's day."""
     rows, df = ledger(spark, 8, 240)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import answers as read
@@ -29,21 +29,28 @@ def apply_answers(df: DataFrame, answers: DataFrame) -> DataFrame:
 
     Crypto codes count if the crypto score is 25 or more; codes with PEP, and
     the status, as the answer says; document codes and score; due diligence
-    codes and score (50 if none is read).  Of several answers of one agent to
-    a transaction the alphabetically first counts.  One join, on tx_id.
+    codes and score (50 if none is read).  All answers of an agent to a
+    transaction count: their codes in the order of the texts, the highest score,
+    and the status if one says so.  One join, on tx_id; a transaction's answers are one row.
     """
-    wide = answers.groupBy("tx_id").agg(
-        *(F.min(F.when(F.col("agent") == a, F.col("text"))).alias(f"_{a}") for a in ("crypto", "pep", "documents", "due_diligence"))
-    )
-    out = df.join(wide, "tx_id", "left")
-    crypto = F.filter(or_empty(read.risk_codes(F.col("_crypto"))), lambda c: c.startswith("CRYPTO_"))
+    agents = ("crypto", "pep", "documents", "due_diligence")
+    wide = answers.groupBy("tx_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("agent") == a, F.col("text")))).alias(f"_{a}") for a in agents))
+    out = df.join(wide, "tx_id", "left").withColumns({f"_{a}": or_empty(f"_{a}") for a in agents})
+
+    def codes(column: str) -> Column:
+        return F.flatten(F.transform(column, lambda t: or_empty(read.risk_codes(t))))
+
+    def highest(column: str, default: int) -> Column:
+        return F.array_max(F.transform(column, lambda t: read.score(t, default)))
+
+    crypto = F.filter(codes("_crypto"), lambda c: c.startswith("CRYPTO_"))
     said = F.array_distinct(F.filter(crypto, lambda c: ~F.array_contains("crypto_factors", c)))
-    flag = read.pep_flag(F.col("_pep"))
+    flag = F.exists("_pep", lambda t: F.coalesce(read.pep_flag(t), F.lit(False)))
     status = F.col("pep_status") | flag
     own = F.when(status, texts(["PEP_MATCH"])).otherwise(texts([]))
-    named = F.filter(or_empty(read.risk_codes(F.col("_pep"))), lambda c: F.contains(c, F.lit("PEP")) & ~F.array_contains("_own_pep", c))
+    named = F.filter(codes("_pep"), lambda c: F.contains(c, F.lit("PEP")) & ~F.array_contains("_own_pep", c))
     papers = F.filter(
-        or_empty(read.risk_codes(F.col("_documents"))), lambda c: c.startswith("TBML_") | c.startswith("DOC_") | c.startswith("INVOICE")
+        codes("_documents"), lambda c: c.startswith("TBML_") | c.startswith("DOC_") | c.startswith("INVOICE")
     )
     has_papers = F.size(or_empty("documents")) > 0
     flags = F.concat(F.lit("Document analysis flags: "), F.array_join(papers, ", "))
@@ -58,9 +65,9 @@ def apply_answers(df: DataFrame, answers: DataFrame) -> DataFrame:
                 "pep_factors": F.concat("_own_pep", named),
                 "document_factors": F.concat("document_factors", F.when(has_papers, papers).otherwise(texts([]))),
                 "document_alerts": F.concat("document_alerts", present(F.when(has_papers & (F.size(papers) > 0), flags))),
-                "document_score": F.when(has_papers & F.col("_documents").isNotNull(), read.score(F.col("_documents"), 0)),
-                "due_diligence_codes": or_empty(read.risk_codes(F.col("_due_diligence"))),
-                "due_diligence_score": F.when(F.col("_due_diligence").isNotNull(), read.score(F.col("_due_diligence"), 50)),
+                "document_score": F.when(has_papers & (F.size("_documents") > 0), highest("_documents", 0)),
+                "due_diligence_codes": codes("_due_diligence"),
+                "due_diligence_score": F.when(F.size("_due_diligence") > 0, highest("_due_diligence", 50)),
             }
         )
         .drop("_crypto", "_pep", "_documents", "_due_diligence", "_own_pep")

@@ -80,11 +80,12 @@ def to_usd(tx: DataFrame, rates: DataFrame) -> DataFrame:
     Rates become intervals that end where the next begins.  Those are dealt out
     by the days they touch, so a row meets the rates of its currency and day
     only; the newest rate of a currency is one row and has no end.  Dollars,
-    which hold most rows, don't take part.  Without a rate amount_usd is null.
+    which hold most rows, don't take part.  Of rates of one currency and time the
+    greatest counts.  Without a rate amount_usd is null.
     """
     day = lambda c: F.floor(F.unix_seconds(c) / 86400)
     following = Window.partitionBy("currency").orderBy("valid_from")
-    spans = rates.where("valid_from IS NOT NULL").select("currency", "valid_from", F.lead("valid_from").over(following).alias("valid_to"), "rate")
+    spans = rates.where("valid_from IS NOT NULL").groupBy("currency", "valid_from").agg(F.max("rate").alias("rate")).select("currency", "valid_from", F.lead("valid_from").over(following).alias("valid_to"), "rate")
     ended = spans.where("valid_to IS NOT NULL").select(
         "currency", F.explode(F.sequence(day("valid_from"), day("valid_to"))).alias("_day"), F.struct("valid_from", "valid_to", "rate").alias("_span")
     )

@@ -251,11 +251,11 @@ def answers_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codes_of(column: str) -> str:
-    return f"coalesce({CODES_SQL.replace('(t, ', f'({column}, ')}, [])"
+    return f"flatten(list_transform(coalesce({column}, []), lambda t: {CODES_SQL}))"
 
 
 def score_of(column: str, default: int) -> str:
-    return SCORE_SQL.replace("(t, ", f"({column}, ").replace(", 0))", f", {default}))")
+    return f"list_max(list_transform({column}, lambda t: {SCORE_SQL.replace(', 0))', f', {default}))')}))"
 
 
 def as_list(column: str) -> str:
@@ -264,10 +264,10 @@ def as_list(column: str) -> str:
 
 ANSWERED_SQL = f"""{ASSESS_SQL.split("r1 AS (")[0]}
 an0 AS (SELECT conv_id AS tx_id, turn % 4 AS k, {ANSWER} AS t FROM conversations),
-an AS (SELECT tx_id, min(t) FILTER (k = 0) AS t_crypto, min(t) FILTER (k = 1) AS t_pep, min(t) FILTER (k = 2) AS t_docs, min(t) FILTER (k = 3) AS t_dd FROM an0 GROUP BY tx_id),
+an AS (SELECT tx_id, list(t ORDER BY t) FILTER (k = 0) AS t_crypto, list(t ORDER BY t) FILTER (k = 1) AS t_pep, list(t ORDER BY t) FILTER (k = 2) AS t_docs, list(t ORDER BY t) FILTER (k = 3) AS t_dd FROM an0 GROUP BY tx_id),
 s0 AS (SELECT r0.*, t_docs, t_dd, {as_list("crypto_factors")} AS cl, list_filter({codes_of("t_crypto")}, lambda c: starts_with(c, 'CRYPTO_')) AS cs, {codes_of("t_pep")} AS pc,
   list_filter({codes_of("t_docs")}, lambda c: starts_with(c, 'TBML_') OR starts_with(c, 'DOC_') OR starts_with(c, 'INVOICE')) AS papers, {codes_of("t_dd")} AS dc,
-  is_pep OR coalesce(contains(upper(t_pep), 'PEP') AND NOT contains(right(split_part(upper(t_pep), 'PEP', 1), 10), 'NOT'), false) AS said_pep
+  is_pep OR len(list_filter(coalesce(t_pep, []), lambda t: contains(upper(t), 'PEP') AND NOT contains(right(split_part(upper(t), 'PEP', 1), 10), 'NOT'))) > 0 AS said_pep
   FROM r0 LEFT JOIN an USING (tx_id)),
 s1 AS (SELECT *, CASE WHEN {IS_CRYPTO} AND crypto_points >= 25 THEN list_concat(cl, list_filter(cs, lambda c, i: list_position(cs, c) = i AND NOT list_contains(cl, c))) ELSE cl END AS cf,
   CASE WHEN said_pep THEN list_concat(['PEP_MATCH'], list_filter(pc, lambda c: contains(c, 'PEP') AND c <> 'PEP_MATCH')) ELSE list_filter(pc, lambda c: contains(c, 'PEP')) END AS pf FROM s0),
@@ -299,15 +299,19 @@ def assessments_with_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {TX_SQL}, hist AS (SELECT customer_id, count(*) AS n, sum(amount) AS total FROM tx GROUP BY 1) SELECT tx_id, concat('Amount: ', format('{{:,.2f}}', "
-    "CAST(amount AS DOUBLE)), ' ', coalesce(currency, 'USD')) AS first_line, concat('History: ', n, ' transactions, total $', format('{:,.2f}', CAST(total AS DOUBLE))) AS last_line "
-    "FROM tx JOIN hist USING (customer_id)"
+    f"""WITH {TX_SQL}, hist AS (SELECT customer_id, count(*) AS n, sum(amount) AS total FROM tx GROUP BY 1),
+l AS (SELECT *, list_filter(string_split(via, ','), lambda x: x <> '') AS v, list_filter(string_split(party_list, '|'), lambda x: x <> '') AS p FROM tx JOIN hist USING (customer_id))
+SELECT tx_id, concat_ws(chr(10), concat('Amount: ', format('{{:,.2f}}', CAST(amount AS DOUBLE)), ' ', coalesce(currency, 'USD')), concat('Type: ', coalesce(transaction_type, 'UNKNOWN')),
+  concat('Route: ', coalesce(origin_country, 'UNKNOWN'), ' to ', coalesce(destination_country, 'UNKNOWN')),
+  CASE WHEN len(v) > 0 THEN concat('Intermediate Countries: ', array_to_string(v, ', ')) END,
+  concat('Parties: ', CASE WHEN len(p) > 0 THEN array_to_string(p, ', ') ELSE 'Not specified' END),
+  CASE WHEN transaction_type = 'CRYPTO' THEN concat('Wallet Age: ', coalesce(CAST(wallet_age_days AS STRING), 'Unknown'), ' days; Mixer Used: ', coalesce(CAST(mixer_used AS STRING), 'false'),
+    '; Cross-Chain Swaps: ', coalesce(CAST(cross_chain_swaps AS STRING), '0')) END, concat('Account Age: ', coalesce(account_age_days, 0), ' days'),
+  concat('History: ', n, ' transactions, total $', format('{{:,.2f}}', CAST(total AS DOUBLE)))) AS context FROM l"""
 )
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = transactions(spark, sf_dir)
-    lines = F.split("context", "\n")
-    df = answers.case_contexts(tx, tx.select("customer_id", "ts", "amount"))
-    return df.select("tx_id", F.get(lines, F.lit(0)).alias("first_line"), F.element_at(lines, -1).alias("last_line"))
+    return answers.case_contexts(tx, tx.select("customer_id", "ts", "amount"))
 
 
 # ---- names -----------------------------------------------------------------

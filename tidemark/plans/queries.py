@@ -94,6 +94,29 @@ def rule_scores_browser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_columns(scored_rules(spark, sf_dir, "browser"))
 
 
+#: Severity and description of each rule's factor, as SQL.
+FIRST_WORD = "coalesce(" + ", ".join(f"CASE WHEN contains(lower(customer_name), '{w}') THEN '{w}' END" for w in fixed.SANCTION_WORDS) + ")"
+DESCRIBED = {
+    "HIGH_RISK_ORIGIN": ("HIGH", "concat('High-risk origin country: ', upper(origin_country))"),
+    "HIGH_RISK_DESTINATION": ("HIGH", "concat('High-risk destination country: ', upper(destination_country))"),
+    "TAX_HAVEN_DESTINATION": ("MEDIUM", "concat('Destination is known tax haven: ', upper(destination_country))"),
+    "GREY_LIST_JURISDICTION": ("MEDIUM", "'Transaction involves FATF grey list country'"),
+    "LARGE_TRANSACTION": ("MEDIUM", "concat('Large transaction amount: $', format('{:,.2f}', CAST(amount AS DOUBLE)))"),
+    "STRUCTURING_INDICATOR": ("HIGH", "'Amount near reporting threshold - possible structuring'"),
+    "SANCTIONS_KEYWORD_MATCH": ("CRITICAL", f"concat('Customer name contains sanctions-related keyword: ', chr(39), {FIRST_WORD}, chr(39))"),
+    "CORPORATE_ENTITY": ("LOW", "'Corporate entities require enhanced due diligence'"),
+    "NEW_ACCOUNT": ("MEDIUM", "concat('Account is only ', coalesce(nullif(account_age_days, 0), 365), ' days old')"),
+    "CRYPTO_TRANSACTION": ("MEDIUM", "'Cryptocurrency transactions carry elevated risk'"),
+    "CASH_TRANSACTION": ("MEDIUM", "'Cash transactions have higher AML risk'"),
+}
+TITLES = {
+    "HIGH_RISK_ORIGIN": "High-Risk Origin Country", "TAX_HAVEN_DESTINATION": "Tax Haven Destination", "LARGE_TRANSACTION": "Large Value Transaction",
+    "STRUCTURING_INDICATOR": "Possible Structuring", "SANCTIONS_KEYWORD_MATCH": "Potential Sanctions Concern", "NEW_ACCOUNT": "New Account High Activity",
+    "CRYPTO_TRANSACTION": "Cryptocurrency Transaction",
+}
+TITLE_SQL = "CASE factor " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in TITLES.items()) + " END AS title"
+REASON_LINES = ", ".join(f"CASE WHEN {p} THEN concat('[{DESCRIBED[c][0]}] ', {DESCRIBED[c][1]}) END" for c, p, _ in RULES if c in DESCRIBED)
+STEPS_SQL = "CASE action " + " ".join(f"WHEN '{a}' THEN '{'; '.join(steps)}'" for a, steps in rules.NEXT_STEPS.items()) + " END AS next_steps"
 ALERTED = {
     "HIGH_RISK_ORIGIN": ("HIGH_RISK_JURISDICTION", "HIGH", 0.95), "TAX_HAVEN_DESTINATION": ("HIGH_RISK_JURISDICTION", "MEDIUM", 0.9),
     "LARGE_TRANSACTION": ("UNUSUAL_ACTIVITY", "MEDIUM", 0.85), "STRUCTURING_INDICATOR": ("STRUCTURING", "HIGH", 0.88),
@@ -110,26 +133,24 @@ ALERTS_SQL = " UNION ALL ".join(
 
 @query(
     f"WITH {TX_SQL}, a AS ({ALERTS_SQL}) SELECT left(sha256(concat(CAST(tx_id AS STRING), '|', factor)), 16) AS alert_id, "
-    "tx_id, factor, alert_type, severity, confidence FROM a"
+    f"tx_id, factor, alert_type, severity, {TITLE_SQL}, confidence FROM a"
 )
 def rule_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.alert_rows(scored_rules(spark, sf_dir))
-    return rows.select("alert_id", "tx_id", "factor", "alert_type", "severity", "confidence")
+    return rows.select("alert_id", "tx_id", "factor", "alert_type", "severity", "title", "confidence")
 
 
 @query(
-    f"WITH {TX_SQL}, {rules_sql(False)} SELECT tx_id, concat('entry:initial_screening,geographic_risk:analyzing,amount_analysis:analyzing,"
+    f"WITH {TX_SQL}, {rules_sql(False)}, x AS (SELECT *, list_filter([{REASON_LINES}], lambda l: l IS NOT NULL) AS lines FROM leveled) "
+    "SELECT tx_id, concat('entry:initial_screening,geographic_risk:analyzing,amount_analysis:analyzing,"
     "customer_analysis:analyzing,transaction_type:analyzing,risk_scoring:calculating,decision:', lower(action)) AS decision_path, "
-    "CASE WHEN factors = '' THEN 0 ELSE len(string_split(factors, ',')) END::INT AS n_factors, "
-    "CASE action WHEN 'BLOCK' THEN 4 WHEN 'ESCALATE' THEN 4 WHEN 'REVIEW' THEN 3 ELSE 2 END AS n_steps, "
-    "concat('RISK ASSESSMENT: ', risk_level, ' (Score: ', risk_score, '/100)') AS headline FROM leveled"
+    f"{STEPS_SQL}, concat('Transaction: $', format('{{:,.2f}}', CAST(amount AS DOUBLE)), ' ', coalesce(transaction_type, 'UNKNOWN'), chr(10), "
+    "'RISK ASSESSMENT: ', risk_level, ' (Score: ', risk_score, '/100)', chr(10), 'KEY RISK INDICATORS (', len(lines), '):', chr(10), CASE WHEN len(lines) = 0 THEN "
+    "'  No significant risk indicators detected.' ELSE array_to_string(list_transform(lines, lambda l, i: concat('  ', i, '. ', l)), chr(10)) END) AS reasoning FROM x"
 )
 def rule_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     explained = rules.explain_scores(scored_rules(spark, sf_dir))
-    return explained.select(
-        "tx_id", joined("decision_path").alias("decision_path"), F.size("factors").alias("n_factors"), F.size("next_steps").alias("n_steps"),
-        F.get(F.split("reasoning", "\n"), F.lit(1)).alias("headline"),
-    )
+    return explained.select("tx_id", joined("decision_path").alias("decision_path"), F.array_join("next_steps", "; ").alias("next_steps"), "reasoning")
 
 
 # ---- checking, joining -----------------------------------------------------
