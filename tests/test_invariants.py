@@ -71,9 +71,14 @@ def test_clusters_equal_union_find(spark):
     assert {r.account: r.cluster for r in network.entity_clusters(frame).collect()} == label
 
 
-def test_the_windows_shuffle_rows_once_and_by_customer_day_and_slice(spark):
+def test_the_windows_shuffle_rows_once_and_by_customer_and_day(spark):
     plan = velocity_24h(tx(spark, {}))._jdf.queryExecution().executedPlan().toString()
     shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "(who#" in shuffles[0] and ", day#" in shuffles[0]
+
+
+def test_hot_days_shuffle_rows_once_and_by_slice(spark):
+    plan = velocity_24h(tx(spark, {}), hot_rows=0)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert all("(who#" in s and ", day#" in s for s in shuffles)
-    sums = plan.count("HashAggregate(keys=[who#")
-    assert sums == 2 and sum("slice#" in s for s in shuffles) <= 3  # rows, and a row a slice twice
+    assert plan.count("HashAggregate(keys=[who#") == 2 and sum("slice#" in s for s in shuffles) <= 3  # rows, and a row a slice twice

@@ -80,19 +80,22 @@ def test_a_hot_day_is_many_groups_and_linear_work(spark):
         counts, volumes, least, most, at = counts + peers * to, volumes + peers * running, least + peers * low, most + peers * high, to
     assert tuple(got) == (counts, volumes, least, most)
     assert took[n] < 20 * took[n // 10] + 10  # a quadratic frame takes 100 times as long
-    grouped = velocity_24h(hot_day(spark, 1000)).withColumn("part", F.spark_partition_id()).select("part").distinct().count()
+    coalescing = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalescing, "false")
+    grouped = velocity_24h(hot_day(spark, 1000), hot_rows=10).withColumn("part", F.spark_partition_id()).select("part").distinct().count()
+    spark.conf.unset(coalescing)
     assert grouped > 1
 
 
-@pytest.mark.parametrize("slices", [1, 2, 1440])
+@pytest.mark.parametrize(("hot_rows", "slices"), [(0, 1), (0, 2), (0, 1440), (9, 24)])
 @pytest.mark.parametrize("direction", ["backward", "both"])
-def test_slices_change_nothing(spark, direction, slices):
+def test_slices_change_nothing(spark, direction, hot_rows, slices):
     _, df = ledger(spark, 4, 120)
     columns = ["tx_id", "transactions_in_24h", "daily_volume", "min_amount", "max_amount", "all_in_band"]
     df = df.withColumn("customer_id", F.when(F.col("customer_id") > 0, F.col("customer_id")))  # a null customer is one, too
     want = velocity_24h(df, direction).select(columns).collect()
     assert max(r.transactions_in_24h for r in want) > 3
-    assert sorted(want) == sorted(velocity_24h(df, direction, slices=slices).select(columns).collect())
+    assert sorted(want) == sorted(velocity_24h(df, direction, hot_rows=hot_rows, slices=slices).select(columns).collect())
 
 
 def test_cycles_equal_brute_force(spark):

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import written
+
 DAY_MICROS = 86_400_000_000
-#: Parts of a day that are groups of their own.
+#: Rows of a customer's day from which it is cut up, and into how many slices.
+HOT_ROWS = 100_000
 SLICES = 48
+#: Hot days up to which their list is broadcast.
+MOST_BROADCAST = 10_000
 
 
-def velocity_24h(tx: DataFrame, direction: str = "backward", band: tuple[int, int] = (9000, 10000), slices: int = SLICES) -> DataFrame:
+def velocity_24h(
+    tx: DataFrame, direction: str = "backward", band: tuple[int, int] = (9000, 10000), hot_rows: int = HOT_ROWS, slices: int = SLICES
+) -> DataFrame:
     """tx with recent_count, transactions_in_24h, daily_volume, the amounts' mean, sd, least and most, and all_in_band.
 
     all_in_band says that there are amounts and each is from the first of
@@ -29,10 +36,11 @@ def velocity_24h(tx: DataFrame, direction: str = "backward", band: tuple[int, in
     minima from either end of the day.  So every row is constant work, however
     many fall into 24 hours.
 
-    A day is cut into ``slices``, each a group of its own.  What the slices before
-    and after hold is summed up first, a row a slice, and carried into the slice,
-    so a customer's day is spread over many tasks; only rows of one instant must meet.
-    Rows without an amount count but add nothing.
+    Days of a customer with over ``hot_rows`` rows, which are counted first, are cut
+    into ``slices``, each a group of its own.  What the slices before and after hold is
+    summed up, a row a slice, and carried into the slice, so such a day is spread over
+    many tasks; only rows of one instant must meet.  Rows without an amount count but
+    add nothing.
     """
     day = F.floor(F.unix_micros("ts") / DAY_MICROS).cast("long")
     both = direction != "backward"
@@ -47,14 +55,25 @@ def velocity_24h(tx: DataFrame, direction: str = "backward", band: tuple[int, in
     events += [event(0, at - upper, 1, False), event(0, at, 0, True), event(-1, at - upper, 1, False)] if both else [event(0, at, 1, True)]
     alone = F.array(event(0, F.lit(None).cast("long"), 1, True))
 
+    counted = tx.where(timed).groupBy(F.struct("customer_id").alias("who"), day.alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
+    # Rows are seen from the days beside theirs.
+    hot = written(counted.select("who", F.explode(F.array(*(F.col("of") + n for n in (-1, 0, 1)))).alias("day")).distinct())
+    n_hot = hot.limit(MOST_BROADCAST + 1).count()
+    flagged = hot.withColumn("hot", F.lit(True))
+    flagged = F.broadcast(flagged) if n_hot <= MOST_BROADCAST else flagged
+
     def dealt(kept: list[Column]) -> DataFrame:
         spread = tx.select("customer_id", "amount", *kept, day.alias("day"), F.xxhash64("tx_id").alias("spread"), F.explode(F.when(timed, F.array(*events)).otherwise(alone)).alias("e"))
         spread = spread.withColumn("day", F.coalesce(F.col("day") + F.col("e.near"), F.col("spread")))  # rows without a time are spread
         # Events before the day belong to its first slice.
         part = F.floor((F.col("e.time") - F.col("day") * DAY_MICROS) / (DAY_MICROS // slices)).cast("int")
         asked = [F.when(F.col("e.asks"), F.col("row")).alias("row")] if kept else []
+        spread = spread.withColumn("who", F.struct("customer_id"))
+        if n_hot:
+            spread = spread.join(flagged, ["who", "day"], "left" if kept else "inner")
+        part = F.when(F.col("hot"), F.coalesce(F.greatest(part, F.lit(0)), F.lit(0))).otherwise(0) if n_hot else F.lit(0)
         return spread.select(
-            F.struct("customer_id").alias("who"), "day", F.coalesce(F.greatest(part, F.lit(0)), F.lit(0)).alias("slice"), "amount", *asked,
+            "who", "day", part.alias("slice"), "amount", *asked,
             "e.time", "e.change", "e.asks", ((F.col("e.near") <= 0) & (F.col("e.change") > 0)).alias("enters"),
         )
 
@@ -67,25 +86,22 @@ def velocity_24h(tx: DataFrame, direction: str = "backward", band: tuple[int, in
     came, stays = F.when(F.col("enters"), amount), F.when(change < 0, amount)
 
     key = ["who", "day", "slice"]  # a struct of a null is a key like others
-    totals = dealt([]).groupBy(*key).agg(
-        *(F.sum(v).alias(n) for n, v in sums.items()), F.min(came).alias("came_least"), F.max(came).alias("came_most"), F.min(stays).alias("stays_least"), F.max(stays).alias("stays_most")
-    )
-    in_day = Window.partitionBy("who", "day").orderBy("slice")
-    before, after = in_day.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("who", "day").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *key, *(F.sum(n).over(before).alias(f"carried_{n}") for n in sums),
-        F.min("came_least").over(before).alias("carried_came_least"), F.max("came_most").over(before).alias("carried_came_most"),
-        F.min("stays_least").over(after).alias("carried_stays_least"), F.max("stays_most").over(after).alias("carried_stays_most"),
-    )
     rows = dealt([F.struct(*(F.col(c) for c in tx.columns)).alias("row")])
-    rows = rows.join(carried, key, "left")
+    if n_hot:
+        rows = rows.join(carried_into(dealt([]), key, sums, came, stays), key, "left")
+    else:
+        key = key[:2]
 
     group = Window.partitionBy(*key)
     running = group.orderBy("time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     later = group.orderBy(F.desc("time")).rangeBetween(Window.unboundedPreceding, -1)
 
     def total(name: str) -> Column:
-        return F.coalesce(F.sum(sums[name]).over(running), F.lit(0)) + F.coalesce(F.col(f"carried_{name}"), F.lit(0))
+        own = F.coalesce(F.sum(sums[name]).over(running), F.lit(0))
+        return own + F.coalesce(F.col(f"carried_{name}"), F.lit(0)) if n_hot else own
+
+    def carried(*names: str) -> list[Column]:
+        return [F.col(f"carried_{n}") for n in names] if n_hot else []
 
     kind = tx.select(F.sum("amount").alias("s")).schema["s"].dataType
     n, s, ss = F.col("known"), F.col("volume").cast("double"), F.col("squares").cast("double")
@@ -96,8 +112,8 @@ def velocity_24h(tx: DataFrame, direction: str = "backward", band: tuple[int, in
             "volume": total("volume"),
             "squares": total("squares"),
             "inside": total("n_inside"),
-            "least": F.least(F.min(came).over(running), "carried_came_least", F.min(stays).over(later), "carried_stays_least"),
-            "most": F.greatest(F.max(came).over(running), "carried_came_most", F.max(stays).over(later), "carried_stays_most"),
+            "least": F.least(F.min(came).over(running), F.min(stays).over(later), *carried("came_least", "stays_least")),
+            "most": F.greatest(F.max(came).over(running), F.max(stays).over(later), *carried("came_most", "stays_most")),
         }
     ).where("asks")
     is_timed = F.col("time").isNotNull()
@@ -115,6 +131,21 @@ def velocity_24h(tx: DataFrame, direction: str = "backward", band: tuple[int, in
     ).withColumn("recent_count", F.col("transactions_in_24h") - 1)
 
 
+def carried_into(events: DataFrame, key: list[str], sums: dict[str, Column], came: Column, stays: Column) -> DataFrame:
+    """For each slice, named by the key, the sums of the slices before it in its day, and the extremes of those before and after."""
+    totals = events.groupBy(*key).agg(
+        *(F.sum(v).alias(n) for n, v in sums.items()), F.min(came).alias("came_least"), F.max(came).alias("came_most"), F.min(stays).alias("stays_least"), F.max(stays).alias("stays_most")
+    )
+    in_day = Window.partitionBy(*key[:2])
+    before = in_day.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    after = in_day.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(
+        *key, *(F.sum(n).over(before).alias(f"carried_{n}") for n in sums),
+        F.min("came_least").over(before).alias("carried_came_least"), F.max("came_most").over(before).alias("carried_came_most"),
+        F.min("stays_least").over(after).alias("carried_stays_least"), F.max("stays_most").over(after).alias("carried_stays_most"),
+    )
+
+
 def request_rate(log: DataFrame, limit: int = 100) -> DataFrame:
     """Requests per client and minute, and whether they are over the limit; batch or stream."""
     return (
