@@ -160,11 +160,36 @@ def test_sources_have_limits_of_their_own(spark):
     kept, df = verdicts(spark, rows)
     assert sum(kept.values()) > 0.97 * len(rows)
     bounds = {r.source: r for r in quality_rules.limits(quality_rules.sketches(quality_rules.count_features(df))).collect()}
-    assert bounds["loud"].q50_capitals > 5 * bounds["calm"].q50_capitals and bounds["loud"].q50_chars_per_word > 1.5 * bounds["calm"].q50_chars_per_word
+    assert bounds["loud"].q75_capitals > 5 * bounds["calm"].q75_capitals and bounds["loud"].q75_chars_per_word > 1.5 * bounds["calm"].q75_chars_per_word
     moved = [(i, t, "en", "calm" if s == "loud" else "loud") for i, t, _, s in rows[:4]]
     assert not any(verdicts(spark, rows[4:] + moved)[0][i] for i in (1, 3))  # the loud texts among the calm ones
 
 
+def with_symbols(rng, n, share):
+    return " ".join(w + "#" * (rng.random() < share) for w in prose(rng, n, 0.02, 5).split())
+
+
+def test_a_count_of_symbols_is_judged_by_its_source(spark):
+    rng = random.Random(8)
+    rows = [(i, with_symbols(rng, 80, rng.uniform(0.1, 0.4)), "en", "code") for i in range(200)]
+    rows += [(1000 + i, with_symbols(rng, 80, 0.0), "en", "prose") for i in range(1000)]
+    same = prose(rng, 60, 0.02, 5) + " " + " ".join(f"{w}#" for w in prose(rng, 20, 0.0, 5).split())
+    rows += [(2000, same, "en", "code"), (2001, same, "en", "prose"), (2002, prose(rng, 80, 0.02, 5) + " #", "en", "prose")]
+    kept, df = verdicts(spark, rows)
+    assert kept[2000] and not kept[2001] and kept[2002]
+    assert sum(kept[i] for i, *_ in rows[:-3]) > 0.97 * (len(rows) - 3)
+    pooled, _ = verdicts(spark, [(i, t, lang, "all") for i, t, lang, _ in rows])  # one limit for all groups
+    assert sum(pooled[i] != kept[i] for i in kept) > 50
+
+
+def test_a_longer_text_may_have_more_symbols(spark):
+    rng = random.Random(9)
+    rows = [(i, with_symbols(rng, rng.randint(40, 400), 0.0), "en", "s") for i in range(300)]
+    rows += [(1000 + n, prose(rng, n, 0.02, 5) + " ###### ######", "en", "s") for n in (20, 600)]
+    kept, _ = verdicts(spark, rows)
+    assert not kept[1020] and kept[1600]
+
+
 def test_a_third_of_junk_is_rejected_all_the_same(spark):
     rng = random.Random(6)
     clean = [(i, prose(rng, 60, 0.02, 5), "en", "s") for i in range(200)]

@@ -1,20 +1,22 @@
 """Quality rules with thresholds that follow the data.
 
 Features of each text are rates: characters and symbols per word, capitals per
-character, repeated lines per line.  For each language and source a mergeable
-quantile sketch of every feature is kept: counts in buckets whose width is at
-most a 16th of their value.  Sketches of parts are merged by adding counts, so
-partial aggregation does most of the work before the shuffle and the result
+character, repeated lines per line, each with one occurrence added, so that a text
+without the trait says how rare it is at least.  For each language and source a
+mergeable quantile sketch of every feature is kept: counts in buckets whose width
+is at most a 16th of their value.  Sketches of parts are merged by adding counts,
+so partial aggregation does most of the work before the shuffle and the result
 doesn't depend on order.
 
-A group's limit comes from its own sketch, shrunk towards its language's: the
+A group's limits come from its own sketch, shrunk towards its language's: the
 language adds PRIOR rows dealt like all of its own, so small groups follow their
-language and large ones themselves.  The limit lies REACH times as far above the
-median as the lower tail (5 %) lies below it; junk at the upper end moves neither
-much while it is less than half of a group.  No limit has a fixed floor; instead
-a text may exceed it by what chance makes of so few words (SIGMAS standard
-deviations of a count).  A trait that most texts of a group lack altogether, like
-symbols in prose, so has the limit zero and that allowance.
+language and large ones themselves.  The upper limit lies REACH times the distance
+of the quartiles above the upper quartile (the lower one likewise below), so less
+than a quarter of junk doesn't move it much.  A text may exceed a limit by what
+chance makes of a count of that size (SIGMAS standard deviations of what the limit
+expects in this text) and by nothing else: no limit or allowance is fixed.  A source
+whose texts use symbols so has another limit than plain prose, and prose without
+any symbol has a limit of a few in a text of the usual length.
 
 Scale: texts are read once and leave as a few integers.  A language and source
 with a third of all rows is summed up on the map side; its sketch has at most a
@@ -50,7 +52,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Feature: what is counted, and among how many.  Its value is the rate per thousand.
+#: Feature: what is counted, and among how many.  Its value is the rate per thousand, of one more than is counted.
 FEATURES = {
     "chars_per_word": ("word_chars", "n_words"),
     "symbols_per_word": ("n_symbols", "n_words"),
@@ -59,10 +61,9 @@ FEATURES = {
 }
 #: Features that may also be too low.
 BOTH_SIDES = ("chars_per_word",)
-TAIL_PERCENT = 5
-REACH = 5
+REACH = 1.5
 PRIOR = 20
-SIGMAS = 3
+SIGMAS = 4
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS.encode())] = True
@@ -125,7 +126,7 @@ def base_failed() -> Column:
 
 def sketches(counts: DataFrame) -> DataFrame:
     """lang, source, feature, bucket, n: the mergeable sketches of all texts that pass the base rules."""
-    values = F.array(*(F.struct(F.lit(f).alias("feature"), F.expr(f"1000 * {k} div {n}").alias("value")) for f, (k, n) in FEATURES.items()))
+    values = F.array(*(F.struct(F.lit(f).alias("feature"), F.expr(f"1000 * ({k} + 1) div {n}").alias("value")) for f, (k, n) in FEATURES.items()))
     return (
         counts.where(~base_failed())
         .select("lang", "source", F.explode(values).alias("f"))
@@ -135,7 +136,7 @@ def sketches(counts: DataFrame) -> DataFrame:
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """lang, source and for each feature its q50_ and q05_<feature>, from the group's and its language's sketches."""
+    """lang, source and for each feature its q75_ and q25_<feature>, from the group's and its language's sketches."""
     of_lang = sketch.groupBy("lang", "feature", "bucket").agg(F.sum("n").alias("n_lang"))
     groups = sketch.select("lang", "source").distinct()
     own = sketch.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("feature").alias("f"), F.col("bucket").alias("b"), "n")
@@ -149,26 +150,25 @@ def limits(sketch: DataFrame) -> DataFrame:
         (F.sum(F.coalesce("n", F.lit(0))).over(upto) * 1000 + F.call_function("div", F.sum("n_lang").over(upto) * PRIOR * 1000, F.sum("n_lang").over(group))).alias("upto"),
         (F.sum(F.coalesce("n", F.lit(0))).over(group) * 1000 + PRIOR * 1000).alias("total"),
     )
-    low_end = F.expr("shiftleft(bucket % 32, cast(bucket div 32 AS int))")
+    # Quartiles are taken at the outer ends of their buckets, so their distance is never less than the sketch can tell.
+    ends = {"q75": (75, "shiftleft(bucket % 32 + 1, cast(bucket div 32 AS int))"), "q25": (25, "shiftleft(bucket % 32, cast(bucket div 32 AS int))")}
 
-    def quantile(percent: int, feature: str) -> Column:
-        return F.min(F.when((F.col("feature") == feature) & (F.col("upto") * 100 >= F.col("total") * percent), low_end))
+    def quantile(percent: int, end: str, feature: str) -> Column:
+        return F.min(F.when((F.col("feature") == feature) & (F.col("upto") * 100 >= F.col("total") * percent), F.expr(end)))
 
-    return ranked.groupBy("lang", "source").agg(
-        *(quantile(q, f).alias(f"{name}_{f}") for f in FEATURES for q, name in ((50, "q50"), (TAIL_PERCENT, "q05")))
-    )
+    return ranked.groupBy("lang", "source").agg(*(quantile(percent, end, f).alias(f"{q}_{f}") for f in FEATURES for q, (percent, end) in ends.items()))
 
 
 def within_limits() -> Column:
     """Whether no feature is over (or under) its group's limit by more than chance."""
     within = F.lit(True)
     for f, (k, n) in FEATURES.items():
-        reach = f"{REACH} * (q50_{f} - q05_{f})"
-        most = f"((q50_{f} + {reach}) * {n} / 1000D)"
-        within &= F.expr(f"{k} <= {most} + {SIGMAS}D * sqrt({most}) + {SIGMAS**2}D")
+        reach = f"{REACH}D * (q75_{f} - q25_{f})"
+        most = f"((q75_{f} + {reach}) * {n} / 1000D)"
+        within &= F.expr(f"{k} <= {most} + {SIGMAS}D * sqrt({most})")
         if f in BOTH_SIDES:
-            least = f"(greatest(q50_{f} - {reach}, 0L) * {n} / 1000D)"
-            within &= F.expr(f"{k} >= {least} - {SIGMAS}D * sqrt({least}) - {SIGMAS**2}D")
+            least = f"(greatest(q25_{f} - {reach}, 0D) * {n} / 1000D)"
+            within &= F.expr(f"{k} >= {least} - {SIGMAS}D * sqrt({least})")
     return within
 
 
@@ -210,7 +210,7 @@ c AS (SELECT d.r, doc_id, lang, source, len(w.ws)::BIGINT AS n_words,
              coalesce(n_lines, 0)::BIGINT AS n_lines, length(regexp_replace(d.text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals
       FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN lc USING (r)),
 base AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM c),
-f AS (SELECT r, lang, source, feature, k, n, 1000 * k // n AS value
+f AS (SELECT r, lang, source, feature, k, n, 1000 * (k + 1) // n AS value
       FROM (SELECT r, lang, source, unnest(['chars_per_word', 'symbols_per_word', 'capitals', 'dup_lines']) AS feature,
                    unnest([word_chars, n_symbols, n_capitals, n_dup_lines]) AS k, unnest([n_words, n_words, word_chars, n_lines]) AS n FROM base WHERE NOT base_failed)),
 h AS (SELECT lang, source, feature, 32 * greatest(length(bin(value)) - 5, 0) + (value >> greatest(length(bin(value)) - 5, 0)::INT) AS bucket, count(*) AS n FROM f GROUP BY ALL),
@@ -221,13 +221,13 @@ a AS (SELECT s.lang, s.source, hl.feature, hl.bucket, hl.n AS n_lang, coalesce(h
 u AS (SELECT lang, source, feature, bucket,
              sum(n) OVER o * 1000 + (20000 * sum(n_lang) OVER o) // sum(n_lang) OVER p AS upto, sum(n) OVER p * 1000 + 20000 AS total
       FROM a WINDOW p AS (PARTITION BY lang, source, feature), o AS (PARTITION BY lang, source, feature ORDER BY bucket)),
-q AS (SELECT lang, source, feature, min((bucket % 32) << (bucket // 32)::INT) FILTER (upto * 100 >= total * 50) AS mid,
-             min((bucket % 32) << (bucket // 32)::INT) FILTER (upto * 100 >= total * 5) AS tail FROM u GROUP BY ALL),
-b AS (SELECT lang, source, feature, mid + 5 * (mid - tail) AS most,
-             CASE WHEN feature = 'chars_per_word' THEN greatest(mid - 5 * (mid - tail), 0) ELSE 0 END AS least FROM q),
-e AS (SELECT r, k, (most * n)::DOUBLE / 1000 AS high, (least * n)::DOUBLE / 1000 AS low FROM f JOIN b ON f.feature = b.feature
+q AS (SELECT lang, source, feature, min((bucket % 32 + 1) << (bucket // 32)::INT) FILTER (upto * 100 >= total * 75) AS q75,
+             min((bucket % 32) << (bucket // 32)::INT) FILTER (upto * 100 >= total * 25) AS q25 FROM u GROUP BY ALL),
+b AS (SELECT lang, source, feature, q75 + 1.5::DOUBLE * (q75 - q25) AS most,
+             CASE WHEN feature = 'chars_per_word' THEN greatest(q25 - 1.5::DOUBLE * (q75 - q25), 0) ELSE 0 END AS least FROM q),
+e AS (SELECT r, k, most * n / 1000 AS high, least * n / 1000 AS low FROM f JOIN b ON f.feature = b.feature
       AND f.lang IS NOT DISTINCT FROM b.lang AND f.source IS NOT DISTINCT FROM b.source),
-v AS (SELECT r, bool_and(k <= high + 3 * sqrt(high) + 9 AND k >= low - 3 * sqrt(low) - 9) AS within FROM e GROUP BY r)
+v AS (SELECT r, bool_and(k <= high + 4 * sqrt(high) AND k >= low - 4 * sqrt(low)) AS within FROM e GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(within, false) AS kept, n_lines, n_capitals
 FROM base LEFT JOIN v USING (r)
