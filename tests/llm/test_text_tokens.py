@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -110,19 +111,30 @@ def test_growing_moves_few_rows(spark):
     assert sum(less[i] != more[i] for i in less) < 2 * len(less) / 25  # at best one row in 25
 
 
-def test_shards_equal_filling_the_ring_byte_by_byte(spark):
+@pytest.mark.parametrize("fineness", [2, 20, 1000])  # rows placed whole: none or few, some, all
+def test_shards_equal_filling_the_ring_byte_by_byte(spark, fineness):
     rng = random.Random(2)
-    texts = ["y" * rng.randint(0, 30) + str(i % 150) for i in range(400)] + ["copy"] * 90 + [None, "", "é" * 40]
+    texts = ["y" * rng.randint(0, 30) + str(i % 150) for i in range(400)] + ["copy"] * 90 + [None, "", "é" * 40] + ["long" * rng.randint(20, 250) for _ in range(9)]
     df = docs(spark, texts)
     place = {r.doc_id: r.p for r in df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("p")).collect()}
     places, owners = sharding.ring(5, 8)
     size = {i: len((t or "").encode()) + 8 for i, t in enumerate(texts)}
-    room = [-(-sum(size.values()) * (1 + sharding.SLACK) // 5)] * 5
-    want = {}
+    total = sum(size.values())
     arc = {i: next((k for k, p in enumerate(places) if p >= place[i]), 0) for i in size}
-    for a in sorted(set(arc.values())):
+    clockwise = {a: [owners[(a + n) % len(owners)] for n in range(len(owners))] for a in range(len(owners))}
+    large = sorted((i for i in size if size[i] * 5 * fineness >= total), key=lambda i: (-size[i], arc[i], place[i], i))
+    held, want = [0] * 5, {}
+    for i in large:
+        fits = [s for s in clockwise[arc[i]] if held[s] + size[i] <= total * (1 + sharding.SLACK) / 5]
+        want[i] = fits[0] if fits else held.index(min(held))
+        held[want[i]] += size[i]
+    rest = {i for i in size if i not in want}
+    most = next(m for m in range(total + 1) if sum(max(0, m - h) for h in held) >= sum(size[i] for i in rest))
+    room = [max(0, math.ceil(sharding.level(held, sum(size[i] for i in rest)) * (1 + sharding.SLACK)) - h) for h in held]
+    assert not rest or 0 <= math.ceil(sharding.level(held, sum(size[i] for i in rest))) - most <= 1
+    for a in sorted({arc[i] for i in rest}):
         node, taken = a, []
-        rows = sorted((i for i in size if arc[i] == a), key=lambda i: (place[i], i))
+        rows = sorted((i for i in rest if arc[i] == a), key=lambda i: (place[i], i))
         for _ in range(sum(size[i] for i in rows)):
             while room[owners[node % len(owners)]] <= 0:
                 node += 1
@@ -132,10 +144,18 @@ def test_shards_equal_filling_the_ring_byte_by_byte(spark):
         for i in rows:
             want[i] = taken[at + size[i] - size[i] // 2 - 1]
             at += size[i]
-    got = {r.doc_id: r.shard for r in sharding.assign_shards(df, shards=5, virtual_nodes=8).collect()}
+    got = {r.doc_id: r.shard for r in sharding.assign_shards(df, shards=5, virtual_nodes=8, fineness=fineness).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_sizes_are_near_equal_though_some_rows_are_long(spark, folder):
+    documents = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    rows = sharding.assign_shards(documents).groupBy("shard").agg(F.sum("size").alias("size"), F.max("size").alias("longest")).collect()
+    mean = sum(r.size for r in rows) / 24
+    assert len(rows) == 24 and all(abs(r.size / mean - 1) < 0.01 or r.size == r.longest > mean for r in rows)
+
+
 def test_very_long_texts_are_sharded_and_counted(spark):
     long = "many words " * 200_000
     df = docs(spark, [long, long, "short"])
@@ -153,8 +173,10 @@ def test_clashing_names_of_token_columns(spark, own):
 
 
 def test_bounded_loads_fill_clockwise():
-    assert sharding.settle({0: 10, 1: 2}, [0, 1], 2, 0.0) == [(0, 0, 6, 0), (0, 6, 10, 1), (1, 0, 2, 1)]
-    assert sharding.settle({}, [0, 1], 2, 0.0) == []
+    assert sharding.settle({0: 10, 1: 2}, [0, 1], [6, 6]) == [(0, 0, 6, 0), (0, 6, 10, 1), (1, 0, 2, 1)]
+    assert sharding.settle({}, [0, 1], [0, 0]) == []
+    assert sharding.level([0, 0], 12) == 6 and sharding.level([10, 0, 2], 6) == 4 and sharding.level([3, 3], 0) == 3
+    assert sharding.place_whole([(0, 9), (0, 5), (1, 5), (1, 5)], [0, 1], 2, 12) == [0, 1, 1, 0]
 
 
 def test_repeated_rows_and_clashing_columns(spark):

@@ -1,22 +1,32 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
 Equal texts hash to one place of the ring, so copies lie together.  Each shard
-owns the arcs before its virtual nodes.  What an arc holds beyond the free room
-of its shard goes on clockwise to the next virtual node whose shard has room.
-The rows of an arc have an order (place, then doc_id, then size), so "what goes
-on" is a tail of that order and each row's shard follows from how many bytes
-lie before it on its arc.
+owns the arcs before its virtual nodes.
+
+Rows that hold over a thousandth of a shard's fair share are placed first, whole,
+the largest first: each goes to the first shard clockwise that has room for it (if
+none has, to the one with most room).  All other rows then fill what is left of the
+shards to one level.  What an arc holds beyond the free room of its shard goes on
+clockwise to the next virtual node whose shard has room.  The rows of an arc have
+an order (place, then doc_id, then size), so "what goes on" is a tail of that order
+and each row's shard follows from how many bytes lie before it on its arc.  A row
+that lies across the end goes where its middle lies, so a shard is off the level by
+half of a thousandth at each place where it meets another; more only where a row
+alone is over the level.
 
 Scale: the rows (no text, some 40 bytes each) are range-partitioned by arc,
 place and doc_id, so that even a third of all rows with one text is dealt to
 many tasks.  Offsets come from two-level prefix sums: totals per partition and
 arc (at most partitions + arcs rows), then a running sum inside a partition.
-Only the totals per arc (shards x virtual nodes, whatever the input) reach the
-driver, which settles the ring.
+The totals per arc (shards x virtual nodes, whatever the input) reach the driver,
+which settles the ring, and the keys of the rows placed first: at most 1000 a shard,
+as no more rows can hold a thousandth each.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -25,9 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: A shard holds at most (1 + SLACK) times the mean, but for half a row at each end.
+#: How far over the level a shard may be filled, as a share of it.
 SLACK = 0.0005
 VIRTUAL_NODES = 256
+#: Rows of at least a shard's fair share divided by this are placed whole and first.
+FINENESS = 1000
 
 
 def ring(shards: int, virtual_nodes: int) -> tuple[list[int], list[int]]:
@@ -36,15 +48,37 @@ def ring(shards: int, virtual_nodes: int) -> tuple[list[int], list[int]]:
     return [p for p, _ in nodes], [s for _, s in nodes]
 
 
-def settle(loads: dict[int, int], owners: list[int], shards: int, slack: float) -> list[tuple[int, int, int, int]]:
-    """(arc, from byte, to byte, shard): how the arcs' loads fill the shards clockwise."""
-    room = [-(-sum(loads.values()) * (1 + slack) // shards)] * shards
-    out = []
+def place_whole(rows: list[tuple[int, int]], owners: list[int], shards: int, most: float) -> list[int]:
+    """The shards of rows (arc, size), in this order: the first clockwise with room, or the one with most room."""
+    room, out = [most] * shards, []
+    for arc, size in rows:
+        widest = max(range(shards), key=room.__getitem__)
+        shard = widest
+        if room[widest] >= size:
+            shard = next(owners[n % len(owners)] for n in range(arc, arc + len(owners)) if room[owners[n % len(owners)]] >= size)
+        room[shard] -= size
+        out.append(shard)
+    return out
+
+
+def level(held: list[int], more: int) -> float:
+    """Up to where shards that hold so much are filled when so much more is shared out evenly."""
+    below, lowest = 0, sorted(held)
+    for n, h in enumerate(lowest, 1):
+        below += h
+        if n == len(lowest) or (more + below) / n <= lowest[n]:
+            return (more + below) / n
+    return 0.0
+
+
+def settle(loads: dict[int, int], owners: list[int], room: list[int]) -> list[tuple[int, int, int, int]]:
+    """(arc, from byte, to byte, shard): how the arcs' loads fill the shards' room clockwise; it holds all of them."""
+    room, out = list(room), []
     for arc in sorted(loads):
         at, left, node = 0, loads[arc], arc
         while left > 0:
             shard = owners[node % len(owners)]
-            take = int(min(left, room[shard]))
+            take = min(left, room[shard])
             if take > 0:
                 out.append((arc, at, at + take, shard))
                 room[shard] -= take
@@ -54,14 +88,15 @@ def settle(loads: dict[int, int], owners: list[int], shards: int, slack: float)
 
 
 def assign_shards(
-    docs: DataFrame, shards: int = 24, virtual_nodes: int = VIRTUAL_NODES, slack: float = SLACK
+    docs: DataFrame, shards: int = 24, virtual_nodes: int = VIRTUAL_NODES, slack: float = SLACK, fineness: int = FINENESS
 ) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, arc, shard, slot.
 
     size is the text's UTF-8 bytes plus 8; a null text has no bytes and the
     CRC of the empty text.  Null ids are placed like others and sort first.
     Rows equal in id and text are separate rows in neighbouring slots.  An
-    empty table gives no rows.  Other columns are ignored.
+    empty table gives no rows.  A very long text weighs what it holds: larger
+    than the fair share, it fills a shard by itself.  Other columns are ignored.
     """
     spark = docs.sparkSession
     places, owners = ring(shards, virtual_nodes)
@@ -82,23 +117,46 @@ def assign_shards(
     rows = materialise(
         rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
     )  # part is fixed from here on
-    by_part = rows.groupBy("part", "arc").agg(F.sum("size").alias("load"))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    whole = F.col("size") >= max(1, -(-total // (shards * fineness)))
+
+    # Rows alike in all of these are interchangeable; nth tells them apart.
+    key = ["place", "doc_id", "size", "text_crc32"]
+    large = rows.where(whole).withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("part")))
+    names = ["arc", *key, "nth"]
+    first = sorted(  # at most shards x fineness rows
+        large.select(*names).collect(), key=lambda r: (-r.size, r.arc, r.place, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.nth)
+    )
+    chosen = place_whole([(r.arc, r.size) for r in first], owners, shards, total * (1 + slack) / shards)
+    held = [0] * shards
+    for r, shard in zip(first, chosen, strict=True):
+        held[shard] += r.size
+    given = spark.createDataFrame([(*r, shard) for r, shard in zip(first, chosen, strict=True)], large.select(*names).schema.add("shard", "integer"))
+    given = given.select(*(F.col(n).alias(f"their_{n}") for n in names), "shard")
+    same = [F.col(n).eqNullSafe(F.col(f"their_{n}")) for n in names]
+    placed_whole = large.join(F.broadcast(given), same)  # at most shards x fineness rows
+
+    small = rows.where(~whole)
+    by_part = small.groupBy("part", "arc").agg(F.sum("size").alias("load"))
     loads = {r.arc: r["sum(load)"] for r in by_part.groupBy("arc").sum("load").collect()}  # <= shards x nodes rows
+    most = math.ceil(level(held, sum(loads.values())) * (1 + slack))
     taken = spark.createDataFrame(
-        settle(loads, owners, shards, slack), "arc int, from_byte long, to_byte long, shard int"
+        settle(loads, owners, [max(0, most - h) for h in held]), "arc int, from_byte long, to_byte long, shard int"
     )
 
     earlier = Window.partitionBy("arc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = by_part.select("part", "arc", F.coalesce(F.sum("load").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy("part", "arc").orderBy("place", "doc_id", "size", "text_crc32")
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        rows.withColumn("inside", F.sum("size").over(running))
+    filled = (
+        small.withColumn("inside", F.sum("size").over(running))
         .join(before, ["part", "arc"])
         .withColumn("middle", F.col("before") + F.col("inside") - F.expr("size div 2") - 1)
-        .join(F.broadcast(taken), "arc")  # <= shards x nodes + shards rows
+        .join(F.broadcast(taken), "arc")  # at most one row an arc and one a shard filled
         .where("middle >= from_byte AND middle < to_byte")
     )
+    columns = [*rows.columns, "shard"]
+    placed = filled.select(*columns).unionByName(placed_whole.select(*columns))
     in_part = Window.partitionBy("part", "shard").orderBy(*order, "text_crc32")
     placed = placed.withColumn("nth", F.row_number().over(in_part))
     counts = placed.groupBy("part", "shard").agg(F.count("*").alias("n"))
