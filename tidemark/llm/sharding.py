@@ -3,7 +3,7 @@
 Equal texts hash to one place of the ring, so copies lie together.  Each shard
 owns the arcs before its virtual nodes.
 
-Rows that hold over a thousandth of a shard's fair share are placed first, whole,
+Rows that hold over a 300th of a shard's fair share are placed first, whole,
 the largest first: each goes to the first shard clockwise that has room for it (if
 none has, to the one with most room).  All other rows then fill what is left of the
 shards to one level.  What an arc holds beyond the free room of its shard goes on
@@ -11,7 +11,7 @@ clockwise to the next virtual node whose shard has room.  The rows of an arc hav
 an order (place, then doc_id, then size), so "what goes on" is a tail of that order
 and each row's shard follows from how many bytes lie before it on its arc.  A row
 that lies across the end goes where its middle lies, so a shard is off the level by
-half of a thousandth at each place where it meets another; more only where a row
+half of that at each place where it meets another; more only where a row
 alone is over the level.
 
 Scale: the rows (no text, some 40 bytes each) are range-partitioned by arc,
@@ -19,8 +19,8 @@ place and doc_id, so that even a third of all rows with one text is dealt to
 many tasks.  Offsets come from two-level prefix sums: totals per partition and
 arc (at most partitions + arcs rows), then a running sum inside a partition.
 The totals per arc (shards x virtual nodes, whatever the input) reach the driver,
-which settles the ring, and the keys of the rows placed first: at most 1000 a shard,
-as no more rows can hold a thousandth each.
+which settles the ring, and the keys of the rows placed first: at most 300 a shard,
+as no more rows can hold a 300th each.
 """
 
 from __future__ import annotations
@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: How far over the level a shard may be filled, as a share of it.
-SLACK = 0.0005
+SLACK = 0.0002
 VIRTUAL_NODES = 256
 #: Rows of at least a shard's fair share divided by this are placed whole and first.
-FINENESS = 1000
+FINENESS = 300
 
 
 def ring(shards: int, virtual_nodes: int) -> tuple[list[int], list[int]]:
