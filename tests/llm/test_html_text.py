@@ -1,4 +1,4 @@
-"""Main text: that the ratios decide, against the articles' own blocks, and long pages."""
+"""Main text: where the ratios decide and where not, against the articles' own blocks, and long pages."""
 
 import html
 import re
@@ -28,17 +28,37 @@ def test_every_page_gives_the_blocks_of_its_article(pages):
     assert all(html_text.main_text(p) == blocks_of_article(p) for p in pages)
 
 
-def test_ratios_decide(pages, monkeypatch):
+def wrong_with(pages, want, monkeypatch, raw):
+    """How many pages differ when every line's raw ratio, before any weight, is replaced by raw(ratio)."""
+    flush = html_text.Lines.flush
+
+    def replaced(self):
+        before = len(self.lines)
+        flush(self)
+        if len(self.lines) > before:
+            text, ratio, at = self.lines[-1]
+            self.lines[-1] = (text, raw(ratio), at)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(html_text.Lines, "flush", replaced)
+        return sum(html_text.main_text(p) != w for p, w in zip(pages, want, strict=True))
+
+
+def test_with_marks_the_ratios_hardly_matter(pages, monkeypatch):
+    """Menus, adverts and articles of these pages are all marked: any ratio gives the article."""
     rng = np.random.default_rng(1)
+    want = [blocks_of_article(p) for p in pages]
+    assert [wrong_with(pages, want, monkeypatch, raw) for raw in (float, lambda _: 1.0, lambda _: rng.random() * 200)] == [0, 0, 0]
 
-    def by_chance(page, marks):
-        ratio = rng.random(len(page.lines))
-        return ratio, ratio >= html_text.threshold(ratio)
 
-    renamed = [p.replace("<article", "<div").replace("</article", "</div") for p in pages]
-    assert np.mean([html_text.main_text(p) == blocks_of_article(q) for p, q in zip(renamed, pages, strict=True)]) > 0.98
-    monkeypatch.setattr(html_text, "content_lines", by_chance)
-    assert np.mean([html_text.main_text(p) == blocks_of_article(p) for p in pages]) < 0.2
+def test_without_marks_the_ratios_decide(pages, monkeypatch):
+    rng = np.random.default_rng(1)
+    want = [blocks_of_article(p) for p in pages]
+    bare = [p.replace("<article", "<div").replace("</article", "</div") for p in pages]
+    monkeypatch.setattr(html_text, "HINTS", frozenset())
+    monkeypatch.setattr(html_text, "ASIDE", frozenset())
+    real, constant, random = (wrong_with(bare, want, monkeypatch, raw) for raw in (float, lambda _: 1.0, lambda _: rng.random() * 200))
+    assert real < 0.55 * len(pages) and min(constant, random) > 0.9 * len(pages)
 
 
 def test_without_any_mark_the_ratios_find_the_text():
