@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tidemark.llm import html_text, quality_crf, quality_rules, toxicity
@@ -122,6 +123,106 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(p, want) and np.allclose(expected, pairs)
 
 
+def odd_texts(rng):
+    words = ["river", "Stone", "clouds", "###", "a|b", "12", "WHY?!", "é", "over", "field"]
+    texts = ["", "  \n \n", "one", "same line here\nsame line here\n\nsame line here"]
+    for n in (1, 3, 8, 30):
+        texts += ["\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) + rng.choice(["", " ", "\t"]) for _ in range(n)) for _ in range(6)]
+    return texts
+
+
+def quality_by_definition(text, model):
+    """The score from lines, words and chains one by one."""
+    lines = [x for x in text.split("\n") if x.split()]
+    if not lines:
+        return 0.0
+    before, earlier_lines, earlier_words, own = None, set(), set(), []
+    for line in lines:
+        words = line.split()
+        twice = repeats = 0
+        for w in words:
+            twice += w == before
+            repeats += w in earlier_words
+            earlier_words.add(w)
+            before = w
+        data = line.encode()
+        shares = [sum(b in kind for b in data) / len(data) for kind in quality_crf._CLASSES.values()]
+        n = len(words)
+        own.append([*shares, twice / n, repeats / n * min(n, 50) / 50, float(line in earlier_lines), np.log1p(n)])
+        earlier_lines.add(line)
+    beside = [[x[k] for k in (0, 1, 3, 5, 7)] for x in own]
+    nothing = [0.0] * 5
+    odds = []
+    for i, x in enumerate(own):
+        x = x + (beside[i - 1] if i else nothing) + (beside[i + 1] if i + 1 < len(own) else nothing)
+        odds.append(float(((np.array(x) - model.mean) / model.scale) @ model.weights[:-1] + model.weights[-1]))
+
+    def joint(i, state):  # log weight of all ways in which line i has this state, by sums over every state before and behind
+        ahead = {s: odds[0] * s for s in (0, 1)}
+        for j in range(1, len(odds)):
+            if j - 1 == i:
+                ahead = {state: ahead[state]}
+            ahead = {t: odds[j] * t + np.logaddexp.reduce([a + model.steps[s, t] for s, a in ahead.items()]) for t in (0, 1)}
+        return ahead[state] if i == len(odds) - 1 else np.logaddexp.reduce(list(ahead.values()))
+
+    p = [1 / (1 + np.exp(joint(i, 0) - joint(i, 1))) for i in range(len(odds))]
+    lengths = [len(x.encode()) for x in lines]
+    q = np.clip(np.dot(p, lengths) / sum(lengths), 1e-4, 1 - 1e-4)
+    return 1 / (1 + np.exp(-(np.log(q / (1 - q)) * model.curve[0] + model.curve[1])))
+
+
+def test_quality_scores_equal_their_definition(documents):
+    docs, labels = documents
+    rows = [(r.text, r.quality) for r in docs.join(labels, "doc_id").where("text IS NOT NULL AND quality IS NOT NULL").orderBy("doc_id").limit(120).collect()]
+    model = quality_crf.train(rows, rounds=40)
+    texts = odd_texts(random.Random(11)) + [t[:4000] for t, _ in rows[:12]]
+    got = quality_crf.score_buffers(model, *quality_crf.as_buffers(texts))
+    assert np.allclose(got, [quality_by_definition(t, model) for t in texts], atol=1e-8)
+    assert 0.05 < np.std(got)
+
+
+def toxicity_by_definition(text, model):
+    """The score from every window's two compressed lengths."""
+    words, found = text.split(), []
+    for at in range(0, len(words), toxicity.WINDOW_WORDS):
+        window = (" " + " ".join(words[at : at + toxicity.WINDOW_WORDS]) + " ").encode()
+        sizes = []
+        for content in (model.ordinary, model.toxic):
+            own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            made = zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(len(made.compress(window)))
+        found.append(sizes[0] - sizes[1])
+    x = [0.0] * toxicity.FEATURES
+    if found:
+        over = [sum(f >= least for f in found) for least in toxicity.CLEAR]
+        best = sorted(found)[-3:]
+        x = [*(n / len(found) for n in over), *(np.log1p(n) for n in over), sum(found) / len(found), sum(best) / len(best)]
+    z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale, strict=False)) + model.weights[-1]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_toxicity_scores_equal_their_definition(documents):
+    docs, labels = documents
+    known = docs.join(labels, "doc_id").where("text IS NOT NULL AND toxic IS NOT NULL").orderBy(F.desc("toxic"), "doc_id").limit(300)
+    rows = [(r.text[:3000], r.toxic) for r in known.collect()]
+    model = toxicity.train(rows)
+    texts = odd_texts(random.Random(12)) + [t for t, _ in rows[:20] + rows[-20:]]
+    got = toxicity.score_texts(texts, model)
+    assert np.allclose(got, [toxicity_by_definition(t, model) for t in texts], atol=1e-9)
+    assert got[-40:-20].mean() > got[-20:].mean() + 0.2
+
+
+@pytest.mark.parametrize("module", [quality_crf, toxicity])
+def test_copies_and_very_long_texts_get_the_score_of_their_text(spark, documents, module):
+    docs, labels = documents
+    some = [(r.doc_id, r.text) for r in docs.where("text IS NOT NULL").orderBy("doc_id").limit(150).collect()]
+    long = "\n".join(t for _, t in some) * 4
+    rows = some + [(10**9 + i, some[i % 3][1]) for i in range(30)] + [(2 * 10**9 + i, long) for i in range(2)]
+    got = {r.doc_id: r.score for r in module.classify(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.lit(True)).collect()}
+    assert len(got) == len(rows) and len(long) > 500_000
+    assert all(got[10**9 + i] == got[some[i % 3][0]] for i in range(30)) and got[2 * 10**9] == got[2 * 10**9 + 1]
+
+
 def test_toxic_words_make_the_difference():
     rng = random.Random(2)
     plain = [" ".join(rng.choice(["river", "stone", "cloud", "green", "walks", "over", "field"]) + rng.choice("aeiou") for _ in range(80)) for _ in range(200)]
