@@ -302,10 +302,21 @@ geo AS (SELECT t.tx_id, concat_ws(',', nullif(codes, ''), CASE WHEN len(via_list
   FROM txl t JOIN geo0 USING (tx_id))"""
 
 
-@query(f"WITH {LISTS_SQL} SELECT tx_id, geo_factors AS factors, geo_score AS score, jurisdictions::INT AS jurisdictions FROM geo")
+@query(
+    f"WITH {LISTS_SQL}, listed AS (SELECT tx_id, max(havens) AS havens, "
+    "string_agg('HIGH_RISK_JURISDICTION: ' || upper(country) || ' (' || role || ')', '|' ORDER BY nth) FILTER (risk_type = 'HIGH_RISK') AS alerts, "
+    "coalesce(string_agg(concat_ws(':', role, upper(country), risk_type, rated.points), '|' ORDER BY nth) FILTER (risk_type IS NOT NULL), '') AS details "
+    "FROM rated JOIN geo0 USING (tx_id) GROUP BY tx_id) SELECT tx_id, geo_factors AS factors, "
+    "concat_ws('|', alerts, CASE WHEN havens >= 2 THEN 'Multiple tax havens in transaction path' END) AS alerts, details, "
+    "geo_score AS score, jurisdictions::INT AS jurisdictions FROM geo JOIN listed USING (tx_id)"
+)
 def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = detectors.geographic_risk(transactions(spark, sf_dir))
-    return df.select("tx_id", joined("geo_factors").alias("factors"), F.col("geo_score").alias("score"), F.col("jurisdictions_analyzed").alias("jurisdictions"))
+    details = F.transform("geo_details", lambda d: F.concat_ws(":", d["role"], d["country"], d["risk_type"], d["points"].cast("string")))
+    return df.select(
+        "tx_id", joined("geo_factors").alias("factors"), F.array_join("geo_alerts", "|").alias("alerts"), F.array_join(details, "|").alias("details"),
+        F.col("geo_score").alias("score"), F.col("jurisdictions_analyzed").alias("jurisdictions"),
+    )
 
 
 @query(
