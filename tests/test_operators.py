@@ -142,3 +142,16 @@ def test_pages_by_key_are_those_by_offset(spark):
     first = cases.list_cases(rows, limit=7).collect()
     after = cases.list_cases(rows, limit=7, before=(first[-1].created_at, first[-1].case_id)).collect()
     assert after == cases.list_cases(rows, limit=7, offset=7).collect() and first[0].created_at > t
+
+
+def test_answers_read_keeps_percentages_over_100_as_its_sql(spark, tmp_path):
+    from tidemark.plans import case_queries
+
+    rows = [(c, 1500 + c % 3, "user", "x ") for c in range(95, 130)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.conv_id, r.turn): r.confidence for r in case_queries.answers_read(spark, str(tmp_path)).collect()}
+    assert len(got) == 35 and got[121, 1501] == Decimal("0.8500")
+    duck = pytest.importorskip("duckdb").connect()
+    duck.sql(f"CREATE VIEW conversations AS FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = {(r[0], r[1]): r[5] for r in duck.sql(case_queries.ORACLE_SQL["answers_read"]).fetchall()}
+    assert got == want and max(got.values()) > 1

@@ -40,11 +40,12 @@ def level(text: Column) -> Column:
     )
 
 
-def confidence(text: Column, default: float = 0.5) -> Column:
-    """The first pattern that gives a number; over 1 is a percentage; 0 to 1."""
+def confidence(text: Column, default: float = 0.5, most: float | None = 1.0) -> Column:
+    """The first pattern that gives a number; over 1 is a percentage; 0 to ``most``, or without a limit if that is None."""
     found = F.coalesce(*(F.regexp_extract(text, p, 1).try_cast("double") for p in CONFIDENCES))
     share = F.when(found > 1, found / 100).otherwise(found)
-    return F.when(share > 1, 1.0).otherwise(F.coalesce(share, F.lit(default)))
+    share = share if most is None else F.when(share > most, F.lit(most)).otherwise(share)
+    return F.coalesce(share, F.lit(default))
 
 
 def sanctions_flag(text: Column) -> Column:

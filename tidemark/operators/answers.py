@@ -9,8 +9,8 @@ from tidemark.functions import answers as read
 from tidemark.functions.arrays import or_empty, present, texts
 
 
-def answer_values(answers: DataFrame) -> DataFrame:
-    """answers (tx_id, agent, text) with codes, score, level, confidence and flags."""
+def answer_values(answers: DataFrame, most_confidence: float | None = 1.0) -> DataFrame:
+    """answers (tx_id, agent, text) with codes, score, level, confidence (as read if there is no most) and flags."""
     text = F.col("text")
     return answers.select(
         "tx_id",
@@ -18,7 +18,7 @@ def answer_values(answers: DataFrame) -> DataFrame:
         read.risk_codes(text).alias("codes"),
         read.score(text).alias("score"),
         read.level(text).alias("level"),
-        read.confidence(text).alias("confidence"),
+        read.confidence(text, most=most_confidence).alias("confidence"),
         read.sanctions_flag(text).alias("sanctions_flag"),
         read.pep_flag(text).alias("pep_flag"),
     )
