@@ -131,3 +131,12 @@ def test_a_stream_that_fails_in_the_sink_delivers_once(spark, tmp_path):
     start().awaitTermination()
     got = delivery.delivered(spark, sink, spark.createDataFrame([], ALERTS).schema).collect()
     assert sorted(r.alert_id for r in got) == sorted({f"A{i // 2}" for i in range(60)})
+
+
+def test_keys_of_the_exact_stream_grow_with_days_and_not_with_customers(spark, tmp_path):
+    rows = [(i, i, datetime(2024, 1, 1) + timedelta(minutes=i), Decimal(1)) for i in range(600)]
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    add_files(spark, source, rows, 1)
+    query = run(spark, source, lambda s: stream_velocity_exact(s, groups=3), out, state)
+    assert windows(spark.read.parquet(out)) == {i: (1, Decimal(1)) for i in range(600)}
+    assert query.lastProgress["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] <= 6

@@ -56,54 +56,64 @@ def stream_dedupe(stream: DataFrame, key: str = "external_id", watermark: str =
 
 
 OUTPUT = "tx_id long, customer_id long, ts timestamp, amount decimal(18,2), transactions_in_24h long, daily_volume decimal(28,2)"
-STATE = "micros long, cents long"
+STATE = "packed binary"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Groups of customers that share a day's state.
+GROUPS = 64
 
 
 class TrailingDay(StatefulProcessor):
-    """The rows of a customer's day, each with what came in the 24 hours up to it.
+    """The rows of a day of a group of customers, each with what came in the 24 hours up to it.
 
-    The state is a list of (time, cents) of the day and of the day before: a batch's
-    rows are appended, nothing is rewritten, and a timer clears the list when the
-    watermark is past the day.
+    The state is a list of what the batches brought for the day and from the day before, an entry a
+    batch with customers, times and cents as one array: entries are appended, nothing is
+    rewritten, and a timer clears the list when the watermark is past the day.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rows = handle.getListState("rows", STATE)
 
-    def kept(self, times: np.ndarray, cents: np.ndarray, day: int, watermark_ms: int) -> None:
+    def kept(self, new: np.ndarray, day: int, watermark_ms: int) -> None:
         """Append rows, unless the day is over."""
         end_ms = (day + 1) * DAY_MICROS // 1000
-        if len(times) and end_ms > watermark_ms:
-            self.rows.appendList([(t, None if c == NO_AMOUNT else c) for t, c in zip(times.tolist(), cents.tolist(), strict=True)])
+        if new.size and end_ms > watermark_ms:
+            self.rows.appendValue((new.tobytes(),))
             self.handle.registerTimer(end_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = pd.concat(list(rows), ignore_index=True)
         asks = bool((new["own"].to_numpy(bool) & new["micros"].notna().to_numpy()).any())
-        held = list(self.rows.get()) if asks else []  # rows for the day after only join the list
-        new_times, new_cents = as_arrays(new["micros"], new["amount"])
-        times = np.concatenate([np.array([h[0] for h in held], np.int64), new_times])
-        cents = np.concatenate([np.array([NO_AMOUNT if h[1] is None else h[1] for h in held], np.int64), new_cents])
-        self.kept(new_times, new_cents, int(key[1]), timerValues.getCurrentWatermarkInMs())
-        order = np.argsort(times, kind="stable")
-        times, cents = times[order], cents[order]
+        held = [np.frombuffer(h[0], np.int64).reshape(4, -1) for h in self.rows.get()] if asks else []  # rows for the day after only join the list
+        added = as_arrays(new)
+        self.kept(added, int(key[1]), timerValues.getCurrentWatermarkInMs())
+        own = new[new["own"].to_numpy(bool)].copy()
+        if not len(own):
+            return
+        unnamed, customers, times, cents = np.concatenate([*held, added], axis=1)
+        order = np.lexsort((times, customers, unnamed))
+        unnamed, customers, times, cents = unnamed[order], customers[order], times[order], cents[order]
         total = np.concatenate([[0], np.cumsum(np.where(cents == NO_AMOUNT, 0, cents))])
         amounts = np.concatenate([[0], np.cumsum(cents != NO_AMOUNT)])
-        own = new[new["own"].to_numpy(bool)].copy()
         counts, volumes = np.ones(len(own), np.int64), own["amount"].to_numpy(object, copy=True)
         known = own["micros"].notna().to_numpy()
-        at = own["micros"].to_numpy()[known].astype(np.int64)
-        low, high = np.searchsorted(times, at - (DAY_MICROS - 1), "left"), np.searchsorted(times, at, "right")
+        # Times of a customer come after those of the customers before, so one search finds a place among all.
+        starts = np.flatnonzero(np.concatenate([[True], (customers[1:] != customers[:-1]) | (unnamed[1:] != unnamed[:-1])])) if len(times) else np.zeros(0, np.int64)
+        first = int(times.min()) - DAY_MICROS if len(times) else 0
+        span = (int(times.max()) - first + 1) if len(times) else 1
+        nth = np.zeros(len(times), np.int64)
+        nth[starts] = 1
+        place = (np.cumsum(nth) - 1) * span + (times - first)
+        asked = as_arrays(own)
+        at = np.searchsorted(named(unnamed[starts], customers[starts]), named(asked[0], asked[1])) * span + (asked[2] - first)
+        low, high = np.searchsorted(place, at - (DAY_MICROS - 1), "left"), np.searchsorted(place, at, "right")
         counts[known] = high - low
-        volumes[known] = [Decimal(int(n)) / 100 if k else None for n, k in zip(total[high] - total[low], amounts[high] - amounts[low], strict=True)]
+        volumes[known] = [Decimal(n).scaleb(-2) if k else None for n, k in zip((total[high] - total[low]).tolist(), (amounts[high] - amounts[low]).tolist(), strict=True)]
         own["transactions_in_24h"], own["daily_volume"] = counts, volumes
-        if len(own):
-            yield own[["tx_id", "customer_id", "ts", "amount", "transactions_in_24h", "daily_volume"]]
+        yield own[["tx_id", "customer_id", "ts", "amount", "transactions_in_24h", "daily_volume"]]
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
-        self.kept(*as_arrays(initialState["micros"], initialState["amount"]), int(key[1]), timerValues.getCurrentWatermarkInMs())
+        self.kept(as_arrays(initialState), int(key[1]), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.rows.clear()
@@ -113,35 +123,47 @@ class TrailingDay(StatefulProcessor):
         pass
 
 
-def as_arrays(micros: pd.Series, amounts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Times and cents of the rows that have a time."""
-    timed = micros.notna().to_numpy()
-    cents = [NO_AMOUNT if a is None else int(round(a * 100)) for a in amounts[timed]]
-    return micros.to_numpy()[timed].astype(np.int64), np.array(cents, np.int64)
+def as_arrays(rows: pd.DataFrame) -> np.ndarray:
+    """Whether the customer is null, the customer, time and cents of the rows that have a time."""
+    timed = rows[rows["micros"].notna().to_numpy()]
+    cents = [NO_AMOUNT if a is None else int(a.scaleb(2)) for a in timed["amount"]]
+    return np.array([timed["unnamed"].to_numpy(np.int64), timed["customer"].to_numpy(np.int64), timed["micros"].to_numpy(np.int64), cents], np.int64).reshape(4, -1)
+
+
+def named(unnamed: np.ndarray, customers: np.ndarray) -> np.ndarray:
+    """Both in one value with the order of the two; fields of a structured array compare one after the other."""
+    both = np.empty(len(customers), [("unnamed", np.int64), ("customer", np.int64)])
+    both["unnamed"], both["customer"] = unnamed, customers
+    return both
 
 
 #: Stands for a missing amount.
 NO_AMOUNT = np.iinfo(np.int64).min
 
 
-def by_day(df: DataFrame, *more: str) -> DataFrame:
-    """Rows dealt to their customer's day and to the day after: micros, day, near, own and the named columns."""
+def by_day(df: DataFrame, groups: int, *more: str) -> DataFrame:
+    """Rows dealt to the day of their customer's group and to the day after: bucket, day, unnamed, customer, micros, near, own and the named columns."""
     day = F.floor(F.unix_micros("ts") / DAY_MICROS).cast("long")
     copies = F.when(F.col("ts").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     spread = F.xxhash64("tx_id") if "tx_id" in more else F.lit(None).cast("long")
+    who = F.col("customer_id").cast("long")
     return (
-        df.select(*more, "customer_id", "ts", F.col("amount").cast("decimal(18,2)").alias("amount"), F.unix_micros("ts").alias("micros"), F.explode(copies).alias("near"))
+        df.select(
+            *more, "customer_id", "ts", F.col("amount").cast("decimal(18,2)").alias("amount"), F.unix_micros("ts").alias("micros"), F.explode(copies).alias("near"),
+            F.pmod(F.xxhash64("customer_id"), F.lit(groups)).alias("bucket"), who.isNull().alias("unnamed"), F.coalesce(who, F.lit(0)).alias("customer"),
+        )
         .withColumn("own", F.col("near") == 0)
-        .withColumn("day", F.coalesce(day + F.col("near"), spread))  # rows without a time are spread
-    )
+        .withColumn("day", F.coalesce(day + F.col("near"), F.pmod(spread, F.lit(groups))))  # rows without a time are spread
+    )
 
 
-def stream_velocity_exact(stream: DataFrame, watermark: str = "1 hour", history: DataFrame | None = None) -> DataFrame:
+def stream_velocity_exact(stream: DataFrame, watermark: str = "1 hour", history: DataFrame | None = None, groups: int = GROUPS) -> DataFrame:
     """Each transaction with what its customer did in the 24 hours up to it, peers included.
 
-    Rows are dealt by (customer, day), each also to the day after it, as in
-    velocity_24h: a customer with very many rows is many groups.  A row is given
-    out by its own day.  ``history`` (customer_id, ts, amount), a table, is
+    Customers are dealt to ``groups`` by hash and rows by (group, day), each also to the day
+    after it: a customer with very many rows is many keys, and customers with
+    few share one, as each key costs calls between Python and the JVM.  More groups make smaller
+    tasks where a day has very many rows.  A row is given out by its own day.  ``history`` (customer_id, ts, amount), a table, is
     what went before the stream's first row.  Equal to the batch windows if a batch's
     rows aren't older than those of earlier batches.  Rows without a time are in no
     window but their own; rows without an amount count but add nothing, and a
@@ -150,7 +172,7 @@ def stream_velocity_exact(stream: DataFrame, watermark: str = "1 hour", history:
     The state is kept in RocksDB: the session's state store provider is set to it.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    before = by_day(history.where("ts IS NOT NULL")).select("customer_id", "day", "micros", "amount").groupBy("customer_id", "day") if history is not None else None
-    return by_day(stream.withWatermark("ts", watermark), "tx_id").groupBy("customer_id", "day").transformWithStateInPandas(
+    before = by_day(history.where("ts IS NOT NULL"), groups).select("bucket", "day", "unnamed", "customer", "micros", "amount").groupBy("bucket", "day") if history is not None else None
+    return by_day(stream.withWatermark("ts", watermark), groups, "tx_id").groupBy("bucket", "day").transformWithStateInPandas(
         TrailingDay(), OUTPUT, "append", "eventTime", initialState=before
     )
