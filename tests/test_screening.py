@@ -68,3 +68,18 @@ def test_hits_of_a_long_list_reach_the_transactions(spark, monkeypatch):
     assert sorted((r.tx_id, r.nth, r.entry, r.match_type) for r in rows) == [(1, 0, "acme", "PARTIAL"), (1, 1, "acme", "EXACT")]
     hits = screening.hit_lists(tx, watchlist).collect()
     assert [(r.tx_id, [h.match_type for h in r.sanction_hits]) for r in hits] == [(1, ["PARTIAL", "EXACT"])]
+
+
+def test_a_short_list_gives_the_hits_of_a_long_one_without_a_shuffle(spark, monkeypatch):
+    rows = [(1, ["Acme Ltd", "acme", None, "Iran Shipping"], "IR"), (2, [], "US"), (3, None, "IR"), (4, ["x", "", "ACME"], None), (5, ["harbor"], "US")]
+    tx = spark.createDataFrame(rows, "tx_id long, parties array<string>, origin_country string")
+    _, watchlist = frames(spark, [], [(3, "Acme"), (1, "Acme Ltd"), (1, "acme l"), (0, None), (2, "IRAN")])
+    short = screening.with_hits(tx, watchlist)
+    assert "Exchange" not in short._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(screening, "SMALL_LIST", 0)
+    long = screening.with_hits(tx, watchlist)
+    assert "Exchange" in long._jdf.queryExecution().executedPlan().toString()
+    assert short.schema["sanction_hits"].dataType.simpleString() == long.schema["sanction_hits"].dataType.simpleString()
+    as_rows = lambda df: sorted((r.tx_id, [tuple(h) for h in r.sanction_hits]) for r in df.collect())
+    assert as_rows(short) == as_rows(long)
+    assert dict(as_rows(short))[1] == [("Acme Ltd", "PARTIAL", 0.75), ("acme", "PARTIAL", 0.75), ("Iran Shipping", "PARTIAL", 0.75), ("Iran Shipping", "JURISDICTION", 0.8)]

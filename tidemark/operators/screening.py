@@ -29,6 +29,22 @@ def list_entries(watchlist: DataFrame) -> DataFrame:
     return watchlist.select(F.col("entry_id").alias("position"), F.explode(names).alias("entry"))
 
 
+def short_entries(watchlist: DataFrame, small_list: int | None = None) -> F.Column | None:
+    """A watchlist of up to ``small_list`` rows as an array of its entries (position, entry) in list order; None of a longer one."""
+    small_list = SMALL_LIST if small_list is None else small_list
+    rows = watchlist.select("position", F.lower("entry").alias("entry")).limit(small_list + 1).collect()
+    if len(rows) > small_list:
+        return None
+    listed = sorted((r for r in rows if r.entry is not None), key=lambda r: (r.position is not None, r.position if r.position is not None else 0, r.entry))
+    kind = f"array<struct<position: {watchlist.schema['position'].dataType.simpleString()}, entry: string>>"
+    return F.array(*(F.struct(F.lit(r.position).alias("position"), F.lit(r.entry).alias("entry")) for r in listed)).cast(kind)
+
+
+def first_of_short(name: F.Column, listed: F.Column) -> F.Column:
+    """The first of the listed entries that the name (lower case) holds or is part of, else null."""
+    return F.get(F.filter(listed, lambda e: F.contains(name, e["entry"]) | F.contains(e["entry"], name)), F.lit(0))
+
+
 def first_entries(parties: DataFrame, watchlist: DataFrame, small_list: int = SMALL_LIST, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """name (lower case) and m (position, entry) of the distinct party names that match a watchlist entry.
 
@@ -127,6 +143,23 @@ def country_sanctions_screen(tx: DataFrame) -> DataFrame:
     )
 
 
+def hits_of(party: F.Column, m: F.Column, nth: F.Column, origin: F.Column) -> F.Column:
+    """The hits of one party: that on the list (m: position, entry), then that by country."""
+    exact = m["entry"] == F.lower(party)
+    sanctioned = origin.isin(*fixed.SANCTIONED_ORIGINS) & contains_any(F.lower(party), fixed.SANCTIONED_ORIGIN_WORDS)
+
+    def hit(late: int, kind: F.Column, confidence: F.Column) -> F.Column:
+        return F.struct(nth.alias("nth"), F.lit(late).alias("late"), party.alias("party"), kind.alias("match_type"), confidence.alias("confidence"))
+
+    on_list = hit(0, F.when(exact, "EXACT").otherwise("PARTIAL"), F.when(exact, 0.95).otherwise(0.75))
+    by_country = hit(1, F.lit("JURISDICTION"), F.lit(0.8))
+    return present(F.when(m.isNotNull(), on_list), F.when(sanctioned, by_country))
+
+
+def slim(hits: F.Column) -> F.Column:
+    return F.transform(hits, lambda h: F.struct(h["party"].alias("party"), h["match_type"].alias("match_type"), h["confidence"].alias("confidence")))
+
+
 def hit_lists(tx: DataFrame, watchlist: DataFrame) -> DataFrame:
     """tx_id and sanction_hits (party, match_type, confidence) of transactions with hits.
 
@@ -136,24 +169,25 @@ def hit_lists(tx: DataFrame, watchlist: DataFrame) -> DataFrame:
     """
     parties = tx.select("tx_id", "origin_country", F.posexplode(or_empty("parties")).alias("nth", "party"))
     found = parties.join(first_entries(parties, watchlist), F.lower("party") == F.col("name"), "left")
-    exact = F.col("m.entry") == F.col("name")
-    sanctioned = F.col("origin_country").isin(*fixed.SANCTIONED_ORIGINS) & contains_any(F.lower("party"), fixed.SANCTIONED_ORIGIN_WORDS)
-
-    def hit(late: int, kind: F.Column, confidence: F.Column) -> F.Column:
-        return F.struct("nth", F.lit(late).alias("late"), "party", kind.alias("match_type"), confidence.alias("confidence"))
-
-    on_list = hit(0, F.when(exact, "EXACT").otherwise("PARTIAL"), F.when(exact, 0.95).otherwise(0.75))
-    by_country = hit(1, F.lit("JURISDICTION"), F.lit(0.8))
-    hits = present(F.when(F.col("m").isNotNull(), on_list), F.when(sanctioned, by_country))
+    hits = hits_of(F.col("party"), F.col("m"), F.col("nth"), F.col("origin_country"))
     grouped = found.select("tx_id", hits.alias("h")).where(F.size("h") > 0).groupBy("tx_id").agg(F.sort_array(F.flatten(F.collect_list("h"))).alias("h"))
-    slim = F.transform("h", lambda h: F.struct(h["party"].alias("party"), h["match_type"].alias("match_type"), h["confidence"].alias("confidence")))
-    return grouped.select("tx_id", slim.alias("sanction_hits"))
+    return grouped.select("tx_id", slim(F.col("h")).alias("sanction_hits"))
 
 
-def with_hits(df: DataFrame, hits: DataFrame) -> DataFrame:
-    """df with sanction_hits, empty where there are none."""
-    none = F.array().cast("array<struct<party: string, match_type: string, confidence: double>>")
-    return df.join(hits, "tx_id", "left").withColumn("sanction_hits", F.coalesce("sanction_hits", none))
+def with_hits(tx: DataFrame, watchlist: DataFrame) -> DataFrame:
+    """tx with sanction_hits as in hit_lists, empty where there are none.
+
+    With a short list a row's hits are read from its own parties, so nothing is shuffled
+    and a name that very many have is no key.  The hits of a long list are joined.
+    """
+    listed = short_entries(watchlist)
+    if listed is None:
+        none = F.array().cast("array<struct<party: string, match_type: string, confidence: double>>")
+        return tx.join(hit_lists(tx, watchlist), "tx_id", "left").withColumn("sanction_hits", F.coalesce("sanction_hits", none))
+    named = F.transform(or_empty("parties"), lambda p, nth: F.struct(p.alias("party"), F.lower(p).alias("name"), nth.alias("nth")))
+    met = F.transform(named, lambda x: F.struct(x["party"].alias("party"), x["nth"].alias("nth"), first_of_short(x["name"], listed).alias("m")))
+    hits = F.flatten(F.transform(met, lambda x: hits_of(x["party"], x["m"], x["nth"], F.col("origin_country"))))
+    return tx.withColumn("sanction_hits", slim(hits))
 
 
 def active_entries(entries: DataFrame, as_of: str) -> DataFrame:

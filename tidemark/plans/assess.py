@@ -12,7 +12,7 @@ from tidemark.functions.fixed import DEFAULTS, RiskSettings
 from tidemark.operators.answers import apply_answers
 from tidemark.operators.detectors import behavioral_risk, crypto_risk, document_check, geographic_risk, is_crypto, pep_screen
 from tidemark.operators.scoring import risk_score
-from tidemark.operators.screening import hit_lists, with_hits
+from tidemark.operators.screening import with_hits
 from tidemark.operators.velocity import velocity_24h
 
 ROUTES = ("CRYPTO_PATH", "LARGE_TRANSACTION", "NEW_ACCOUNT_ALERT", "STANDARD_FLOW")
@@ -88,13 +88,13 @@ def decision_path() -> Column:
 
 def detected(tx: DataFrame, ledger: DataFrame | None, watchlist: DataFrame, settings: RiskSettings, direction: str) -> DataFrame:
     """tx with every detector's columns; ledger rows only give context to the 24-hour windows."""
+    tx = with_hits(tx, watchlist)  # before the windows, where it is read once a row
     if ledger is None:
         windowed = velocity_24h(tx, direction)
     else:
         both = tx.withColumn("_own", F.lit(True)).unionByName(ledger.withColumn("_own", F.lit(False)), allowMissingColumns=True)
         windowed = velocity_24h(both, direction).where("_own").drop("_own")
-    judged = document_check(pep_screen(crypto_risk(behavioral_risk(geographic_risk(windowed, settings), settings))))
-    return with_hits(judged, hit_lists(tx, watchlist))
+    return document_check(pep_screen(crypto_risk(behavioral_risk(geographic_risk(windowed, settings), settings))))
 
 
 def assess(
