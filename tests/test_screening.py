@@ -83,3 +83,23 @@ def test_a_short_list_gives_the_hits_of_a_long_one_without_a_shuffle(spark, monk
     as_rows = lambda df: sorted((r.tx_id, [tuple(h) for h in r.sanction_hits]) for r in df.collect())
     assert as_rows(short) == as_rows(long)
     assert dict(as_rows(short))[1] == [("Acme Ltd", "PARTIAL", 0.75), ("acme", "PARTIAL", 0.75), ("Iran Shipping", "PARTIAL", 0.75), ("Iran Shipping", "JURISDICTION", 0.8)]
+
+
+def test_a_long_list_is_met_by_as_many_pieces_as_there_are_texts(spark):
+    """Names were copied to every block of the list and entries to every shard of names."""
+    def pieces(n):
+        names = spark.range(n).select("id", F.concat(F.lit("the holding "), (F.col("id") + 10_000).cast("string"), F.lit(" ltd")).alias("name"))
+        names = names.unionByName(spark.range(n).select((F.col("id") + n).alias("id"), F.concat(F.lit("nobody "), F.col("id").cast("string")).alias("name")))
+        entries = spark.range(n).select(F.col("id").alias("rank"), F.concat(F.lit("holding "), (F.col("id") + 10_000).cast("string")).alias("entry"))
+        return screening.pieces_like(names, "name", "id", entries, "entry").count(), screening.pieces_like(entries, "entry", "rank", names, "name").count()
+
+    assert pieces(300) == (300, 0) and pieces(600) == (600, 0)
+    parties, watchlist = frames(spark, ["Acme Ltd"] * 9, [(k, f"Acme {k}") for k in range(9)])
+    assert "CoGroups" not in screening.first_entries(parties, watchlist, small_list=0, block_chars=8)._jdf.queryExecution().toString()
+
+
+def test_names_longer_than_a_stretch(spark):
+    long = "x" * 250 + "Acme Holding" + "y" * 600
+    parties, watchlist = frames(spark, [long, "x" * 300 + "y", "z" + long, ""], [(3, "acme holding"), (1, "y" * 590), (2, long + "z"), (0, "Z" + long + "z")])
+    got = found(screening.first_entries(parties, watchlist, small_list=0, block_chars=100))
+    assert got == found(screening.first_entries(parties, watchlist, small_list=10**6)) and len(got) == 3

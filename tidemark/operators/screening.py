@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +12,12 @@ from .checkpoints import written
 
 #: Entries up to which a watchlist is compared with every distinct name.
 SMALL_LIST = 200
-#: Characters of names, and of entries, that one automaton holds.
-BLOCK_CHARS = 1 << 20
+#: Characters of names and entries that one part of a join holds, about.
+BLOCK_CHARS = 1 << 22
+#: Letters by which beginnings of texts are told apart, hashes of them, and places of a long text that are searched together.
+START = 4
+STARTS = 1 << 16
+STRETCH = 256
 
 
 def watched(spark: SparkSession) -> DataFrame:
@@ -50,69 +52,66 @@ def first_entries(parties: DataFrame, watchlist: DataFrame, small_list: int = SM
 
     Either is part of the other; the first in list order counts, of equal positions
     the first text.  Null names and entries match nothing.  A list of up to
-    ``small_list`` rows is broadcast and compared with every name.  A longer one
-    is dealt into blocks and the names into shards, each of about ``block_chars``
-    characters; every shard meets every block once, and both are searched with
-    an Aho-Corasick automaton of the other.
+    ``small_list`` rows is broadcast and compared with every name.  A longer one is
+    met by equal pieces (first_by_pieces), in parts of about ``block_chars`` characters.
     """
     names = parties.select(F.lower("party").alias("name")).where("name IS NOT NULL").distinct()
     entries = watchlist.select("position", F.lower("entry").alias("entry")).where("entry IS NOT NULL")
-    if watchlist.limit(small_list + 1).count() <= small_list:
-        either = F.contains("name", F.col("entry")) | F.contains(F.col("entry"), F.col("name"))
-        found = names.join(F.broadcast(entries), either)
-    else:
-        found = found_by_automata(names, entries, block_chars)
-    return found.groupBy("name").agg(F.min(F.struct("position", "entry")).alias("m"))
-
-
-def found_by_automata(names: DataFrame, entries: DataFrame, block_chars: int) -> DataFrame:
-    """name, position, entry: each name's first entry of each block of the list."""
-    names = written(names)
-    entries = written(entries.groupBy("entry").agg(F.min("position").alias("position")))
-
-    def parts(df: DataFrame, column: str) -> int:
-        chars = df.agg(F.sum(F.length(column).cast("long") + 1)).first()[0] or 0
-        return max(1, -(-chars // block_chars))
-
-    shards, blocks = parts(names, "name"), parts(entries, "entry")
-
-    def every(n: int) -> F.Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    shard, block = F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("entry"), F.lit(blocks)).cast("int")
-    dealt_names = names.select("name", shard.alias("shard"), every(blocks).alias("block"))
-    dealt_entries = entries.select("position", "entry", block.alias("block"), every(shards).alias("shard"))
-    kind = entries.schema["position"].dataType.simpleString()
-    together = dealt_names.groupBy("shard", "block").cogroup(dealt_entries.groupBy("shard", "block"))
-    return together.applyInArrow(first_of_block, f"name string, position {kind}, entry string")
-
-
-def first_of_block(names: pa.Table, entries: pa.Table) -> pa.Table:
-    """Names with an entry that they hold or that holds them, and the first such entry."""
-    entries = entries.select(["position", "entry"]).sort_by([("position", "ascending"), ("entry", "ascending")])
-    texts, parties = entries["entry"].to_pylist(), names["name"].to_pylist()
-    none = len(texts)
-    first = [none] * len(parties)
-    for words, searched, in_names in (texts, parties, True), (parties, texts, False):
-        automaton = ahocorasick.Automaton()
-        for k, word in enumerate(words):
-            if word:
-                automaton.add_word(word, k)
-            elif in_names:  # the empty text is part of everything
-                first = [min(f, k) for f in first]
-            elif none:
-                first[k] = 0
-        if not len(automaton):
-            continue
-        automaton.make_automaton()
-        for k, text in enumerate(searched):
-            for _, found in automaton.iter(text):
-                name, entry = (k, found) if in_names else (found, k)
-                if entry < first[name]:
-                    first[name] = entry
-    hit = [k for k, f in enumerate(first) if f < none]
-    found = entries.take(pa.array([first[k] for k in hit], pa.int64()))
-    return pa.table([names["name"].take(pa.array(hit, pa.int64())), found["position"], found["entry"]], ["name", "position", "entry"])
+    if watchlist.limit(small_list + 1).count() > small_list:
+        return first_by_pieces(names, entries, block_chars)
+    either = F.contains("name", F.col("entry")) | F.contains(F.col("entry"), F.col("name"))
+    return names.join(F.broadcast(entries), either).groupBy("name").agg(F.min(F.struct("position", "entry")).alias("m"))
+
+
+def first_by_pieces(names: DataFrame, entries: DataFrame, block_chars: int) -> DataFrame:
+    """name and m (position, entry) of names with an entry that they hold or that holds them.
+
+    Pieces of the names are joined to the entries that they are, and pieces of the entries,
+    each with its first entry only, to the names.  Between the two only the numbers
+    of names and the ranks of entries are carried, so what is shuffled grows as names and list do.
+    """
+    names = written(names.withColumn("id", F.monotonically_increasing_id()))
+    # After a sort the ids are in the order of the list.
+    entries = entries.groupBy("entry").agg(F.min("position").alias("position")).orderBy("position", "entry")
+    entries = written(entries.withColumn("rank", F.monotonically_increasing_id()))
+    chars = sum(df.agg(F.sum(F.length(c).cast("long") + 1)).first()[0] or 0 for df, c in ((names, "name"), (entries, "entry")))
+    parts = max(1, -(-chars // block_chars))
+
+    def met(pieces: DataFrame, texts: DataFrame, column: str, number: str) -> DataFrame:
+        texts = texts.select(F.col(column).alias("piece"), number)
+        return pieces.repartition(parts, "piece").join(texts.repartition(parts, "piece"), "piece").select("id", "rank")
+
+    held = met(pieces_like(names, "name", "id", entries, "entry"), entries, "entry", "rank")
+    holding = pieces_like(entries.repartition(parts, "rank"), "entry", "rank", names, "name").groupBy("piece").agg(F.min("rank").alias("rank"))
+    first = held.unionByName(met(holding, names, "name", "id")).groupBy("id").agg(F.min("rank").alias("rank"))
+    return first.join(entries, "rank").join(names, "id").select("name", F.struct("position", "entry").alias("m"))
+
+
+def pieces_like(texts: DataFrame, column: str, number: str, listed: DataFrame, like: str) -> DataFrame:
+    """piece, number: the pieces of the texts that are as long as a listed text and, by a hash of ``START`` letters, begin as it does.
+
+    The lengths of the listed texts of each beginning are broadcast, so a place of a text where none begins
+    gives no piece.  Long texts are cut into stretches of places first.
+    """
+    def start(text: F.Column, at: F.Column, width: F.Column) -> F.Column:
+        return F.pmod(F.xxhash64(F.substring(text, at, width)), F.lit(STARTS))
+
+    own, width = F.length(like), F.least(F.length(like), F.lit(START))
+    begun = listed.groupBy(width.alias("width"), start(F.col(like), F.lit(1), F.lit(START)).alias("start"))
+    kinds = written(begun.agg(F.collect_set(own).alias("lengths")))
+    widths, longest = kinds.agg(F.collect_set("width"), F.max(F.array_max("lengths"))).first()
+    stretches = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(length({column}) - 1) div {STRETCH}").cast("int"))))
+    cut = texts.select(number, column, stretches.alias("nth")).select(
+        number, "nth", F.substring(column, F.col("nth") * STRETCH + 1, F.lit(STRETCH + (longest or 0))).alias("text"),
+        F.explode(F.array(*(F.lit(w) for w in widths)).cast("array<int>")).alias("width"),
+    )
+    # The empty text is found once, all others wherever there is room.
+    cut = cut.where("length(text) >= width AND (width > 0 OR nth = 0)")
+    last = F.when(F.col("width") == 0, 1).otherwise(F.least(F.lit(STRETCH), F.length("text") - F.col("width") + 1))
+    placed = cut.select(number, "text", "width", F.explode(F.sequence(F.lit(1), last)).alias("at"))
+    found = placed.withColumn("start", start(F.col("text"), F.col("at"), F.col("width"))).join(F.broadcast(kinds), ["width", "start"])
+    found = found.select(number, "text", "at", F.explode("lengths").alias("n")).where("at + n - 1 <= length(text)")
+    return found.select(F.substring("text", F.col("at"), F.col("n")).alias("piece"), number)
 
 
 def sanctions_screen(tx: DataFrame, watchlist: DataFrame, min_len: int = 0) -> DataFrame:
