@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import parts
+from .parts import in_parts
 from .results import after
 
 CLOSED = ("CLOSED_NO_ACTION", "CLOSED_FALSE_POSITIVE")
@@ -37,13 +39,16 @@ def split_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 #: The fields whose last value counts, and the times whose latest does.
 FIELDS = ("status", "priority", "assigned_to", "sar_reference")
 TIMES = ("sar_filed_at", "closed_at", "updated_at")
+#: Groups of a case's events, where there are very many events, that are folded apart first.
+SALTS = 16
 
 
-def case_partials(events: DataFrame) -> DataFrame:
+def case_partials(events: DataFrame, rows: int = 0) -> DataFrame:
     """What accepted events say of a case, a row a case, in a form that can be merged.
 
     Each field is its last non-null value with its time and sequence (ts, seq, value), each
-    time the latest.  Partial maxima, so hot cases don't matter.
+    time the latest.  Partial maxima, so hot cases don't matter.  ``rows`` says about how many
+    events there are: many are dealt to more tasks, those of a case to up to ``SALTS``.
     """
     accepted, _ = split_events(events)
     kind = F.col("kind")
@@ -59,19 +64,34 @@ def case_partials(events: DataFrame) -> DataFrame:
         "updated_at": F.col("ts"),
     }
     last = (F.max(F.when(v.isNotNull(), F.struct("ts", "seq", v.alias("value")))).alias(n) for n, v in values.items())
-    return accepted.groupBy("case_id").agg(*last, *(F.max(v).alias(n) for n, v in times.items()))
+    maxima = [*last, *(F.max(v).alias(n) for n, v in times.items())]
+    if rows <= parts.ROWS_OF_A_TASK:
+        return accepted.groupBy("case_id").agg(*maxima)
+    salted = accepted.withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)))
+    salted = in_parts(salted, rows, "case_id", "_salt").groupBy("case_id", "_salt").agg(*maxima)
+    return merged(in_parts(salted, rows, "case_id"))
 
 
-def merge_partials(kept: DataFrame, new: DataFrame) -> DataFrame:
-    """Partials of all events of both, in whatever order they came: older events are not read again."""
-    return kept.unionByName(new).groupBy("case_id").agg(*(F.max(n).alias(n) for n in (*FIELDS, *TIMES)))
+def merged(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("case_id").agg(*(F.max(n).alias(n) for n in (*FIELDS, *TIMES)))
 
 
-def with_partials(cases: DataFrame, partials: DataFrame) -> DataFrame:
-    """cases with what the partials say: the last value of each field; any event moves updated_at."""
+def merge_partials(kept: DataFrame, new: DataFrame, rows: int = 0) -> DataFrame:
+    """Partials of all events of both, in whatever order they came: older events are not read again.
+
+    ``rows`` says about how many partials there are: many are dealt to more tasks.
+    """
+    return merged(in_parts(kept.unionByName(new), rows, "case_id"))
+
+
+def with_partials(cases: DataFrame, partials: DataFrame, rows: int = 0) -> DataFrame:
+    """cases with what the partials say: the last value of each field; any event moves updated_at.
+
+    ``rows`` says about how many cases and partials there are: many are dealt to more tasks.
+    """
     folded = partials.select("case_id", *(F.col(f"{n}.value").alias(f"_{n}") for n in FIELDS), *(F.col(n).alias(f"_{n}") for n in TIMES))
     return (
-        cases.join(folded, "case_id", "left")
+        in_parts(cases, rows, "case_id").join(in_parts(folded, rows, "case_id"), "case_id", "left")
         .withColumns(
             {
                 "status": F.coalesce("_status", "status"), "priority": F.coalesce("_priority", "priority"),
