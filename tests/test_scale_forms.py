@@ -337,3 +337,15 @@ def test_exact_stream_drops_what_is_too_late(spark, tmp_path):
     got = {r.tx_id: (r.transactions_in_24h, r.daily_volume) for r in spark.table("late").collect()}
     assert got == {1: (1, Decimal(1)), 2: (1, Decimal(1)), 3: (2, Decimal(2)), 5: (3, Decimal(3)), 6: (1, None)} | ({4: got[4]} if 4 in got else {})
     assert 4 not in got or got[4][0] == 1
+
+
+def test_windows_are_dealt_to_as_many_tasks_as_there_are_events(spark, monkeypatch):
+    """With the session's partitions alone a task held more rows the longer the table was."""
+    from tidemark.operators import parts
+
+    rows = [(i, i % 300, datetime(2024, 1, 1) + timedelta(minutes=i), Decimal(i)) for i in range(600)] + [(600, 1, None, Decimal(1))]
+    df = spark.createDataFrame(rows, "tx_id long, customer_id long, ts timestamp, amount decimal(18,2)")
+    want = sorted(velocity_24h(df).collect())
+    monkeypatch.setattr(parts, "ROWS_OF_A_TASK", 40)
+    assert velocity_24h(df).rdd.getNumPartitions() == 46 and sorted(velocity_24h(df).collect()) == want
+    assert sorted(velocity_24h(df, hot_rows=1, slices=4).collect()) == sorted(want)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checkpoints import written
+from .parts import in_parts
 
 DAY_MICROS = 86_400_000_000
 #: Rows of a customer's day from which it is cut up, and into how many slices.
@@ -40,7 +41,7 @@ def velocity_24h(
     into ``slices``, each a group of its own.  What the slices before and after hold is
     summed up, a row a slice, and carried into the slice, so such a day is spread over
     many tasks; only rows of one instant must meet.  Rows without an amount count but
-    add nothing.
+    add nothing.  The more events there are, the more tasks they are dealt to.
     """
     day = F.floor(F.unix_micros("ts") / DAY_MICROS).cast("long")
     both = direction != "backward"
@@ -55,9 +56,13 @@ def velocity_24h(
     events += [event(0, at - upper, 1, False), event(0, at, 0, True), event(-1, at - upper, 1, False)] if both else [event(0, at, 1, True)]
     alone = F.array(event(0, F.lit(None).cast("long"), 1, True))
 
-    counted = tx.where(timed).groupBy(F.struct("customer_id").alias("who"), day.alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
+    counted = tx.groupBy(F.struct("customer_id").alias("who"), day.alias("of")).agg(F.count("*").alias("n"))
+    # The hot days, and all rows of the others as one.
+    is_hot = F.col("of").isNotNull() & (F.col("n") > hot_rows)
+    counted = written(counted.groupBy(F.when(is_hot, F.col("who")).alias("who"), F.when(is_hot, F.col("of")).alias("of")).agg(F.sum("n").alias("n")))
+    n_events = len(events) * (counted.agg(F.sum("n")).first()[0] or 0)
     # Rows are seen from the days beside theirs.
-    hot = written(counted.select("who", F.explode(F.array(*(F.col("of") + n for n in (-1, 0, 1)))).alias("day")).distinct())
+    hot = counted.where("of IS NOT NULL").select("who", F.explode(F.array(*(F.col("of") + n for n in (-1, 0, 1)))).alias("day")).distinct()
     n_hot = hot.limit(MOST_BROADCAST + 1).count()
     flagged = hot.withColumn("hot", F.lit(True))
     flagged = F.broadcast(flagged) if n_hot <= MOST_BROADCAST else flagged
@@ -87,10 +92,11 @@ def velocity_24h(
 
     key = ["who", "day", "slice"]  # a struct of a null is a key like others
     rows = dealt([F.struct(*(F.col(c) for c in tx.columns)).alias("row")])
+    if not n_hot:
+        key = key[:2]
+    rows = in_parts(rows, n_events, *key)
     if n_hot:
         rows = rows.join(carried_into(dealt([]), key, sums, came, stays), key, "left")
-    else:
-        key = key[:2]
 
     group = Window.partitionBy(*key)
     running = group.orderBy("time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
