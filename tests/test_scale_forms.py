@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import network, screening, trade, validate
-from tidemark.operators.velocity import velocity_24h
+from tidemark.operators.velocity import WINDOWS, velocity_24h, windows_24h
 from tidemark.streaming.streams import stream_velocity_exact
 
 DAY = timedelta(days=1)
@@ -349,3 +349,34 @@ def test_windows_are_dealt_to_as_many_tasks_as_there_are_events(spark, monkeypat
     monkeypatch.setattr(parts, "ROWS_OF_A_TASK", 40)
     assert velocity_24h(df).rdd.getNumPartitions() == 46 and sorted(velocity_24h(df).collect()) == want
     assert sorted(velocity_24h(df, hot_rows=1, slices=4).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("direction", ["backward", "both"])
+@pytest.mark.parametrize("frame_rows", [0, 12, 200])
+def test_windows_by_customer_equal_those_by_day(spark, direction, frame_rows):
+    """Of none, some and all customers by a frame a row; null customers, times and amounts, and times a day apart to the microsecond."""
+    rows, _ = ledger(spark, 6, 90)
+    rows = [(i, None if c == 0 else c, ts, a) for i, c, ts, a in rows]
+    rows += [(90 + i, 7 + i % 2, datetime(2024, 1, 1, 12) + i * (DAY - timedelta(microseconds=i % 3)), Decimal(9000 + i)) for i in range(9)]
+    rows += [(100 + i, 50, datetime(2024, 1, 1, 12), Decimal(9500)) for i in range(3)]
+    df = spark.createDataFrame(rows, "tx_id long, customer_id long, ts timestamp, amount decimal(18,2)")
+    columns = ["tx_id", "customer_id", "ts", "amount", *(c for c in WINDOWS if c != "sd_amount")]
+    got, want = windows_24h(df, direction, frame_rows=frame_rows), velocity_24h(df, direction)
+    key = lambda r: r.tx_id
+    assert got.select(columns).dtypes == want.select(columns).dtypes
+    assert sorted(got.select(columns).collect(), key=key) == sorted(want.select(columns).collect(), key=key)
+    for a, b in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
+        assert (a.sd_amount is None) == (b.sd_amount is None) and math.isclose(a.sd_amount or 0, b.sd_amount or 0, rel_tol=1e-6, abs_tol=1e-3)
+
+
+def test_assessments_shuffle_short_rows_once(spark, monkeypatch):
+    """Before, a row and two marks of it were shuffled with all their lists, and tasks held them."""
+    from tidemark.operators import parts
+    from tidemark.plans.queries import assessed
+
+    monkeypatch.setattr(parts, "ROWS_OF_A_TASK", 100)
+    df = assessed(spark, "/root/testdata/sf0.001").select("tx_id", "risk_score", "risk_factors", "sanction_hits")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    dealt = plan[plan.index("Exchange hashpartitioning(customer_id"):]
+    assert "Generate" not in plan and "split(" in plan and "split(" not in dealt and "REPARTITION_BY_NUM" in dealt
+    assert df.rdd.getNumPartitions() == 15

@@ -12,8 +12,12 @@ DAY_MICROS = 86_400_000_000
 #: Rows of a customer's day from which it is cut up, and into how many slices.
 HOT_ROWS = 100_000
 SLICES = 48
-#: Hot days up to which their list is broadcast.
+#: Hot days, and busy customers, up to which their list is broadcast.
 MOST_BROADCAST = 10_000
+#: Rows of a customer, or of each of its days, up to which a frame of 24 hours is looked through for every row.
+FRAME_ROWS = 200
+#: The columns that velocity_24h adds.
+WINDOWS = ("transactions_in_24h", "daily_volume", "mean_amount", "sd_amount", "min_amount", "max_amount", "all_in_band", "recent_count")
 
 
 def velocity_24h(
@@ -137,6 +141,59 @@ def velocity_24h(
     ).withColumn("recent_count", F.col("transactions_in_24h") - 1)
 
 
+def windows_24h(tx: DataFrame, direction: str = "backward", band: tuple[int, int] = (9000, 10000), frame_rows: int = FRAME_ROWS) -> DataFrame:
+    """tx with the columns of velocity_24h, for tables most of whose customers have few rows.
+
+    Customers with up to ``frame_rows`` rows, or as many on each of their days and without a time, are dealt by customer
+    alone, each row once, and a frame is looked through for every row: there are at most three days' rows in it.
+    Only the others, which are counted first, go by velocity_24h.  The more rows there are, the more tasks they
+    are dealt to.
+    """
+    who = F.struct("customer_id").alias("who")  # a struct of a null is a key like others
+    counted = tx.groupBy(who).agg(F.count("*").alias("n"))
+    # Customers with many rows, and all rows of the others as one.
+    counted = written(counted.groupBy(F.when(F.col("n") > frame_rows, F.col("who")).alias("who")).agg(F.sum("n").alias("n")))
+    n_rows, n_many = counted.agg(F.sum("n"), F.count("who")).first()
+    n_busy = 0
+    if n_many:
+        day = F.floor(F.unix_micros("ts") / DAY_MICROS).alias("day")
+        many = counted.where("who IS NOT NULL").select("who")
+        many = F.broadcast(many) if n_many <= MOST_BROADCAST else many
+        days = tx.select(who, day).join(many, "who", "left_semi").groupBy("who", "day").agg(F.count("*").alias("n"))
+        busy = written(days.where(F.col("n") > frame_rows).select("who").distinct())
+        n_busy = busy.count()
+    if not n_busy:
+        return frames_24h(in_parts(tx, n_rows or 0, "customer_id"), direction, band)
+    busy = F.broadcast(busy) if n_busy <= MOST_BROADCAST else busy
+    named = tx.withColumn("who", who)
+    others = named.join(busy, "who", "left_anti").select(*tx.columns)
+    seen = frames_24h(in_parts(others, n_rows, "customer_id"), direction, band)
+    return seen.unionByName(velocity_24h(named.join(busy, "who", "left_semi").select(*tx.columns), direction, band))
+
+
+def frames_24h(tx: DataFrame, direction: str, band: tuple[int, int]) -> DataFrame:
+    """tx with the columns of velocity_24h, by a frame of a customer's rows for each row."""
+    upper = DAY_MICROS - 1 if direction != "backward" else 0
+    frame = Window.partitionBy("customer_id").orderBy(F.unix_micros("ts")).rangeBetween(1 - DAY_MICROS, upper)
+    own, timed = F.col("amount"), F.col("ts").isNotNull()
+    seen = tx.withColumns(
+        {
+            "_n": F.count("*").over(frame), "_known": F.count("amount").over(frame), "_volume": F.sum("amount").over(frame),
+            "_sd": F.stddev_samp(F.col("amount").cast("double")).over(frame), "_least": F.min("amount").over(frame), "_most": F.max("amount").over(frame),
+        }
+    )
+    alone = lambda column, value: F.when(timed, F.col(column)).otherwise(value)
+    least, most = alone("_least", own), alone("_most", own)
+    n = alone("_n", F.lit(1)).cast("long")
+    return seen.select(
+        *tx.columns, n.alias("transactions_in_24h"), alone("_volume", own).cast(seen.schema["_volume"].dataType).alias("daily_volume"),
+        F.when(timed, F.col("_volume").cast("double") / F.nullif("_known", F.lit(0))).otherwise(own.cast("double")).alias("mean_amount"),
+        F.when(timed & (F.col("_known") > 1), F.col("_sd")).alias("sd_amount"), least.alias("min_amount"), most.alias("max_amount"),
+        F.when(timed, F.coalesce((F.col("_least") >= band[0]) & (F.col("_most") < band[1]), F.lit(False))).otherwise((own >= band[0]) & (own < band[1])).alias("all_in_band"),
+        (n - 1).alias("recent_count"),
+    )
+
+
 def carried_into(events: DataFrame, key: list[str], sums: dict[str, Column], came: Column, stays: Column) -> DataFrame:
     """For each slice, named by the key, the sums of the slices before it in its day, and the extremes of those before and after."""
     totals = events.groupBy(*key).agg(

@@ -13,7 +13,7 @@ from tidemark.operators.answers import apply_answers
 from tidemark.operators.detectors import behavioral_risk, crypto_risk, document_check, geographic_risk, is_crypto, pep_screen
 from tidemark.operators.scoring import risk_score
 from tidemark.operators.screening import with_hits
-from tidemark.operators.velocity import velocity_24h
+from tidemark.operators.velocity import WINDOWS, windows_24h
 
 ROUTES = ("CRYPTO_PATH", "LARGE_TRANSACTION", "NEW_ACCOUNT_ALERT", "STANDARD_FLOW")
 
@@ -89,11 +89,13 @@ def decision_path() -> Column:
 def detected(tx: DataFrame, ledger: DataFrame | None, watchlist: DataFrame, settings: RiskSettings, direction: str) -> DataFrame:
     """tx with every detector's columns; ledger rows only give context to the 24-hour windows."""
     tx = with_hits(tx, watchlist)  # before the windows, where it is read once a row
-    if ledger is None:
-        windowed = velocity_24h(tx, direction)
+    if set(WINDOWS) <= set(tx.columns):
+        windowed = tx
+    elif ledger is None:
+        windowed = windows_24h(tx, direction)
     else:
         both = tx.withColumn("_own", F.lit(True)).unionByName(ledger.withColumn("_own", F.lit(False)), allowMissingColumns=True)
-        windowed = velocity_24h(both, direction).where("_own").drop("_own")
+        windowed = windows_24h(both, direction).where("_own").drop("_own")
     return document_check(pep_screen(crypto_risk(behavioral_risk(geographic_risk(windowed, settings), settings))))
 
 
@@ -112,9 +114,10 @@ def assess(
     ``answers`` (tx_id, agent, text) are model answers; without them detectors
     give what their rules find.  An extra detector is a function that adds
     columns <name>_factors, <name>_alerts and <name>_score; it runs on every
-    route, after the others.
+    route, after the others.  Where tx has the columns of the 24-hour windows (windows_24h)
+    they are taken, and ledger and direction are not read.
     """
-    own = {c for c in tx.columns}
+    own = {c for c in tx.columns if c not in WINDOWS}
     df = detected(tx, ledger, watchlist, settings, direction)
     extra: list[str] = []
     for detector in extra_detectors or []:

@@ -11,7 +11,7 @@ from tidemark.functions import fixed
 from tidemark.functions.fixed import DEFAULTS
 from tidemark.operators import dashboard, detectors, network, results, rules, scoring, screening, trade, validate, velocity
 from tidemark.plans.assess import assess
-from tidemark.sources.views import FLOWS_SQL, LINKS_SQL, PAY_SQL, TX_SQL, flows, links, payments, transactions
+from tidemark.sources.views import FLOWS_SQL, LINKS_SQL, PAY_SQL, TX_SQL, flows, links, payments, transactions, transactions_after
 
 AS_OF = "1999-06-15 12:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -442,7 +442,8 @@ assessed AS (SELECT *, CASE WHEN stopped THEN 0 ELSE least(100, raw) END::INT AS
 
 
 def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess(transactions(spark, sf_dir), screening.watched(spark), as_of=AS_OF)
+    # The windows first, on the tables' short rows.
+    return assess(transactions_after(spark, sf_dir, velocity.windows_24h), screening.watched(spark), as_of=AS_OF)
 
 
 @query(f"WITH {ASSESS_SQL} SELECT tx_id, entry_route, risk_factors, risk_score, risk_level, sar_required, reporting_status, pep_status, sanction_parties FROM assessed")

@@ -7,6 +7,7 @@ delimited text from the tables and are split here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +28,29 @@ class View:
         return f"SELECT {picked} FROM {self.source}" + (f" WHERE {self.where}" if self.where else "")
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return stamped(self._read(spark, sf_dir, self.sql()))
+
+    def frame_after(self, spark: SparkSession, sf_dir: str, keys: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The frame with what ``step`` adds, which sees the source's rows with the view's ``keys``.
+
+        Rows that the step shuffles are as short as the source's: the other columns are worked out after it.
+        """
+        rows = self._read(spark, sf_dir, f"SELECT * FROM {self.source}" + (f" WHERE {self.where}" if self.where else ""))
+        keyed = stamped(rows.selectExpr("*", *(f"{self.columns[k]} AS {k}" for k in keys)), keys)
+        done = step(keyed)
+        added = [c for c in done.columns if c not in keyed.columns]
+        return stamped(done.selectExpr(*(n if n in keys else f"{e} AS {n}" for n, e in self.columns.items()), *added))
+
+    def _read(self, spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in self.tables}
         # Named arguments in place of session-wide views.
-        df = spark.sql(_placeholders(self.sql(), self.tables), **read)
-        stamps = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
-        return df.withColumns({n: F.col(n).cast("timestamp") for n in stamps})
+        return spark.sql(_placeholders(sql, self.tables), **read)
+
+
+def stamped(df: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
+    """df with its times (of the names, if given) without a zone as times of the session's."""
+    stamps = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz" and (names is None or f.name in names)]
+    return df.withColumns({n: F.col(n).cast("timestamp") for n in stamps})
 
 
 def _placeholders(sql: str, tables: tuple[str, ...]) -> str:
@@ -122,6 +141,11 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists(TX.frame(spark, sf_dir))
 
 
+def transactions_after(spark: SparkSession, sf_dir: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The transactions with what ``step`` adds to tx_id, customer_id, ts and amount."""
+    return lists(TX.frame_after(spark, sf_dir, ("tx_id", "customer_id", "ts", "amount"), step))
+
+
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PAY.frame(spark, sf_dir)
 
