@@ -380,3 +380,11 @@ def test_assessments_shuffle_short_rows_once(spark, monkeypatch):
     dealt = plan[plan.index("Exchange hashpartitioning(customer_id"):]
     assert "Generate" not in plan and "split(" in plan and "split(" not in dealt and "REPARTITION_BY_NUM" in dealt
     assert df.rdd.getNumPartitions() == 15
+
+
+def test_factors_are_put_in_upper_case_once(spark):
+    """Before, once for every name that has points: most of an assessment's time was spent in such functions."""
+    from tidemark.plans.queries import assessed
+
+    plan = assessed(spark, "/root/testdata/sf0.001").select("tx_id", "risk_score")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(lambda") <= 2  # of a factor and of an intermediate country

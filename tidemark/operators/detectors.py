@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed
-from tidemark.functions.arrays import contains_any, or_empty, present, texts, words_in
+from tidemark.functions.arrays import contains_any, or_empty, present_texts, texts, words_in
 from tidemark.functions.fixed import DEFAULTS, RiskSettings
 
 
@@ -24,63 +24,100 @@ def named(hit: Column, code: str) -> Column:
     return F.when(hit, F.lit(code))
 
 
-def places(tx: DataFrame) -> Column:
-    """(role, country as given) of origin, destination and intermediate countries, empty ends left out."""
+#: The single places of a transaction: role and column.
+ENDS = (("origin", "origin_country"), ("destination", "destination_country"))
+
+
+def risk_type(country: Column, settings: RiskSettings) -> Column:
+    """The first list that has the country (upper case), else null."""
+    return (
+        F.when(country.isin(*settings.high_risk), "HIGH_RISK")
+        .when(country.isin(*settings.tax_havens), "TAX_HAVEN")
+        .when(country.isin(*settings.grey_list), "GREY_LIST")
+    )
+
+
+def points_of(kind: Column) -> Column:
+    return F.when(kind == "HIGH_RISK", 25).when(kind == "TAX_HAVEN", 15).otherwise(10)
+
+
+def code_of(kind: Column, country: Column) -> Column:
+    return F.concat(F.when(kind == "HIGH_RISK", "HIGH_RISK_JURISDICTION").otherwise(kind), F.lit("_"), country)
+
+
+def alert_of(role: Column, country: Column) -> Column:
+    return F.concat(F.lit("HIGH_RISK_JURISDICTION: "), country, F.lit(" ("), role, F.lit(")"))
 
-    def end(role: str, column: str) -> Column:
-        return F.when(F.col(column) != "", F.struct(F.lit(role).alias("role"), F.col(column).alias("country")))
 
-    ends = present(end("origin", "origin_country"), end("destination", "destination_country"))
-    between = F.transform(or_empty("intermediate_countries"), lambda c: F.struct(F.lit("intermediate").alias("role"), c.alias("country")))
-    return F.concat(ends, between)
+def detail(role: Column, country: Column, kind: Column) -> Column:
+    return F.struct(role.alias("role"), country.alias("country"), kind.alias("risk_type"), points_of(kind).alias("points"))
 
 
-def judged(settings: RiskSettings) -> Column:
-    """(role, country, risk_type, points) of every place on a list; the first list that has it counts."""
+def if_any(many: Column, worked_out: Column, nothing: Column) -> Column:
+    """What is worked out of the items, where there are any: most rows call no function for each item."""
+    return F.when(F.size(many) > 0, worked_out).otherwise(nothing)
 
-    def judge(p: Column) -> Column:
-        up = F.upper(p["country"])
-        kind = (
-            F.when(up.isin(*settings.high_risk), "HIGH_RISK")
-            .when(up.isin(*settings.tax_havens), "TAX_HAVEN")
-            .when(up.isin(*settings.grey_list), "GREY_LIST")
-        )
-        points = F.when(kind == "HIGH_RISK", 25).when(kind == "TAX_HAVEN", 15).otherwise(10)
-        return F.struct(p["role"].alias("role"), up.alias("country"), kind.alias("risk_type"), points.alias("points"))
 
-    return F.filter(F.transform("_places", judge), lambda j: j["risk_type"].isNotNull())
+def judged_between(settings: RiskSettings) -> Column:
+    """(role, country, risk_type, points) of the intermediate countries on a list."""
+    # One step for each value, so that it is worked out once a place.
+    upper = F.transform(or_empty("intermediate_countries"), lambda c: F.upper(c))
+    typed = F.transform(upper, lambda c: F.struct(c.alias("country"), risk_type(c, settings).alias("risk_type")))
+    listed = F.filter(typed, lambda p: p["risk_type"].isNotNull())
+    return F.transform(listed, lambda p: detail(F.lit("intermediate"), p["country"], p["risk_type"]))
+
+
+def judged(tx: DataFrame, settings: RiskSettings) -> DataFrame:
+    """tx with geo_details: (role, country, risk_type, points) of origin, destination and intermediate countries on a list.
+
+    The first list that has a place counts.  Also adds _between, the intermediate ones alone, and the ends' types, _origin and _destination.
+    """
+    kinds = {f"_{role}": F.when(F.col(c) != "", risk_type(F.upper(c), settings)) for role, c in ENDS}
+    df = tx.withColumns(kinds).withColumn("_between", judged_between(settings))
+
+    def end(role: str, column: str) -> Column:
+        one = F.array(detail(F.lit(role), F.upper(column), F.col(f"_{role}")))
+        return F.when(F.col(f"_{role}").isNotNull(), one).otherwise(F.slice(one, 1, 0))
+
+    return df.withColumn("geo_details", F.concat(*(end(*e) for e in ENDS), "_between"))
 
 
 def geographic_risk(tx: DataFrame, settings: RiskSettings = DEFAULTS) -> DataFrame:
     """geo_factors, geo_alerts, geo_score (to 50), geo_details and jurisdictions_analyzed.
 
     A chain of tax havens counts codes as they are written, so lower-case ones don't.
+    Empty ends are no places.
     """
-    df = tx.withColumn("_places", places(tx)).withColumn("geo_details", judged(settings))
-    complex_route = F.size(or_empty("intermediate_countries")) >= 2
-    chain = F.size(F.filter("_places", lambda p: p["country"].isin(*settings.tax_havens))) >= 2
-    code = F.transform(
-        "geo_details",
-        lambda d: F.concat(F.when(d["risk_type"] == "HIGH_RISK", "HIGH_RISK_JURISDICTION").otherwise(d["risk_type"]), F.lit("_"), d["country"]),
-    )
-    alert = F.transform(
-        F.filter("geo_details", lambda d: d["risk_type"] == "HIGH_RISK"),
-        lambda d: F.concat(F.lit("HIGH_RISK_JURISDICTION: "), d["country"], F.lit(" ("), d["role"], F.lit(")")),
-    )
-    points = F.aggregate("geo_details", F.lit(0), lambda a, d: a + d["points"])
+    df = judged(tx, settings)
+    via, between, nothing = or_empty("intermediate_countries"), F.col("_between"), texts([])
+    kinds = {role: F.col(f"_{role}") for role, _ in ENDS}
+    count = lambda hit: F.when(hit, 1).otherwise(0)
+    havens = if_any(via, F.size(F.filter(via, lambda c: c.isin(*settings.tax_havens))), F.lit(0))
+    points = if_any(between, F.aggregate(between, F.lit(0), lambda a, d: a + d["points"]), F.lit(0))
+    jurisdictions = F.size(via)
+    for role, c in ENDS:
+        havens = havens + count(F.col(c).isin(*settings.tax_havens))
+        points = points + F.when(kinds[role].isNotNull(), points_of(kinds[role])).otherwise(0)
+        jurisdictions = jurisdictions + count(F.col(c) != "")
+    complex_route, chain = F.size(via) >= 2, havens >= 2
+    codes = [F.when(kinds[role].isNotNull(), F.array(code_of(kinds[role], F.upper(c)))).otherwise(nothing) for role, c in ENDS]
+    codes.append(if_any(between, F.transform(between, lambda d: code_of(d["risk_type"], d["country"])), nothing))
+    alerts = [F.when(kinds[role] == "HIGH_RISK", F.array(alert_of(F.lit(role), F.upper(c)))).otherwise(nothing) for role, c in ENDS]
+    risky = F.filter(between, lambda d: d["risk_type"] == "HIGH_RISK")
+    alerts.append(if_any(between, F.transform(risky, lambda d: alert_of(d["role"], d["country"])), nothing))
     return df.withColumns(
         {
-            "geo_factors": F.concat(code, present(named(complex_route, "COMPLEX_ROUTING"), named(chain, "TAX_HAVEN_CHAIN"))),
-            "geo_alerts": F.concat(alert, present(named(chain, "Multiple tax havens in transaction path"))),
+            "geo_factors": F.concat(*codes, present_texts(named(complex_route, "COMPLEX_ROUTING"), named(chain, "TAX_HAVEN_CHAIN"))),
+            "geo_alerts": F.concat(*alerts, present_texts(named(chain, "Multiple tax havens in transaction path"))),
             "geo_score": F.least(F.lit(50), points + add_points((complex_route, 10), (chain, 20))),
-            "jurisdictions_analyzed": F.size("_places"),
+            "jurisdictions_analyzed": jurisdictions,
         }
-    ).drop("_places")
+    ).drop("_between", *(f"_{role}" for role, _ in ENDS))
 
 
 def jurisdiction_exposure(tx: DataFrame, settings: RiskSettings = DEFAULTS) -> DataFrame:
     """Long form: one row per transaction and listed place, with its position."""
-    df = tx.withColumn("_places", places(tx)).select("tx_id", F.posexplode(judged(settings)).alias("nth", "j"))
+    df = judged(tx, settings).select("tx_id", F.posexplode("geo_details").alias("nth", "j"))
     return df.select("tx_id", "nth", "j.*")
 
 
@@ -99,12 +136,12 @@ def behavioral_risk(tx: DataFrame, settings: RiskSettings = DEFAULTS) -> DataFra
     whole = (amount >= 10000) & (amount % 1000 == 0)
     return tx.withColumns(
         {
-            "behavior_factors": present(
+            "behavior_factors": present_texts(
                 named(near, "POTENTIAL_STRUCTURING"), named(fast, "HIGH_VELOCITY"), named(over, "DAILY_LIMIT_EXCEEDED"),
                 named(uniform, "UNIFORM_TRANSACTION_PATTERN"), named(pattern, "STRUCTURING_PATTERN"),
                 named(new_high, "NEW_ACCOUNT_HIGH_VALUE"), named(new_fast, "NEW_ACCOUNT_HIGH_VELOCITY"), named(whole, "ROUND_AMOUNT"),
             ),
-            "behavior_alerts": present(
+            "behavior_alerts": present_texts(
                 F.when(near, F.concat(F.lit("Transaction amount "), dollars(amount), F.lit(" just below $10,000 threshold"))),
                 F.when(fast, F.concat(n.cast("string"), F.lit(" transactions in 24 hours"))),
                 F.when(over, F.concat(F.lit("Daily volume "), dollars(F.col("daily_volume")), F.lit(" exceeds threshold"))),
@@ -133,12 +170,12 @@ def crypto_risk(tx: DataFrame) -> DataFrame:
     age, swaps = F.coalesce(wallet["wallet_age_days"], F.lit(365)), F.coalesce(wallet["cross_chain_swaps"], F.lit(0))
     new, recent, layers, some = age < 7, (age >= 7) & (age < 30), swaps >= 3, (swaps >= 1) & (swaps < 3)
     high = F.coalesce(F.col("amount") > 100000, F.lit(False))
-    factors = present(
+    factors = present_texts(
         named(mixer, "CRYPTO_MIXER_DETECTED"), named(dark, "DARKNET_MARKET_ASSOCIATION"), named(new, "NEW_CRYPTO_WALLET"),
         named(recent, "RECENT_CRYPTO_WALLET"), named(layers, "CRYPTO_LAYERING_PATTERN"), named(some, "CROSS_CHAIN_ACTIVITY"),
         named(coin, "PRIVACY_COIN_USAGE"), named(high, "HIGH_VALUE_CRYPTO"),
     )
-    alerts = present(
+    alerts = present_texts(
         named(mixer, "Cryptocurrency mixing service detected"),
         F.when(dark, F.concat(F.lit("Darknet market association: "), wallet["darknet_market"])),
         F.when(layers, F.concat(swaps.cast("string"), F.lit(" cross-chain swaps detected"))),
@@ -161,8 +198,8 @@ def pep_screen(customers: DataFrame) -> DataFrame:
     return customers.withColumn("pep_terms", found).withColumns(
         {
             "pep_status": status,
-            "pep_factors": present(named(status, "PEP_MATCH")),
-            "pep_alerts": present(
+            "pep_factors": present_texts(named(status, "PEP_MATCH")),
+            "pep_alerts": present_texts(
                 F.when(status, F.concat(F.lit("PEP indicator: Customer name contains '"), F.array_join("pep_terms", ", "), F.lit("'")))
             ),
             "pep_confidence": F.when(status, F.lit(0.7)),
@@ -174,5 +211,5 @@ def document_check(tx: DataFrame) -> DataFrame:
     """document_factors and document_alerts where there is no document."""
     none = F.size(or_empty("documents")) == 0
     return tx.withColumns(
-        {"document_factors": present(named(none, "NO_SUPPORTING_DOCS")), "document_alerts": present(named(none, "MISSING_DOCUMENTATION"))}
+        {"document_factors": present_texts(named(none, "NO_SUPPORTING_DOCS")), "document_alerts": present_texts(named(none, "MISSING_DOCUMENTATION"))}
     )

@@ -13,9 +13,10 @@ COMPONENTS = ("geo_score", "behavior_score", "crypto_score", "document_score", "
 COMPONENT_CAP = 30
 
 
-def factor_points(code: Column) -> Column:
-    """Points by the first weight's name in the factor, else 0."""
-    return first_of(F.upper(code), (((name,), points) for name, points in fixed.FACTOR_WEIGHTS), 0)
+def factor_points(codes: Column) -> Column:
+    """Points of each of the factors by the first weight's name in it, else 0."""
+    upper = F.transform(codes, F.upper)  # once a factor, not for every name
+    return F.transform(upper, lambda code: first_of(code, (((name,), points) for name, points in fixed.FACTOR_WEIGHTS), 0))
 
 
 def level_of(score: Column, settings: RiskSettings = DEFAULTS) -> Column:
@@ -33,8 +34,8 @@ def risk_score(df: DataFrame, settings: RiskSettings = DEFAULTS) -> DataFrame:
     """
     hits = F.size(F.coalesce("sanction_hits", F.expr("array()"))) * 40
     pep = F.when(F.coalesce("pep_status", F.lit(False)), 25).otherwise(0)
-    scored = F.transform(or_empty("risk_factors"), lambda f: F.struct(f.alias("key"), factor_points(f).alias("value")))
-    of_factors = F.aggregate("_scored", F.lit(0), lambda a, x: a + x["value"])
+    of_factors = F.aggregate("_points", F.lit(0), lambda a, x: a + x)
+    scored = F.arrays_zip(or_empty("risk_factors").alias("key"), F.col("_points").alias("value"))
     parts = [c for c in COMPONENTS if c in df.columns]
     capped = {c: F.when(F.col(c) > COMPONENT_CAP, COMPONENT_CAP).otherwise(F.col(c)).cast("int") for c in parts}  # null stays null
     total = hits + pep + of_factors
@@ -47,7 +48,7 @@ def risk_score(df: DataFrame, settings: RiskSettings = DEFAULTS) -> DataFrame:
     )
     entry = lambda name, value: F.when(value.isNotNull() & (value > 0), F.struct(F.lit(name).alias("key"), value.cast("int").alias("value")))
     extra = F.filter(F.array(entry("sanctions", hits), entry("pep", pep), *(entry(n, v) for n, v in capped.items())), lambda x: x.isNotNull())
-    out = df.withColumn("_scored", scored).withColumn("risk_score", F.least(F.lit(100), total).cast("int"))
+    out = df.withColumn("_points", factor_points(or_empty("risk_factors"))).withColumn("_scored", scored).withColumn("risk_score", F.least(F.lit(100), total).cast("int"))
     score = F.col("risk_score")
     return out.withColumns(
         {
@@ -55,7 +56,7 @@ def risk_score(df: DataFrame, settings: RiskSettings = DEFAULTS) -> DataFrame:
             "sar_required": (score >= settings.high) | (hits > 0) | ((pep > 0) & (score >= settings.medium)),
             "breakdown": F.map_from_entries(F.concat(extra, summed)),
         }
-    ).drop("_scored")
+    ).drop("_points", "_scored")
 
 
 def sar_report(assessed: DataFrame, as_of: str) -> DataFrame:

@@ -42,6 +42,11 @@ def short_entries(watchlist: DataFrame, small_list: int | None = None) -> F.Colu
     return F.array(*(F.struct(F.lit(r.position).alias("position"), F.lit(r.entry).alias("entry")) for r in listed)).cast(kind)
 
 
+def meets_short(name: F.Column, listed: F.Column) -> F.Column:
+    """Whether the name (lower case) has an entry of the list, as in first_of_short."""
+    return F.exists(listed, lambda e: F.contains(name, e["entry"]) | F.contains(e["entry"], name))
+
+
 def first_of_short(name: F.Column, listed: F.Column) -> F.Column:
     """The first of the listed entries that the name (lower case) holds or is part of, else null."""
     return F.get(F.filter(listed, lambda e: F.contains(name, e["entry"]) | F.contains(e["entry"], name)), F.lit(0))
@@ -142,17 +147,21 @@ def country_sanctions_screen(tx: DataFrame) -> DataFrame:
     )
 
 
+def sanctioned(name: F.Column, origin: F.Column) -> F.Column:
+    """Whether a name (lower case) from a sanctioned origin is named after such a country."""
+    return origin.isin(*fixed.SANCTIONED_ORIGINS) & contains_any(name, fixed.SANCTIONED_ORIGIN_WORDS)
+
+
 def hits_of(party: F.Column, m: F.Column, nth: F.Column, origin: F.Column) -> F.Column:
     """The hits of one party: that on the list (m: position, entry), then that by country."""
     exact = m["entry"] == F.lower(party)
-    sanctioned = origin.isin(*fixed.SANCTIONED_ORIGINS) & contains_any(F.lower(party), fixed.SANCTIONED_ORIGIN_WORDS)
 
     def hit(late: int, kind: F.Column, confidence: F.Column) -> F.Column:
         return F.struct(nth.alias("nth"), F.lit(late).alias("late"), party.alias("party"), kind.alias("match_type"), confidence.alias("confidence"))
 
     on_list = hit(0, F.when(exact, "EXACT").otherwise("PARTIAL"), F.when(exact, 0.95).otherwise(0.75))
     by_country = hit(1, F.lit("JURISDICTION"), F.lit(0.8))
-    return present(F.when(m.isNotNull(), on_list), F.when(sanctioned, by_country))
+    return present(F.when(m.isNotNull(), on_list), F.when(sanctioned(F.lower(party), origin), by_country))
 
 
 def slim(hits: F.Column) -> F.Column:
@@ -183,9 +192,12 @@ def with_hits(tx: DataFrame, watchlist: DataFrame) -> DataFrame:
     if listed is None:
         none = F.array().cast("array<struct<party: string, match_type: string, confidence: double>>")
         return tx.join(hit_lists(tx, watchlist), "tx_id", "left").withColumn("sanction_hits", F.coalesce("sanction_hits", none))
-    named = F.transform(or_empty("parties"), lambda p, nth: F.struct(p.alias("party"), F.lower(p).alias("name"), nth.alias("nth")))
-    met = F.transform(named, lambda x: F.struct(x["party"].alias("party"), x["nth"].alias("nth"), first_of_short(x["name"], listed).alias("m")))
-    hits = F.flatten(F.transform(met, lambda x: hits_of(x["party"], x["m"], x["nth"], F.col("origin_country"))))
+    parties = or_empty("parties")
+    named = F.arrays_zip(parties.alias("party"), F.transform(parties, lambda p: F.lower(p)).alias("name"))
+    # Most parties are in no hit and go no further.
+    met = F.filter(named, lambda x: meets_short(x["name"], listed) | sanctioned(x["name"], F.col("origin_country")))
+    hits = F.transform(met, lambda x: hits_of(x["party"], first_of_short(x["name"], listed), F.lit(0), F.col("origin_country")))
+    hits = F.flatten(hits)  # in party order
     return tx.withColumn("sanction_hits", slim(hits))
 
 
