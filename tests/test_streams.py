@@ -153,3 +153,43 @@ def test_a_table_is_as_many_batches_however_many_files_a_part_has(spark, tmp_pat
     writer = stream.writeStream.foreachBatch(lambda df, n: seen.append(sorted(r.event_id for r in df.collect()))).option("checkpointLocation", f"{folder}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
     assert seen == [list(range(k * 200, k * 200 + 200)) for k in range(5)]
+
+
+def window_rows(rows, closed, hours):
+    """customer, start: count and volume of the windows of so many hours that end by then."""
+    want = {}
+    for _, c, ts, amount in rows:
+        for k in range(hours):
+            start = ts.replace(minute=0, second=0, microsecond=0) - timedelta(hours=k)
+            if start + timedelta(hours=hours) <= closed:
+                n, v = want.get((c, start), (0, None))
+                want[c, start] = (n + 1, v if amount is None else (v or 0) + amount)
+    return want
+
+
+def test_windows_are_no_rows_of_state(spark, tmp_path):
+    """A customer, null too, with one transaction a day is in every window; the state had a row for each of 24 windows a pane."""
+    start = datetime(2024, 1, 1)
+    rows = [(i, None if i % 7 == 0 else i % 7, start + timedelta(hours=5 * i, minutes=i % 60), None if i % 11 == 0 else Decimal(10**15 + i)) for i in range(200)]
+    for parts in (1, 5):
+        source, out = str(tmp_path / f"in{parts}"), str(tmp_path / f"out{parts}")
+        add_files(spark, source, rows, parts)
+        query = run(spark, source, stream_velocity, out, str(tmp_path / f"state{parts}"))
+        found = spark.read.parquet(out)
+        got = [((r.customer_id, r.window_start), (r.transactions, r.volume)) for r in found.collect()]
+        closed = rows[-1][2] - timedelta(hours=1)
+        assert len(got) == len(dict(got)) and dict(got) == window_rows(rows, closed, 24)
+        assert found.where("window_end <> window_start + INTERVAL 24 HOURS OR high_velocity <> (transactions >= 10)").count() == 0
+        assert max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]) <= len(rows) + 3 * 8
+
+
+@pytest.mark.parametrize(("kind", "amount"), [("string", "decimal(18,2)"), ("long", "double")])
+def test_sliding_windows_of_other_types(spark, tmp_path, kind, amount):
+    rows = ledger(5, 200)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    add_files(spark, source, rows, 3)
+    build = lambda s: stream_velocity(s.withColumns({"customer_id": F.col("customer_id").cast(kind), "amount": F.col("amount").cast(amount)}), width="6 hours")
+    run(spark, source, build, out, str(tmp_path / "state"))
+    got = {(int(r.customer_id), r.window_start): (r.transactions, None if r.volume is None else round(float(r.volume), 2)) for r in spark.read.parquet(out).collect()}
+    want = {k: (n, None if v is None else float(v)) for k, (n, v) in window_rows(rows, rows[-1][2] - timedelta(hours=1), 6).items()}
+    assert got == want
